@@ -117,11 +117,10 @@ def encode_with(df: DataFrame, encoder, id_col: str = "doc_id") -> DataFrame:
 # --------------------------------------------------------------------------------- joins
 def _unit(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
-    n = l2(v)
     return (emb.select(F.col(id_col).alias("id"), v.alias("v"))
             .withColumn("n", l2(F.col("v")))
             .where(F.col("n") > 0)
-            .select("id", F.transform("v", lambda x: x / F.col("n")).alias("u")))
+            .select("id", F.transform("v", lambda x: F.try_divide(x, F.col("n"))).alias("u")))
 
 
 def _pivot_literal(pivots: np.ndarray) -> Column:

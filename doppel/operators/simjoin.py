@@ -52,58 +52,126 @@ def prefix_postings(vectors: DataFrame, order: DataFrame, threshold: float,
             .select(*cols, "term_id"))
 
 
-def _verify_groups(cands: DataFrame, left_vecs: DataFrame, right_vecs: DataFrame,
-                   threshold: float, id_type: T.DataType, clamp: bool) -> DataFrame:
-    """cands (ba, bb, a, b); *_vecs (ba, bb, doc, term_ids, weights) -> (a, b, similarity)."""
+def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
+                   id_type: T.DataType, clamp: bool, keys: list[str], pair_rule: str) -> DataFrame:
+    """cands (ba, bb, a, b); routed (ba, bb, side, doc, term_ids, weights) -> (a, b, similarity).
+
+    Per block pair: the right-side vectors become one dense matrix over the columns they use;
+    the left-side vectors stay sparse (CSR).  Candidate scores are then one vectorised gather and
+    segment sum, chunked so memory stays bounded.
+    """
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
                            T.StructField("similarity", T.DoubleType())])
-    # toDF gives both inputs fresh column identities: they share lineage with the candidates.
-    routed = (left_vecs.withColumn("side", F.lit(0))
-              .unionByName(right_vecs.withColumn("side", F.lit(1)))
-              .toDF("ba", "bb", "doc", "term_ids", "weights", "side"))
-    cands = cands.toDF("ba", "bb", "a", "b")
     t = float(threshold)
 
+    def _gather_scores(dense: np.ndarray, indptr: np.ndarray, cols: np.ndarray, vals: np.ndarray,
+                       ia: np.ndarray, ib: np.ndarray, chunk: int = 4_000_000) -> np.ndarray:
+        """Dot products of left rows ``ia`` (CSR) with dense right rows ``ib``, chunked."""
+        out = np.empty(len(ia), dtype=np.float64)
+        lens = indptr[ia + 1] - indptr[ia]
+        start = 0
+        while start < len(ia):
+            # take as many candidates as fit in one chunk of gathered elements
+            csum = np.cumsum(lens[start:])
+            stop = start + max(1, int(np.searchsorted(csum, chunk, side="right")))
+            sub_a, sub_b, sub_l = ia[start:stop], ib[start:stop], lens[start:stop]
+            total = int(sub_l.sum())
+            if total == 0:
+                out[start:stop] = 0.0
+                start = stop
+                continue
+            seg = np.repeat(np.arange(len(sub_a)), sub_l)
+            first = np.repeat(indptr[sub_a] - np.concatenate([[0], np.cumsum(sub_l)[:-1]]), sub_l)
+            elem = np.arange(total) + first
+            prod = vals[elem] * dense[sub_b[seg], cols[elem]]
+            res = np.zeros(len(sub_a))
+            nz = sub_l > 0
+            if nz.any():
+                starts = np.concatenate([[0], np.cumsum(sub_l)[:-1]])[nz]
+                res[nz] = np.add.reduceat(prod, starts)
+            out[start:stop] = res
+            start = stop
+        return out
+
+    def empty() -> pd.DataFrame:
+        return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
+                             "similarity": pd.Series([], dtype="float64")})
+
+    def dense_of(frame: pd.DataFrame, cols: np.ndarray) -> np.ndarray:
+        ids = [np.asarray(x, dtype=np.int64) for x in frame["term_ids"]]
+        ws = [np.asarray(x, dtype=np.float64) for x in frame["weights"]]
+        lens = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
+        mat = np.zeros((len(frame), len(cols)), dtype=np.float64)
+        if len(ids) and lens.sum():
+            flat = np.concatenate(ids)
+            pos = np.searchsorted(cols, flat)
+            mat[np.repeat(np.arange(len(frame)), lens), pos] = np.concatenate(ws)
+        return mat
+
+    def whole_block_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Dense block pair: one matrix product, keep the entries >= t (and the pair rule)."""
+        cols = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in right["term_ids"]]
+                                        + [np.asarray(x, dtype=np.int64) for x in left["term_ids"]]))
+        scores = dense_of(left, cols) @ dense_of(right, cols).T
+        if clamp:
+            np.clip(scores, 0.0, 1.0, out=scores)
+        ia, ib = np.nonzero(scores >= t)
+        a_ids = left["doc"].to_numpy()[ia]
+        b_ids = right["doc"].to_numpy()[ib]
+        keep = (a_ids < b_ids) if pair_rule == "lt" else (a_ids != b_ids) if pair_rule == "ne" \
+            else np.ones(len(ia), dtype=bool)
+        if not keep.any():
+            return empty()
+        return pd.DataFrame({"a": a_ids[keep], "b": b_ids[keep], "similarity": scores[ia[keep], ib[keep]]})
+
     def verify(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
-        if pairs.empty or vecs.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
-                                 "similarity": pd.Series([], dtype="float64")})
-        pairs = pairs.drop_duplicates(["a", "b"])
+        if vecs.empty:
+            return empty()
         right = vecs[vecs["side"] == 1]
         left = vecs[vecs["side"] == 0]
+        if left.empty or right.empty:
+            return empty()
+        if pairs.empty:
+            return whole_block_pair(left, right)
         r_ids = [np.asarray(x, dtype=np.int64) for x in right["term_ids"]]
         r_w = [np.asarray(x, dtype=np.float64) for x in right["weights"]]
-        cols = np.unique(np.concatenate(r_ids)) if r_ids else np.zeros(0, np.int64)
+        r_len = np.fromiter((len(x) for x in r_ids), dtype=np.int64, count=len(r_ids))
+        all_r = np.concatenate(r_ids) if len(r_ids) else np.zeros(0, np.int64)
+        cols = np.unique(all_r)
         dense = np.zeros((len(right), len(cols)), dtype=np.float64)
-        for i, (ids, ws) in enumerate(zip(r_ids, r_w)):
-            dense[i, np.searchsorted(cols, ids)] = ws
-        r_pos = pd.Series(np.arange(len(right)), index=right["doc"].to_numpy())
-        l_vec = dict(zip(left["doc"].to_numpy(), zip(left["term_ids"], left["weights"])))
-        out_a, out_b, out_s = [], [], []
-        for a, grp in pairs.groupby("a", sort=False):
-            ids, ws = l_vec[a]
-            ids = np.asarray(ids, dtype=np.int64)
-            ws = np.asarray(ws, dtype=np.float64)
-            pos = np.searchsorted(cols, ids)
-            ok = (pos < len(cols))
-            ok[ok] = cols[pos[ok]] == ids[ok]
-            rows = r_pos.loc[grp["b"].to_numpy()].to_numpy()
-            scores = dense[np.ix_(rows, pos[ok])] @ ws[ok]
-            if clamp:
-                scores = np.clip(scores, 0.0, 1.0)
-            keep = scores >= t
-            if keep.any():
-                out_a.append(np.full(int(keep.sum()), a, dtype=object))
-                out_b.append(grp["b"].to_numpy()[keep])
-                out_s.append(scores[keep])
-        if not out_a:
-            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
-                                 "similarity": pd.Series([], dtype="float64")})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b),
-                             "similarity": np.concatenate(out_s)})
-
-    return (cands.groupBy("ba", "bb")
-            .cogroup(routed.groupBy("ba", "bb"))
+        dense[np.repeat(np.arange(len(right)), r_len), np.searchsorted(cols, all_r)] = \
+            np.concatenate(r_w) if len(r_w) else np.zeros(0)
+        # left side as CSR over the same columns; terms the right side lacks contribute 0
+        l_ids = [np.asarray(x, dtype=np.int64) for x in left["term_ids"]]
+        l_w = [np.asarray(x, dtype=np.float64) for x in left["weights"]]
+        all_l = np.concatenate(l_ids) if len(l_ids) else np.zeros(0, np.int64)
+        all_lw = np.concatenate(l_w) if len(l_w) else np.zeros(0)
+        pos = np.searchsorted(cols, all_l)
+        pos_c = np.minimum(pos, max(len(cols) - 1, 0))
+        hit = (pos < len(cols)) & (cols[pos_c] == all_l) if len(cols) else np.zeros(len(all_l), bool)
+        row_of = np.repeat(np.arange(len(left)), [len(x) for x in l_ids])
+        keep_rows = row_of[hit]
+        indptr = np.concatenate([[0], np.cumsum(np.bincount(keep_rows, minlength=len(left)))])
+        l_cols = pos_c[hit]
+        l_vals = all_lw[hit]
+        l_index = pd.Index(left["doc"].to_numpy())
+        r_index = pd.Index(right["doc"].to_numpy())
+        ia = l_index.get_indexer(pairs["a"].to_numpy())
+        ib = r_index.get_indexer(pairs["b"].to_numpy())
+        ok = (ia >= 0) & (ib >= 0)
+        ia, ib = ia[ok], ib[ok]
+        scores = _gather_scores(dense, indptr, l_cols, l_vals, ia, ib)
+        if clamp:
+            scores = np.clip(scores, 0.0, 1.0)
+        keep = scores >= t
+        if not keep.any():
+            return empty()
+        return pd.DataFrame({"a": left["doc"].to_numpy()[ia[keep]],
+                             "b": right["doc"].to_numpy()[ib[keep]],
+                             "similarity": scores[keep]})
+
+    return (cands.groupBy(*keys)
+            .cogroup(routed.groupBy(*keys))
             .applyInPandas(verify, schema))
 
 
@@ -111,7 +179,7 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
                    threshold: float, id_col: str = "doc_id", block_key: str | None = None,
                    n_left: int | None = None, n_right: int | None = None,
                    block_rows: int = 1024, exclude_same_id: bool = True,
-                   clamp: bool = True) -> DataFrame:
+                   clamp: bool = True, dense_ratio: float = 0.1) -> DataFrame:
     """All pairs with cosine >= threshold between array-form vectors.
 
     ``right=None`` is a self-join returning each unordered pair once as ``a < b``.  Otherwise every
@@ -119,7 +187,7 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     extra equality key (cluster id) both sides must share.  Output: (a, b, similarity).
     """
     if threshold <= 0:
-        raise ValueError("threshold must be > 0: at t <= 0 every pair qualifies; use all_pairs()")
+        raise ValueError("threshold must be > 0: at t <= 0 every pair qualifies")
     self_join = right is None
     right = left if self_join else right
     extra = [block_key] if block_key else []
@@ -136,21 +204,46 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     pl = prefix_postings(left, order, threshold, id_col, extra).withColumnRenamed(id_col, "a")
     pr = pl if self_join else prefix_postings(right, order, threshold, id_col, extra)
     pr = pr.withColumnRenamed("a" if self_join else id_col, "b")
-    keys = ["term_id"] + extra
-    cands = pl.join(pr, keys)
+    raw = pl.join(pr, ["term_id"] + extra)
     if self_join:
-        cands = cands.where(F.col("a") < F.col("b"))
+        raw = raw.where(F.col("a") < F.col("b"))
     elif exclude_same_id:
-        cands = cands.where(F.col("a") != F.col("b"))
-    cands = cands.select(_block("a", b_left).alias("ba"), _block("b", b_right).alias("bb"), "a", "b")
+        raw = raw.where(F.col("a") != F.col("b"))
+    keys = ["ba", "bb"] + extra
+    raw = raw.select(_block("a", b_left).alias("ba"), _block("b", b_right).alias("bb"), *extra, "a", "b")
 
-    need_l = cands.select("ba", "bb", F.col("a").alias("doc")).distinct()
-    need_r = cands.select("ba", "bb", F.col("b").alias("doc")).distinct()
-    vec_l = left.select(F.col(id_col).alias("doc"), "term_ids", "weights")
-    vec_r = right.select(F.col(id_col).alias("doc"), "term_ids", "weights")
-    routed_l = need_l.join(vec_l, "doc").select("ba", "bb", "doc", "term_ids", "weights")
-    routed_r = need_r.join(vec_r, "doc").select("ba", "bb", "doc", "term_ids", "weights")
-    return _verify_groups(cands, routed_l, routed_r, threshold, id_type, clamp)
+    # Candidate density per block pair decides the verification path.  Raw rows (one per
+    # shared prefix term) are counted with map-side partial aggregation: only one row per
+    # block pair and task crosses the shuffle.
+    size_l = (left.select(_block(id_col, b_left).alias("ba"), *extra)
+              .groupBy("ba", *extra).agg(F.count(F.lit(1)).alias("n_a")))
+    size_r = (right.select(_block(id_col, b_right).alias("bb"), *extra)
+              .groupBy("bb", *extra).agg(F.count(F.lit(1)).alias("n_b")))
+    stats = (raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_n"))
+             .join(size_l, ["ba"] + extra).join(size_r, ["bb"] + extra)
+             .select(*keys, (F.col("raw_n") >= F.lit(dense_ratio) * F.col("n_a") * F.col("n_b"))
+                     .alias("dense"))
+             .persist())
+    dense_pairs = stats.where("dense").select(*keys)
+    sparse_pairs = stats.where(~F.col("dense")).select(*keys)
+
+    cands = (raw.join(sparse_pairs, keys, "left_semi")
+             .select(*keys, "a", "b").distinct()
+             .persist())
+    vec_l = left.select(F.col(id_col).alias("doc"), *extra, "term_ids", "weights")
+    vec_r = right.select(F.col(id_col).alias("doc"), *extra, "term_ids", "weights")
+    need_l = cands.select(*keys, F.col("a").alias("doc")).distinct()
+    need_r = cands.select(*keys, F.col("b").alias("doc")).distinct()
+    routed_sparse = (need_l.join(vec_l, ["doc"] + extra).withColumn("side", F.lit(0))
+                     .unionByName(need_r.join(vec_r, ["doc"] + extra).withColumn("side", F.lit(1))))
+    blk_l = vec_l.withColumn("ba", _block("doc", b_left))
+    blk_r = vec_r.withColumn("bb", _block("doc", b_right))
+    routed_dense = (dense_pairs.join(blk_l, ["ba"] + extra).withColumn("side", F.lit(0))
+                    .unionByName(dense_pairs.join(blk_r, ["bb"] + extra).withColumn("side", F.lit(1))))
+    cols = [*keys, "side", "doc", "term_ids", "weights"]
+    routed = (routed_sparse.select(*cols).unionByName(routed_dense.select(*cols)).toDF(*cols))
+    rule = "lt" if self_join else ("ne" if exclude_same_id else "all")
+    return _verify_groups(cands.toDF(*keys, "a", "b"), routed, threshold, id_type, clamp, keys, rule)
 
 
 def collapse_copies(vectors: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -197,6 +290,9 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
     else:
         reps = vecs
         members = None
+    reps = reps.persist()
+    if members is not None:
+        members = members.persist()
     pairs = threshold_join(reps, None, order, threshold, id_col, block_key,
                            n_left=n_docs, n_right=n_docs, block_rows=block_rows)
     if members is not None:
@@ -214,4 +310,8 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
         out = across.unionByName(within)
     else:
         out = pairs.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "similarity")
-    return out.orderBy(F.desc("similarity"), "doc1", "doc2") if sort else out
+    if not sort:
+        return out
+    # The verified pairs are few; materialise them so the range partitioner's sampling pass
+    # reads them instead of re-running the verification.
+    return out.persist().orderBy(F.desc("similarity"), "doc1", "doc2")

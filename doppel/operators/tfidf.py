@@ -155,5 +155,6 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content"
     vectors = weigh(bags, model._vocab_for_join(), id_col)
     if persist:
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        vectors.count()  # materialise once; every later job reads the cached vectors
     model.vectors = vectors
     return model
