@@ -212,7 +212,9 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
     if corpus_docs is not None:
         hits = duplicate_hits(rows.select(id_col, "content"), corpus_docs, model, corpus_emb,
                               batch_emb, tfidf_threshold, embedding_threshold, id_col=id_col)
-        vs_corpus = hits.select(id_col).distinct()
+        # Reliable checkpoints (shared checkpoint folder) cut the lineage between phases: the
+        # plan stays small and a lost executor does not replay the whole check.
+        vs_corpus = hits.select(id_col).distinct().checkpoint()
     else:
         vs_corpus = rows.select(id_col).limit(0)
     open_rows = rows.join(vs_corpus, id_col, "left_anti")
@@ -220,13 +222,14 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
     # Exact copies inside the batch: later copies are rejected, the first one stays a node.
     w = Window.partitionBy(F.xxhash64("content"), "content").orderBy(order_col, id_col)
     ranked = open_rows.withColumn("_copy", F.row_number().over(w))
+    ranked = ranked.checkpoint()
     firsts = ranked.where(F.col("_copy") == 1).drop("_copy")
     later = ranked.where(F.col("_copy") > 1).select(id_col)
 
     vecs = model.transform(firsts.select(id_col, "content"), id_col)
     emb = batch_emb.join(firsts.select(id_col), id_col, "left_semi") if batch_emb is not None else None
     edges = _edges_within(firsts, model, vecs, emb, tfidf_threshold, embedding_threshold,
-                          id_col, order_col)
+                          id_col, order_col).checkpoint()
     decided = greedy_admission(firsts.select(F.col(id_col).alias("node")), edges)
 
     status = (decided.select(F.col("node").alias(id_col),

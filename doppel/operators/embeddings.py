@@ -172,21 +172,57 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
     subs = np.maximum(1, np.ceil(sizes / cell_rows)).astype(int)
 
     bound = F.array(*[F.lit(float(r + theta + ANGLE_EPS) if r >= 0 else -1.0) for r in radii])
-    n_sub = F.array(*[F.lit(int(s)) for s in subs])
+    n_sub = F.array(*[F.lit(int(x)) for x in subs])
     probes = (place(lu).select("id", "u", F.posexplode("ang").alias("cell", "a"))
               .where(F.col("a") <= F.element_at(bound, F.col("cell") + 1))
-              .withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(n_sub, F.col("cell") + 1) - 1)))
-              .select(F.col("id").alias("a"), F.col("u").alias("ua"), "cell", "sub"))
-    homes = home.select(F.col("id").alias("b"), F.col("u").alias("ub"), "cell",
-                        F.pmod(F.xxhash64("id"), F.element_at(n_sub, F.col("cell") + 1)).cast("int")
-                        .alias("sub"))
-    pairs = probes.join(homes, ["cell", "sub"])
-    if self_join:
-        pairs = pairs.where(F.col("a") < F.col("b"))
-    elif exclude_same_id:
-        pairs = pairs.where(F.col("a") != F.col("b"))
-    scored = pairs.select("a", "b", dot(F.col("ua"), F.col("ub")).alias("similarity"))
-    return scored.where(F.col("similarity") >= F.lit(threshold))
+              .select(F.col("id").alias("a"), F.col("u").alias("ua"), "cell"))
+    # Probe lists of hot cells are cut into chunks of at most cell_rows; the cell's home
+    # sub-blocks are replicated once per chunk, so every group is at most cell_rows^2 work.
+    probe_counts = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).toPandas()  # <= p rows
+    chunks = np.ones(len(pivots), dtype=np.int64)
+    chunks[probe_counts["cell"].to_numpy()] = np.maximum(
+        1, np.ceil(probe_counts["m"].to_numpy() / cell_rows)).astype(np.int64)
+    n_chunk = F.array(*[F.lit(int(x)) for x in chunks])
+    probes = (probes.withColumn("chunk", F.pmod(F.xxhash64("a"), F.element_at(n_chunk, F.col("cell") + 1))
+                                .cast("int"))
+              .withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(n_sub, F.col("cell") + 1) - 1))))
+    homes = (home.select(F.col("id").alias("b"), F.col("u").alias("ub"), "cell",
+                         F.pmod(F.xxhash64("id"), F.element_at(n_sub, F.col("cell") + 1)).cast("int")
+                         .alias("sub"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(n_chunk, F.col("cell") + 1) - 1))))
+    rule = "lt" if self_join else ("ne" if exclude_same_id else "all")
+    return _score_cells(probes, homes, threshold, left.schema[id_col].dataType, rule)
+
+
+def _score_cells(probes: DataFrame, homes: DataFrame, threshold: float, id_type: T.DataType,
+                 rule: str) -> DataFrame:
+    """cogroup probes (a, ua) and homes (b, ub) by (cell, sub, chunk); one matrix product each."""
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
+                           T.StructField("similarity", T.DoubleType())])
+    t = float(threshold)
+
+    def empty() -> pd.DataFrame:
+        return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
+                             "similarity": pd.Series([], dtype="float64")})
+
+    def score(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or h.empty:
+            return empty()
+        pm = np.stack([np.asarray(x, dtype=np.float64) for x in p["ua"]])
+        hm = np.stack([np.asarray(x, dtype=np.float64) for x in h["ub"]])
+        sims = pm @ hm.T
+        ia, ib = np.nonzero(sims >= t)
+        a = p["a"].to_numpy()[ia]
+        b = h["b"].to_numpy()[ib]
+        keep = (a < b) if rule == "lt" else (a != b) if rule == "ne" else np.ones(len(a), dtype=bool)
+        if not keep.any():
+            return empty()
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": sims[ia[keep], ib[keep]]})
+
+    keys = ["cell", "sub", "chunk"]
+    return (probes.select(*keys, "a", "ua").groupBy(*keys)
+            .cogroup(homes.select(*keys, "b", "ub").groupBy(*keys))
+            .applyInPandas(score, schema))
 
 
 def _empty_pairs(df: DataFrame, id_col: str) -> DataFrame:
@@ -197,7 +233,8 @@ def _empty_pairs(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def similar_embedding_pairs(emb: DataFrame, threshold: float = 0.8, id_col: str = "vec_id",
-                            vec_col: str = "embedding", cell_rows: int = 1024) -> DataFrame:
+                            vec_col: str = "embedding", cell_rows: int = 1024,
+                            sort: bool = True) -> DataFrame:
     """(doc1, doc2, similarity) with doc1 < doc2 and cosine >= threshold, sorted desc."""
     if threshold <= 0:
         full = similarity_matrix(emb, id_col, vec_col, cell_rows)
@@ -205,8 +242,8 @@ def similar_embedding_pairs(emb: DataFrame, threshold: float = 0.8, id_col: str
                 .select(F.col("i").alias("doc1"), F.col("j").alias("doc2"), "similarity")
                 .orderBy(F.desc("similarity"), "doc1", "doc2"))
     p = embedding_threshold_join(emb, None, threshold, id_col, vec_col, cell_rows=cell_rows)
-    return (p.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "similarity")
-            .orderBy(F.desc("similarity"), "doc1", "doc2"))
+    out = p.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "similarity")
+    return out.persist().orderBy(F.desc("similarity"), "doc1", "doc2") if sort else out
 
 
 def similarity_matrix(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",

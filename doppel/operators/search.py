@@ -59,6 +59,8 @@ def tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float,
             return hits
         # J8 fallback: a query without a cluster is compared with every document.
         lonely = vectors.join(clusters.select(id_col), id_col, "left_anti")
+        if lonely.isEmpty():
+            return hits
         extra = threshold_join(lonely, vectors, order, threshold, id_col)
         return hits.unionByName(extra.select(F.col("a").alias("query_document_id"),
                                              F.col("b").alias("id"), "similarity"))
@@ -70,7 +72,8 @@ def tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float,
         hits = threshold_join(queries.join(cl, id_col), vectors.join(cl, id_col), order,
                               threshold, id_col, block_key=cluster_col)
         lonely = queries.join(cl, id_col, "left_anti")
-        hits = hits.unionByName(threshold_join(lonely, vectors, order, threshold, id_col))
+        if not lonely.isEmpty():
+            hits = hits.unionByName(threshold_join(lonely, vectors, order, threshold, id_col))
     return hits.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"), "similarity")
 
 

@@ -38,6 +38,25 @@ def _block(col: str, n_blocks: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(n_blocks)).cast("int")
 
 
+def _with_blocks(vecs: DataFrame, id_col: str, block_key: str | None, n: int | None,
+                 block_rows: int) -> DataFrame:
+    """Add ``blk``: a hash block of at most about ``block_rows`` vectors.
+
+    Without a blocking key the block count is ``ceil(n / block_rows)``; with one (a cluster id)
+    every key gets ``ceil(size / block_rows)`` blocks of its own, so a hot cluster holding a
+    third of the corpus is split as finely as the corpus itself.
+    """
+    if block_key is None:
+        n = n if n is not None else vecs.count()
+        return vecs.withColumn("blk", _block(id_col, max(1, math.ceil(n / block_rows))))
+    per_key = (vecs.groupBy(block_key).agg(F.count(F.lit(1)).alias("_n"))
+               .select(block_key, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows)))
+                       .cast("int").alias("_nb")))
+    return (vecs.join(per_key, block_key)
+            .withColumn("blk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nb")).cast("int"))
+            .drop("_nb"))
+
+
 def prefix_postings(vectors: DataFrame, order: DataFrame, threshold: float,
                     id_col: str, extra_cols: list[str] | None = None) -> DataFrame:
     """Postings of each vector's indexed prefix: (id, term_id, *extra_cols)."""
@@ -194,30 +213,30 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     id_type = left.schema[id_col].dataType
 
     # Zero vectors never reach a positive threshold.
-    left = left.where(F.size("term_ids") > 0)
-    right = right.where(F.size("term_ids") > 0)
-    n_left = n_left if n_left is not None else left.count()
-    n_right = n_right if n_right is not None else right.count()
-    b_left = max(1, math.ceil(n_left / block_rows))
-    b_right = max(1, math.ceil(n_right / block_rows))
-
-    pl = prefix_postings(left, order, threshold, id_col, extra).withColumnRenamed(id_col, "a")
-    pr = pl if self_join else prefix_postings(right, order, threshold, id_col, extra)
-    pr = pr.withColumnRenamed("a" if self_join else id_col, "b")
+    left = _with_blocks(left.where(F.size("term_ids") > 0), id_col, block_key, n_left, block_rows)
+    right = left if self_join else \
+        _with_blocks(right.where(F.size("term_ids") > 0), id_col, block_key, n_right, block_rows)
+
+    carry = extra + ["blk"]
+    pl = prefix_postings(left, order, threshold, id_col, carry) \
+        .withColumnRenamed(id_col, "a").withColumnRenamed("blk", "ba")
+    pr = pl.withColumnRenamed("a", "b").withColumnRenamed("ba", "bb") if self_join else \
+        prefix_postings(right, order, threshold, id_col, carry) \
+        .withColumnRenamed(id_col, "b").withColumnRenamed("blk", "bb")
     raw = pl.join(pr, ["term_id"] + extra)
     if self_join:
         raw = raw.where(F.col("a") < F.col("b"))
     elif exclude_same_id:
         raw = raw.where(F.col("a") != F.col("b"))
     keys = ["ba", "bb"] + extra
-    raw = raw.select(_block("a", b_left).alias("ba"), _block("b", b_right).alias("bb"), *extra, "a", "b")
+    raw = raw.select("ba", "bb", *extra, "a", "b")
 
     # Candidate density per block pair decides the verification path.  Raw rows (one per
     # shared prefix term) are counted with map-side partial aggregation: only one row per
     # block pair and task crosses the shuffle.
-    size_l = (left.select(_block(id_col, b_left).alias("ba"), *extra)
+    size_l = (left.select(F.col("blk").alias("ba"), *extra)
               .groupBy("ba", *extra).agg(F.count(F.lit(1)).alias("n_a")))
-    size_r = (right.select(_block(id_col, b_right).alias("bb"), *extra)
+    size_r = (right.select(F.col("blk").alias("bb"), *extra)
               .groupBy("bb", *extra).agg(F.count(F.lit(1)).alias("n_b")))
     stats = (raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_n"))
              .join(size_l, ["ba"] + extra).join(size_r, ["bb"] + extra)
@@ -230,14 +249,15 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     cands = (raw.join(sparse_pairs, keys, "left_semi")
              .select(*keys, "a", "b").distinct()
              .persist())
-    vec_l = left.select(F.col(id_col).alias("doc"), *extra, "term_ids", "weights")
-    vec_r = right.select(F.col(id_col).alias("doc"), *extra, "term_ids", "weights")
+    vec_l = left.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
+    vec_r = right.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
     need_l = cands.select(*keys, F.col("a").alias("doc")).distinct()
     need_r = cands.select(*keys, F.col("b").alias("doc")).distinct()
-    routed_sparse = (need_l.join(vec_l, ["doc"] + extra).withColumn("side", F.lit(0))
-                     .unionByName(need_r.join(vec_r, ["doc"] + extra).withColumn("side", F.lit(1))))
-    blk_l = vec_l.withColumn("ba", _block("doc", b_left))
-    blk_r = vec_r.withColumn("bb", _block("doc", b_right))
+    routed_sparse = (need_l.join(vec_l.drop("blk"), ["doc"] + extra).withColumn("side", F.lit(0))
+                     .unionByName(need_r.join(vec_r.drop("blk"), ["doc"] + extra)
+                                  .withColumn("side", F.lit(1))))
+    blk_l = vec_l.withColumnRenamed("blk", "ba")
+    blk_r = vec_r.withColumnRenamed("blk", "bb")
     routed_dense = (dense_pairs.join(blk_l, ["ba"] + extra).withColumn("side", F.lit(0))
                     .unionByName(dense_pairs.join(blk_r, ["bb"] + extra).withColumn("side", F.lit(1))))
     cols = [*keys, "side", "doc", "term_ids", "weights"]

@@ -184,6 +184,87 @@ def q_corpus_status(spark, sf_dir):
     return stats.corpus_status(docs, m.vectors, _clusters(m), emb)
 
 
+EMB_T = 0.2      # the embeddings fixture never reaches 0.7 (max 0.51 / 0.60)
+DUP_T_EMB = 0.8  # duplicate check: reference default for the embedding method
+
+
+def _emb_table(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def q_hash_embeddings(spark, sf_dir):
+    from doppel.operators.embeddings import hash_embeddings
+    emb = hash_embeddings(corpus(spark, sf_dir))
+    return (emb.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+            .where(F.col("value") != 0).select("doc_id", "dim", r6("value")))
+
+
+def q_similar_pairs_embedding(spark, sf_dir):
+    from doppel.operators.embeddings import similar_embedding_pairs
+    return similar_embedding_pairs(_emb_table(spark, sf_dir), EMB_T).select("doc1", "doc2", r6("similarity"))
+
+
+def q_similarity_matrix(spark, sf_dir):
+    from doppel.operators.embeddings import similarity_matrix
+    return similarity_matrix(_emb_table(spark, sf_dir)).select("i", "j", r6("similarity"))
+
+
+def q_topk_embedding(spark, sf_dir):
+    from doppel.operators.embeddings import similar_embedding_pairs
+    from doppel.operators.search import mirror, rank_hits
+    pairs = similar_embedding_pairs(_emb_table(spark, sf_dir), EMB_T, sort=False)
+    return rank_hits(mirror(pairs), TOPK_LIMIT, method="embedding")
+
+
+def q_artifact_roundtrip(spark, sf_dir):
+    """Write the fitted vectors and vocabulary as Parquet artifacts and read them back."""
+    from doppel.plans.corpus_ops import load_model, save_model
+    from doppel.session import scratch_path
+    _, m = fitted(spark, sf_dir)
+    root = scratch_path(spark, "artifacts")
+    save_model(m, root)
+    back = load_model(spark, root)
+    return back.long_form().select("doc_id", "term_id", r6("weight"))
+
+
+def _dup_inputs(spark, sf_dir):
+    from doppel.operators.embeddings import hash_embeddings
+    docs, m = fitted(spark, sf_dir)
+    new = incoming(spark, sf_dir)
+    return docs, m, new, hash_embeddings(docs), hash_embeddings(new)
+
+
+def q_duplicate_check(spark, sf_dir):
+    from doppel.operators.dedup import duplicate_hits
+    docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
+    return duplicate_hits(new, docs, m, ce, ne, PAIR_T, DUP_T_EMB)
+
+
+def q_duplicate_summary(spark, sf_dir):
+    from doppel.operators.dedup import duplicate_hits, duplicate_summary
+    docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
+    hits = duplicate_hits(new, docs, m, ce, ne, PAIR_T, DUP_T_EMB)
+    return duplicate_summary(new, hits).select("doc_id", "has_duplicates", "max_tfidf_similarity",
+                                               "max_embedding_similarity", "n_tfidf", "n_embedding",
+                                               "message")
+
+
+def q_admission(spark, sf_dir):
+    """C3 over the whole corpus in doc_id order into an empty corpus (exact + TF-IDF 0.7)."""
+    from doppel.operators.dedup import admit
+    docs, m = fitted(spark, sf_dir)
+    batch = docs.withColumn("arrival", F.col("doc_id"))
+    return admit(batch, m, None).where(F.col("occurrence") == 1).select("doc_id", "status")
+
+
+def q_admission_status(spark, sf_dir):
+    """C3 + C4 for the incoming batch against the corpus with both methods (rows-only check)."""
+    from doppel.operators.dedup import admit
+    docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
+    batch = new.withColumn("arrival", F.col("doc_id"))
+    return admit(batch, m, docs, ce, ne, PAIR_T, DUP_T_EMB)
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
@@ -192,6 +273,42 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Oracle side (DuckDB)
 # ----------------------------------------------------------------------------------------------
 
+EMB_BASE = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+      FROM embeddings)"""
+
+EMB_PAIRS = O.with_ctes(EMB_BASE, """
+pairs AS (SELECT a.vec_id AS doc1, b.vec_id AS doc2, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity
+          FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE a.n > 0 AND b.n > 0)""")
+
+DUP_CTES = (O.hash_embedding_cte("emb_c", "tf", "doc_id"),
+            O.hash_embedding_cte("emb_n", "new_tf", "item_id"),
+            f"""
+exact AS (SELECT n.item_id AS doc_id, min(d.doc_id) AS id FROM new_docs n JOIN docs d
+          ON trim(n.content) = d.content GROUP BY n.item_id),
+rest AS (SELECT item_id FROM new_docs WHERE item_id NOT IN (SELECT doc_id FROM exact)),
+t_hits AS (SELECT nt.item_id AS doc_id, t.doc_id AS id,
+                  least(greatest(sum(nt.weight * t.weight), 0.0), 1.0) AS s
+           FROM new_tfidf nt JOIN tfidf t USING (term_id)
+           WHERE nt.item_id IN (SELECT item_id FROM rest) AND nt.item_id <> t.doc_id
+           GROUP BY nt.item_id, t.doc_id HAVING least(greatest(sum(nt.weight * t.weight), 0.0), 1.0) >= {PAIR_T}),
+e_hits AS (SELECT n.eid AS doc_id, c.eid AS id, sum(n.value * c.value) AS s
+           FROM emb_n n JOIN emb_c c USING (dim)
+           WHERE n.eid IN (SELECT item_id FROM rest) AND n.eid <> c.eid
+           GROUP BY n.eid, c.eid HAVING sum(n.value * c.value) >= {DUP_T_EMB}),
+ranked AS (
+  SELECT doc_id, 'tfidf' AS method, id, round(s, 4) AS similarity_score,
+         row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 4) DESC, id) AS rank FROM t_hits
+  UNION ALL
+  SELECT doc_id, 'embedding', id, round(s, 4),
+         row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 4) DESC, id) FROM e_hits),
+dup_rows AS (
+  SELECT doc_id, method, id, similarity_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 50
+  UNION ALL
+  SELECT doc_id, m.method, id, 1.0, 1 FROM exact, (VALUES ('tfidf'), ('embedding')) m(method))""")
+
+
 def _oracles() -> dict[str, str]:
     C = O.corpus_ctes()
     W = O.with_ctes
@@ -270,6 +387,55 @@ def _oracles() -> dict[str, str]:
             SELECT n AS documents, n AS tfidf_vectors, n AS clusters, n AS embeddings,
                    n > 0 AS documents_loaded, n > 0 AS tfidf_vectors_loaded,
                    n > 0 AS clusters_loaded, n > 0 AS embeddings_loaded FROM n_docs""",
+        "hash_embeddings": W(C, O.hash_embedding_cte("emb", "tf", "doc_id")) +
+            " SELECT eid AS doc_id, dim, round(value, 6) AS value FROM emb",
+        "similar_pairs_embedding": EMB_PAIRS + f"""
+            SELECT doc1, doc2, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= {EMB_T}""",
+        "similarity_matrix": W(EMB_BASE) + """
+            SELECT a.vec_id AS i, b.vec_id AS j,
+                   round(CASE WHEN a.n = 0 OR b.n = 0 THEN 0.0
+                              ELSE list_dot_product(a.v, b.v) / (a.n * b.n) END, 6) AS similarity
+            FROM e a, e b""",
+        "topk_embedding": EMB_PAIRS + f"""
+            , hits AS (SELECT doc1 AS q, doc2 AS id, similarity FROM pairs WHERE similarity >= {EMB_T}
+                       UNION ALL SELECT doc2, doc1, similarity FROM pairs WHERE similarity >= {EMB_T}),
+            ranked AS (SELECT q, id, round(similarity, 4) AS s,
+                              row_number() OVER (PARTITION BY q ORDER BY round(similarity, 4) DESC, id) AS rank
+                       FROM hits)
+            SELECT q AS query_document_id, id, s AS similarity_score, CAST(rank AS INTEGER) AS rank,
+                   'embedding' AS method FROM ranked WHERE rank <= {TOPK_LIMIT}""",
+        "artifact_roundtrip": W(C) + " SELECT doc_id, term_id, round(weight, 6) AS weight FROM tfidf",
+        "duplicate_check": W(C, incoming_ctes, *DUP_CTES) + " SELECT * FROM dup_rows",
+        "duplicate_summary": W(C, incoming_ctes, *DUP_CTES) + """
+            , per AS (
+              SELECT doc_id,
+                     max(CASE WHEN method = 'tfidf' THEN similarity_score END) AS mt,
+                     max(CASE WHEN method = 'embedding' THEN similarity_score END) AS me,
+                     CAST(sum(CASE WHEN method = 'tfidf' THEN 1 ELSE 0 END) AS INTEGER) AS nt,
+                     CAST(sum(CASE WHEN method = 'embedding' THEN 1 ELSE 0 END) AS INTEGER) AS ne,
+                     array_to_string(list_sort(list_distinct(list(CAST(id AS VARCHAR)))), ', ') AS ids
+              FROM dup_rows GROUP BY doc_id)
+            SELECT n.item_id AS doc_id, coalesce(nt, 0) + coalesce(ne, 0) > 0 AS has_duplicates,
+                   coalesce(mt, 0.0) AS max_tfidf_similarity, coalesce(me, 0.0) AS max_embedding_similarity,
+                   coalesce(nt, 0) AS n_tfidf, coalesce(ne, 0) AS n_embedding,
+                   CASE WHEN ids IS NOT NULL THEN 'Document ' || CAST(n.item_id AS VARCHAR) || ' has duplicates: ' || ids END AS message
+            FROM new_docs n LEFT JOIN per p ON p.doc_id = n.item_id""",
+        "admission": O.with_ctes(C, O.pair_scores_cte(PAIR_T), """
+            edges AS (SELECT doc1 AS x, doc2 AS y FROM pairs
+                      UNION SELECT a.doc_id, b.doc_id FROM docs a JOIN docs b
+                            ON a.content = b.content AND a.doc_id < b.doc_id),
+            nodes AS (SELECT y AS doc_id, row_number() OVER (ORDER BY y) AS pos FROM (SELECT DISTINCT y FROM edges)),
+            walk(pos, rejected) AS (
+              SELECT 0, []::BIGINT[]
+              UNION ALL
+              SELECT n.pos,
+                     CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.y = n.doc_id
+                                       AND NOT list_contains(w.rejected, e.x))
+                          THEN list_append(w.rejected, n.doc_id) ELSE w.rejected END
+              FROM walk w JOIN nodes n ON n.pos = w.pos + 1),
+            final AS (SELECT rejected FROM walk ORDER BY pos DESC LIMIT 1)""", recursive=True) + """
+            SELECT d.doc_id, CASE WHEN list_contains(f.rejected, d.doc_id) THEN 'duplicate' ELSE 'accepted' END AS status
+            FROM docs d, final f""",
     }
     return out
 

@@ -47,8 +47,23 @@ tfidf AS (
 )"""
 
 
-def with_ctes(*parts: str) -> str:
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts if p.strip())
+def with_ctes(*parts: str, recursive: bool = False) -> str:
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(p.strip().rstrip(",") for p in parts if p.strip())
+
+
+def hash_embedding_cte(name: str, tf_table: str, id_col: str, dim: int = 64) -> str:
+    """Signed feature hashing of (id, term, tf) rows -> long form (id, dim, value), unit norm."""
+    h = "(('0x' || substr(md5(term), 1, 8))::BIGINT)"
+    return f"""
+{name}_raw AS (
+  SELECT {id_col} AS eid, CAST({h} % {dim} AS INTEGER) AS dim,
+         (CASE WHEN ({h} // {dim}) % 2 = 0 THEN 1 ELSE -1 END) * tf AS v FROM {tf_table}
+),
+{name}_sum AS (SELECT eid, dim, sum(v) AS v FROM {name}_raw GROUP BY eid, dim),
+{name} AS (
+  SELECT eid, dim, v / sqrt(sum(v * v) OVER (PARTITION BY eid)) AS value FROM {name}_sum WHERE v <> 0
+)"""
 
 
 def new_docs_ctes(table: str = "benchmark", id_col: str = "item_id", text_col: str = "text") -> str:
