@@ -265,6 +265,22 @@ def q_admission_status(spark, sf_dir):
     return admit(batch, m, docs, ce, ne, PAIR_T, DUP_T_EMB)
 
 
+def q_streaming_ingest(spark, sf_dir):
+    """The incoming table as a file stream, admitted micro-batch by micro-batch (rows-only)."""
+    from doppel.operators.embeddings import hash_embeddings
+    from doppel.session import scratch_path
+    from doppel.streaming.ingest import parquet_stream, run_ingest
+    docs, m = fitted(spark, sf_dir)
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).first()[0]
+    stream = (parquet_stream(spark, sf_dir, "benchmark.parquet", "item_id long, text string")
+              .select((F.lit(base) + 1 + F.col("item_id")).alias("doc_id"), "text")
+              .withColumn("_arrival", F.col("doc_id")))
+    out = run_ingest(spark, stream, m, docs, scratch_path(spark, "ingest"),
+                     embed=hash_embeddings, base_embeddings=hash_embeddings(docs),
+                     tfidf_threshold=PAIR_T, embedding_threshold=DUP_T_EMB)
+    return out.select("doc_id", "status")
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
