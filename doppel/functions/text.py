@@ -61,6 +61,35 @@ def _normalize_udf():
     return _UDF_CACHE["norm"]
 
 
+def bag_of_words_batched(content: Column | str) -> Column:
+    """Term counts per document as ``struct<terms, counts>`` from an Arrow-batched UDF.
+
+    Same output as ``bag_of_words`` over ``tokens`` (terms ascending), measured several times
+    faster: CPython's ``re.findall`` and ``Counter`` against interpreted array lambdas.
+    """
+    col = F.col(content) if isinstance(content, str) else content
+    return _bag_udf()(col)
+
+
+def _bag_udf():
+    if "bag" not in _UDF_CACHE:
+        @F.pandas_udf("terms array<string>, counts array<int>")
+        def bag(batch: pd.Series) -> pd.DataFrame:
+            import re
+            from collections import Counter
+            pattern = re.compile(r"\b[a-zA-Z]{2,}\b")
+            terms, counts = [], []
+            for text in batch:
+                c = Counter(pattern.findall(text)) if text is not None else Counter()
+                keys = sorted(c)
+                terms.append(keys)
+                counts.append([c[k] for k in keys])
+            return pd.DataFrame({"terms": terms, "counts": counts})
+
+        _UDF_CACHE["bag"] = bag
+    return _UDF_CACHE["bag"]
+
+
 def is_non_blank(text: Column | str) -> Column:
     """True when the raw text has a non-whitespace character (the corpus keeps only those)."""
     col = F.col(text) if isinstance(text, str) else text

@@ -131,17 +131,24 @@ def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
         """Dense block pair: one matrix product, keep the entries >= t (and the pair rule)."""
         cols = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in right["term_ids"]]
                                         + [np.asarray(x, dtype=np.int64) for x in left["term_ids"]]))
-        scores = dense_of(left, cols) @ dense_of(right, cols).T
+        lm = dense_of(left, cols)
+        rm = dense_of(right, cols)
+        # float32 product to find the entries near or above t, then the exact float64 dot
+        # for those entries only: the same result as a float64 product, about twice as fast.
+        approx = lm.astype(np.float32) @ rm.astype(np.float32).T
+        ia, ib = np.nonzero(approx >= t - 1e-3)
+        scores = np.einsum("ij,ij->i", lm[ia], rm[ib]) if len(ia) else np.zeros(0)
         if clamp:
             np.clip(scores, 0.0, 1.0, out=scores)
-        ia, ib = np.nonzero(scores >= t)
+        ok = scores >= t
+        ia, ib, scores = ia[ok], ib[ok], scores[ok]
         a_ids = left["doc"].to_numpy()[ia]
         b_ids = right["doc"].to_numpy()[ib]
         keep = (a_ids < b_ids) if pair_rule == "lt" else (a_ids != b_ids) if pair_rule == "ne" \
             else np.ones(len(ia), dtype=bool)
         if not keep.any():
             return empty()
-        return pd.DataFrame({"a": a_ids[keep], "b": b_ids[keep], "similarity": scores[ia[keep], ib[keep]]})
+        return pd.DataFrame({"a": a_ids[keep], "b": b_ids[keep], "similarity": scores[keep]})
 
     def verify(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
         if vecs.empty:

@@ -23,14 +23,22 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.functions.text import bag_of_words, run_lengths, tokens
+from doppel.functions.text import bag_of_words, bag_of_words_batched, run_lengths, tokens
 
 # Above this many vocabulary rows the vocabulary is joined with a shuffle instead of a broadcast.
 BROADCAST_VOCAB_LIMIT = 2_000_000
 
 
-def term_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """(id, terms ARRAY<STRING>, counts ARRAY<INT>) per document, computed without a shuffle."""
+def term_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
+              engine: str = "python") -> DataFrame:
+    """(id, terms ARRAY<STRING>, counts ARRAY<INT>) per document, computed without a shuffle.
+
+    ``engine='python'``: Arrow-batched ``re.findall`` + ``Counter`` (the faster path, measured);
+    ``engine='jvm'``: regexp_extract_all, sort_array and run lengths in SQL expressions.
+    """
+    if engine == "python":
+        return (docs.select(F.col(id_col), bag_of_words_batched(text_col).alias("bag"))
+                .select(id_col, F.col("bag.terms").alias("terms"), F.col("bag.counts").alias("counts")))
     # Three projections on purpose: each lambda below reads the column materialised by the one
     # before it instead of re-evaluating the regex and the sort per array element.
     return (docs.select(F.col(id_col), F.sort_array(tokens(text_col)).alias("_sorted"))
