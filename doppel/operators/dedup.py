@@ -39,10 +39,15 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "conte
 
 def exact_matches(new_docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id",
                   text_col: str = "content") -> DataFrame:
-    """(doc_id, id): for each new document the first corpus document with the same text."""
-    firsts = corpus.groupBy(text_col).agg(F.min(id_col).alias("id"))
-    return (new_docs.select(id_col, F.trim(F.col(text_col)).alias(text_col))
-            .join(firsts, text_col).select(id_col, "id"))
+    """(doc_id, id): for each new document the first corpus document with the same text.
+
+    The join runs on (hash, text) before any aggregation, so only matching rows are grouped and a
+    small incoming batch can be broadcast (AQE decides at run time from its measured size).
+    """
+    new = new_docs.select(id_col, F.trim(F.col(text_col)).alias(text_col)) \
+        .withColumn("_h", F.xxhash64(text_col))
+    old = corpus.select(F.col(id_col).alias("id"), text_col).withColumn("_h", F.xxhash64(text_col))
+    return new.join(old, ["_h", text_col]).groupBy(id_col).agg(F.min("id").alias("id"))
 
 
 # ------------------------------------------------------------------------------- upsert
@@ -62,6 +67,10 @@ def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfMode
     lists with score 1.0.  Phase 2 runs on the others only: TF-IDF with the frozen model against
     every corpus vector (never cluster-blocked), embeddings if both embedding inputs are given.
     """
+    # The incoming batch feeds several branches; keep it (it is the small side of every join).
+    new_docs = new_docs.persist()
+    if new_emb is not None:
+        new_emb = new_emb.persist()
     exact = exact_matches(new_docs, corpus_docs, id_col)
     exact_rows = exact.select(
         F.col(id_col), F.explode(F.array(F.lit("tfidf"), F.lit("embedding"))).alias("method"),

@@ -123,6 +123,27 @@ def _unit(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .select("id", F.transform("v", lambda x: F.try_divide(x, F.col("n"))).alias("u")))
 
 
+def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    id_type = df.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("u", T.ArrayType(T.DoubleType())),
+                           T.StructField("ang", T.ArrayType(T.DoubleType())),
+                           T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())])
+    bc = df.sparkSession.sparkContext.broadcast(pivots)  # p x dim, p bounded
+
+    def angles(batches):
+        piv = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            u = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["u"]])
+            ang = np.arccos(np.clip(u @ piv.T, -1.0, 1.0))
+            cell = np.argmin(ang, axis=1)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "u": list(u), "ang": list(ang),
+                                "cell": cell.astype(np.int32), "r": ang[np.arange(len(u)), cell]})
+
+    return df.select("id", "u").mapInPandas(angles, schema)
+
+
 def _pivot_literal(pivots: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in pivots])
 
@@ -158,9 +179,8 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
     theta = math.acos(max(-1.0, min(1.0, threshold)))
 
     def place(df: DataFrame) -> DataFrame:
-        ang = df.withColumn("ang", _angles_to(pivots))
-        home = F.array_position(ang["ang"], F.array_min("ang")) - 1
-        return ang.withColumn("cell", home.cast("int")).withColumn("r", F.array_min("ang"))
+        """(id, u) -> (id, u, ang ARRAY<DOUBLE>, cell, r): one numpy product per Arrow batch."""
+        return _place(df, pivots).persist()
 
     home = place(ru)
     radius = home.groupBy("cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("m"))
