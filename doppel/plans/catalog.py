@@ -34,7 +34,15 @@ TOPK_LIMIT = 10
 _MODELS: dict[tuple[int, str], tuple[DataFrame, TfidfModel]] = {}
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Sessions built by a caller: set the checkpoint folder only if unset, ship the package."""
+    from doppel.session import checkpoint_dir, ship_package
+    checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return load_documents(spark, sf_dir)
 
 
@@ -189,6 +197,7 @@ DUP_T_EMB = 0.8  # duplicate check: reference default for the embedding method
 
 
 def _emb_table(spark, sf_dir):
+    _prepare(spark)
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
 
