@@ -76,3 +76,24 @@ def read_corpus_dir(spark: SparkSession, path: str) -> DataFrame:
     files = read_text_dir(spark, path)
     return (files.where(F.col("raw").rlike(NOT_WHITESPACE))
             .select("doc_id", normalize_text("raw").alias("content")))
+
+
+def read_incoming(spark: SparkSession, folder: str, requested: DataFrame, corpus: DataFrame,
+                  name_col: str = "doc_name") -> DataFrame:
+    """S2 + the request half of C4: requested names -> (doc_id, content, status).
+
+    ``not_found`` when ``<name>.txt`` is missing (404), ``exists`` when the id is already in the
+    corpus (409), ``invalid`` when the bytes are not UTF-8 (400, strict decoding like the upload
+    path), otherwise ``ok`` with the stripped, normalised content.  No blank filter, as uploads
+    have none.
+    """
+    files = read_text_dir(spark, folder, strict_utf8=True)
+    req = requested.select(F.col(name_col).cast("string").alias("doc_id")).distinct()
+    known = corpus.select(F.col("doc_id").cast("string").alias("doc_id")).withColumn("_known", F.lit(True))
+    joined = req.join(files, "doc_id", "left").join(known, "doc_id", "left")
+    status = (F.when(F.col("valid_utf8").isNull(), F.lit("not_found"))
+              .when(F.col("_known").isNotNull(), F.lit("exists"))
+              .when(~F.col("valid_utf8"), F.lit("invalid"))
+              .otherwise(F.lit("ok")))
+    content = F.when(status == "ok", normalize_text(F.col("raw")))
+    return joined.select("doc_id", content.alias("content"), status.alias("status"))

@@ -57,3 +57,17 @@ def test_similar_documents_not_found(spark, small_model):
     import pytest
     with pytest.raises(ValueError):
         c.similar_documents(ids, method="bm25")
+
+
+def test_read_incoming_statuses(spark, tmp_path):
+    from doppel.sources.corpus import read_incoming
+    d = tmp_path / "new"
+    d.mkdir()
+    (d / "fresh.txt").write_bytes(b"  A brand NEW text!  ")
+    (d / "taken.txt").write_bytes(b"whatever")
+    (d / "broken.txt").write_bytes(b"bad \xff byte")
+    req = spark.createDataFrame([("fresh",), ("taken",), ("broken",), ("ghost",)], "doc_name string")
+    corpus = spark.createDataFrame([("taken", "x")], "doc_id string, content string")
+    got = {r["doc_id"]: (r["status"], r["content"]) for r in read_incoming(spark, str(d), req, corpus).collect()}
+    assert got == {"fresh": ("ok", "a brand new text!"), "taken": ("exists", None),
+                   "broken": ("invalid", None), "ghost": ("not_found", None)}
