@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 
 PREFIX_EPS = 1e-9  # keep a little more of each prefix than needed, to absorb rounding
+BROADCAST_ORDER_LIMIT = 2_000_000  # vocabulary rows up to which the term order is broadcast
 
 
 def _block(col: str, n_blocks: int) -> F.Column:
@@ -58,12 +59,17 @@ def _with_blocks(vecs: DataFrame, id_col: str, block_key: str | None, n: int | N
 
 
 def prefix_postings(vectors: DataFrame, order: DataFrame, threshold: float,
-                    id_col: str, extra_cols: list[str] | None = None) -> DataFrame:
+                    id_col: str, extra_cols: list[str] | None = None,
+                    order_rows: int | None = None) -> DataFrame:
     """Postings of each vector's indexed prefix: (id, term_id, *extra_cols)."""
     cols = [id_col, *(extra_cols or [])]
     long = (vectors.select(*cols, F.explode(F.arrays_zip("term_ids", "weights")).alias("p"))
             .select(*cols, F.col("p.term_ids").alias("term_id"), F.col("p.weights").alias("weight")))
-    ranked = long.join(F.broadcast(order.select("term_id", "order_rank")), "term_id")
+    # ``order`` is the vocabulary: at most max_features rows, a proven-small broadcast side.
+    # Without a cap (order_rows unknown or above the limit) it is joined with a shuffle.
+    small = order_rows is not None and order_rows <= BROADCAST_ORDER_LIMIT
+    ranks = order.select("term_id", "order_rank")
+    ranked = long.join(F.broadcast(ranks) if small else ranks, "term_id")
     suffix = Window.partitionBy(id_col).orderBy(F.desc("order_rank")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (ranked.withColumn("suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(suffix))
@@ -205,7 +211,8 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
                    threshold: float, id_col: str = "doc_id", block_key: str | None = None,
                    n_left: int | None = None, n_right: int | None = None,
                    block_rows: int = 1024, exclude_same_id: bool = True,
-                   clamp: bool = True, dense_ratio: float = 0.1) -> DataFrame:
+                   clamp: bool = True, dense_ratio: float = 0.1,
+                   order_rows: int | None = None) -> DataFrame:
     """All pairs with cosine >= threshold between array-form vectors.
 
     ``right=None`` is a self-join returning each unordered pair once as ``a < b``.  Otherwise every
@@ -225,10 +232,11 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
         _with_blocks(right.where(F.size("term_ids") > 0), id_col, block_key, n_right, block_rows)
 
     carry = extra + ["blk"]
-    pl = prefix_postings(left, order, threshold, id_col, carry) \
+    order_rows = order_rows if order_rows is not None else order.count()
+    pl = prefix_postings(left, order, threshold, id_col, carry, order_rows) \
         .withColumnRenamed(id_col, "a").withColumnRenamed("blk", "ba")
     pr = pl.withColumnRenamed("a", "b").withColumnRenamed("ba", "bb") if self_join else \
-        prefix_postings(right, order, threshold, id_col, carry) \
+        prefix_postings(right, order, threshold, id_col, carry, order_rows) \
         .withColumnRenamed(id_col, "b").withColumnRenamed("blk", "bb")
     raw = pl.join(pr, ["term_id"] + extra)
     if self_join:
