@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,17 +144,6 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.select("id", "u").mapInPandas(angles, schema)
 
 
-def _pivot_literal(pivots: np.ndarray) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in pivots])
-
-
-def _angles_to(pivots: np.ndarray) -> Column:
-    """Array of angles between ``u`` and every pivot (pivots inlined as a bounded literal)."""
-    lit = _pivot_literal(pivots)
-    return F.transform(lit, lambda p: F.acos(F.least(F.greatest(dot(F.col("u"), p), F.lit(-1.0)),
-                                                     F.lit(1.0))))
-
-
 def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold: float,
                              id_col: str = "vec_id", vec_col: str = "embedding",
                              n_pivots: int | None = None, cell_rows: int = 1024,
