@@ -103,3 +103,13 @@ def test_upsert(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, content string")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "doc_id long, content string")
     assert sorted(map(tuple, upsert(base, new).collect())) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_embedding_branch_reports_near_copy(spark):
+    from doppel.operators.embeddings import hash_embeddings
+    docs, m = corpus(spark)
+    new = spark.createDataFrame([(300, BASE[2][1] + " indeed")], "doc_id long, content string")
+    hits = duplicate_hits(new, docs, m, hash_embeddings(docs), hash_embeddings(new),
+                          tfidf_threshold=0.7, embedding_threshold=0.8)
+    rows = {(r["method"], r["id"]) for r in hits.collect()}
+    assert ("embedding", 2) in rows and ("tfidf", 2) in rows
