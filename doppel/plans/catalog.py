@@ -35,10 +35,20 @@ _MODELS: dict[tuple[int, str], tuple[DataFrame, TfidfModel]] = {}
 
 
 def _prepare(spark: SparkSession) -> None:
-    """Sessions built by a caller: set the checkpoint folder only if unset, ship the package."""
+    """Sessions built by a caller: set the checkpoint folder only if unset, ship the package.
+
+    Every registered query starts from a clean cache: the previous query's intermediates have
+    been consumed by then, and dropping them keeps a long run of queries within a small heap.
+    The shared fitted model is marked for caching again (it refills on first use).
+    """
     from doppel.session import checkpoint_dir, ship_package
     checkpoint_dir(spark)
     ship_package(spark)
+    spark.catalog.clearCache()
+    for (sid, _dir), (_docs, model) in _MODELS.items():
+        if sid == id(spark):
+            model.vocabulary.persist()
+            model.vectors.persist()
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +59,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TfidfModel]:
     """Normalised corpus and its fitted model, fitted once per session and folder."""
     key = (id(spark), sf_dir)
+    _prepare(spark)
     if key not in _MODELS:
         docs = corpus(spark, sf_dir)
         _MODELS[key] = (docs, fit_tfidf(docs))
