@@ -10,7 +10,7 @@ from doppel.llm.common import prepare
 #: A line on more than this share of its host's pages is boilerplate.
 MAX_RATIO = 0.05
 #: ... if it is on so many pages at least: two or three pages of a small host are no evidence.
-MIN_PAGES = 8
+MIN_PAGES = 5
 
 
 def _key(line: Column) -> Column:
@@ -24,15 +24,22 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, bad)``: the keys of each host's boilerplate lines.
 
-    A page counts once for a line, however often it has it.  Counts are aggregated map-side, and
-    the line is part of the key, so a host with a third of all pages is spread over all tasks.
+    A page counts once for a line, however often it has it, and exact copies of a page on a host
+    are one page: a text posted a hundred times is not boilerplate of itself.  Counts are
+    aggregated map-side, and page or line is part of the key, so a host with a third of all pages
+    is spread over all tasks.
     """
-    host = F.col(host_col).alias("host")
-    totals = pages.groupBy(host).agg(F.count("*").alias("pages"))
-    keys = F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _key))
-    counts = (pages.select(host, F.explode(keys).alias("k")).where("k is not null")
-                   .select("host", "k.a", "k.b").groupBy("host", "a", "b")
-                   .agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    text = F.col(text_col)
+    keys = F.array_distinct(F.transform(F.split(text, "\n"), _key))
+    once = (pages.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("p"),
+                         F.xxhash64(F.lit(1), text).alias("q"), keys.alias("keys"))
+                 .dropDuplicates(["host", "p", "q"]))
+    totals = (pages.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("p"),
+                           F.xxhash64(F.lit(1), text).alias("q")).distinct()
+                   .groupBy("host").agg(F.count("*").alias("pages")))
+    counts = (once.select("host", F.explode("keys").alias("k")).where("k is not null")
+                  .select("host", "k.a", "k.b").groupBy("host", "a", "b")
+                  .agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     c, t = counts.alias("c"), totals.alias("t")
     return (c.join(t, F.expr("c.host <=> t.host"))
              .where(F.col("n") > F.col("pages") * max_ratio)
@@ -45,14 +52,14 @@ def drop_boilerplate_lines(pages: DataFrame, host_col: str = "source", text_col:
     """``pages`` with the boilerplate lines of each host taken out of ``text_col``, and
     ``n_lines``, ``n_dropped``.
 
-    For each host, the pages that contain a line are divided by the host's pages; lines above
-    ``max_ratio`` (and on ``min_pages`` pages or more) go.  Lines are compared without outer
+    For each host, the pages that contain a line are divided by the host's pages, copies of a page
+    counting once; lines above ``max_ratio`` (and on ``min_pages`` pages or more) go.  Lines are compared without outer
     blanks; kept lines stay as they are, in order.  A host's list of such lines is short: a page
     has few lines, so at most (lines per page) / ``max_ratio`` can pass.  It is joined by host and
     adaptive execution picks a broadcast if its measured size allows, else splits a hot host.
 
     Blank lines are kept and never counted.  A null text stays null with 0 lines; null hosts are
-    one host; repeated rows count as pages of their own; an empty table gives an empty result;
+    one host; repeated rows are cleaned alike and count as one page; an empty table gives an empty result;
     columns named ``n_lines`` or ``n_dropped`` are replaced, others are kept.
     """
     prepare(pages.sparkSession)
