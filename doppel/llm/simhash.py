@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import prepare
+from doppel.llm.common import prepare, scratch
 from doppel.llm.graph import connected_components
 
 SHINGLE = 4
@@ -123,3 +123,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return (fps.join(by_fp, "fp")
                .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                        "component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last).
+
+    Rows that share the id are told apart by a hash of the text, and one of equal rows stays.
+    Other cases are those of ``simhash_components``.
+    """
+    spark = prepare(docs.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
+
+    rows = docs.withColumn("_fp", fp(F.col(text_col).cast("binary")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                   F.xxhash64(text_col).alias("h"))
+    path = scratch(spark, "fingerprints")
+    rows.groupBy("_fp").agg(F.min(key).alias("key")).write.parquet(path)  # one row a fingerprint
+    nodes = spark.read.parquet(path)
+    comp = connected_components(links(nodes.withColumnRenamed("_fp", "fp"), max_bits))
+    placed = (nodes.join(comp.withColumnRenamed("node", "_fp"), "_fp", "left")
+                   .withColumn("_component", F.coalesce("component", "_fp")))
+    best = (placed.groupBy("_component").agg(F.min(F.struct("key", "_fp")).alias("b"))
+                  .select("_component", F.col("b._fp").alias("_fp"), F.col("b.key").alias("_key")))
+    out = rows.withColumn("_k", key).join(best, "_fp")
+    out = out.where(F.col("_k").eqNullSafe(F.col("_key"))).dropDuplicates(["_component"])
+    return out.select(*docs.columns)
