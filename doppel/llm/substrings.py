@@ -172,15 +172,18 @@ def repeated_strings(texts: DataFrame, spark: SparkSession, length: int = LENGTH
     found = spark.read.parquet(path)
     keys = (found.groupBy("key").agg(F.count("*").alias("n"), F.min("ext").alias("lo"), F.max("ext").alias("hi"))
                  .where("n > 1").select("key", (F.col("lo") == F.col("hi")).alias("one")))
+    # written, so that the join's two sides are plain shuffles and a hot key's rows can be split
+    often = scratch(spark, "keys")
+    keys.write.parquet(often)
     shared = scratch(spark, "shared")
-    found.join(keys, "key").write.parquet(shared)
+    found.join(spark.read.parquet(often), "key").write.parquet(shared)
     shared = spark.read.parquet(shared)
     first, more = F.shiftright("pos", 20), F.shiftright("pos", 10).bitwiseAND(F.lit(1023))
     # extents that repeat as a whole: each of their windows does
     mixed = shared.where(~F.col("one"))
     kinds = mixed.groupBy("key", "ext").agg(F.count("*").alias("n"), F.min(F.struct("a", "pos")).alias("rep"))
     kinds = kinds.checkpoint()
-    many = kinds.where("n > 1").select("key", "ext")
+    many = kinds.where("n > 1").select("key", "ext").checkpoint()
     whole = (shared.where("one").select("a", "pos")
                    .union(mixed.join(many, ["key", "ext"]).select("a", "pos"))
                    .select("a", first.alias("first"), (first + more).alias("last")))
