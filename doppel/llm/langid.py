@@ -122,10 +122,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        F.xxhash64(F.lit(3), F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     rows = rows.where("text is not null and lang is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    if not langs:
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return LanguageModel([], np.ones((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones((0, 1)))
-    each = max(1, fit_rows // len(langs))
+    each = max(1, fit_rows // len(counts))
+    # hashes are uniform: some twice the rows wanted lie below a limit, and only those are ordered
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items()
+                           for x in (lang, int(min(1.0, (2 * each + 50) / n) * (2 ** 64 - 2048)) - 2 ** 63)])
+    rows = rows.where(F.col("h") <= F.element_at(limit, F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h", F.length("text"))
     sample = (rows.select("lang", "text", F.row_number().over(first).alias("r"))
                   .where(F.col("r") <= each).select("lang", "text"))
