@@ -165,7 +165,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     asked = rows.where("q").groupBy("h", "g").agg(F.count("*").alias("n")).select("h", "g")
     classes = classes.join(asked.withColumn("asked", F.lit(True)), ["h", "g"], "left").checkpoint()
 
-    sample = (classes.orderBy(F.xxhash64(F.lit(11), "h")).limit(fit_rows).select("v").toPandas())
+    n = classes.count()
+    sample = _draw(classes, n, fit_rows, 11).select("v").toPandas()
     tree = fit_tree(_matrix(sample["v"]), branch, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)  # at most 2 * fit_rows / leaf_rows * branch centres
     place = F.pandas_udf(lambda v: pd.Series(shared.value.place(_matrix(v))), "bigint")
@@ -188,6 +189,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         F.col("x.score").alias("score"))
 
 
+def _draw(classes: DataFrame, n: int, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` classes by seeded hash; those above a hash limit are not ordered at all."""
+    h = F.xxhash64(F.lit(seed), "h")
+    part = min(1.0, (2 * rows + 50) / max(n, 1))
+    return classes.where(h <= int(part * (2 ** 64 - 2048)) - 2 ** 63).orderBy(h).limit(rows)
+
+
 def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, shared, k: int, target: float,
                calibration: int) -> int:
     """The least number of leaf visits that finds ``target`` of the true neighbours.
@@ -195,7 +203,7 @@ def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, shared, k: int,
     The calibration queries meet every class once; the true neighbours come back with their leaf,
     and a neighbour is found by so many visits as its leaf's place in the query's traversal.
     """
-    some = queries.orderBy(F.xxhash64(F.lit(13), "h")).limit(calibration).select("v").toPandas()
+    some = _draw(queries, queries.count(), calibration, 13).select("v").toPandas()
     if not len(some):
         return tree.n_leaves
     q = _matrix(some["v"])
