@@ -60,8 +60,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("secrets")
     r = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = secrets.KINDS[:3]
-    return r.select("doc_id", *[F.size(F.filter(found, lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{k}")
-                                for k in secrets.KINDS],
+    return r.select("doc_id", *[secrets.number(found, k).alias(f"n_{k}") for k in secrets.KINDS],
                     F.sha2(secrets.digest(found, base).cast("binary"), 256).alias("base_sha256"),
                     secrets.digest(found).alias("spans"))
 

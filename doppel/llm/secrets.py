@@ -134,3 +134,8 @@ def digest(found: Column, kinds=KINDS) -> Column:
     """kind:start:end, comma-joined, of the spans of some kinds."""
     some = F.filter(found, lambda m: m["kind"].isin(*kinds))
     return F.array_join(F.transform(some, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ",")
+
+
+def number(found: Column, kind: str) -> Column:
+    """How many spans of one kind."""
+    return F.size(F.filter(found, lambda m: m["kind"] == kind)).cast("long")
