@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 4096
 EOS = 2
 #: Entries of a worker's caches of words and of their parts; past it a cache starts anew.
-CACHE_WORDS, CACHE_PARTS = 1_000_000, 500_000
+CACHE_WORDS, CACHE_PARTS = 700_000, 400_000
 _JOIN = 256
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 # Latin letters that the tokenizer's normaliser maps one to one, then ASCII punctuation
@@ -97,7 +97,7 @@ class WordEncoder:
         return [b"".join(xs) for xs in ids]
 
 
-def slices(texts, most: int = 1 << 22):
+def slices(texts, most: int = 1 << 21):
     """Lists of consecutive texts of some ``most`` bytes together (one longer text alone)."""
     some, size = [], 0
     for x in texts:
@@ -147,26 +147,26 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         enc = encoder(tokenizer_path)
         for pdf in batches:
-            cols = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            texts = (x or b"" for x in pdf["data"])
-            encoded = (ids for some in slices(texts) for ids in enc.encode(some))
-            for doc_id, ids in zip(pdf["doc_id"], encoded):
-                ids += end
-                n, at = len(ids) // 4, 0
-                for size in piece_lengths(n, max_tokens):
-                    part = ids[4 * at:4 * (at + size)]
-                    cols["doc_id"].append(doc_id)
-                    cols["start"].append(at)
-                    cols["length"].append(size)
-                    cols["ids_crc32"].append(zlib.crc32(part))
-                    cols["doc_tokens"].append(n)
-                    if keep_ids:
-                        cols["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-                    at += size
-            if not keep_ids:
-                del cols["ids"]
-            ids = pd.Series(cols["doc_id"], dtype=pdf["doc_id"].dtype)
-            yield pd.DataFrame(cols | {"doc_id": ids})
+            ids, at = pdf["doc_id"], 0
+            for some in slices(x or b"" for x in pdf["data"]):
+                yield pieces(ids.iloc[at:at + len(some)], enc.encode(some))
+                at += len(some)
+
+    def pieces(doc_ids: pd.Series, encoded: list[bytes]) -> pd.DataFrame:
+        cols = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+        for row, ids in enumerate(encoded):
+            ids += end
+            n, at = len(ids) // 4, 0
+            for size in piece_lengths(n, max_tokens):
+                part = ids[4 * at:4 * (at + size)]
+                values = (row, at, size, zlib.crc32(part), n,
+                          np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None)
+                for name, value in zip(cols, values):
+                    cols[name].append(value)
+                at += size
+        out = pd.DataFrame(cols)
+        out.insert(0, "doc_id", doc_ids.iloc[cols["row"]].array)
+        return out.drop(columns=["row"] if keep_ids else ["row", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
