@@ -14,8 +14,19 @@ from doppel.session import checkpoint_dir, ship_package
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts are large.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the checkpoint folder if the session has none and ship the package to the workers."""
+    """Set the checkpoint folder if the session has none and ship the package to the workers.
+
+    Arrow batches that have Spark's default length are made shorter, so that a Python worker holds
+    some megabytes of text at a time; a length that the caller set is kept.
+    """
+    key, default, rows = _BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, rows)
     checkpoint_dir(spark)
     ship_package(spark)
     return spark

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 4096
 EOS = 2
 #: Entries of a worker's caches of words and of their parts; past it a cache starts anew.
-CACHE_WORDS, CACHE_PARTS = 700_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 250_000
 _JOIN = 256
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 # Latin letters that the tokenizer's normaliser maps one to one, then ASCII punctuation
