@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #
 # Whitespace: every character Python's ``str`` regex ``\s`` matches, spelled out so that the
 # Java (Spark) and RE2 (DuckDB oracle) engines use the very same set:
-#   \t \n \x0B \f \r \x1C-\x1F space \x85 \xA0    -
+#   \t \n \x0B \f \r \x1C-\x1F space \x85 \xA0 U+1680 U+2000-U+200A U+2028 U+2029 U+202F U+205F U+3000
 # Kept characters after lower-casing: ASCII letters, digits, whitespace and . , ! ?
 # Token pattern: alphabetic runs of two or more letters between word boundaries.
 # ---------------------------------------------------------------------------

@@ -159,12 +159,13 @@ def _edges_within(batch: DataFrame, model: TfidfModel | None, batch_vecs: DataFr
                      F.when(first_a, F.col("b")).otherwise(F.col("a")).alias("y")).distinct()
 
 
-def greedy_admission(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_admission(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lexicographically-first maximal independent set by rounds.
 
     nodes (node), edges (x, y) with x before y -> (node, admitted BOOLEAN).  Each round admits the
     undecided nodes whose earlier neighbours are all rejected and rejects the undecided nodes with
-    an admitted earlier neighbour; the state is checkpointed so lineage stays one round deep.
+    an admitted earlier neighbour; the state is checkpointed so lineage stays one round deep.  The
+    earliest undecided node is decided in every round, so the loop ends with every node decided.
     """
     state = nodes.select("node", F.lit(None).cast("boolean").alias("admitted"))
     involved = edges.select(F.col("y").alias("node")).distinct()
@@ -172,10 +173,7 @@ def greedy_admission(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_00
     state = (state.join(involved.withColumn("_inv", F.lit(True)), "node", "left")
              .select("node", F.when(F.col("_inv").isNull(), F.lit(True)).alias("admitted"))
              .checkpoint())
-    for _ in range(max_rounds):
-        undecided = state.where(F.col("admitted").isNull()).count()
-        if undecided == 0:
-            break
+    while not state.where(F.col("admitted").isNull()).isEmpty():
         st = state.select(F.col("node").alias("x"), F.col("admitted").alias("ax"))
         seen = edges.join(st, "x").groupBy(F.col("y").alias("node")).agg(
             F.max(F.when(F.col("ax"), 1).otherwise(0)).alias("any_admitted"),
@@ -194,60 +192,74 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
           corpus_emb: DataFrame | None = None, batch_emb: DataFrame | None = None,
           tfidf_threshold: float = 0.7, embedding_threshold: float = 0.8,
           id_col: str = "doc_id", order_col: str = "arrival") -> DataFrame:
-    """C3 + C4: statuses for a batch (id, content, arrival) -> (id, status, detail).
+    """C3 + C4: statuses for a batch (id, content, arrival) -> (id, status, occurrence).
 
-    Status: ``exists`` (id already in the corpus, or a repeated id whose earlier row was admitted),
-    ``duplicate`` (a corpus document or an earlier admitted document duplicates it),
-    ``accepted``.  The TF-IDF model stays frozen; nothing is refitted.
+    One row per row of the batch, as if rows were handled one after another by (arrival, id):
+    ``exists`` if the id is in the corpus or an earlier row of the same id was accepted, else
+    ``duplicate`` if a corpus document or an earlier accepted row duplicates the text, else
+    ``accepted``.  ``occurrence`` numbers the rows of an id from 1.  The TF-IDF model stays frozen;
+    nothing is refitted.  Embeddings of the batch are by id, so rows of one id share theirs.
     """
     if model is None:
         raise ValueError("No fitted vectorizer available")
-    spark = batch.sparkSession
-    rows = batch.select(id_col, "content", order_col)
-    # A repeated id: only its first arrival is checked; a later row with the same id is
-    # 'exists' when that first row is admitted and shares its fate otherwise (same file).
     from pyspark.sql import Window
-    by_id = Window.partitionBy(id_col).orderBy(order_col)
-    rows = rows.withColumn("_rep", F.row_number().over(by_id))
-    repeats = rows.where(F.col("_rep") > 1).select(id_col).distinct()
-    rows = rows.where(F.col("_rep") == 1).drop("_rep")
+    by_id = Window.partitionBy(id_col).orderBy(order_col, F.xxhash64("content"))
+    own = Window.partitionBy(id_col)
+    # every row is a node of its own; reliable checkpoints cut the lineage between phases, so that
+    # the plan stays small and a lost executor does not replay the whole check
+    rows = (batch.select(id_col, "content", order_col)
+                 .withColumn("occurrence", F.row_number().over(by_id))
+                 .withColumn("_again", F.count("*").over(own) > 1)
+                 .withColumn("_node", F.monotonically_increasing_id()).checkpoint())
+    known = rows.limit(0)
     if corpus_docs is not None:
         known = rows.join(corpus_docs.select(id_col), id_col, "left_semi")
-        rows = rows.join(corpus_docs.select(id_col), id_col, "left_anti")
-    else:
-        known = rows.limit(0)
+        rows = rows.join(corpus_docs.select(id_col), id_col, "left_anti").checkpoint()
+    node_emb = None
+    if batch_emb is not None:
+        node_emb = (batch_emb.join(rows.select(id_col, "_node"), id_col).drop(id_col)
+                             .withColumnRenamed("_node", id_col))
+    nodes = rows.select(F.col("_node").alias(id_col), "content", order_col, "_again",
+                        F.col(id_col).alias("_id"))
 
     # Against the corpus (C1 for the whole batch at once).
     if corpus_docs is not None:
-        hits = duplicate_hits(rows.select(id_col, "content"), corpus_docs, model, corpus_emb,
-                              batch_emb, tfidf_threshold, embedding_threshold, id_col=id_col)
-        # Reliable checkpoints (shared checkpoint folder) cut the lineage between phases: the
-        # plan stays small and a lost executor does not replay the whole check.
+        hits = duplicate_hits(nodes.select(id_col, "content"), corpus_docs, model, corpus_emb,
+                              node_emb, tfidf_threshold, embedding_threshold, id_col=id_col)
         vs_corpus = hits.select(id_col).distinct().checkpoint()
     else:
-        vs_corpus = rows.select(id_col).limit(0)
-    open_rows = rows.join(vs_corpus, id_col, "left_anti")
+        vs_corpus = nodes.select(id_col).limit(0)
+    open_rows = nodes.join(vs_corpus, id_col, "left_anti")
 
-    # Exact copies inside the batch: later copies are rejected, the first one stays a node.
-    w = Window.partitionBy(F.xxhash64("content"), "content").orderBy(order_col, id_col)
-    ranked = open_rows.withColumn("_copy", F.row_number().over(w))
-    ranked = ranked.checkpoint()
-    firsts = ranked.where(F.col("_copy") == 1).drop("_copy")
-    later = ranked.where(F.col("_copy") > 1).select(id_col)
+    # Exact copies inside the batch: of the rows whose id is not repeated, the first stays a node
+    # and later ones are rejected with it or by what rejects it.
+    w = Window.partitionBy("_again", F.xxhash64("content"), "content").orderBy(order_col, "_id", id_col)
+    ranked = open_rows.withColumn("_copy", F.row_number().over(w)).checkpoint()
+    firsts = ranked.where((F.col("_copy") == 1) | F.col("_again")).drop("_copy")
+    later = ranked.where((F.col("_copy") > 1) & ~F.col("_again")).select(id_col)
 
     vecs = model.transform(firsts.select(id_col, "content"), id_col)
-    emb = batch_emb.join(firsts.select(id_col), id_col, "left_semi") if batch_emb is not None else None
-    edges = _edges_within(firsts, model, vecs, emb, tfidf_threshold, embedding_threshold,
-                          id_col, order_col).checkpoint()
+    emb = node_emb.join(firsts.select(id_col), id_col, "left_semi") if node_emb is not None else None
+    similar = _edges_within(firsts, model, vecs, emb, tfidf_threshold, embedding_threshold,
+                            id_col, order_col)
+    # rows of a repeated id meet their earlier rows, and their copies under any id
+    x, y = firsts.alias("x"), firsts.alias("y")
+    before = F.struct(f"x.{order_col}", "x._id", f"x.{id_col}") < F.struct(f"y.{order_col}", "y._id", f"y.{id_col}")
+    ends = (F.col(f"x.{id_col}").alias("x"), F.col(f"y.{id_col}").alias("y"))
+    same_id = x.where("_again").join(y.where("_again"), (F.col("x._id") == F.col("y._id")) & before).select(*ends)
+    same_id = same_id.checkpoint()
+    copies = x.join(y, (F.col("x.content") == F.col("y.content")) & before
+                    & (F.col("x._again") | F.col("y._again"))).select(*ends)
+    edges = similar.unionByName(same_id).unionByName(copies).distinct().checkpoint()
     decided = greedy_admission(firsts.select(F.col(id_col).alias("node")), edges)
-
-    status = (decided.select(F.col("node").alias(id_col),
-                             F.when(F.col("admitted"), F.lit("accepted")).otherwise(F.lit("duplicate"))
-                             .alias("status"))
-              .unionByName(later.withColumn("status", F.lit("duplicate")))
-              .unionByName(vs_corpus.withColumn("status", F.lit("duplicate")))
-              .unionByName(known.select(id_col).withColumn("status", F.lit("exists"))))
-    again = (status.join(repeats, id_col)
-             .select(id_col, F.when(F.col("status") == "accepted", F.lit("exists"))
-                     .otherwise(F.col("status")).alias("status"), F.lit(2).alias("occurrence")))
-    return status.withColumn("occurrence", F.lit(1)).unionByName(again)
+    taken = decided.where("admitted").select(F.col("node").alias("x"))
+    refused = same_id.join(taken, "x").select(F.col("y").alias("node")).distinct().withColumn("_there", F.lit(True))
+    decided = decided.join(refused, "node", "left")
+
+    status = (decided.select("node", F.when(F.col("admitted"), "accepted").when(F.col("_there"), "exists")
+                             .otherwise("duplicate").alias("status"))
+              .unionByName(later.select(F.col(id_col).alias("node"), F.lit("duplicate").alias("status")))
+              .unionByName(vs_corpus.select(F.col(id_col).alias("node"), F.lit("duplicate").alias("status"))))
+    out = rows.join(status.withColumnRenamed("node", "_node"), "_node")
+    return (out.select(id_col, "status", "occurrence")
+               .unionByName(known.select(id_col, F.lit("exists").alias("status"), "occurrence")))

@@ -13,15 +13,20 @@ REPLACEMENT_CHAR = "�"
 
 
 def from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               out_id: str = "doc_id", engine: str = "python") -> DataFrame:
+               out_id: str = "doc_id", engine: str = "python", keep: tuple[str, ...] = (),
+               drop_blank: bool = True) -> DataFrame:
     """Normalised corpus ``(doc_id, content)`` from any table; blank texts are dropped.
 
+    Incoming documents keep blank texts (``drop_blank=False``; their content is empty), as each
+    upload gets a status.  ``keep`` names further columns to carry along.
+
     ``engine='python'`` normalises with the Arrow-batched UDF (faster, see
     ``normalize_text_batched``); ``engine='jvm'`` keeps the whole step in SQL expressions.
     """
     norm = normalize_text_batched if engine == "python" else normalize_text
-    return (df.where(is_non_blank(text_col))
-            .select(F.col(id_col).alias(out_id), norm(text_col).alias("content")))
+    rows = df.where(is_non_blank(text_col)) if drop_blank else df
+    text = norm(text_col) if drop_blank else F.coalesce(norm(text_col), F.lit(""))
+    return rows.select(F.col(id_col).alias(out_id), text.alias("content"), *keep)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -113,3 +113,21 @@ def test_embedding_branch_reports_near_copy(spark):
                           tfidf_threshold=0.7, embedding_threshold=0.8)
     rows = {(r["method"], r["id"]) for r in hits.collect()}
     assert ("embedding", 2) in rows and ("tfidf", 2) in rows
+
+
+def test_repeated_ids_and_blank_texts_are_handled_row_by_row(spark):
+    docs, m = corpus(spark)
+    rows = [(300, BASE[2][1], 1), (300, "wholly other words appear", 2), (300, "third text now", 3),
+            (301, "third text now", 4), (302, "", 5), (303, "", 6)]
+    batch = spark.createDataFrame(rows, "doc_id long, content string, arrival long")
+    got = {(r["doc_id"], r["occurrence"]): r["status"] for r in admit(batch, m, docs).collect()}
+    assert got == {(300, 1): "duplicate", (300, 2): "accepted", (300, 3): "exists", (301, 1): "accepted",
+                   (302, 1): "accepted", (303, 1): "duplicate"}
+
+
+def test_long_chain_is_decided_to_its_end(spark):
+    from doppel.operators.dedup import greedy_admission
+    nodes = spark.range(12).select(F.col("id").alias("node"))
+    edges = spark.range(11).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    got = {r["node"]: r["admitted"] for r in greedy_admission(nodes, edges).collect()}
+    assert got == {i: i % 2 == 0 for i in range(12)}
