@@ -138,7 +138,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
 
-    rows = docs.withColumn("_fp", fp(F.col(text_col).cast("binary")))
+    # written once, so that the texts are hashed once and no Python runs beside the joins
+    path = scratch(spark, "fingerprinted")
+    docs.withColumn("_fp", fp(F.col(text_col).cast("binary"))).write.parquet(path)
+    rows = spark.read.parquet(path)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
                    F.xxhash64(text_col).alias("h"))
     path = scratch(spark, "fingerprints")
