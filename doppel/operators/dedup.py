@@ -27,13 +27,13 @@ REPORT_TOP = 5   # hits shown per method for a suspected duplicate
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """(doc_id, duplicate_of): every document whose text equals an earlier (smaller) id's text.
 
-    A window keyed by text gives each copy its group's first id; no pairs are formed, so a hot
-    group of copies stays linear.
+    Each group's first id comes from a map-side combined aggregate over two independent hashes of
+    the text and joins back on them, so no task holds a group of copies and AQE can split a hot one.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.xxhash64(text_col), text_col)
-    return (docs.withColumn("duplicate_of", F.min(id_col).over(w))
-            .where(F.col(id_col) != F.col("duplicate_of"))
+    keyed = docs.select(id_col, F.xxhash64(text_col).alias("_h"), F.md5(text_col).alias("_m"))
+    first = (keyed.groupBy("_h", "_m").agg(F.min(id_col).alias("duplicate_of"), F.count("*").alias("_n"))
+             .where(F.col("_n") > 1).drop("_n"))
+    return (keyed.join(first, ["_h", "_m"]).where(F.col(id_col) != F.col("duplicate_of"))
             .select(id_col, "duplicate_of"))
 
 
@@ -133,6 +133,13 @@ def nested_report(hits: DataFrame, id_col: str = "doc_id", top: int = REPORT_TOP
 
 
 # ------------------------------------------------------------------------------- admission
+def with_occurrence(batch: DataFrame, id_col: str = "doc_id", order_col: str = "arrival") -> DataFrame:
+    """``batch`` with ``occurrence``: the rows of an id numbered from 1 by arrival, then text hash."""
+    from pyspark.sql import Window
+    by_id = Window.partitionBy(id_col).orderBy(order_col, F.xxhash64("content"))
+    return batch.withColumn("occurrence", F.row_number().over(by_id))
+
+
 def _edges_within(batch: DataFrame, model: TfidfModel | None, batch_vecs: DataFrame | None,
                   batch_emb: DataFrame | None, tfidf_threshold: float, embedding_threshold: float,
                   id_col: str, order_col: str) -> DataFrame:
@@ -203,12 +210,10 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
     if model is None:
         raise ValueError("No fitted vectorizer available")
     from pyspark.sql import Window
-    by_id = Window.partitionBy(id_col).orderBy(order_col, F.xxhash64("content"))
     own = Window.partitionBy(id_col)
     # every row is a node of its own; reliable checkpoints cut the lineage between phases, so that
     # the plan stays small and a lost executor does not replay the whole check
-    rows = (batch.select(id_col, "content", order_col)
-                 .withColumn("occurrence", F.row_number().over(by_id))
+    rows = (with_occurrence(batch.select(id_col, "content", order_col), id_col, order_col)
                  .withColumn("_again", F.count("*").over(own) > 1)
                  .withColumn("_node", F.monotonically_increasing_id()).checkpoint())
     known = rows.limit(0)

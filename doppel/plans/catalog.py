@@ -5,8 +5,10 @@ DataFrame whose column names equal the oracle's.  Doubles are rounded (6 places
 pair scores, 4 for top-k scores as the reference does) so results compare by value.
 
 Fixture choices, fixed up front:
-* the corpus is ``documents``; ``benchmark`` plays the incoming documents, with ids moved past
-  the corpus ids (``max(doc_id) + 1 + item_id``) so none collides with a corpus id;
+* the corpus is ``documents``; for transform and upsert ``benchmark`` plays the incoming documents,
+  with ids moved past the corpus ids (``max(doc_id) + 1 + item_id``) so none collides;
+* duplicate check, admission, streaming and the state round trip split all of ``documents`` into
+  incoming documents (ids divisible by 10) and the base corpus with its own model (the rest);
 * cluster-dependent checks use the deterministic assignment ``doc_id mod k`` with the
   reference's k rule (k-means labels cannot match another implementation's);
 * embedding checks on the ``embeddings`` table use threshold 0.2 (its vectors never reach 0.7).
@@ -31,7 +33,7 @@ from doppel.sources.corpus import from_table, load_documents, spread
 PAIR_T = 0.7
 TOPK_LIMIT = 10
 
-_MODELS: dict[tuple[int, str], tuple[DataFrame, TfidfModel]] = {}
+_MODELS: dict[tuple[int, str, str], tuple[DataFrame, TfidfModel]] = {}
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -45,7 +47,7 @@ def _prepare(spark: SparkSession) -> None:
     checkpoint_dir(spark)
     ship_package(spark)
     spark.catalog.clearCache()
-    for (sid, _dir), (_docs, model) in _MODELS.items():
+    for (sid, _dir, _part), (_docs, model) in _MODELS.items():
         if sid == id(spark):
             model.vocabulary.persist()
             model.vectors.persist()
@@ -58,14 +60,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TfidfModel]:
     """Normalised corpus and its fitted model, fitted once per session and folder."""
-    key = (id(spark), sf_dir)
+    return _fitted(spark, sf_dir, lambda docs: docs, "whole")
+
+
+def _fitted(spark, sf_dir: str, part: Callable[[DataFrame], DataFrame], name: str):
+    key = (id(spark), sf_dir, name)
     _prepare(spark)
     if key not in _MODELS:
-        docs = corpus(spark, sf_dir)
+        docs = part(corpus(spark, sf_dir))
         _MODELS[key] = (docs, fit_tfidf(docs))
     return _MODELS[key]
 
 
+ARRIVES, STAYS = "doc_id % 10 = 0", "doc_id % 10 <> 0"
+
+
+def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TfidfModel, DataFrame]:
+    """``documents`` in two parts, both used whole: base corpus with its model, incoming documents."""
+    base, model = _fitted(spark, sf_dir, lambda docs: docs.where(STAYS), "base")
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(ARRIVES)
+    return base, model, from_table(spread(raw, "doc_id"), "doc_id", "text", drop_blank=False)
+
+
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``benchmark`` rows as new documents (doc_id, content) with ids past the corpus ids."""
     base = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id").alias("base"))
@@ -185,6 +201,12 @@ def q_exact_matches(spark, sf_dir):
     return exact_copies(corpus(spark, sf_dir))
 
 
+def q_exact_matches_incoming(spark, sf_dir):
+    from doppel.operators.dedup import exact_matches
+    base, _, new = split(spark, sf_dir)
+    return exact_matches(new, base)
+
+
 def q_document_lookup(spark, sf_dir):
     from doppel.plans.corpus_ops import lookup_documents
     ids = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
@@ -230,10 +252,10 @@ def q_similarity_matrix(spark, sf_dir):
 
 
 def q_topk_embedding(spark, sf_dir):
-    from doppel.operators.embeddings import similar_embedding_pairs
-    from doppel.operators.search import mirror, rank_hits
-    pairs = similar_embedding_pairs(_emb_table(spark, sf_dir), EMB_T, sort=False)
-    return rank_hits(mirror(pairs), TOPK_LIMIT, method="embedding")
+    from doppel.operators.embeddings import embedding_hits
+    from doppel.operators.search import rank_hits
+    emb = _emb_table(spark, sf_dir)
+    return rank_hits(embedding_hits(emb, emb, EMB_T, "vec_id"), TOPK_LIMIT, method="embedding")
 
 
 def q_artifact_roundtrip(spark, sf_dir):
@@ -249,8 +271,7 @@ def q_artifact_roundtrip(spark, sf_dir):
 
 def _dup_inputs(spark, sf_dir):
     from doppel.operators.embeddings import hash_embeddings
-    docs, m = fitted(spark, sf_dir)
-    new = incoming(spark, sf_dir)
+    docs, m, new = split(spark, sf_dir)
     return docs, m, new, hash_embeddings(docs), hash_embeddings(new)
 
 
@@ -277,8 +298,17 @@ def q_admission(spark, sf_dir):
     return admit(batch, m, None).where(F.col("occurrence") == 1).select("doc_id", "status")
 
 
+def q_duplicate_report(spark, sf_dir):
+    """T5: the top hits of each method per incoming document, opened from the nested report."""
+    from doppel.operators.dedup import duplicate_hits, nested_report
+    docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
+    nested = nested_report(duplicate_hits(new, docs, m, ce, ne, PAIR_T, DUP_T_EMB))
+    return (nested.select("doc_id", "method", F.posexplode("duplicates").alias("pos", "hit"))
+            .select("doc_id", "method", "pos", "hit.id", "hit.similarity_score"))
+
+
 def q_admission_status(spark, sf_dir):
-    """C3 + C4 for the incoming batch against the corpus with both methods (rows-only check)."""
+    """C3 + C4 for the incoming documents against the base corpus with both methods."""
     from doppel.operators.dedup import admit
     docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
     batch = new.withColumn("arrival", F.col("doc_id"))
@@ -286,14 +316,14 @@ def q_admission_status(spark, sf_dir):
 
 
 def q_streaming_ingest(spark, sf_dir):
-    """The incoming table as a file stream, admitted micro-batch by micro-batch (rows-only)."""
+    """The incoming documents as a file stream, admitted micro-batch by micro-batch."""
     from doppel.operators.embeddings import hash_embeddings
     from doppel.session import scratch_path
-    from doppel.streaming.ingest import parquet_stream, run_ingest
-    docs, m = fitted(spark, sf_dir)
-    base = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).first()[0]
-    stream = (parquet_stream(spark, sf_dir, "benchmark.parquet", "item_id long, text string")
-              .select((F.lit(base) + 1 + F.col("item_id")).alias("doc_id"), "text")
+    from doppel.streaming.ingest import run_ingest
+    docs, m, _ = split(spark, sf_dir)
+    # a glob, as a stream's path must be a folder or a pattern and the table may be either
+    stream = (spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf_dir}/document[s].parquet").where(ARRIVES)
               .withColumn("_arrival", F.col("doc_id")))
     out = run_ingest(spark, stream, m, docs, scratch_path(spark, "ingest"),
                      embed=hash_embeddings, base_embeddings=hash_embeddings(docs),
@@ -301,6 +331,26 @@ def q_streaming_ingest(spark, sf_dir):
     return out.select("doc_id", "status")
 
 
+def q_state_roundtrip(spark, sf_dir):
+    """Admit the incoming documents, reload the state, search the admitted ones."""
+    from doppel.operators.embeddings import hash_embeddings
+    from doppel.plans.corpus_ops import Corpus
+    from doppel.session import scratch_path
+    base, m, new = split(spark, sf_dir)
+    root = scratch_path(spark, "state")
+    first = Corpus.create(base, m, hash_embeddings, PAIR_T, DUP_T_EMB)
+    first.save(root)
+    _, status = Corpus.load(spark, root, hash_embeddings).admit(
+        new.withColumn("arrival", F.col("doc_id")), root, recluster=False)
+    again = Corpus.load(spark, root, hash_embeddings)
+    ids = status.where("status = 'accepted'").select("doc_id")
+    return (again.similar_documents(ids, "tfidf", ROUNDTRIP_T, TOPK_LIMIT)
+            .unionByName(again.similar_documents(ids, "embedding", ROUNDTRIP_T_EMB, TOPK_LIMIT)))
+
+
+ROUNDTRIP_T, ROUNDTRIP_T_EMB = 0.3, 0.6  # admitted documents have no hits at the check's thresholds
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
@@ -345,11 +395,53 @@ dup_rows AS (
   SELECT doc_id, m.method, id, 1.0, 1 FROM exact, (VALUES ('tfidf'), ('embedding')) m(method))""")
 
 
+#: Admission of the incoming documents one after another, in id order (both methods, both phases).
+STATUS_CTES = (*DUP_CTES, f"""
+opened AS (SELECT item_id, content FROM new_docs WHERE item_id NOT IN (SELECT doc_id FROM dup_rows)),
+edges AS (
+  SELECT a.item_id AS x, b.item_id AS y FROM new_tfidf a JOIN new_tfidf b
+    ON a.term_id = b.term_id AND a.item_id < b.item_id
+  GROUP BY a.item_id, b.item_id HAVING least(greatest(sum(a.weight * b.weight), 0.0), 1.0) >= {PAIR_T}
+  UNION SELECT a.eid, b.eid FROM emb_n a JOIN emb_n b ON a.dim = b.dim AND a.eid < b.eid
+  GROUP BY a.eid, b.eid HAVING sum(a.value * b.value) >= {DUP_T_EMB}
+  UNION SELECT a.item_id, b.item_id FROM opened a JOIN opened b
+    ON a.content = b.content AND a.item_id < b.item_id),
+nodes AS (SELECT item_id AS node, row_number() OVER (ORDER BY item_id) AS pos FROM opened),
+walk(pos, taken) AS (
+  SELECT 0, []::BIGINT[]
+  UNION ALL
+  SELECT n.pos, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.y = n.node AND list_contains(w.taken, e.x))
+                     THEN w.taken ELSE list_append(w.taken, n.node) END
+  FROM walk w JOIN nodes n ON n.pos = w.pos + 1),
+accepted AS (SELECT unnest(taken) AS doc_id FROM (SELECT taken FROM walk ORDER BY pos DESC LIMIT 1)),
+statuses AS (SELECT item_id AS doc_id, CASE WHEN item_id IN (SELECT doc_id FROM accepted) THEN 'accepted'
+                                            ELSE 'duplicate' END AS status FROM new_docs)""")
+
+ROUNDTRIP_CTES = (*STATUS_CTES, f"""
+all_tfidf AS (SELECT doc_id, term_id, weight FROM tfidf
+              UNION ALL SELECT item_id, term_id, weight FROM new_tfidf WHERE item_id IN (SELECT doc_id FROM accepted)),
+all_emb AS (SELECT eid, dim, value FROM emb_c
+            UNION ALL SELECT eid, dim, value FROM emb_n WHERE eid IN (SELECT doc_id FROM accepted)),
+found AS (
+  SELECT 'tfidf' AS method, a.doc_id AS q, b.doc_id AS id, round(least(sum(a.weight * b.weight), 1.0), 4) AS s
+  FROM all_tfidf a JOIN all_tfidf b ON a.term_id = b.term_id AND a.doc_id <> b.doc_id
+  WHERE a.doc_id IN (SELECT doc_id FROM accepted)
+  GROUP BY a.doc_id, b.doc_id HAVING sum(a.weight * b.weight) >= {ROUNDTRIP_T}
+  UNION ALL
+  SELECT 'embedding', a.eid, b.eid, round(sum(a.value * b.value), 4)
+  FROM all_emb a JOIN all_emb b ON a.dim = b.dim AND a.eid <> b.eid
+  WHERE a.eid IN (SELECT doc_id FROM accepted)
+  GROUP BY a.eid, b.eid HAVING sum(a.value * b.value) >= {ROUNDTRIP_T_EMB}),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, q ORDER BY s DESC, id) AS INTEGER) AS rank FROM found)""")
+
+
 def _oracles() -> dict[str, str]:
     C = O.corpus_ctes()
     W = O.with_ctes
     incoming_ctes = O.new_docs_ctes("(SELECT (SELECT max(doc_id) FROM documents) + 1 + item_id "
                                     "AS doc_id, text FROM benchmark)", "doc_id", "text")
+    base_ctes = O.corpus_ctes("(SELECT * FROM documents WHERE doc_id % 10 <> 0)")
+    arriving_ctes = O.new_docs_ctes("(SELECT * FROM documents WHERE doc_id % 10 = 0)", "doc_id", "text")
     out = {
         "preprocess_text": W(C) + " SELECT doc_id, content FROM docs",
         "document_stats": W(C) + """
@@ -441,8 +533,19 @@ def _oracles() -> dict[str, str]:
             SELECT q AS query_document_id, id, s AS similarity_score, CAST(rank AS INTEGER) AS rank,
                    'embedding' AS method FROM ranked WHERE rank <= {TOPK_LIMIT}""",
         "artifact_roundtrip": W(C) + " SELECT doc_id, term_id, round(weight, 6) AS weight FROM tfidf",
-        "duplicate_check": W(C, incoming_ctes, *DUP_CTES) + " SELECT * FROM dup_rows",
-        "duplicate_summary": W(C, incoming_ctes, *DUP_CTES) + """
+        "exact_matches_incoming": W(base_ctes, arriving_ctes, *DUP_CTES) + " SELECT doc_id, id FROM exact",
+        "duplicate_check": W(base_ctes, arriving_ctes, *DUP_CTES) + " SELECT * FROM dup_rows",
+        "duplicate_report": W(base_ctes, arriving_ctes, *DUP_CTES) + """
+            SELECT doc_id, method, CAST(rank - 1 AS INTEGER) AS pos, id, similarity_score
+            FROM dup_rows WHERE rank <= 5""",
+        "admission_status": W(base_ctes, arriving_ctes, *STATUS_CTES, recursive=True) +
+            " SELECT doc_id, status, CAST(1 AS INTEGER) AS occurrence FROM statuses",
+        "streaming_ingest": W(base_ctes, arriving_ctes, *STATUS_CTES, recursive=True) +
+            " SELECT doc_id, status FROM statuses",
+        "state_roundtrip": W(base_ctes, arriving_ctes, *ROUNDTRIP_CTES, recursive=True) + f"""
+            SELECT q AS query_document_id, id, s AS similarity_score, rank, method, 'ok' AS status
+            FROM best WHERE rank <= {TOPK_LIMIT}""",
+        "duplicate_summary": W(base_ctes, arriving_ctes, *DUP_CTES) + """
             , per AS (
               SELECT doc_id,
                      max(CASE WHEN method = 'tfidf' THEN similarity_score END) AS mt,

@@ -71,3 +71,36 @@ def test_read_incoming_statuses(spark, tmp_path):
     got = {r["doc_id"]: (r["status"], r["content"]) for r in read_incoming(spark, str(d), req, corpus).collect()}
     assert got == {"fresh": ("ok", "a brand new text!"), "taken": ("exists", None),
                    "broken": ("invalid", None), "ghost": ("not_found", None)}
+
+
+def test_admitted_documents_survive_a_reload(spark, small_model, tmp_path):
+    from doppel.operators.embeddings import hash_embeddings
+    docs, m = small_model
+    root = str(tmp_path / "state")
+    c = Corpus.create(docs, m, hash_embeddings).save(root)
+    old = docs.first()
+    batch = spark.createDataFrame([(90001, "zebra quartz violin harbor " * 5, 1), (90002, old["content"], 2),
+                                   (90003, old["content"], 3), (90003, "crimson lantern orbit", 4),
+                                   (old["doc_id"], "whatever", 5)], "doc_id long, content string, arrival int")
+    _, status = c.admit(batch, root, recluster=False)
+    got = {(r["doc_id"], r["occurrence"]): r["status"] for r in status.collect()}
+    assert got == {(90001, 1): "accepted", (90002, 1): "duplicate", (90003, 1): "duplicate",
+                   (90003, 2): "accepted", (old["doc_id"], 1): "exists"}
+    again = Corpus.build_or_load(spark, docs, root, cluster=False, embed=hash_embeddings)
+    assert again.version == 2
+    text = {r["doc_id"]: r["content"] for r in again.documents.where("doc_id > 90000").collect()}
+    assert set(text) == {90001, 90003} and text[90003] == "crimson lantern orbit"
+    for table in (again.model.vectors, again.embeddings):
+        assert table.where("doc_id > 90000").count() == 2 and table.count() == 202
+    import pytest
+    with pytest.raises(RuntimeError, match="in force"):  # a second process that still holds version 1
+        c.refresh(batch.limit(1), root, recluster=False)
+    assert Corpus.load(spark, root).version == 2
+
+
+def test_similar_documents_has_one_schema_without_embeddings(spark, small_model):
+    docs, m = small_model
+    ids = spark.createDataFrame([(0,), (999999,)], "doc_id long")
+    plain = Corpus(docs, m).similar_documents(ids, "embedding", 0.5, 5)
+    assert plain.columns == Corpus(docs, m).similar_documents(ids, "tfidf", 0.5, 5).columns
+    assert [(r["query_document_id"], r["status"]) for r in plain.collect()] == [(999999, "not_found")]
