@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from doppel.operators.search import rank_hits
 from doppel.operators.simjoin import threshold_join
 from doppel.operators.tfidf import TfidfModel
+from doppel.session import keep
 
 DUP_CAP = 50     # hits kept per method in a duplicate check
 REPORT_TOP = 5   # hits shown per method for a suspected duplicate
@@ -68,9 +69,9 @@ def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfMode
     every corpus vector (never cluster-blocked), embeddings if both embedding inputs are given.
     """
     # The incoming batch feeds several branches; keep it (it is the small side of every join).
-    new_docs = new_docs.persist()
+    new_docs = keep(new_docs)
     if new_emb is not None:
-        new_emb = new_emb.persist()
+        new_emb = keep(new_emb)
     exact = exact_matches(new_docs, corpus_docs, id_col)
     exact_rows = exact.select(
         F.col(id_col), F.explode(F.array(F.lit("tfidf"), F.lit("embedding"))).alias("method"),
@@ -140,6 +141,13 @@ def with_occurrence(batch: DataFrame, id_col: str = "doc_id", order_col: str = "
     return batch.withColumn("occurrence", F.row_number().over(by_id))
 
 
+def embed_rows(embed, batch: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, occurrence, embedding)`` for every row of a checkpointed ``with_occurrence`` batch."""
+    rows = batch.withColumn("_row", F.monotonically_increasing_id())
+    vectors = embed(rows.select(F.col("_row").alias(id_col), "content")).withColumnRenamed(id_col, "_row")
+    return rows.select("_row", id_col, "occurrence").join(vectors, "_row").drop("_row")
+
+
 def _edges_within(batch: DataFrame, model: TfidfModel | None, batch_vecs: DataFrame | None,
                   batch_emb: DataFrame | None, tfidf_threshold: float, embedding_threshold: float,
                   id_col: str, order_col: str) -> DataFrame:
@@ -205,7 +213,8 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
     ``exists`` if the id is in the corpus or an earlier row of the same id was accepted, else
     ``duplicate`` if a corpus document or an earlier accepted row duplicates the text, else
     ``accepted``.  ``occurrence`` numbers the rows of an id from 1.  The TF-IDF model stays frozen;
-    nothing is refitted.  Embeddings of the batch are by id, so rows of one id share theirs.
+    nothing is refitted.  Embeddings of the batch go by id and, if they have that column,
+    ``occurrence``; without it the rows of one id share theirs.
     """
     if model is None:
         raise ValueError("No fitted vectorizer available")
@@ -222,7 +231,8 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
         rows = rows.join(corpus_docs.select(id_col), id_col, "left_anti").checkpoint()
     node_emb = None
     if batch_emb is not None:
-        node_emb = (batch_emb.join(rows.select(id_col, "_node"), id_col).drop(id_col)
+        by = [c for c in (id_col, "occurrence") if c in batch_emb.columns]
+        node_emb = (batch_emb.join(rows.select(*by, "_node"), by).drop(*by)
                              .withColumnRenamed("_node", id_col))
     nodes = rows.select(F.col("_node").alias(id_col), "content", order_col, "_again",
                         F.col(id_col).alias("_id"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doppel.operators.tfidf import term_bags
+from doppel.session import keep
 
 ANGLE_EPS = 1e-9
 
@@ -169,7 +170,7 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
 
     def place(df: DataFrame) -> DataFrame:
         """(id, u) -> (id, u, ang ARRAY<DOUBLE>, cell, r): one numpy product per Arrow batch."""
-        return _place(df, pivots).persist()
+        return keep(_place(df, pivots))
 
     home = place(ru)
     radius = home.groupBy("cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("m"))
@@ -252,7 +253,7 @@ def similar_embedding_pairs(emb: DataFrame, threshold: float = 0.8, id_col: str
                 .orderBy(F.desc("similarity"), "doc1", "doc2"))
     p = embedding_threshold_join(emb, None, threshold, id_col, vec_col, cell_rows=cell_rows)
     out = p.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "similarity")
-    return out.persist().orderBy(F.desc("similarity"), "doc1", "doc2") if sort else out
+    return keep(out).orderBy(F.desc("similarity"), "doc1", "doc2") if sort else out
 
 
 def similarity_matrix(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doppel.session import keep
+
 
 PREFIX_EPS = 1e-9  # keep a little more of each prefix than needed, to absorb rounding
 BROADCAST_ORDER_LIMIT = 2_000_000  # vocabulary rows up to which the term order is broadcast
@@ -253,17 +255,14 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
               .groupBy("ba", *extra).agg(F.count(F.lit(1)).alias("n_a")))
     size_r = (right.select(F.col("blk").alias("bb"), *extra)
               .groupBy("bb", *extra).agg(F.count(F.lit(1)).alias("n_b")))
-    stats = (raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_n"))
+    stats = keep(raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_n"))
              .join(size_l, ["ba"] + extra).join(size_r, ["bb"] + extra)
              .select(*keys, (F.col("raw_n") >= F.lit(dense_ratio) * F.col("n_a") * F.col("n_b"))
-                     .alias("dense"))
-             .persist())
+                     .alias("dense")))
     dense_pairs = stats.where("dense").select(*keys)
     sparse_pairs = stats.where(~F.col("dense")).select(*keys)
 
-    cands = (raw.join(sparse_pairs, keys, "left_semi")
-             .select(*keys, "a", "b").distinct()
-             .persist())
+    cands = keep(raw.join(sparse_pairs, keys, "left_semi").select(*keys, "a", "b").distinct())
     vec_l = left.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
     vec_r = right.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
     need_l = cands.select(*keys, F.col("a").alias("doc")).distinct()
@@ -325,9 +324,9 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
     else:
         reps = vecs
         members = None
-    reps = reps.persist()
+    reps = keep(reps)
     if members is not None:
-        members = members.persist()
+        members = keep(members)
     pairs = threshold_join(reps, None, order, threshold, id_col, block_key,
                            n_left=n_docs, n_right=n_docs, block_rows=block_rows)
     if members is not None:
@@ -349,4 +348,4 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
         return out
     # The verified pairs are few; materialise them so the range partitioner's sampling pass
     # reads them instead of re-running the verification.
-    return out.persist().orderBy(F.desc("similarity"), "doc1", "doc2")
+    return keep(out).orderBy(F.desc("similarity"), "doc1", "doc2")

@@ -9,9 +9,12 @@ Physical shape
 --------------
 * term counts are computed inside each document row (``bag_of_words``) -> no shuffle;
 * document/corpus frequencies: one ``groupBy(term)`` with map-side partial aggregation;
-* the vocabulary is capped at ``max_features`` rows, so it is a proven-small broadcast side;
-* weights and norms: one ``groupBy(doc)`` whose partial aggregation packs each document's
-  postings map-side, so the shuffle moves one row per document.
+* weights and norms: where the vocabulary is small in rows and bytes (checked), every task looks the
+  terms of its documents up and no posting is shuffled; beyond that, one join and one
+  ``groupBy(doc)`` whose partial aggregation packs each document's postings map-side;
+* the cut to ``max_features`` first drops the terms below a power of two of the corpus frequency
+  that the cut cannot reach; term ids of an uncapped vocabulary come from a sort and counts of its
+  ranges, so no task holds it.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from __future__ import annotations
 import numbers
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doppel.functions.text import bag_of_words, bag_of_words_batched, run_lengths, tokens
+from doppel.session import keep
 
-# Above this many vocabulary rows the vocabulary is joined with a shuffle instead of a broadcast.
-BROADCAST_VOCAB_LIMIT = 2_000_000
+# A vocabulary of at most so many terms and UTF-8 bytes is looked up inside the tasks.
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 16 << 20
 
 
 def term_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
@@ -88,24 +94,45 @@ class TfidfModel:
         """(id, term_id, weight) postings; zero vectors have no rows (P5)."""
         out = explode_vectors(self.vectors, self.id_col)
         if with_term:
-            out = out.join(self._vocab_for_join().select("term_id", "term"), "term_id")
+            out = out.join(self.vocabulary.select("term_id", "term"), "term_id")
         return out
 
-    def _vocab_for_join(self) -> DataFrame:
-        small = self.max_features is not None and self.vocab_size <= BROADCAST_VOCAB_LIMIT
-        return F.broadcast(self.vocabulary) if small else self.vocabulary
-
     # -- J11 -----------------------------------------------------------------------------
     def transform(self, docs: DataFrame, id_col: str | None = None,
                   text_col: str = "content") -> DataFrame:
         """Vectorise new documents with the frozen vocabulary, idf and N (unknown terms ignored)."""
         id_col = id_col or self.id_col
-        bags = term_bags(docs, id_col, text_col)
-        return weigh(bags, self._vocab_for_join(), id_col)
+        return weigh(term_bags(docs, id_col, text_col), self.vocabulary, id_col)
 
 
 def weigh(bags: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """Join postings to the vocabulary and build L2-normalised array-form vectors."""
+    """L2-normalised array-form vectors, by lookup in the tasks or, beyond its bound, by a join."""
+    rows, size = vocab.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
+    if rows > LOOKUP_ROWS or (size or 0) > LOOKUP_BYTES:
+        return _weigh_by_join(bags, vocab, id_col)
+    known = vocab.orderBy("term_id").select("term", "term_id", "idf").toPandas()  # within the bound
+    shared = bags.sparkSession.sparkContext.broadcast(
+        (dict(zip(known["term"], range(len(known)))), known["term_id"].to_numpy(np.int32),
+         known["idf"].to_numpy(np.float64)))
+
+    @F.pandas_udf("term_ids array<int>, weights array<double>")
+    def look_up(terms: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        place, ids, idf = shared.value
+        out = {"term_ids": [], "weights": []}
+        for own, n in zip(terms, counts):
+            at = np.fromiter((place.get(t, -1) for t in own), np.int64, len(own))
+            inside = at >= 0
+            at = at[inside]  # terms ascend in a bag, as term ids do
+            w = (1.0 + np.log(np.asarray(n, np.float64)[inside])) * idf[at]
+            out["term_ids"].append(ids[at])
+            out["weights"].append(w / np.sqrt((w * w).sum()) if len(w) else w)
+        return pd.DataFrame(out)
+
+    return (bags.select(id_col, look_up("terms", "counts").alias("v"))
+                .select(id_col, "v.term_ids", "v.weights"))
+
+
+def _weigh_by_join(bags: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     tf = term_frequencies(bags, id_col, keep_empty=True)
     joined = tf.join(vocab.select("term", "term_id", "idf"), "term", "left")
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
@@ -127,6 +154,39 @@ def explode_vectors(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .select(id_col, F.col("p.term_ids").alias("term_id"), F.col("p.weights").alias("weight")))
 
 
+def _reachable(terms: DataFrame, most: int) -> DataFrame:
+    """The terms at or above the greatest power of two of ``cf`` that ``most`` terms reach.
+
+    The cut by corpus frequency keeps none below it, so every task hands a fraction to the sort.
+    """
+    power = F.floor(F.log2("cf")).cast("int")
+    counts = terms.groupBy(power.alias("p")).count().orderBy(F.desc("p")).collect()  # 64 rows at most
+    total = 0
+    for r in counts:
+        total += r["count"]
+        if total >= most:
+            return terms.where(power >= r["p"])
+    return terms
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... in the total order ``order``, without a single-task window.
+
+    A global sort cuts the rows into ranges; a row's number is its place in its range plus the
+    sizes of the ranges before.  The ranges are checkpointed, as their numbers must not change.
+    """
+    ranges = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    before, start = 0, {}
+    for at, n in sizes:  # one entry per range
+        start[at], before = before, before + n
+    if not start:
+        return ranges.drop("_range").withColumn(name, F.lit(0))
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_range"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn(name, (place + offset).cast("int")).drop("_range")
+
+
 def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
               max_features: int | None = 10000, min_df: float = 2, max_df: float = 0.8,
               persist: bool = True) -> TfidfModel:
@@ -144,15 +204,15 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content"
 
     stats = document_frequencies(term_frequencies(bags, id_col))
     kept = stats.where((F.col("df") >= F.lit(low)) & (F.col("df") <= F.lit(high)))
+    kept = keep(kept) if persist else kept
     if max_features is not None:
-        # TakeOrderedAndProject: every task keeps its top max_features; the merge is bounded.
-        kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    # Both windows run over at most max_features rows (a single, bounded partition).
-    vocab = (kept
-             .withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-             .withColumn("order_rank",
-                         (F.row_number().over(Window.orderBy("df", "term")) - 1).cast("int"))
-             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
+        kept = _reachable(kept, max_features).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        # both windows run over at most max_features rows
+        kept = (kept.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+                    .withColumn("order_rank", (F.row_number().over(Window.orderBy("df", "term")) - 1).cast("int")))
+    else:
+        kept = number_rows(number_rows(kept, ["term"], "term_id"), ["df", "term"], "order_rank")
+    vocab = (kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
              .select("term", "term_id", "df", "cf", "idf", "order_rank"))
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
@@ -160,9 +220,10 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content"
     if vocab_size == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
     model = TfidfModel(vocab, None, n_docs, vocab_size, id_col, max_features, min_df, max_df)  # type: ignore[arg-type]
-    vectors = weigh(bags, model._vocab_for_join(), id_col)
+    vectors = weigh(bags, vocab, id_col)
     if persist:
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
         vectors.count()  # materialise once; every later job reads the cached vectors
+        bags.unpersist()
     model.vectors = vectors
     return model

@@ -33,24 +33,19 @@ from doppel.sources.corpus import from_table, load_documents, spread
 PAIR_T = 0.7
 TOPK_LIMIT = 10
 
-_MODELS: dict[tuple[int, str, str], tuple[DataFrame, TfidfModel]] = {}
+_MODELS: dict[tuple[str, str, str], tuple[DataFrame, TfidfModel]] = {}
 
 
 def _prepare(spark: SparkSession) -> None:
     """Sessions built by a caller: set the checkpoint folder only if unset, ship the package.
 
-    Every registered query starts from a clean cache: the previous query's intermediates have
-    been consumed by then, and dropping them keeps a long run of queries within a small heap.
-    The shared fitted model is marked for caching again (it refills on first use).
+    Every registered query starts by releasing what the previous one's operators persisted, which
+    keeps a long run of queries within a small heap.  Caches of the caller are left alone.
     """
-    from doppel.session import checkpoint_dir, ship_package
+    from doppel.session import checkpoint_dir, release, ship_package
     checkpoint_dir(spark)
     ship_package(spark)
-    spark.catalog.clearCache()
-    for (sid, _dir, _part), (_docs, model) in _MODELS.items():
-        if sid == id(spark):
-            model.vocabulary.persist()
-            model.vectors.persist()
+    release()
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TfidfModel]:
 
 
 def _fitted(spark, sf_dir: str, part: Callable[[DataFrame], DataFrame], name: str):
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     _prepare(spark)
     if key not in _MODELS:
         docs = part(corpus(spark, sf_dir))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults a job of this library wants; anything the cluster already set wins.
 _DEFAULTS = {
@@ -91,3 +92,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate result of the library until ``release``."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Unpersist what ``keep`` persisted and nothing else; results that still need it recompute."""
+    while _KEPT:
+        df = _KEPT.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session may have been stopped
+            df.unpersist()

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from doppel.operators.tfidf import fit_tfidf
 
@@ -60,3 +61,29 @@ def test_empty_vocabulary_raises(spark):
     docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "cc")], "doc_id long, content string")
     with pytest.raises(ValueError):
         fit_tfidf(docs)
+
+
+def test_lookup_equals_join_and_does_not_shuffle(spark, small_model):
+    from doppel.operators.tfidf import _weigh_by_join, term_bags
+    docs, m = small_model
+    found = m.transform(docs)
+    joined = _weigh_by_join(term_bags(docs), m.vocabulary, "doc_id")
+    a = {r["doc_id"]: r for r in found.collect()}
+    b = {r["doc_id"]: r for r in joined.collect()}
+    assert a.keys() == b.keys()
+    for k, r in a.items():
+        assert r["term_ids"] == b[k]["term_ids"]
+        assert r["weights"] == pytest.approx(b[k]["weights"], abs=1e-12)
+    from doppel.sources.corpus import from_table
+    plain = from_table(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert "Exchange" not in m.transform(plain)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uncapped_vocabulary_is_numbered_in_ranges(spark):
+    rows = [(i, f"alpha beta{chr(97 + i % 5)}x gamma{chr(97 + i % 3)}y common") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    whole = fit_tfidf(docs, max_features=None, min_df=1, max_df=1.0).vocabulary.collect()
+    capped = fit_tfidf(docs, max_features=1000, min_df=1, max_df=1.0).vocabulary.collect()
+    assert {tuple(r) for r in whole} == {tuple(r) for r in capped}
+    cut = fit_tfidf(docs, max_features=3, min_df=1, max_df=1.0).vocabulary.orderBy("term").collect()
+    assert [r["term"] for r in cut] == ["alpha", "common", "gammaay"]
