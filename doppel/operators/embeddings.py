@@ -148,14 +148,20 @@ def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold: float,
                              id_col: str = "vec_id", vec_col: str = "embedding",
                              n_pivots: int | None = None, cell_rows: int = 1024,
-                             exclude_same_id: bool = True, include_zero: bool = False) -> DataFrame:
+                             exclude_same_id: bool = True) -> DataFrame:
     """Pairs (a, b, similarity) with embedding cosine >= threshold (exact).
 
     ``right=None``: self-join, each unordered pair once as a < b.  Otherwise (left, right) pairs.
-    Zero vectors have cosine 0 with everything; they only qualify when threshold <= 0 and
-    ``include_zero`` asks for them.
+    Zero vectors have cosine 0 with everything, so they qualify at ``threshold <= 0`` and only
+    there; as nothing can be left out then, every pair of vectors is scored.
     """
     self_join = right is None
+    if threshold <= 0:
+        scored = _every_pair(left, left if self_join else right, id_col, vec_col, cell_rows)
+        scored = scored.where(F.col("similarity") >= threshold)
+        if self_join:
+            return scored.where("a < b")
+        return scored.where("a <> b") if exclude_same_id else scored
     lu = _unit(left, id_col, vec_col)
     ru = lu if self_join else _unit(right, id_col, vec_col)
     n_right = ru.count()
@@ -246,11 +252,6 @@ def similar_embedding_pairs(emb: DataFrame, threshold: float = 0.8, id_col: str
                             vec_col: str = "embedding", cell_rows: int = 1024,
                             sort: bool = True) -> DataFrame:
     """(doc1, doc2, similarity) with doc1 < doc2 and cosine >= threshold, sorted desc."""
-    if threshold <= 0:
-        full = similarity_matrix(emb, id_col, vec_col, cell_rows)
-        return (full.where((F.col("i") < F.col("j")) & (F.col("similarity") >= threshold))
-                .select(F.col("i").alias("doc1"), F.col("j").alias("doc2"), "similarity")
-                .orderBy(F.desc("similarity"), "doc1", "doc2"))
     p = embedding_threshold_join(emb, None, threshold, id_col, vec_col, cell_rows=cell_rows)
     out = p.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "similarity")
     return keep(out).orderBy(F.desc("similarity"), "doc1", "doc2") if sort else out
@@ -263,16 +264,24 @@ def similarity_matrix(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     The output is quadratic by definition; the work is split into cells of at most
     ``cell_rows`` home vectors.  Zero vectors score 0 against everything.
     """
-    v = F.col(vec_col).cast("array<double>")
-    base = emb.select(F.col(id_col).alias("id"), v.alias("v"))
-    n = base.count()
-    blocks = max(1, math.ceil(n / cell_rows))
-    left = base.select(F.col("id").alias("i"), F.col("v").alias("vi"),
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    right = base.select(F.col("id").alias("j"), F.col("v").alias("vj"),
-                        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
-    return left.join(right, "blk").select("i", "j", cosine_embedding(F.col("vi"), F.col("vj"))
-                                          .alias("similarity"))
+    return (_every_pair(emb, emb, id_col, vec_col, cell_rows)
+            .select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity"))
+
+
+def _every_pair(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, cell_rows: int) -> DataFrame:
+    """(a, b, similarity) for each row of ``left`` with each of ``right``, both sides cut into blocks
+    of about ``cell_rows``, so that no key holds a whole side."""
+
+    def cut(df: DataFrame, name: str):
+        v = F.col(vec_col).cast("array<double>")
+        blocks = max(1, math.ceil(df.count() / cell_rows))
+        own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+        return df.select(F.col(id_col).alias(name), v.alias(f"v{name}"), own.alias(f"k{name}")), blocks
+
+    (a, na), (b, nb) = cut(left, "a"), cut(right, "b")
+    a = a.withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    b = b.withColumn("ka", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+    return a.join(b, ["ka", "kb"]).select("a", "b", cosine_embedding(F.col("va"), F.col("vb")).alias("similarity"))
 
 
 def embedding_hits(queries: DataFrame, corpus: DataFrame, threshold: float,

@@ -50,3 +50,14 @@ def test_hash_embeddings_unit_norm(spark):
     got = {r["doc_id"]: r["embedding"] for r in hash_embeddings(docs, dim=16).collect()}
     assert len(got[1]) == 16 and abs(np.linalg.norm(got[1]) - 1) < 1e-12
     assert not any(got[2])
+
+
+def test_zero_vectors_qualify_at_a_threshold_of_zero(spark):
+    from doppel.operators.embeddings import embedding_hits
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.6, 0.8])]
+    emb = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    hits = {(r["query_document_id"], r["id"]): round(r["similarity"], 6)
+            for r in embedding_hits(emb, emb, 0.0).collect()}
+    assert hits == {(1, 2): 0.0, (1, 4): 0.6, (2, 1): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 2): 0.0,
+                    (4, 1): 0.6, (4, 2): 0.0}
+    assert embedding_hits(emb, emb.limit(0), -1.0).count() == 0
