@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 4096
 EOS = 2
 #: Entries of a worker's caches of words and of their parts; past it a cache starts anew.
-CACHE_WORDS, CACHE_PARTS = 250_000, 250_000
+CACHE = (250_000, 250_000)
 _JOIN = 256
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 # Latin letters that the tokenizer's normaliser maps one to one, then ASCII punctuation
@@ -29,7 +29,7 @@ class WordEncoder:
     part; any other word goes to the tokenizer as it is.  Ids are held as little-endian uint32.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: tuple[int, int] = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         # the same model for parts, which are normalised and cut already
@@ -37,6 +37,7 @@ class WordEncoder:
         self.light.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.most_words, self.most_parts = cache
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -61,7 +62,7 @@ class WordEncoder:
                 self.parts[p] = ids[s:e].tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
+        if len(self.words) + len(words) > self.most_words:
             self.words.clear()
         plain, parts = [], set()
         for w in words:
@@ -76,7 +77,7 @@ class WordEncoder:
             plain.append((w, *pair))
             parts.update(pair)
         parts.discard(b"")
-        if len(self.parts) + len(parts) > CACHE_PARTS:
+        if len(self.parts) + len(parts) > self.most_parts:
             self.parts.clear()
         self._learn_parts([p for p in parts if p not in self.parts])
         got = self.parts
@@ -110,14 +111,15 @@ def slices(texts, most: int = 1 << 21):
         yield some
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file, so that its cache serves all tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: tuple[int, int] = CACHE) -> WordEncoder:
+    """One encoder per worker process, file and cache size, so that its cache serves all tasks."""
+    key = (path, *cache)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, cache)
+    return _ENCODERS[key]
 
 
 def piece_lengths(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
@@ -127,7 +129,8 @@ def piece_lengths(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         max_tokens: int = MAX_TOKENS, eos_id: int = EOS, keep_ids: bool = True) -> DataFrame:
+         max_tokens: int = MAX_TOKENS, eos_id: int = EOS, keep_ids: bool = True,
+         cache: tuple[int, int] = CACHE) -> DataFrame:
     """Cut each document's ids (with ``eos_id`` at the end) into pieces of power-of-two length.
 
     Columns: ``doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset`` and,
@@ -135,7 +138,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     crosses documents and none needs padding; ``bucket`` is log2 of its length, and batches are
     drawn from one bucket.  ``max_tokens`` must be a power of two.  Tokens are counted and cut in
     the task that reads the document: the operator does not shuffle.  ``sequence_id`` numbers the
-    pieces of a task one after another, so it is unique.
+    pieces of a task one after another, so it is unique.  ``cache`` bounds the words and parts a
+    worker remembers: more of them cost memory (some 200 bytes each) and save tokenizer calls.
 
     A null or empty text is the one id ``eos_id``; a null id and repeated rows are packed like
     any row; an empty table gives an empty result; other columns are ignored.
@@ -145,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     end = np.array([eos_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache)
         for pdf in batches:
             ids, at = pdf["doc_id"], 0
             for some in slices(x or b"" for x in pdf["data"]):
