@@ -18,6 +18,9 @@ LENGTH = 200
 ANCHOR = 32
 _CHUNK = 1 << 22   # bytes handled at once
 _EXPAND = 1 << 21  # context bytes expanded at once
+#: Different contexts of a key that one task expands; those of a key with more are spread.
+MOST_CONTEXTS = 8000
+_CELL = 24         # anchor offsets of a cell of windows of such a key
 _POS = 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -161,8 +164,62 @@ def _index(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return texts.mapInPandas(run, "a bigint, key bigint, ext bigint, pos bigint")
 
 
+def _hashed_windows(contexts: DataFrame, spark: SparkSession, length: int, anchor: int) -> DataFrame:
+    """``(a, first, last)``, one row a window that repeats, for contexts of any number to a key.
+
+    The expansion of ``expand`` in two levels, spread over all tasks.  Equal windows have the anchor
+    at the same offset.  Windows are put into cells by that offset; what all windows of a cell have
+    in common is hashed, and a cell whose core no other context of the key shares is closed.  The
+    windows of open cells are hashed whole.  Both levels are counts by key and hash, map-side first,
+    so contexts of one key never meet in one task.
+    """
+    path = scratch(spark, "contexts")
+    contexts.write.parquet(path)
+    held = spark.read.parquet(path)
+    digest = xxhash.xxh3_64_intdigest
+
+    def frame(rows, columns):
+        out = pd.DataFrame(rows, columns=columns)
+        out["hash"] = out["hash"].to_numpy(np.uint64).view(np.int64)
+        return out
+
+    def offsets(cell, at, data):
+        """Anchor offsets of the cell's windows that are in the context."""
+        return range(max(cell * _CELL, at + length - len(data)), min(cell * _CELL + _CELL - 1, at) + 1)
+
+    def cells(batches):
+        for pdf in batches:
+            rows = []
+            for key, a, first, at, data in zip(pdf["key"], pdf["a"], pdf["first"], pdf["at"], pdf["bytes"]):
+                for cell in range((at + length - len(data)) // _CELL, at // _CELL + 1):
+                    low, high = cell * _CELL, min(cell * _CELL + _CELL - 1, length - anchor)
+                    rows.append((key, cell, digest(data[at - low:at - high + length], cell), a, first))
+            yield frame(rows, ["key", "cell", "hash", "a", "first"])
+
+    def windows(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), 256):
+                rows, some = [], pdf.iloc[s:s + 256]
+                for key, a, first, at, data, own in zip(some["key"], some["a"], some["first"], some["at"],
+                                                        some["bytes"], some["cells"]):
+                    for w in (at - o for cell in own for o in offsets(int(cell), at, data)):
+                        rows.append((key, digest(data[w:w + length], at - w), a, first + w))
+                yield frame(rows, ["key", "hash", "a", "first"])
+
+    found = held.mapInPandas(cells, "key bigint, cell int, hash bigint, a bigint, first bigint")
+    shared = found.groupBy("key", "cell", "hash").count().where("count > 1").drop("count")
+    open_ = (found.join(shared, ["key", "cell", "hash"]).groupBy("a", "first")
+                  .agg(F.collect_list("cell").alias("cells")))
+    path = scratch(spark, "windows")
+    (held.join(open_, ["a", "first"]).select("key", "a", "first", "at", "bytes", "cells")
+         .mapInPandas(windows, "key bigint, hash bigint, a bigint, first bigint").write.parquet(path))
+    each = spark.read.parquet(path)
+    often = each.groupBy("key", "hash").count().where("count > 1").drop("count")
+    return each.join(often, ["key", "hash"]).select("a", "first", F.col("first").alias("last"))
+
+
 def repeated_strings(texts: DataFrame, spark: SparkSession, length: int = LENGTH,
-                     anchor: int = ANCHOR) -> DataFrame:
+                     anchor: int = ANCHOR, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """``(a, spans)``: of each text, runs (first, last) of windows that start elsewhere too.
 
     ``texts`` has distinct texts ``data`` by id ``a``.
@@ -188,35 +245,41 @@ def repeated_strings(texts: DataFrame, spark: SparkSession, length: int = LENGTH
                    .union(mixed.join(many, ["key", "ext"]).select("a", "pos"))
                    .select("a", first.alias("first"), (first + more).alias("last")))
     # the rest: one context of each kind of extent of a key, where some kind occurs once
-    open_keys = kinds.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key")
-    need = (kinds.join(open_keys, "key").groupBy(F.col("rep.a").alias("a"))
-                 .agg(F.collect_list(F.struct("key", F.col("rep.pos").alias("pos"), "n")).alias("need")))
+    open_keys = (kinds.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("kinds"))
+                      .where("least = 1").select("key", (F.col("kinds") > most_contexts).alias("hot"))).checkpoint()
 
     def contexts(batches):
         for pdf in batches:
-            rows = [(x["key"], a, x["n"] > 1, x["pos"] >> 20,
+            rows = [(x["key"], a, x["pos"] >> 20, x["pos"] & 1023,
                      data[x["pos"] >> 20:(x["pos"] >> 20) + (x["pos"] >> 10 & 1023) + length])
                     for a, data, need in zip(pdf["a"], pdf["data"], pdf["need"]) for x in need]
-            yield pd.DataFrame(rows, columns=["key", "a", "done", "first", "bytes"])
+            yield pd.DataFrame(rows, columns=["key", "a", "first", "at", "bytes"])
 
-    around = (texts.join(need, "a").select("a", "data", "need")
-                   .mapInPandas(contexts, "key bigint, a bigint, done boolean, first bigint, bytes binary"))
+    def around(keys):
+        need = (kinds.join(keys.select("key"), "key").groupBy(F.col("rep.a").alias("a"))
+                     .agg(F.collect_list(F.struct("key", F.col("rep.pos").alias("pos"))).alias("need")))
+        return (texts.join(need, "a").select("a", "data", "need")
+                     .mapInPandas(contexts, "key bigint, a bigint, first bigint, at int, bytes binary"))
 
     def test(batches):
         some, size, last = [], 0, None
         for pdf in batches:
-            for key, a, done, at, data in zip(pdf["key"], pdf["a"], pdf["done"], pdf["first"], pdf["bytes"]):
+            for key, a, first, data in zip(pdf["key"], pdf["a"], pdf["first"], pdf["bytes"]):
                 if size >= _EXPAND and key != last:
                     yield pd.DataFrame(_repeated_windows(some, length), columns=["a", "first", "last"])
                     some, size = [], 0
-                some.append((a, at, data))
+                some.append((a, first, data))
                 size += len(data)
                 last = key
         if some:
             yield pd.DataFrame(_repeated_windows(some, length), columns=["a", "first", "last"])
 
-    parts = (around.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-                   .mapInPandas(test, "a bigint, first bigint, last bigint"))
+    parts = (around(open_keys.where("not hot")).select("key", "a", "first", "bytes")
+             .repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+             .mapInPandas(test, "a bigint, first bigint, last bigint"))
+    hot = open_keys.where("hot")
+    if not hot.isEmpty():
+        parts = parts.union(_hashed_windows(around(hot), spark, length, anchor))
     return whole.union(parts).groupBy("a").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -242,7 +305,8 @@ def _cut(data: bytes, spans, length: int) -> tuple[int, int, list[bytes]]:
 
 
 def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                          length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+                          length: int = LENGTH, anchor: int = ANCHOR,
+                          most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per row of ``docs``.
 
     Each byte covered by a string of ``length`` bytes that starts anywhere else too (same document
@@ -253,7 +317,9 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     meet in a shuffle: counts by key, map-side first, then a join that adaptive execution may
     split.  Extents that repeat whole need no more.  What is left, around the ends of repeats,
     sends its few bytes to the key's task, where ``expand`` decides exactly.  Memory there is
-    about 50 times the contexts of one key, each at most 2 * ``length`` bytes and all different.
+    about 50 times the contexts of one key, each at most 2 * ``length`` bytes and all different.  A
+    key with over ``most_contexts`` of them (the edge of a passage that many texts share) is decided
+    by ``_hashed_windows`` instead, with the same result and no task that holds the key.
 
     A null text is empty; a text shorter than ``length`` keeps all; a null id keeps its row;
     repeated rows are copies of each other, so they lose all their bytes from ``length`` on; an
@@ -277,7 +343,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (longer.groupBy("a").agg(F.first("data").alias("data")).write.option("path", path)
            .bucketBy(shuffle_partitions(spark), "a").saveAsTable(name))
     texts = spark.table(name)
-    spans = repeated_strings(texts, spark, length, anchor)
+    spans = repeated_strings(texts, spark, length, anchor, most_contexts)
 
     def cut(batches):
         for pdf in batches:

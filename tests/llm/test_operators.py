@@ -314,9 +314,15 @@ def plain_cut(texts, n):
         yield len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("table", ["odd", "repeats", "empty"])
-def test_repeated_strings(spark, table, request):
-    if table == "repeats":
+@pytest.mark.parametrize("most", [substrings.MOST_CONTEXTS, 0])
+@pytest.mark.parametrize("table", ["odd", "repeats", "passage", "empty"])
+def test_repeated_strings(spark, table, most, request):
+    if table == "passage":  # one passage amid different words, and parts of it
+        rng = np.random.default_rng(8)
+        text = ["".join(rng.choice(list("abcdefgh "), 260)) for _ in range(81)]
+        df = spark.createDataFrame([(i, x[:60 + 4 * i % 200] + text[0][i % 3 * 25:260 - i % 4 * 11] + x[-90:])
+                                    for i, x in enumerate(text[1:])], "doc_id long, text string")
+    elif table == "repeats":
         rng = np.random.default_rng(3)
         base = "".join(rng.choice(list("abc déf"), 1500))
         rows = [base, base[100:900] + "XX" + base[1200:1500], "a" * 700, "ab" * 300, "x" * 199, base[:600] * 2,
@@ -326,7 +332,7 @@ def test_repeated_strings(spark, table, request):
         df = request.getfixturevalue(table)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.select("doc_id", "text").collect()]
     want = Counter((i, *c) for (i, _), c in zip(rows, plain_cut([b for _, b in rows], 200)))
-    assert Counter(tuple(r) for r in substrings.drop_repeated_strings(df).collect()) == want
+    assert Counter(tuple(r) for r in substrings.drop_repeated_strings(df, most_contexts=most).collect()) == want
 
 
 def test_expand_is_exact():
