@@ -21,8 +21,8 @@ LEAF_ROWS = 64      # of the fitting sample
 CALIBRATION = 128
 TARGET = 0.97
 K = 20
-#: Vectors and queries scored by one matrix product.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors of a block, queries scored by one matrix product and queries sent to one task.
+BLOCK, QUERIES, CHUNK = 8192, 2048, 16_384
 _SPARE = 12  # beyond k: candidates of the product that are scored again, exactly
 
 
@@ -229,10 +229,12 @@ def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, shared, k: int,
 def _search(index: DataFrame, queries: DataFrame, shared, visits: int, k: int, kind: str) -> DataFrame:
     """``(qh, cls, score)``: per query class the best k + 1 classes among the leaves it visits.
 
-    Leaves are dealt to groups of neighbouring leaves of about ``BLOCK`` classes, and a group that
-    is larger is cut into blocks by hash; a query goes once to each block of the groups it visits,
-    with the leaves it wants there.
+    Leaves are dealt to groups of neighbouring leaves of about ``BLOCK`` classes.  A group's classes
+    are cut into blocks and the queries that visit it into chunks, both by hash, and each block
+    meets each chunk in one task, which so holds some ``BLOCK`` classes and ``CHUNK`` queries
+    whatever the table's size.  A query goes there with the leaves it wants.
     """
+    spark = index.sparkSession
     sizes = {r[0]: r[1] for r in index.groupBy("leaf").count().collect()}  # as many as leaves
     group, blocks, g, held = {}, {}, 0, 0
     for leaf in range(max(sizes) + 1):
@@ -242,35 +244,36 @@ def _search(index: DataFrame, queries: DataFrame, shared, visits: int, k: int, k
         group[leaf] = g
         held += n
         blocks[g] = -(-held // BLOCK) or 1
-    spark = index.sparkSession
-    plan = spark.sparkContext.broadcast((group, blocks))
-
-    def deal(batches):
-        for pdf in batches:
-            grp, cut = plan.value
-            g = pdf["leaf"].map(grp)
-            yield pdf[["cls", "v", "leaf"]].assign(g=g, b=pdf["h"] % g.map(cut))
-
-    vecs = index.select("cls", "v", "leaf", "h").mapInPandas(
-        deal, f"cls {kind}, v array<double>, leaf bigint, g bigint, b bigint")
+    plan = spark.sparkContext.broadcast(group)
 
     def send(batches):
         for pdf in batches:
-            grp, cut = plan.value
-            cols = {c: [] for c in ("qh", "v", "leaves", "g", "b", "s")}
+            cols = {c: [] for c in ("qh", "v", "leaves", "g", "s")}
             for qh, v, h in zip(pdf["cls"], pdf["v"], pdf["h"]):
                 wanted: dict[int, list[int]] = {}
                 for leaf in shared.value.best_bins(np.asarray(v), visits):
-                    if leaf in grp:
-                        wanted.setdefault(grp[leaf], []).append(leaf)
+                    if leaf in plan.value:
+                        wanted.setdefault(plan.value[leaf], []).append(leaf)
                 for g, leaves in wanted.items():
-                    for b in range(cut[g]):
-                        for c, x in zip(cols, (qh, v, leaves, g, b, h)):
-                            cols[c].append(x)
+                    for c, x in zip(cols, (qh, v, leaves, g, h)):
+                        cols[c].append(x)
             yield pd.DataFrame(cols)
 
     asks = queries.select("cls", "v", "h").mapInPandas(
-        send, f"qh {kind}, v array<double>, leaves array<bigint>, g bigint, b bigint, s bigint")
+        send, f"qh {kind}, v array<double>, leaves array<bigint>, g bigint, s bigint").checkpoint()
+    chunks = {r[0]: -(-r[1] // CHUNK) for r in asks.groupBy("g").count().collect()}  # as many as groups
+    # these two tables have a row for each leaf and group at most
+    of_leaf = F.broadcast(spark.createDataFrame(list(group.items()), "leaf bigint, g bigint"))
+    cuts = F.broadcast(spark.createDataFrame([(g, blocks[g], n) for g, n in chunks.items()],
+                                             "g bigint, blocks bigint, chunks bigint"))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    vecs = index.drop("g").join(of_leaf, "leaf").join(cuts, "g").select(
+        "cls", "v", "leaf", "g", F.pmod("h", "blocks").alias("b"), each("chunks").alias("c"))
+    asks = asks.join(cuts, "g").select(
+        "qh", "v", "leaves", "g", each("blocks").alias("b"), F.pmod("s", "chunks").alias("c"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"qh": [], "cls": [], "score": []}
@@ -284,7 +287,7 @@ def _search(index: DataFrame, queries: DataFrame, shared, visits: int, k: int, k
                         out[name].append(part)
         return pd.DataFrame({name: np.concatenate(v) if v else [] for name, v in out.items()})
 
-    hits = (vecs.groupBy("g", "b").cogroup(asks.groupBy("g", "b"))
+    hits = (vecs.groupBy("g", "b", "c").cogroup(asks.groupBy("g", "b", "c"))
                 .applyInPandas(score, f"qh {kind}, cls {kind}, score double"))
     w = Window.partitionBy("qh").orderBy(F.desc("score"), "cls")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")

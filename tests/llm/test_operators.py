@@ -129,7 +129,10 @@ def test_signature_feels_order_and_repeats(spark):
 
 
 # ------------------------------------------------------------------------- nearest neighbours
-def test_nearest(spark):
+@pytest.mark.parametrize("block, chunk", [(ann.BLOCK, ann.CHUNK), (64, 5)])
+def test_nearest(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "CHUNK", chunk)
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     p = e.toPandas()
     x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
