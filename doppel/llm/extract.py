@@ -134,9 +134,12 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
 
 
 def declared(found: list[tuple[str, str, str]]) -> str | None:
-    """The text of the declared main content: articles, else the main element; else None."""
+    """The text of the declared main content: articles, else the main element; else None.
+
+    Comments, teasers and the like in article elements (zone "off") declare nothing.
+    """
     for part in ("article", "main"):
-        if any(p == part for _, p, _ in found):
+        if any(p == part and zone == "on" for zone, p, _ in found):
             return "\n".join(s for zone, p, s in found if p == part and zone == "on")
     return None
 

@@ -261,6 +261,17 @@ def test_extract_declared_structure():
     assert extract.declared(extract.blocks(PAGE)) == "Title\nOne two three\nFour five <x> a < b\nx\ny\nEnd"
 
 
+def test_extract_articles_that_are_no_main_content(spark):
+    comments = '<section><article class="comment-body"><p>First!</p></article></section>'
+    teasers = '<aside><article><p>Read this too</p></article></aside><div class="related"><article>Or this</article></div>'
+    assert extract.declared(extract.blocks(f"<main><p>Main text</p>{comments}</main>{teasers}")) == "Main text"
+    assert extract.declared(extract.blocks(f"<article>Own</article>{comments}{teasers}")) == "Own"
+    plain = f"<body><div><p>Main text here</p></div>{comments}{teasers}</body>"
+    assert extract.declared(extract.blocks(plain)) is None
+    df = spark.createDataFrame([(1, "http://h/1", plain)], "page_id long, url string, html string")
+    assert [r["text"] for r in extract.extract(df).collect()] == ["Main text here"]
+
+
 def test_extract_by_host_repeats(spark):
     shell = "<body><div>Home News Sports Weather About Us Contact</div><p>{}</p><span>All the news that we could find" \
             "</span><div class=sidebar>s</div>"
