@@ -39,7 +39,8 @@ _SPLITS_P = _BLOCK - {"html", "head", "body"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object|math)\b"
+    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*+/>"  # self-closed: an empty element
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object|math)(?=[\s/>])"
     r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|</?[A-Za-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)

@@ -272,6 +272,15 @@ def test_extract_articles_that_are_no_main_content(spark):
     assert [r["text"] for r in extract.extract(df).collect()] == ["Main text here"]
 
 
+@pytest.mark.parametrize("element", [
+    '<svg-icon name="a"></svg-icon>', "<title-bar></title-bar>", "<math-field/>", '<svg class="i"/>', "<math />", "<SVG/>",
+    '<svg viewBox="0 0 1/2" href="a/b>c"><path d="M0"/><text>t</text></svg>', '<svg a="/>">t</svg>', "<svg\n>t</svg >",
+    "<svg/><svg>t</svg>", "<math><mi>x</mi></math>", "<script>t</script>"])
+def test_extract_raw_elements_end(element):
+    page = f"<article>{element}<p>Main text</p></article><footer><svg></svg><math></math></footer>"
+    assert extract.declared(extract.blocks(page)) == "Main text"
+
+
 def test_extract_by_host_repeats(spark):
     shell = "<body><div>Home News Sports Weather About Us Contact</div><p>{}</p><span>All the news that we could find" \
             "</span><div class=sidebar>s</div>"
