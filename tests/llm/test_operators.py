@@ -295,6 +295,28 @@ def test_extract_by_host_repeats(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_extract_keeps_common_phrases_and_near_copies(spark):
+    def page(i, extra=""):
+        own = " ".join(f"w{i}x{j}" for j in range(60))
+        return f"<div>Home News Sports Weather About Us Contact</div><p>{own}</p><p>{extra}</p>"
+    phrase = "at the end of the long day"
+    pages = {i: page(i) for i in range(60)}
+    pages[0] = page(0, f"He slept {phrase} and so did she")  # a phrase of two pages inside unique blocks
+    pages[1] = page(1, f"They met {phrase} as usual")
+    pages[2] = page(2, f"Only two pages say this whole sentence")  # a block on 2 of 61 distinct pages
+    pages[3] = page(3, f"Only two pages say this whole sentence")
+    pages[60] = page(4).replace("w4x30", "changed")  # a near copy
+    rows = [(i, "http://h/", h) for i, h in pages.items()]
+    rows += [(100, "http://s/", page(7)), (101, "http://s/", page(7).replace("w7x30", "changed"))]  # nothing else there
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract.extract(df).collect()}
+    assert not any("Home" in got[i] for i in range(61))
+    assert f"He slept {phrase} and so did she" in got[0] and f"They met {phrase} as usual" in got[1]
+    assert all("Only two pages say this whole sentence" in got[i] for i in (2, 3))
+    assert len(got[4].split()) == len(got[60].split()) == 60
+    assert "w7x31" in got[100] and "w7x31" in got[101]
+
+
 # ------------------------------------------------------------------------------------- secrets
 def plain_secrets(t):
     t, out = t or "", []
