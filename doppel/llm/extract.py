@@ -1,4 +1,4 @@
-"""Main text of web pages: declared structure, and a host suffix array where there is none."""
+"""Main text of web pages: declared structure, checked against the repeats of a host's suffixes."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ MIN_RUN = 6
 #: ... if it is on this share of the host's distinct pages or more, and on so many at least.
 MIN_SHARE = 0.05
 MIN_PAGES = 2
+#: ... inside declared content, which structure speaks for.
+MIN_PAGES_DECLARED = 5
 #: Near-equal pages are one page: bands of so many rows of a MinHash of the words agree.  With one
 #: word in fifty changed (likeness 0.96) some band does in 98% of pairs, at 0.8 in 1%.
 BANDS, ROWS = 12, 32
@@ -143,17 +145,36 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def declared(found: list[tuple[str, str, str]]) -> str | None:
-    """The text of the declared main content: articles, else the main element; else None.
+def _content(found: list[tuple[str, str, str]]) -> list[str] | None:
+    """The blocks of the declared main content: articles, else the main element; else None.
 
     Comments, teasers and the like in article elements (zone "off") declare nothing.
     """
     for part in ("article", "main"):
         if any(p == part and zone == "on" for zone, p, _ in found):
-            return "\n".join(s for zone, p, s in found if p == part and zone == "on")
+            return [s for zone, p, s in found if p == part and zone == "on"]
     return None
 
 
+def declared(found: list[tuple[str, str, str]]) -> str | None:
+    """The text of the declared main content, or None."""
+    own = _content(found)
+    return None if own is None else "\n".join(own)
+
+
+def _runs(own: list[str], min_run: int) -> list[tuple[int, int]]:
+    """From each block on the fewest whole blocks of ``min_run`` tokens or more: (first, end)."""
+    sizes, out, end, held = [len(s.split()) for s in own], [], 0, 0
+    for i, n in enumerate(sizes):
+        while held < min_run and end < len(own):
+            held, end = held + sizes[end], end + 1
+        if held < min_run:
+            break
+        out.append((i, end))
+        held -= n
+    return out
+
+
 def _host(url: str | None) -> str:
     m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", url or "")
     return m[1].rpartition("@")[2].lower() if m else ""
@@ -192,8 +213,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``.
 
     Blocks inside a declared article (else main element) are the page's text, without menus,
-    headers, footers, sidebars, notices, adverts, forms and comments inside it.  A page that
-    declares none is decided by its host's suffix array.  The token streams of the host's pages
+    headers, footers, sidebars, notices, adverts, forms and comments inside it, and without what
+    its host repeats there.  A page that declares none is decided by its host's suffix array.  The token streams of the host's pages
     outside declared articles are concatenated, without matches across pages.  A substring of
     ``min_run`` tokens or more that repeats on distinct pages is a run of suffixes whose first
     ``min_run`` tokens agree, so suffixes are ordered by those alone: each is a row keyed by host
@@ -201,8 +222,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     on ``min_share`` of the host's distinct pages, and on two at least.  A block goes if such runs
     cover it whole; any other block stays whole, with the ordinary phrases in it.  Near-equal pages
     (``_bands``) are one page, the first of them, so a copied page, edited or not, is no evidence
-    against itself.  Text in declared articles is not judged by repeats: copies of an article on a
-    host are still its text.
+    against itself.  Declared content is judged by the suffixes that start at a block, up to the end
+    of the block that makes them ``min_run`` tokens: whole blocks go that so repeat on ``min_share``
+    of the host's distinct pages, and on ``MIN_PAGES_DECLARED`` at least.  Where nothing would be
+    left, structure prevails and the content stays whole.
 
     Character references are decoded; white space inside a block is one space; blocks are trimmed
     and joined by a newline.  A null or empty page, and one without text, has an empty text; null
@@ -214,23 +237,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def read(batches):
         for pdf in batches:
-            cols = {c: [] for c in ("page_id", "url", "host", "text", "blocks", "suffixes", "bands")}
+            cols = {c: [] for c in ("page_id", "url", "host", "declared", "blocks", "keys", "suffixes", "bands")}
             for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 found, host = blocks(page or ""), _host(url)
-                text = declared(found)
-                own = [s for zone, part, s in found if part != "article" and (text is None or part == "")]
+                content = _content(found)
+                own = [s for zone, part, s in found if part != "article" and (content is None or part == "")]
                 keep = [s if zone == "on" else None for zone, part, s in found
-                        if part != "article" and (text is None or part == "")]
+                        if part != "article" and (content is None or part == "")]
                 tokens = " ".join(own).split()
                 n = max(1, len(tokens) - min_run + 1) if tokens else 0
                 keys = [xxhash.xxh64_intdigest(" ".join(tokens[i:i + min_run])) - (1 << 63) for i in range(n)]
                 cols["page_id"].append(page_id)
                 cols["url"].append(url)
                 cols["host"].append(host)
-                cols["text"].append(text)
+                cols["declared"].append(content is not None)
                 # of a page that declares nothing: its blocks, those of structure's boilerplate as counts
-                cols["blocks"].append(None if text is not None else
+                cols["blocks"].append(content if content is not None else
                                       [s if k is not None else "\0" * len(s.split()) for s, k in zip(own, keep)])
+                cols["keys"].append([xxhash.xxh64_intdigest("\n".join(content[i:j])) - (1 << 63)
+                                     for i, j in _runs(content, min_run)] if content is not None else [])
                 cols["suffixes"].append(keys)
                 cols["bands"].append(_bands(host, " ".join(s for zone, _, s in found if zone == "on").split() or tokens))
             yield pd.DataFrame(cols | {"page_id": pd.Series(cols["page_id"], dtype=pdf["page_id"].dtype)})
@@ -238,8 +263,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.col(html_col).cast("string").alias("html"))
     path = scratch(spark, "pages")
-    src.mapInPandas(read, f"page_id {kind}, url string, host string, text string, blocks array<string>, "
-                          "suffixes array<bigint>, bands array<bigint>") \
+    src.mapInPandas(read, f"page_id {kind}, url string, host string, declared boolean, "
+                          "blocks array<string>, keys array<bigint>, suffixes array<bigint>, bands array<bigint>") \
        .withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     parsed = spark.read.parquet(path)
     # a page that shares a band with an earlier one is near-equal to it and not counted
@@ -251,7 +276,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     runs = (single.select("host", F.explode(F.array_distinct("suffixes")).alias("key"))
                   .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
                   .join(totals, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "key"))
-    open_ = parsed.where("text is null")
+    open_ = parsed.where("not declared")
     hits = (open_.select("row", "host", F.posexplode("suffixes").alias("at", "key"))
                  .join(runs, ["host", "key"]).groupBy("row").agg(F.collect_list("at").alias("ats")))
 
@@ -273,5 +298,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     unique = F.pandas_udf(keep_unique, "string")
     left = (open_.join(hits, "row", "left")
                  .select("page_id", "url", unique("blocks", "ats").alias("text")))
-    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(left)
+
+    # a host has few such keys: (blocks of a page) / min_share at most
+    bad = (single.where("declared").select("host", F.explode(F.array_distinct("keys")).alias("key"))
+                 .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES_DECLARED)
+                 .join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
+                 .select("host", "key").checkpoint())
+    lists = bad.groupBy("host").agg(F.collect_list("key").alias("bad"))
+    if bad.count() <= SMALL:
+        lists = F.broadcast(lists)
+
+    def drop_repeats(texts: pd.Series, keys: pd.Series, bad: pd.Series) -> pd.Series:
+        out = []
+        for own, key, gone in zip(texts, keys, bad):
+            left, gone = list(own), set(gone if gone is not None else ())
+            if not gone.isdisjoint(key):
+                for k, (i, j) in zip(key, _runs(list(own), min_run)):
+                    if k in gone:
+                        left[i:j] = [None] * (j - i)
+                left = [s for s in left if s is not None] or own
+            out.append("\n".join(left))
+        return pd.Series(out)
+
+    judged = F.pandas_udf(drop_repeats, "string")
+    out = (parsed.where("declared").join(lists, "host", "left")
+                 .select("page_id", "url", judged("blocks", "keys", "bad").alias("text")).unionByName(left))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -317,6 +317,23 @@ def test_extract_keeps_common_phrases_and_near_copies(spark):
     assert "w7x31" in got[100] and "w7x31" in got[101]
 
 
+def test_extract_judges_declared_content_by_repeats(spark):
+    line = "Sign our petition to save the old harbour"
+    share = "<ul><li>Send this</li><li>to a friend</li><li>or print it</li></ul>"
+
+    def page(i, extra=""):
+        return f"<article><h1>T{i}</h1><p>" + " ".join(f"w{i}x{j}" for j in range(60)) + f"</p>{extra}</article>"
+    rows = [(i, page(i, f"<p class=x>{line}</p>{share}" if i < 6 else "<p>Four pages of this host say these words</p>"
+                     if i < 10 else "")) for i in range(40)]
+    rows += [(100 + i, page(50).replace(f"w50x{i}", "changed")) for i in range(9)]  # one article, edited
+    rows += [(200, f"<main><p>{line}</p></main>")]  # nothing else is left of it
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extract.extract(df).collect()}
+    assert all(len(got[i]) == 2 and len(got[i][1].split()) == 60 for i in [*range(6), *range(10, 40)])
+    assert all(got[i][2] == "Four pages of this host say these words" for i in range(6, 10))
+    assert all(len(got[100 + i][1].split()) == 60 for i in range(9)) and got[200] == [line]
+
+
 # ------------------------------------------------------------------------------------- secrets
 def plain_secrets(t):
     t, out = t or "", []
