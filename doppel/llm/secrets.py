@@ -23,10 +23,12 @@ WINDOW = 20
 #: bits a character).  A random window of 20 has about 3.5 bits in hex and 4.1 in base 64.
 CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.7),
            ("base64", "^[A-Za-z0-9+/_=-]+$", 3.9))
-#: A candidate that matches one of these is no secret: one case of letters only (words and
-#: headings), words joined by - or _ or /, numbers and dates, uuids, placeholders.
+#: A placeholder is no part of a secret; what stands before and after it is judged by itself.
+PLACEHOLDER = r"(?i)(example|placeholder|x{6,}|0{8,})"
+#: A run that matches one of these is no secret: one case of letters only (words and headings),
+#: words joined by - or _ or /, numbers and dates, uuids, placeholders.
 ALLOW = (r"^[A-Z]?[a-z]+$", r"^[A-Z]+$", r"^[A-Za-z]*[-_/+=][-A-Za-z_/+=]*$", r"^[0-9][0-9_/+=-]*$",
-         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)(example|placeholder|x{6,}|0{8,})")
+         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", PLACEHOLDER)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -91,19 +93,32 @@ def _top_entropy(value: Column) -> Column:
     return F.aggregate(steps, start, step, lambda a: F.lit(math.log2(WINDOW)) - a["low"] / WINDOW)
 
 
+def _class_runs(value: Column) -> Column:
+    """Structs (run, least): per class the longest stretches of ``value`` in it that hold a window.
+
+    A window's class is the first that holds it, and that has the least entropy, so the windows of
+    a run can all be judged by the run's class: those of an earlier class are in its runs too.
+    """
+    pieces = F.split(value, PLACEHOLDER, -1)
+
+    def runs(pattern, least):
+        own = F.flatten(F.transform(pieces, lambda x: F.regexp_extract_all(
+            x, F.lit(f"{pattern.strip('^+$')}{{{WINDOW},}}"), F.lit(0))))
+        return F.transform(own, lambda r: F.struct(r.alias("run"), F.lit(least).alias("least")))
+
+    return F.concat(*[runs(pattern, least) for _name, pattern, least in CLASSES])
+
+
 def _entropy(text: Column) -> Column:
-    """Candidates that no allow-list entry matches and whose best window passes its class."""
-    def passes(m):
-        v = m["value"]
+    """Candidates with a run of one class that no allow-list entry matches and whose best window
+    passes that class."""
+    def passes(r):
         allowed = F.lit(False)
         for pattern in ALLOW:
-            allowed = allowed | v.rlike(pattern)
-        least = F.lit(99.0)
-        for _name, pattern, bits in reversed(CLASSES):
-            least = F.when(v.rlike(pattern), bits).otherwise(least)
-        return ~allowed & (_top_entropy(v) >= least)
+            allowed = allowed | r["run"].rlike(pattern)
+        return ~allowed & (_top_entropy(r["run"]) >= r["least"])
 
-    return F.filter(_matches(text, CANDIDATE), passes)
+    return F.filter(_matches(text, CANDIDATE), lambda m: F.exists(_class_runs(m["value"]), passes))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -111,8 +126,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``assign``, ``access`` and ``hex`` are the matches of the fixed patterns, leftmost and not
     overlapping per kind.  ``entropy`` adds candidate strings (``CANDIDATE``) in which some window
-    of ``WINDOW`` characters reaches the entropy set for its character class, unless the allow
-    list names it.  Positions count code points, ends are exclusive.  Every document is scanned
+    of ``WINDOW`` characters reaches the entropy set for its own character class, unless the allow
+    list names the run of that class around it.  So what a key is joined to does not hide it.  Positions count code points, ends are exclusive.  Every document is scanned
     whole in the task that reads it; nothing is shuffled.
 
     A null or empty text has an empty array; null ids and repeated rows are rows like any; an
