@@ -23,7 +23,6 @@ TARGET = 0.97
 K = 20
 #: Vectors of a block, queries scored by one matrix product and queries sent to one task.
 BLOCK, QUERIES, CHUNK = 8192, 2048, 16_384
-_SPARE = 12  # beyond k: candidates of the product that are scored again, exactly
 
 
 @dataclass
@@ -110,16 +109,20 @@ def _matrix(col: pd.Series) -> np.ndarray:
 def _top(q: np.ndarray, x: np.ndarray, classes: np.ndarray, allowed: np.ndarray | None, k: int):
     """Per query the best ``k`` rows of ``x`` by exact inner product: (class ids, scores).
 
-    The matrix product only picks some more than k; these are scored one by one, in a way that
-    does not depend on a row's place in the block, so equal products tie.
+    The matrix product only picks the rows that can be among the best k, given the rounding of
+    both sums, however many tie there; these are scored one by one, in a way that does not depend
+    on a row's place in the block, so equal products tie.
     """
     s = q @ x.T
     if allowed is not None:
         s[~allowed] = -np.inf
-    m = min(len(x), k + _SPARE)
-    pick = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+    at = max(0, len(x) - k)
+    # each of the two sums is off by eps * (length + 2) * |q| * |x| at most
+    slack = 8 * np.finfo(float).eps * (x.shape[1] + 2) * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    least = np.partition(s, at, axis=1)[:, at] - slack
+    least[np.isnan(least)] = -np.inf
     for i in range(len(q)):
-        own = pick[i][s[i, pick[i]] > -np.inf]
+        own = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
         exact = (x[own] * q[i]).sum(1)
         order = np.lexsort((classes[own], -exact))[:k]
         yield classes[own][order], exact[order]

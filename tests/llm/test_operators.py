@@ -151,6 +151,20 @@ def test_nearest(spark, monkeypatch, block, chunk):
     assert hit / total >= 0.9
 
 
+def test_top_keeps_all_ties():
+    rng = np.random.default_rng(0)
+    x, q = rng.choice([-1.0, 1.0], (3000, 24)), rng.choice([-1.0, 1.0], (50, 24))
+    ids, allowed = rng.permutation(3000), rng.random((50, 3000)) < 0.5
+    allowed[0] = np.arange(3000) < 7
+    for scale in (1.0, 0.1):  # 0.1: sums that tie but for their rounding
+        for mask in (None, allowed):
+            for i, (own, score) in enumerate(ann._top(q * scale, x * scale, ids, mask, 21)):
+                some = np.arange(3000) if mask is None else np.flatnonzero(mask[i])
+                exact = (x[some] * scale * (q[i] * scale)).sum(1)
+                order = np.lexsort((ids[some], -exact))[:21]
+                assert own.tolist() == ids[some][order].tolist() and score.tolist() == exact[order].tolist()
+
+
 def test_nearest_odd_vectors_and_copies(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]),
             (160, [None, 1.0]), (180, [1.0, 2.0, 3.0]), (200, [-1.0, 0.5]), (None, [1.0, 1.0]), (0, [1.0, 2.0])]
