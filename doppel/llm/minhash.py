@@ -30,8 +30,10 @@ def add_signature(df: DataFrame, text_col: str, name: str, kmer: int = KMER,
     of (k-mer, number) names a tuple by its first bits and a rank in it by the others.  Each tuple
     takes its ``pick`` lowest ranks, puts them back in text order and hashes them in that order:
     moved text changes it, equal text does not.  One hash split over the tuples stands for one
-    hash function per tuple.  A tuple without k-mers has no entry.  A text of fewer than ``kmer``
-    words is one k-mer.  All steps run inside the row; the sorts make it n log n.
+    hash function per tuple.  A tuple of fewer than ``pick`` k-mers takes the next ones by hash, round
+    to the first, so that in short texts too every tuple has an order.  A text of fewer than ``kmer``
+    words is one k-mer, and one without words has no entry.  All steps run inside the row; the sorts
+    make it n log n.
     """
     text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WHITE))
     own = [c for c in df.columns if c != name]
@@ -64,16 +66,36 @@ def add_signature(df: DataFrame, text_col: str, name: str, kmer: int = KMER,
     df = df.withColumn("_t", F.filter(at, lambda i: (i == 0) | (tuple_of(F.get("_c", i))
                                                                  != tuple_of(F.get("_c", i - 1)))))
 
-    def entry(first, j):
-        run = F.slice("_c", first + 1, F.coalesce(F.get("_t", j + 1), F.size("_c")) - first)
+    # the first ones again after the last, for tuples that are filled up from there
+    df = df.withColumn("_r", F.concat("_c", F.slice("_c", 1, F.greatest(F.lit(0), F.least(
+        F.lit(pick - 1), F.size("_c") - pick + 1)))))
+    half = 1 << (tuple_bits - 1)
+
+    def signed(x):  # tuple numbers in the order of the sorted hashes, which are signed
+        return F.shiftright(x, 64 - tuple_bits).cast("int")
+
+    def kmers_hash(first):
         # position first, so that sorting restores text order
-        order = F.array_sort(F.transform(run, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 64 - _POS)
-                                         .bitwiseOR(_top(x))))
+        order = F.array_sort(F.transform(F.slice("_r", first + 1, pick), lambda x: F.shiftleft(
+            x.bitwiseAND(F.lit(_LOW)), 64 - _POS).bitwiseOR(_top(x))))
         kmers = F.transform(order, lambda x: x.bitwiseAND(F.lit((1 << (64 - _POS)) - 1)))
-        h = F.shiftrightunsigned(F.xxhash64(kmers), 48)
-        return F.shiftleft(tuple_of(F.get("_c", first)), 16).bitwiseOR(h).cast("int")
-
-    return df.withColumn(name, F.transform("_t", entry)).select(*own, name)
+        return F.shiftrightunsigned(F.xxhash64(kmers), 48)
+
+    def entries(low, high, h):
+        return F.transform(F.sequence(low, high), lambda t: F.shiftleft(
+            t.bitwiseAND(F.lit((1 << tuple_bits) - 1)), 16).bitwiseOR(h.cast("int")))
+
+    # tuples after the one before and up to this one start with the same k-mer; so do the last ones
+    # and the first
+    df = df.withColumn("_h", F.transform("_t", kmers_hash))
+    last = signed(F.element_at("_c", -1))
+    out = F.flatten(F.transform("_t", lambda first, j: entries(
+        F.when(j == 0, F.lit(-half)).otherwise(signed(F.get("_c", first - 1)) + 1), signed(F.get("_c", first)),
+        F.get("_h", j))))
+    rest = F.when(last < half - 1, entries(last + 1, F.lit(half - 1), F.get("_h", F.lit(0))))
+    none = F.array().cast("array<int>")
+    out = F.when(F.size("_c") > 0, F.concat(out, F.coalesce(rest, none))).otherwise(none)
+    return df.withColumn(name, out).select(*own, name)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -128,6 +128,19 @@ def test_signature_feels_order_and_repeats(spark):
     assert s[0] == s[3] and s[0] != s[1] and s[0] != s[2]
 
 
+def test_signature_of_short_texts_feels_order(spark):
+    texts = [[f"w{i}x{j}" for j in range(52)] for i in range(20)]
+    rows = [(" ".join(w), " ".join(w[26:] + w[:26])) for w in texts] + [("a", " "), ("a b c d", "a b c d"), (" ", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = minhash.add_signature(minhash.add_signature(df, "a", "s"), "b", "t")
+    got = df.select("s", "t", minhash.likeness(F.col("s"), F.col("t")).alias("near")).collect()
+    assert all([x >> 16 for x in sig] == [*range(32, 64), *range(32)] for r in got[:20] for sig in (r["s"], r["t"]))
+    assert np.mean([r["near"] for r in got[:20]]) < 0.6  # two halves change places: half of all pairs do
+    assert len(got[20]["s"]) == 64 and got[20]["t"] == [] and got[20]["near"] == 0
+    assert got[21]["near"] == 1 and len({x & 0xffff for x in got[21]["s"]}) == 1  # two k-mers have one order
+    assert got[22]["near"] == 1 and got[22]["s"] == []
+
+
 # ------------------------------------------------------------------------- nearest neighbours
 @pytest.mark.parametrize("block, chunk", [(ann.BLOCK, ann.CHUNK), (64, 5)])
 def test_nearest(spark, monkeypatch, block, chunk):
