@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import ann, extract, langid, lines, minhash, mixing, packing, secrets, simhash, substrings
+from doppel.llm import (ann, extract, jaccard, langid, lines, minhash, mixing, packing, runs, secrets, simhash,
+                        substrings, whitening)
 from doppel.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,9 +77,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "held_out", "lang_pred", "score", "lang_ambiguous")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = runs.periodic_runs(docs)
+    line = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                    F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return r.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_order_minhash, op3_nearest, op4_line_dedup, op5_packing,
-                                    op6_mixing, op7_html, op8_secrets, op9_substrings, op10_langid)}
+                                    op6_mixing, op7_html, op8_secrets, op9_substrings, op10_langid,
+                                    op11_runs, op12_jaccard, op13_whitening)}
 
 
 OP4_SQL = f"""
