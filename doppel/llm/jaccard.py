@@ -91,14 +91,14 @@ def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def _frequent(reps: DataFrame, percent: int) -> tuple[np.ndarray, dict[int, float]]:
     """(frequent shingles, looked-at pairs of the others by size class).
 
-    Counted are the lowest hashes of every set, twice as many as its prefix holds: so all shingles
-    that can be in a prefix as long as no more than half of them are frequent.  Which shingles come
-    last only moves work, never a result.  If over ``MOST_FREQUENT`` shingles pass, those of the
-    highest counts are taken, by powers of two.
+    Counted are the lowest hashes of every set, half as many again as its prefix holds: so all that can
+    be in a prefix as long as no more than a third of them are frequent.  Which shingles come last only
+    moves work, never a result.  If over ``MOST_FREQUENT`` shingles pass, those of the highest counts
+    are taken, by powers of two.
     """
-    span = (2 * (F.col("n") - _least(F.col("n"), percent) + 2)).cast("int")
+    span = (F.floor((F.col("n") - _least(F.col("n"), percent) + 2) * 3 / 2)).cast("int")
     low = reps.select("n", F.explode(F.slice("hashes", F.lit(1), span)).alias("key"))
-    counts = (low.groupBy("key").agg(F.count("*").alias("c"), F.avg("n").alias("n")).where("c > 1")
+    counts = (low.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c > 1")
                  .checkpoint())
     power = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))).cast("int")
     by_power = {r["p"]: r["k"] for r in counts.where(F.col("c") > FREQUENT).groupBy(power.alias("p"))
@@ -224,11 +224,15 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
         df.write.parquet(paths[-1])
         return spark.read.parquet(paths[-1])
 
-    posts = written(_postings(reps, frequent, bound, percent), "jaccard-postings")
-    lists = (posts.groupBy("key", "held").agg(F.min(F.struct("pos", "sid", "n")).alias("p"), F.count("*").alias("m"))
-                  .where("m > 1").select("key", "held", F.col("p.pos").alias("p_pos"), F.col("p.sid").alias("p_sid"),
-                                         F.col("p.n").alias("p_n"), F.col("held").alias("p_held")).checkpoint())
-    met = written(posts.join(lists, ["key", "held"]), "jaccard-lists")
+    # most lists hold one set: only keys cross the shuffle that finds the others, and the postings are
+    # made twice rather than written whole
+    posts = _postings(reps, frequent, bound, percent)
+    shared = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key").checkpoint()
+    posts = written(_semi(posts, shared, "key"), "jaccard-postings")
+    firsts = (posts.groupBy("key", "held").agg(F.min(F.struct("pos", "sid", "n")).alias("p"))
+                   .select("key", "held", F.col("p.pos").alias("p_pos"), F.col("p.sid").alias("p_sid"),
+                           F.col("p.n").alias("p_n"), F.col("held").alias("p_held")).checkpoint())
+    met = written(posts.join(firsts, ["key", "held"]), "jaccard-lists")
     star = met.where("sid <> p_sid").where(_can_link("", "p_", percent))
     first = _linked(star.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")),
                     reps, percent)
