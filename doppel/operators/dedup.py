@@ -79,7 +79,7 @@ def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfMode
     rest = new_docs.join(exact.select(id_col), id_col, "left_anti")
     parts = [exact_rows]
     if model is not None:
-        vecs = model.transform(rest, id_col)
+        vecs = keep(model.transform(rest, id_col))
         hits = threshold_join(vecs, model.vectors, model.vocabulary, tfidf_threshold, id_col,
                               n_right=model.n_docs)
         ranked = rank_hits(hits.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"),

@@ -4,20 +4,25 @@ Plan
 ----
 1. **Prefix filter** (AllPairs, Bayardo et al. 2007).  Terms are put in one global order, rare
    first.  In every vector the trailing run of common terms whose squared norm stays below
-   ``t**2`` is left out of the index; the rest is the *prefix*.  Two vectors whose prefixes
-   share no term have cosine < t, so an equi-join of prefixes on ``term_id`` (plus an optional
-   blocking key such as a cluster id) yields every pair that can qualify.  The suffix sums come
-   from a window partitioned by document; vectors produced by ``groupBy(doc)`` are already
-   hash-partitioned by document, so that window adds no shuffle.
-2. **Verification by block pair.**  Candidates are routed to ``(block(a), block(b))`` with
-   ``block = pmod(xxhash64(id), B)`` and ``B = ceil(n / block_rows)``, so one group holds at most
-   about ``block_rows`` vectors per side whatever the corpus size.  The vectors a group needs are
-   shipped once per group (not once per candidate) and ``cogroup(...).applyInPandas`` computes the
-   exact dot products with numpy.  Only pairs scoring ``>= t`` leave the group.
-3. Exact copies (identical vectors) are collapsed to one representative before the join and
+   ``t**2`` is left out of the index; the rest is the *prefix*.  Two vectors whose prefixes share no
+   term have cosine < t.  A posting carries the norm of its vector from its term on: where two vectors
+   meet first, the product of these norms bounds their cosine, so a meeting whose product is below
+   ``t`` is dropped at once (a pair that can qualify is found by its first shared term).
+2. **Dense or sparse.**  ``sum(df_left * df_right)`` over the prefix terms is the number of meetings,
+   known from term counts alone, before any pair is made.  If it is a good part of all pairs (per
+   blocking key), candidates cannot pay: the vectors are cut into hash blocks of at most about
+   ``block_rows`` and every pair of blocks is one float32 matrix product, whose entries near ``t`` are
+   recomputed in float64.  A self-join forms each unordered pair of blocks once.
+3. **Split posting lists.**  Else postings meet on ``term_id``.  A term with more than ``list_rows``
+   postings is cut into sub-lists by a hash of the id, and sub-lists meet pairwise on
+   ``(term_id, i, j)``, so no key of the join has more than about ``list_rows`` rows on a side, however
+   common a term is.  The join is in the plan once; its pairs are made distinct per pair of blocks and
+   verified there: the vectors a group needs are shipped once per group, not once per candidate.
+4. Exact copies (identical vectors) are collapsed to one representative before the join and
    expanded afterwards, so a hot group of copies costs one vector in the join.
 
-Scores are clamped to [0, 1] like the reference's TF-IDF cosine; zero vectors never match.
+At ``t <= 0`` nothing can be left out: every pair of blocks is scored, zero vectors included.
+Scores are clamped to [0, 1] like the reference's TF-IDF cosine; zero vectors score 0.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ from doppel.session import keep
 
 
 PREFIX_EPS = 1e-9  # keep a little more of each prefix than needed, to absorb rounding
-BROADCAST_ORDER_LIMIT = 2_000_000  # vocabulary rows up to which the term order is broadcast
+ORDER_LOOKUP_ROWS = 2_000_000  # term ids up to which the term order is broadcast: 4 bytes each
+LIST_ROWS = 1024  # postings of a term beyond which its list is cut
+SPLIT_TERMS_ROWS = 500_000  # cut terms (16 bytes each) up to which they are broadcast
 
 
 def _block(col: str, n_blocks: int) -> F.Column:
@@ -63,25 +70,97 @@ def _with_blocks(vecs: DataFrame, id_col: str, block_key: str | None, n: int | N
 def prefix_postings(vectors: DataFrame, order: DataFrame, threshold: float,
                     id_col: str, extra_cols: list[str] | None = None,
                     order_rows: int | None = None) -> DataFrame:
-    """Postings of each vector's indexed prefix: (id, term_id, *extra_cols)."""
+    """Postings of each vector's indexed prefix: (id, *extra_cols, term_id, norm).
+
+    ``norm`` is that of the vector's weights from this term on, in the order rare to common.  The order
+    is looked up inside the tasks where it is small (checked); an uncapped vocabulary is joined.
+    """
     cols = [id_col, *(extra_cols or [])]
+    least = threshold * threshold - PREFIX_EPS
+    if order_rows is not None and order_rows <= ORDER_LOOKUP_ROWS:
+        known = order.select("term_id", "order_rank").toPandas()  # within the bound
+        rank_of = np.zeros(int(known["term_id"].max()) + 1 if len(known) else 1, np.int32)
+        rank_of[known["term_id"].to_numpy()] = known["order_rank"].to_numpy()
+        shared = vectors.sparkSession.sparkContext.broadcast(rank_of)
+
+        @F.pandas_udf("terms array<int>, norms array<double>")
+        def cut(term_ids: pd.Series, weights: pd.Series) -> pd.DataFrame:
+            ranks = shared.value
+            out = {"terms": [], "norms": []}
+            for ids, w in zip(term_ids, weights):
+                ids, w = np.asarray(ids, np.int64), np.asarray(w, np.float64)
+                common_first = np.argsort(-ranks[ids], kind="stable")
+                tail = np.cumsum(w[common_first] ** 2)
+                kept = tail >= least
+                out["terms"].append(ids[common_first][kept].astype(np.int32))
+                out["norms"].append(np.sqrt(tail[kept]))
+            return pd.DataFrame(out)
+
+        lists = vectors.select(*cols, cut("term_ids", "weights").alias("p"))
+        return (lists.select(*cols, F.explode(F.arrays_zip("p.terms", "p.norms")).alias("q"))
+                .select(*cols, F.col("q.terms").alias("term_id"), F.col("q.norms").alias("norm")))
     long = (vectors.select(*cols, F.explode(F.arrays_zip("term_ids", "weights")).alias("p"))
             .select(*cols, F.col("p.term_ids").alias("term_id"), F.col("p.weights").alias("weight")))
-    # ``order`` is the vocabulary: at most max_features rows, a proven-small broadcast side.
-    # Without a cap (order_rows unknown or above the limit) it is joined with a shuffle.
-    small = order_rows is not None and order_rows <= BROADCAST_ORDER_LIMIT
-    ranks = order.select("term_id", "order_rank")
-    ranked = long.join(F.broadcast(ranks) if small else ranks, "term_id")
+    ranked = long.join(order.select("term_id", "order_rank"), "term_id")
     suffix = Window.partitionBy(id_col).orderBy(F.desc("order_rank")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return (ranked.withColumn("suffix_sq", F.sum(F.col("weight") * F.col("weight")).over(suffix))
-            .where(F.col("suffix_sq") >= F.lit(threshold * threshold - PREFIX_EPS))
-            .select(*cols, "term_id"))
+    return (ranked.withColumn("tail", F.sum(F.col("weight") * F.col("weight")).over(suffix))
+            .where(F.col("tail") >= F.lit(least))
+            .select(*cols, "term_id", F.sqrt("tail").alias("norm")))
+
+
+def _term_counts(left: DataFrame, right: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(term_id, *extra, n_l, n_r): postings of each term on both sides (the same side twice if one)."""
+    n_l = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_l"))
+    if right is None:
+        return n_l.withColumn("n_r", F.col("n_l"))
+    return n_l.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_r")), keys)
+
+
+def meetings(pl: DataFrame, pr: DataFrame | None, counts: DataFrame, threshold: float,
+             extra: list[str], exclude_same_id: bool, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(ba, bb, *extra, a, b) for each meeting of two postings that can be a qualifying pair's first.
+
+    ``pl`` and ``pr`` are (doc, blk, *extra, term_id, norm); ``pr=None`` is a self-join, a < b.
+    """
+    key = ["term_id", *extra]
+    cut = counts.where((F.col("n_l") > list_rows) | (F.col("n_r") > list_rows)).select(
+        *key, *[F.ceil(F.col(c) / list_rows).cast("int").alias(f"s_{c}") for c in ("n_l", "n_r")])
+    cut = keep(cut)
+    cut = F.broadcast(cut) if cut.count() <= SPLIT_TERMS_ROWS else cut
+
+    def dealt(side: DataFrame, n_own: str, own: str, other: str, last) -> DataFrame:
+        """Every posting in its own sub-list, once for each sub-list of the other side it meets."""
+        out = side.join(cut, key, "left")
+        out = out.withColumn(own, F.pmod(F.xxhash64("doc"), F.coalesce(F.col(n_own), F.lit(1))).cast("int"))
+        return out.withColumn(other, F.explode(last)).drop("s_n_l", "s_n_r")
+
+    one = F.lit(1)
+    self_join = pr is None
+    if self_join:  # sub-list i meets sub-list j for i <= j
+        x = dealt(pl, "s_n_l", "i", "j", F.sequence("i", F.coalesce("s_n_l", one) - 1))
+        y = dealt(pl, "s_n_l", "j", "i", F.sequence(F.lit(0), F.col("j")))
+    else:
+        x = dealt(pl, "s_n_l", "i", "j", F.sequence(F.lit(0), F.coalesce("s_n_r", one) - 1))
+        y = dealt(pr, "s_n_r", "j", "i", F.sequence(F.lit(0), F.coalesce("s_n_l", one) - 1))
+    x = x.select(*key, "i", "j", F.col("doc").alias("a"), F.col("blk").alias("ba"), F.col("norm").alias("na"))
+    y = y.select(*key, "i", "j", F.col("doc").alias("b"), F.col("blk").alias("bb"), F.col("norm").alias("nb"))
+    met = x.join(y, [*key, "i", "j"]).where(F.col("na") * F.col("nb") >= threshold - PREFIX_EPS)
+    if self_join:
+        met = met.where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where("a <> b")
+        swap = F.col("a") > F.col("b")
+        met = met.select(*extra, *[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p)
+                                   for p, q in (("ba", "bb"), ("bb", "ba"), ("a", "b"), ("b", "a"))])
+    elif exclude_same_id:
+        met = met.where("a <> b")
+    return met.select("ba", "bb", *extra, "a", "b")
 
 
-def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
+def _verify_groups(cands: DataFrame | None, routed: DataFrame, threshold: float,
                    id_type: T.DataType, clamp: bool, keys: list[str], pair_rule: str) -> DataFrame:
-    """cands (ba, bb, a, b); routed (ba, bb, side, doc, term_ids, weights) -> (a, b, similarity).
+    """cands (ba, bb, a, b); routed (ba, bb, side, doc, blk, term_ids, weights) -> (a, b, similarity).
+
+    Without candidates every pair of the two blocks is scored.
 
     Per block pair: the right-side vectors become one dense matrix over the columns they use;
     the left-side vectors stay sparse (CSR).  Candidate scores are then one vectorised gather and
@@ -145,18 +224,30 @@ def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
         # for those entries only: the same result as a float64 product, about twice as fast.
         approx = lm.astype(np.float32) @ rm.astype(np.float32).T
         ia, ib = np.nonzero(approx >= t - 1e-3)
-        scores = np.einsum("ij,ij->i", lm[ia], rm[ib]) if len(ia) else np.zeros(0)
+        if len(ia) > 8 * len(left):  # at a low threshold that is most pairs
+            scores = (lm @ rm.T)[ia, ib]
+        else:
+            scores = np.empty(len(ia))
+            for at in range(0, len(ia), 512):
+                to = at + 512
+                scores[at:to] = np.einsum("ij,ij->i", lm[ia[at:to]], rm[ib[at:to]])
         if clamp:
             np.clip(scores, 0.0, 1.0, out=scores)
         ok = scores >= t
         ia, ib, scores = ia[ok], ib[ok], scores[ok]
         a_ids = left["doc"].to_numpy()[ia]
         b_ids = right["doc"].to_numpy()[ib]
-        keep = (a_ids < b_ids) if pair_rule == "lt" else (a_ids != b_ids) if pair_rule == "ne" \
-            else np.ones(len(ia), dtype=bool)
+        keep = np.ones(len(ia), dtype=bool)
+        if pair_rule == "lt":  # a block meets itself once: each pair is there twice
+            keep = (a_ids < b_ids) | ((left["blk"].iloc[0] != right["blk"].iloc[0]) & (a_ids != b_ids))
+        elif pair_rule == "ne":
+            keep = a_ids != b_ids
         if not keep.any():
             return empty()
-        return pd.DataFrame({"a": a_ids[keep], "b": b_ids[keep], "similarity": scores[keep]})
+        a_ids, b_ids, scores = a_ids[keep], b_ids[keep], scores[keep]
+        if pair_rule == "lt":
+            a_ids, b_ids = np.where(a_ids < b_ids, a_ids, b_ids), np.where(a_ids < b_ids, b_ids, a_ids)
+        return pd.DataFrame({"a": a_ids, "b": b_ids, "similarity": scores})
 
     def verify(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
         if vecs.empty:
@@ -166,7 +257,7 @@ def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
         if left.empty or right.empty:
             return empty()
         if pairs.empty:
-            return whole_block_pair(left, right)
+            return empty()
         r_ids = [np.asarray(x, dtype=np.int64) for x in right["term_ids"]]
         r_w = [np.asarray(x, dtype=np.float64) for x in right["weights"]]
         r_len = np.fromiter((len(x) for x in r_ids), dtype=np.int64, count=len(r_ids))
@@ -204,6 +295,12 @@ def _verify_groups(cands: DataFrame, routed: DataFrame, threshold: float,
                              "b": right["doc"].to_numpy()[ib[keep]],
                              "similarity": scores[keep]})
 
+    def score_all(vecs: pd.DataFrame) -> pd.DataFrame:
+        left, right = vecs[vecs["side"] == 0], vecs[vecs["side"] == 1]
+        return empty() if left.empty or right.empty else whole_block_pair(left, right)
+
+    if cands is None:
+        return routed.groupBy(*keys).applyInPandas(score_all, schema)
     return (cands.groupBy(*keys)
             .cogroup(routed.groupBy(*keys))
             .applyInPandas(verify, schema))
@@ -214,85 +311,138 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
                    n_left: int | None = None, n_right: int | None = None,
                    block_rows: int = 1024, exclude_same_id: bool = True,
                    clamp: bool = True, dense_ratio: float = 0.1,
-                   order_rows: int | None = None) -> DataFrame:
+                   order_rows: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """All pairs with cosine >= threshold between array-form vectors.
 
     ``right=None`` is a self-join returning each unordered pair once as ``a < b``.  Otherwise every
     (left, right) pair is returned, except equal ids when ``exclude_same_id``.  ``block_key`` is an
-    extra equality key (cluster id) both sides must share.  Output: (a, b, similarity).
+    extra equality key (cluster id) both sides must share.  At ``threshold <= 0`` zero vectors, which
+    score 0, take part like all others.  Output: (a, b, similarity).
     """
-    if threshold <= 0:
-        raise ValueError("threshold must be > 0: at t <= 0 every pair qualifies")
     self_join = right is None
-    right = left if self_join else right
     extra = [block_key] if block_key else []
     id_type = left.schema[id_col].dataType
 
-    # Zero vectors never reach a positive threshold.
-    left = _with_blocks(left.where(F.size("term_ids") > 0), id_col, block_key, n_left, block_rows)
-    right = left if self_join else \
-        _with_blocks(right.where(F.size("term_ids") > 0), id_col, block_key, n_right, block_rows)
+    def prepared(side: DataFrame, n: int | None) -> DataFrame:
+        side = side if threshold <= 0 else side.where(F.size("term_ids") > 0)
+        return _with_blocks(side, id_col, block_key, n, block_rows).select(
+            F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
+
+    lv = prepared(left, n_left)
+    rv = lv if self_join else prepared(right, n_right)
+    if threshold <= 0:
+        return _all_blocks(lv, None if self_join else rv, threshold, extra, id_type, clamp, exclude_same_id)
 
-    carry = extra + ["blk"]
     order_rows = order_rows if order_rows is not None else order.count()
-    pl = prefix_postings(left, order, threshold, id_col, carry, order_rows) \
-        .withColumnRenamed(id_col, "a").withColumnRenamed("blk", "ba")
-    pr = pl.withColumnRenamed("a", "b").withColumnRenamed("ba", "bb") if self_join else \
-        prefix_postings(right, order, threshold, id_col, carry, order_rows) \
-        .withColumnRenamed(id_col, "b").withColumnRenamed("blk", "bb")
-    raw = pl.join(pr, ["term_id"] + extra)
-    if self_join:
-        raw = raw.where(F.col("a") < F.col("b"))
-    elif exclude_same_id:
-        raw = raw.where(F.col("a") != F.col("b"))
-    keys = ["ba", "bb"] + extra
-    raw = raw.select("ba", "bb", *extra, "a", "b")
-
-    # Candidate density per block pair decides the verification path.  Raw rows (one per
-    # shared prefix term) are counted with map-side partial aggregation: only one row per
-    # block pair and task crosses the shuffle.
-    size_l = (left.select(F.col("blk").alias("ba"), *extra)
-              .groupBy("ba", *extra).agg(F.count(F.lit(1)).alias("n_a")))
-    size_r = (right.select(F.col("blk").alias("bb"), *extra)
-              .groupBy("bb", *extra).agg(F.count(F.lit(1)).alias("n_b")))
-    stats = keep(raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_n"))
-             .join(size_l, ["ba"] + extra).join(size_r, ["bb"] + extra)
-             .select(*keys, (F.col("raw_n") >= F.lit(dense_ratio) * F.col("n_a") * F.col("n_b"))
-                     .alias("dense")))
-    dense_pairs = stats.where("dense").select(*keys)
-    sparse_pairs = stats.where(~F.col("dense")).select(*keys)
-
-    cands = keep(raw.join(sparse_pairs, keys, "left_semi").select(*keys, "a", "b").distinct())
-    vec_l = left.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
-    vec_r = right.select(F.col(id_col).alias("doc"), *extra, "blk", "term_ids", "weights")
+    pl = keep(prefix_postings(lv, order, threshold, "doc", [*extra, "blk"], order_rows))
+    pr = None if self_join else keep(prefix_postings(rv, order, threshold, "doc", [*extra, "blk"], order_rows))
+    counts = keep(_term_counts(pl, pr, ["term_id", *extra]))
+
+    # meetings against pairs, for the whole join or for each blocking key, from counts alone
+    size_l = lv.groupBy(*extra).agg(F.count(F.lit(1)).alias("v_l"))
+    size_r = rv.groupBy(*extra).agg(F.count(F.lit(1)).alias("v_r"))
+    met = counts.groupBy(*extra).agg(F.sum(F.col("n_l").cast("double") * F.col("n_r")).alias("met"))
+    sizes = size_l.join(size_r, extra) if extra else size_l.crossJoin(size_r)  # one row each without a key
+    rate = met.join(sizes, extra) if extra else met.crossJoin(sizes)
+    dense = F.col("met") >= F.lit(dense_ratio) * F.col("v_l") * F.col("v_r")
+    if not extra:
+        row = rate.select(dense.alias("dense")).first()
+        if row["dense"] is None:  # no posting at all
+            return left.sparkSession.createDataFrame([], _pair_schema(id_type))
+        if row["dense"]:
+            return _all_blocks(lv, None if self_join else rv, threshold, extra, id_type, clamp, exclude_same_id)
+        return _by_candidates(lv, rv, pl, pr, counts, threshold, extra, id_type, clamp, exclude_same_id, list_rows)
+    kinds = keep(rate.select(*extra, dense.alias("dense")))
+    of = {r["dense"]: r["n"] for r in kinds.groupBy("dense").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = []
+    for kind in (True, False):
+        if not of.get(kind):
+            continue
+        own = kinds.where(F.col("dense") == kind).select(*extra)
+
+        def of_kind(df):
+            return None if df is None else df if len(of) == 1 else df.join(own, extra, "left_semi")
+
+        if kind:
+            parts.append(_all_blocks(of_kind(lv), None if self_join else of_kind(rv), threshold, extra,
+                                     id_type, clamp, exclude_same_id))
+        else:
+            parts.append(_by_candidates(of_kind(lv), of_kind(rv), of_kind(pl), of_kind(pr), of_kind(counts),
+                                        threshold, extra, id_type, clamp, exclude_same_id, list_rows))
+    if not parts:
+        return left.sparkSession.createDataFrame([], _pair_schema(id_type))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _pair_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
+                         T.StructField("similarity", T.DoubleType())])
+
+
+def _by_candidates(lv: DataFrame, rv: DataFrame, pl: DataFrame, pr: DataFrame | None, counts: DataFrame,
+                   threshold: float, extra: list[str], id_type: T.DataType, clamp: bool,
+                   exclude_same_id: bool, list_rows: int) -> DataFrame:
+    """Sparse case: meetings made distinct per pair of blocks, then verified there."""
+    keys = ["ba", "bb", *extra]
+    cands = keep(meetings(pl, pr, counts, threshold, extra, exclude_same_id, list_rows).distinct())
     need_l = cands.select(*keys, F.col("a").alias("doc")).distinct()
     need_r = cands.select(*keys, F.col("b").alias("doc")).distinct()
-    routed_sparse = (need_l.join(vec_l.drop("blk"), ["doc"] + extra).withColumn("side", F.lit(0))
-                     .unionByName(need_r.join(vec_r.drop("blk"), ["doc"] + extra)
-                                  .withColumn("side", F.lit(1))))
-    blk_l = vec_l.withColumnRenamed("blk", "ba")
-    blk_r = vec_r.withColumnRenamed("blk", "bb")
-    routed_dense = (dense_pairs.join(blk_l, ["ba"] + extra).withColumn("side", F.lit(0))
-                    .unionByName(dense_pairs.join(blk_r, ["bb"] + extra).withColumn("side", F.lit(1))))
-    cols = [*keys, "side", "doc", "term_ids", "weights"]
-    routed = (routed_sparse.select(*cols).unionByName(routed_dense.select(*cols)).toDF(*cols))
-    rule = "lt" if self_join else ("ne" if exclude_same_id else "all")
-    return _verify_groups(cands.toDF(*keys, "a", "b"), routed, threshold, id_type, clamp, keys, rule)
-
-
-def collapse_copies(vectors: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Group identical non-zero vectors: (representatives, members(rep, id)).
+    routed = (need_l.join(lv, ["doc", *extra]).withColumn("side", F.lit(0))
+              .unionByName(need_r.join(rv, ["doc", *extra]).withColumn("side", F.lit(1)))
+              .select(*keys, "side", "doc", "blk", "term_ids", "weights"))
+    routed = routed.toDF(*routed.columns)  # columns of its own, as it descends from the candidates
+    return _verify_groups(cands.toDF(*keys, "a", "b"), routed, threshold, id_type, clamp, keys, "all")
+
+
+def _all_blocks(lv: DataFrame, rv: DataFrame | None, threshold: float, extra: list[str],
+                id_type: T.DataType, clamp: bool, exclude_same_id: bool) -> DataFrame:
+    """Dense case: every pair of blocks (of a blocking key) is one group of at most two blocks."""
+    rule = "lt" if rv is None else "ne" if exclude_same_id else "all"
+
+    def last(side: DataFrame, name: str) -> DataFrame:
+        """Highest block of each key: a table of a row for each blocking key."""
+        return side.groupBy(*extra).agg(F.max("blk").alias(name))
+
+    other = lv if rv is None else rv
+    tops = last(lv, "top_a").join(last(other, "top_b"), extra) if extra else \
+        last(lv, "top_a").crossJoin(last(other, "top_b"))
+    if not extra:
+        top = tops.first()
+        if top["top_a"] is None or top["top_b"] is None:
+            return lv.sparkSession.createDataFrame([], _pair_schema(id_type))
+        lt, rt = lv.withColumn("top_b", F.lit(top["top_b"])), other.withColumn("top_a", F.lit(top["top_a"]))
+    else:
+        tops = keep(tops)
+        lt, rt = lv.join(tops, extra), other.join(tops, extra)
+    first_b = F.col("blk") if rv is None else F.lit(0)  # a self-join forms a pair of blocks once
+    last_a = F.col("blk") if rv is None else F.col("top_a")
+    left = (lt.withColumn("ba", F.col("blk")).withColumn("bb", F.explode(F.sequence(first_b, F.col("top_b"))))
+              .withColumn("side", F.lit(0)))
+    right = (rt.withColumn("bb", F.col("blk")).withColumn("ba", F.explode(F.sequence(F.lit(0), last_a)))
+               .withColumn("side", F.lit(1)))
+    keys = ["ba", "bb", *extra]
+    cols = [*keys, "side", "doc", "blk", "term_ids", "weights"]
+    routed = left.select(*cols).unionByName(right.select(*cols))
+    return _verify_groups(None, routed, threshold, id_type, clamp, keys, rule)
+
+
+def collapse_copies(vectors: DataFrame, id_col: str = "doc_id",
+                    key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Group identical non-zero vectors (of one ``key``): (representatives, members(rep, member)).
 
     Identical vectors have identical similarities to everything, so the join runs on one
-    representative (the smallest id) per group.
+    representative (the smallest id) per group.  A group's first id comes from a map-side combined
+    aggregate over 128 bits of two hashes, joined back, so no task holds a group of copies.
     """
+    key = key or []
     nz = vectors.where(F.size("term_ids") > 0)
-    grp = Window.partitionBy(F.xxhash64("term_ids", "weights"), "term_ids", "weights")
-    tagged = nz.withColumn("rep", F.min(id_col).over(grp))
-    reps = tagged.where(F.col(id_col) == F.col("rep")).drop("rep")
-    members = tagged.select("rep", F.col(id_col).alias("member"),
-                            F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x * x)
-                            .alias("self_sim"))
+    same = [*key, "_h", "_g"]
+    tagged = keep(nz.select(id_col, *key, F.xxhash64("term_ids", "weights").alias("_h"),
+                            F.xxhash64(F.lit("again"), F.reverse("weights"), "term_ids").alias("_g"),
+                            F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x * x).alias("self_sim")))
+    first = keep(tagged.groupBy(*same).agg(F.min(id_col).alias("rep")))
+    members = tagged.join(first, same).select("rep", F.col(id_col).alias("member"), "self_sim")
+    reps = nz.join(first.select(F.col("rep").alias(id_col)), id_col, "left_semi")
     return reps, members
 
 
@@ -309,21 +459,11 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
         # only clustered documents that have vectors take part.
         vecs = vecs.join(clusters.select(id_col, cluster_col), id_col)
     block_key = cluster_col if clusters is not None else None
-    if collapse:
-        if block_key:
-            # copies in different clusters must not be merged: fold the cluster into the identity
-            grp = Window.partitionBy(block_key, "term_ids", "weights")
-            nz = vecs.where(F.size("term_ids") > 0)
-            tagged = nz.withColumn("rep", F.min(id_col).over(grp))
-            reps = tagged.where(F.col(id_col) == F.col("rep")).drop("rep")
-            members = tagged.select("rep", F.col(id_col).alias("member"),
-                                    F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x * x)
-                                    .alias("self_sim"))
-        else:
-            reps, members = collapse_copies(vecs, id_col)
-    else:
-        reps = vecs
-        members = None
+    members = None
+    reps = vecs
+    if collapse and threshold > 0:
+        # copies in different clusters are not merged: the cluster is part of the identity
+        reps, members = collapse_copies(vecs, id_col, [block_key] if block_key else None)
     reps = keep(reps)
     if members is not None:
         members = keep(members)

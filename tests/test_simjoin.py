@@ -87,3 +87,75 @@ def test_query_subset_search(spark, small_model):
     want = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids))
             if ids[i] in qs and i != j and sims[i, j] >= 0.3}
     assert {(r["query_document_id"], r["id"]) for r in got.collect()} == want
+
+
+def test_every_pair_at_a_threshold_of_zero(spark, small_model):
+    _, m = small_model
+    zero = spark.createDataFrame([(10**6, [], []), (10**6 + 1, [], [])],
+                                 "doc_id long, term_ids array<int>, weights array<double>")
+    vectors = m.vectors.unionByName(zero)
+    ids, mat = dense_vectors(m)
+    ids, mat = np.concatenate([ids, [10**6, 10**6 + 1]]), np.vstack([mat, np.zeros((2, mat.shape[1]))])
+    want = brute_pairs(ids, mat, 0.0)
+    got = {(r["doc1"], r["doc2"]): r["similarity"] for r in
+           similar_pairs(vectors, m.vocabulary, 0.0, block_rows=64).collect()}
+    assert set(got) == set(want) and len(want) == len(ids) * (len(ids) - 1) // 2
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    q = m.vectors.select("doc_id").orderBy("doc_id").limit(3)
+    hits = similar_documents_tfidf(vectors, m.vocabulary, -1.0, 10**6, query_ids=q).collect()
+    assert len(hits) == 3 * (len(ids) - 1) and all(r["query_document_id"] != r["id"] for r in hits)
+
+
+def heavy_term(spark, n=3000):
+    """Vectors of two terms: term 0 is in all but every tenth of them, the other one is one of n / 5."""
+    rows = [(i, [0, 1 + i % (n // 5)], [0.6, 0.8]) if i % 10 else (i, [1 + i % (n // 5)], [1.0]) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "doc_id long, term_ids array<int>, weights array<double>")
+    # the common term is ranked first, as an order from another corpus may do: it is in every prefix
+    order = spark.range(1 + n // 5).selectExpr("int(id) as term_id", "int(id) as order_rank")
+    return rows, vectors, order
+
+
+@pytest.mark.parametrize("self_join", [True, False])
+def test_a_term_in_most_documents_is_cut_into_sub_lists(spark, self_join):
+    from doppel.operators import simjoin as sj
+    rows, vectors, order = heavy_term(spark)
+    args = dict(dense_ratio=1e9, list_rows=100)
+    if self_join:
+        got = threshold_join(vectors, None, order, 0.7, **args).collect()
+    else:
+        got = threshold_join(vectors.where("doc_id < 500"), vectors, order, 0.7, **args).collect()
+    dense = np.zeros((len(rows), 1 + len(rows) // 5))
+    for i, t, w in rows:
+        dense[i, t] = w
+    sims = dense @ dense.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sims >= 0.7)) if (i < j if self_join else i < 500 and i != j)}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    # no key of the join holds more than a little over list_rows postings on a side
+    post = sj.prefix_postings(vectors.withColumn("blk", F.lit(0)), order, 0.5, "doc_id", ["blk"], 601)
+    assert post.where("term_id = 0").count() == 2700
+    counts = sj._term_counts(post.withColumnRenamed("doc_id", "doc"), None, ["term_id"])
+    cut = counts.where("n_l > 100").selectExpr("int(ceil(n_l / 100)) as s").first()["s"]
+    biggest = post.where("term_id = 0").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(cut))).count().agg(F.max("count"))
+    assert biggest.first()[0] < 150
+
+
+def test_the_join_of_postings_is_in_the_plan_once(spark, small_model):
+    from doppel.operators import simjoin as sj
+    _, m = small_model
+    vec = sj._with_blocks(m.vectors, "doc_id", None, m.n_docs, 64).withColumnRenamed("doc_id", "doc")
+    post = sj.prefix_postings(vec, m.vocabulary, 0.7, "doc", ["blk"], m.vocab_size).checkpoint()
+    met = sj.meetings(post, None, sj._term_counts(post, None, ["term_id"]).checkpoint(), 0.7, [], True, 4)
+    plan = met.distinct()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+    ids, mat = dense_vectors(m)
+    found = {(r["a"], r["b"]) for r in met.select("a", "b").distinct().collect()}
+    assert set(brute_pairs(ids, mat, 0.7)) <= found
+
+
+def test_identical_vectors_of_a_cluster_are_one(spark):
+    from doppel.operators.simjoin import collapse_copies
+    rows = [(i, i % 2, [1, 2], [0.6, 0.8]) for i in range(6)] + [(9, 0, [1, 2], [0.8, 0.6]), (10, 0, [], [])]
+    vec = spark.createDataFrame(rows, "doc_id long, cluster_id int, term_ids array<int>, weights array<double>")
+    reps, members = collapse_copies(vec, "doc_id", ["cluster_id"])
+    assert sorted(r["doc_id"] for r in reps.collect()) == [0, 1, 9]
+    assert sorted((r["rep"], r["member"]) for r in members.collect()) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5), (9, 9)]
