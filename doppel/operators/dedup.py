@@ -2,12 +2,9 @@
 
 The reference checks and admits one uploaded document at a time.  Here a whole batch is checked
 in one set-based job, and the one-after-another meaning is kept: a document is admitted iff no
-corpus document and no *earlier admitted* document of the batch duplicates it.  That is the
-lexicographically-first maximal independent set of the duplicate graph in arrival order,
-computed in rounds (admit a node whose earlier neighbours are all rejected, reject a node with an
-admitted earlier neighbour), with the state checkpointed to the shared checkpoint folder every
-round.  Exact copies are collapsed first: every later copy of a document is rejected whatever
-happens to the first one, so a hot group of copies costs one node.
+corpus document and no *earlier admitted* document of the batch duplicates it.  Rows that share a text
+are one node of the duplicate graph, rows that share an id one group, so its size is linear in the rows
+and the pairs of different similar texts; ``decide`` resolves it by components.
 """
 
 from __future__ import annotations
@@ -15,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doppel.operators.decide import decide, numbered, with_occurrence
 from doppel.operators.search import rank_hits
 from doppel.operators.simjoin import threshold_join
 from doppel.operators.tfidf import TfidfModel
@@ -61,12 +59,13 @@ def upsert(base: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfModel | None,
                    corpus_emb: DataFrame | None = None, new_emb: DataFrame | None = None,
                    tfidf_threshold: float = 0.7, embedding_threshold: float = 0.8,
-                   cap: int = DUP_CAP, id_col: str = "doc_id") -> DataFrame:
+                   cap: int = DUP_CAP, id_col: str = "doc_id", exclude_same_id: bool = True) -> DataFrame:
     """C1 flat form: (doc_id, method, id, similarity_score, rank) for a batch of new documents.
 
     Phase 1 (exact text) short-circuits: such a document reports the matching corpus id in both
     lists with score 1.0.  Phase 2 runs on the others only: TF-IDF with the frozen model against
     every corpus vector (never cluster-blocked), embeddings if both embedding inputs are given.
+    ``exclude_same_id=False`` is for new documents whose numbers are no ids of the corpus.
     """
     # The incoming batch feeds several branches; keep it (it is the small side of every join).
     new_docs = keep(new_docs)
@@ -81,7 +80,7 @@ def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfMode
     if model is not None:
         vecs = keep(model.transform(rest, id_col))
         hits = threshold_join(vecs, model.vectors, model.vocabulary, tfidf_threshold, id_col,
-                              n_right=model.n_docs)
+                              n_right=model.n_docs, exclude_same_id=exclude_same_id)
         ranked = rank_hits(hits.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"),
                                        "similarity"), cap, method="tfidf")
         parts.append(ranked.select(F.col("query_document_id").alias(id_col), "method", "id",
@@ -89,7 +88,7 @@ def duplicate_hits(new_docs: DataFrame, corpus_docs: DataFrame, model: TfidfMode
     if corpus_emb is not None and new_emb is not None:
         from doppel.operators.embeddings import embedding_hits
         q = new_emb.join(rest.select(id_col), id_col, "left_semi")
-        hits = embedding_hits(q, corpus_emb, embedding_threshold, id_col)
+        hits = embedding_hits(q, corpus_emb, embedding_threshold, id_col, exclude_same_id=exclude_same_id)
         ranked = rank_hits(hits, cap, method="embedding")
         parts.append(ranked.select(F.col("query_document_id").alias(id_col), "method", "id",
                                    "similarity_score", "rank"))
@@ -134,13 +133,6 @@ def nested_report(hits: DataFrame, id_col: str = "doc_id", top: int = REPORT_TOP
 
 
 # ------------------------------------------------------------------------------- admission
-def with_occurrence(batch: DataFrame, id_col: str = "doc_id", order_col: str = "arrival") -> DataFrame:
-    """``batch`` with ``occurrence``: the rows of an id numbered from 1 by arrival, then text hash."""
-    from pyspark.sql import Window
-    by_id = Window.partitionBy(id_col).orderBy(order_col, F.xxhash64("content"))
-    return batch.withColumn("occurrence", F.row_number().over(by_id))
-
-
 def embed_rows(embed, batch: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, occurrence, embedding)`` for every row of a checkpointed ``with_occurrence`` batch."""
     rows = batch.withColumn("_row", F.monotonically_increasing_id())
@@ -148,65 +140,35 @@ def embed_rows(embed, batch: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select("_row", id_col, "occurrence").join(vectors, "_row").drop("_row")
 
 
-def _edges_within(batch: DataFrame, model: TfidfModel | None, batch_vecs: DataFrame | None,
-                  batch_emb: DataFrame | None, tfidf_threshold: float, embedding_threshold: float,
-                  id_col: str, order_col: str) -> DataFrame:
-    """Duplicate edges (x, y) between batch documents with x arriving before y."""
-    parts = []
-    if model is not None and batch_vecs is not None:
-        p = threshold_join(batch_vecs, None, model.vocabulary, tfidf_threshold, id_col)
-        parts.append(p.select("a", "b"))
-    if batch_emb is not None:
+def _similar_texts(texts: DataFrame, model: TfidfModel, emb: DataFrame | None, tfidf_threshold: float,
+                   embedding_threshold: float) -> DataFrame:
+    """Links (u, v) between different texts ``(text, content)`` of a batch."""
+    vecs = keep(model.transform(texts, "text"))
+    links = threshold_join(vecs, None, model.vocabulary, tfidf_threshold, "text").select("a", "b")
+    if emb is not None:
         from doppel.operators.embeddings import embedding_threshold_join
-        p = embedding_threshold_join(batch_emb, None, embedding_threshold, id_col)
-        parts.append(p.select("a", "b"))
-    if not parts:
-        return batch.sparkSession.createDataFrame([], f"x {batch.schema[id_col].dataType.simpleString()}, "
-                                                      f"y {batch.schema[id_col].dataType.simpleString()}")
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.unionByName(p)
-    arr = batch.select(F.col(id_col).alias("_id"), F.col(order_col).alias("_ord"))
-    ea = e.join(arr.withColumnRenamed("_id", "a").withColumnRenamed("_ord", "oa"), "a") \
-        .join(arr.withColumnRenamed("_id", "b").withColumnRenamed("_ord", "ob"), "b")
-    first_a = (F.col("oa") < F.col("ob")) | ((F.col("oa") == F.col("ob")) & (F.col("a") < F.col("b")))
-    return ea.select(F.when(first_a, F.col("a")).otherwise(F.col("b")).alias("x"),
-                     F.when(first_a, F.col("b")).otherwise(F.col("a")).alias("y")).distinct()
-
-
-def greedy_admission(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lexicographically-first maximal independent set by rounds.
-
-    nodes (node), edges (x, y) with x before y -> (node, admitted BOOLEAN).  Each round admits the
-    undecided nodes whose earlier neighbours are all rejected and rejects the undecided nodes with
-    an admitted earlier neighbour; the state is checkpointed so lineage stays one round deep.  The
-    earliest undecided node is decided in every round, so the loop ends with every node decided.
+        links = links.unionByName(embedding_threshold_join(emb, None, embedding_threshold, "text").select("a", "b"))
+    return links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
+
+
+def greedy_admission(nodes: DataFrame, edges: DataFrame, small: int | None = None) -> DataFrame:
+    """Lexicographically-first maximal independent set of a graph in the order of its nodes.
+
+    nodes (node long), edges (x, y) with x before y -> (node, admitted BOOLEAN).
     """
-    state = nodes.select("node", F.lit(None).cast("boolean").alias("admitted"))
-    involved = edges.select(F.col("y").alias("node")).distinct()
-    # Nodes without an earlier neighbour are admitted at once.
-    state = (state.join(involved.withColumn("_inv", F.lit(True)), "node", "left")
-             .select("node", F.when(F.col("_inv").isNull(), F.lit(True)).alias("admitted"))
-             .checkpoint())
-    while not state.where(F.col("admitted").isNull()).isEmpty():
-        st = state.select(F.col("node").alias("x"), F.col("admitted").alias("ax"))
-        seen = edges.join(st, "x").groupBy(F.col("y").alias("node")).agg(
-            F.max(F.when(F.col("ax"), 1).otherwise(0)).alias("any_admitted"),
-            F.max(F.when(F.col("ax").isNull(), 1).otherwise(0)).alias("any_open"))
-        state = (state.join(seen, "node", "left").select(
-            "node",
-            F.when(F.col("admitted").isNotNull(), F.col("admitted"))
-             .when(F.col("any_admitted") == 1, F.lit(False))
-             .when(F.coalesce(F.col("any_open"), F.lit(0)) == 0, F.lit(True))
-             .alias("admitted"))
-            .checkpoint())
-    return state
+    rows = nodes.select(F.col("node").alias("row"), F.lit(None).cast("long").alias("id_group"),
+                        F.col("node").alias("text"), F.col("node").alias("seq"))
+    links = edges.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    taken = (decide(rows, links) if small is None else decide(rows, links, small)).checkpoint()
+    taken = taken.select(F.col("row").alias("node"), F.lit(True).alias("admitted"))
+    return nodes.join(taken, "node", "left").select("node", F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | None = None,
           corpus_emb: DataFrame | None = None, batch_emb: DataFrame | None = None,
           tfidf_threshold: float = 0.7, embedding_threshold: float = 0.8,
-          id_col: str = "doc_id", order_col: str = "arrival") -> DataFrame:
+          id_col: str = "doc_id", order_col: str = "arrival", detail: bool = False,
+          small: int | None = None) -> DataFrame:
     """C3 + C4: statuses for a batch (id, content, arrival) -> (id, status, occurrence).
 
     One row per row of the batch, as if rows were handled one after another by (arrival, id):
@@ -214,67 +176,105 @@ def admit(batch: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame | N
     ``duplicate`` if a corpus document or an earlier accepted row duplicates the text, else
     ``accepted``.  ``occurrence`` numbers the rows of an id from 1.  The TF-IDF model stays frozen;
     nothing is refitted.  Embeddings of the batch go by id and, if they have that column,
-    ``occurrence``; without it the rows of one id share theirs.
+    ``occurrence``; rows of one text share that of the first of them.
+
+    ``detail`` adds the reference's text for a refusal: the id that is there already, or the ids (at
+    most 50 by each method, and 50 of the batch) that the text duplicates.
     """
     if model is None:
         raise ValueError("No fitted vectorizer available")
-    from pyspark.sql import Window
-    own = Window.partitionBy(id_col)
     # every row is a node of its own; reliable checkpoints cut the lineage between phases, so that
     # the plan stays small and a lost executor does not replay the whole check
     rows = (with_occurrence(batch.select(id_col, "content", order_col), id_col, order_col)
-                 .withColumn("_again", F.count("*").over(own) > 1)
-                 .withColumn("_node", F.monotonically_increasing_id()).checkpoint())
+            .withColumn("_text", F.sha2(F.col("content").cast("binary"), 256)))
+    rows = numbered(rows, [order_col, id_col, "occurrence"], "_seq").checkpoint()
     known = rows.limit(0)
     if corpus_docs is not None:
         known = rows.join(corpus_docs.select(id_col), id_col, "left_semi")
         rows = rows.join(corpus_docs.select(id_col), id_col, "left_anti").checkpoint()
-    node_emb = None
+
+    # the first row of each text stands for it; its number names the text
+    firsts = rows.groupBy("_text").agg(F.min("_seq").alias("text")).checkpoint()
+    texts = rows.join(firsts.select(F.col("text").alias("_seq")), "_seq", "left_semi")
+    texts = texts.select(F.col("_seq").alias("text"), "content", id_col, "occurrence").checkpoint()
+    text_emb = None
     if batch_emb is not None:
         by = [c for c in (id_col, "occurrence") if c in batch_emb.columns]
-        node_emb = (batch_emb.join(rows.select(*by, "_node"), by).drop(*by)
-                             .withColumnRenamed("_node", id_col))
-    nodes = rows.select(F.col("_node").alias(id_col), "content", order_col, "_again",
-                        F.col(id_col).alias("_id"))
+        text_emb = keep(batch_emb.join(texts.select(*by, "text"), by).drop(*by))
 
     # Against the corpus (C1 for the whole batch at once).
     if corpus_docs is not None:
-        hits = duplicate_hits(nodes.select(id_col, "content"), corpus_docs, model, corpus_emb,
-                              node_emb, tfidf_threshold, embedding_threshold, id_col=id_col)
-        vs_corpus = hits.select(id_col).distinct().checkpoint()
+        emb = text_emb.withColumnRenamed("text", id_col) if text_emb is not None else None
+        hits = duplicate_hits(texts.select(F.col("text").alias(id_col), "content"), corpus_docs, model, corpus_emb,
+                              emb, tfidf_threshold, embedding_threshold, id_col=id_col, exclude_same_id=False)
+        hits = hits.select(F.col(id_col).cast("long").alias("text"), F.col("id").cast("string").alias("hit")).checkpoint()
     else:
-        vs_corpus = nodes.select(id_col).limit(0)
-    open_rows = nodes.join(vs_corpus, id_col, "left_anti")
-
-    # Exact copies inside the batch: of the rows whose id is not repeated, the first stays a node
-    # and later ones are rejected with it or by what rejects it.
-    w = Window.partitionBy("_again", F.xxhash64("content"), "content").orderBy(order_col, "_id", id_col)
-    ranked = open_rows.withColumn("_copy", F.row_number().over(w)).checkpoint()
-    firsts = ranked.where((F.col("_copy") == 1) | F.col("_again")).drop("_copy")
-    later = ranked.where((F.col("_copy") > 1) & ~F.col("_again")).select(id_col)
-
-    vecs = model.transform(firsts.select(id_col, "content"), id_col)
-    emb = node_emb.join(firsts.select(id_col), id_col, "left_semi") if node_emb is not None else None
-    similar = _edges_within(firsts, model, vecs, emb, tfidf_threshold, embedding_threshold,
-                            id_col, order_col)
-    # rows of a repeated id meet their earlier rows, and their copies under any id
-    x, y = firsts.alias("x"), firsts.alias("y")
-    before = F.struct(f"x.{order_col}", "x._id", f"x.{id_col}") < F.struct(f"y.{order_col}", "y._id", f"y.{id_col}")
-    ends = (F.col(f"x.{id_col}").alias("x"), F.col(f"y.{id_col}").alias("y"))
-    same_id = x.where("_again").join(y.where("_again"), (F.col("x._id") == F.col("y._id")) & before).select(*ends)
-    same_id = same_id.checkpoint()
-    copies = x.join(y, (F.col("x.content") == F.col("y.content")) & before
-                    & (F.col("x._again") | F.col("y._again"))).select(*ends)
-    edges = similar.unionByName(same_id).unionByName(copies).distinct().checkpoint()
-    decided = greedy_admission(firsts.select(F.col(id_col).alias("node")), edges)
-    taken = decided.where("admitted").select(F.col("node").alias("x"))
-    refused = same_id.join(taken, "x").select(F.col("y").alias("node")).distinct().withColumn("_there", F.lit(True))
-    decided = decided.join(refused, "node", "left")
-
-    status = (decided.select("node", F.when(F.col("admitted"), "accepted").when(F.col("_there"), "exists")
-                             .otherwise("duplicate").alias("status"))
-              .unionByName(later.select(F.col(id_col).alias("node"), F.lit("duplicate").alias("status")))
-              .unionByName(vs_corpus.select(F.col(id_col).alias("node"), F.lit("duplicate").alias("status"))))
-    out = rows.join(status.withColumnRenamed("node", "_node"), "_node")
-    return (out.select(id_col, "status", "occurrence")
-               .unionByName(known.select(id_col, F.lit("exists").alias("status"), "occurrence")))
+        hits = texts.sparkSession.createDataFrame([], "text long, hit string")
+    open_texts = texts.join(hits.select("text").distinct(), "text", "left_anti")
+    emb = text_emb.join(open_texts.select("text"), "text", "left_semi") if text_emb is not None else None
+    links = _similar_texts(open_texts.select("text", "content"), model, emb, tfidf_threshold,
+                           embedding_threshold).distinct().checkpoint()
+
+    # rows of repeated ids are tied by their id, all others stand alone
+    again = rows.groupBy(id_col).agg(F.min("_seq").alias("id_group"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    tagged = (rows.select(id_col, "occurrence", "_seq", "_text").join(firsts, "_text")
+                  .join(again.select(F.col(id_col).alias("_id"), "id_group"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+                  .select(id_col, "occurrence", F.col("_seq").alias("row"), "id_group", "text",
+                          F.col("_seq").alias("seq")).checkpoint())
+    candidates = tagged.join(open_texts.select("text"), "text", "left_semi").select("row", "id_group", "text", "seq")
+    taken = (decide(candidates, links) if small is None else decide(candidates, links, small)).checkpoint()
+
+    placed = tagged.join(taken.withColumn("_in", F.lit(True)), "row", "left")
+    by_id = (placed.where("_in and id_group is not null").select("id_group", F.col("seq").alias("_since"))).checkpoint()
+    status = (F.when(F.col("_in"), "accepted").when(F.col("_since") < F.col("seq"), "exists").otherwise("duplicate"))
+    judged = placed.join(by_id, "id_group", "left").withColumn("status", status)
+    out = judged.select(id_col, "status", "occurrence", "text", "seq").checkpoint() if detail else judged
+    there = known.select(id_col, F.lit("exists").alias("status"), "occurrence")
+    if not detail:
+        return out.select(id_col, "status", "occurrence").unionByName(there)
+    return (_with_refusals(out, links, hits, id_col)
+            .unionByName(there.withColumn("detail", _exists_text(id_col))))
+
+
+def _exists_text(id_col: str):
+    return F.concat(F.lit("Document "), F.col(id_col).cast("string"), F.lit(" already exists in the system"))
+
+
+def _with_refusals(judged: DataFrame, links: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
+    """``(id, status, occurrence, detail)``: what a refused row duplicates, in the corpus or accepted before it."""
+    from pyspark.sql import Window
+    accepted = judged.where("status = 'accepted'").select("text", F.col("seq").alias("_since"),
+                                                          F.col(id_col).cast("string").alias("hit"))
+    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = ends.join(accepted.withColumnRenamed("text", "v"), "v").select(F.col("u").alias("text"), "_since", "hit")
+    first = near.unionByName(accepted)
+    refused = judged.where("status = 'duplicate'").select("text", "seq")
+    own = (refused.join(first, "text").where("_since < seq")
+                  .withColumn("_k", F.row_number().over(Window.partitionBy("seq").orderBy("_since")))
+                  .where(F.col("_k") <= DUP_CAP).select("seq", "hit"))
+    told = own.unionByName(refused.join(hits, "text").select("seq", "hit"))
+    ids = told.groupBy("seq").agg(F.array_join(F.sort_array(F.collect_set("hit")), ", ").alias("_ids"))
+    text = (F.when(F.col("status") == "exists", _exists_text(id_col))
+             .when(F.col("status") == "duplicate", F.concat(F.lit("Document "), F.col(id_col).cast("string"),
+                                                            F.lit(" has duplicates: "), F.col("_ids"))))
+    return judged.join(ids, "seq", "left").select(id_col, "status", "occurrence", text.alias("detail"))
+
+
+def upload_statuses(requests: DataFrame, model: TfidfModel | None, corpus_docs: DataFrame,
+                    corpus_emb: DataFrame | None = None, embed=None, tfidf_threshold: float = 0.7,
+                    embedding_threshold: float = 0.8, id_col: str = "doc_id", order_col: str = "arrival") -> DataFrame:
+    """C4: ``(id, occurrence, status, detail)`` for requests (id, content, status, arrival) of ``read_incoming``.
+
+    Requests that are ``ok`` are checked and admitted one after another; the others keep their status.
+    """
+    rest = requests.where("status <> 'ok'")
+    told = (F.when(F.col("status") == "not_found", F.concat(F.lit("Document "), F.col(id_col).cast("string"),
+                                                            F.lit(".txt not found in data/new_docs folder")))
+             .when(F.col("status") == "exists", _exists_text(id_col)).otherwise(F.lit("not valid UTF-8")))
+    rest = with_occurrence(rest, id_col, order_col).select(id_col, "occurrence", "status", told.alias("detail"))
+    batch = with_occurrence(requests.where("status = 'ok'").select(id_col, "content", order_col), id_col, order_col)
+    batch = batch.checkpoint()
+    emb = embed_rows(embed, batch, id_col).checkpoint() if embed is not None and corpus_emb is not None else None
+    done = admit(batch.drop("occurrence"), model, corpus_docs, corpus_emb if emb is not None else None, emb,
+                 tfidf_threshold, embedding_threshold, id_col, order_col, detail=True)
+    return done.select(id_col, "occurrence", "status", "detail").unionByName(rest)

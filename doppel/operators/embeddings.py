@@ -156,6 +156,10 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
     there; as nothing can be left out then, every pair of vectors is scored.
     """
     self_join = right is None
+    if not self_join and right.schema[id_col].dataType != left.schema[id_col].dataType:
+        texts = T.StringType() in (left.schema[id_col].dataType, right.schema[id_col].dataType)
+        kind = T.StringType() if texts else T.LongType()
+        left, right = (x.withColumn(id_col, F.col(id_col).cast(kind)) for x in (left, right))
     if threshold <= 0:
         scored = _every_pair(left, left if self_join else right, id_col, vec_col, cell_rows)
         scored = scored.where(F.col("similarity") >= threshold)
@@ -285,7 +289,7 @@ def _every_pair(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, ce
 
 
 def embedding_hits(queries: DataFrame, corpus: DataFrame, threshold: float,
-                   id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
+                   id_col: str = "doc_id", vec_col: str = "embedding", exclude_same_id: bool = True) -> DataFrame:
     """J10 hits (query_document_id, id, similarity) of query vectors against corpus vectors."""
-    p = embedding_threshold_join(queries, corpus, threshold, id_col, vec_col)
+    p = embedding_threshold_join(queries, corpus, threshold, id_col, vec_col, exclude_same_id=exclude_same_id)
     return p.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"), "similarity")

@@ -322,6 +322,10 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     self_join = right is None
     extra = [block_key] if block_key else []
     id_type = left.schema[id_col].dataType
+    if not self_join and right.schema[id_col].dataType != id_type:  # ids of two kinds meet as what holds both
+        texts = T.StringType() in (id_type, right.schema[id_col].dataType)
+        id_type = T.StringType() if texts else T.LongType()
+        left, right = (x.withColumn(id_col, F.col(id_col).cast(id_type)) for x in (left, right))
 
     def prepared(side: DataFrame, n: int | None) -> DataFrame:
         side = side if threshold <= 0 else side.where(F.size("term_ids") > 0)

@@ -169,7 +169,7 @@ def _reachable(terms: DataFrame, most: int) -> DataFrame:
     return terms
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, kind: str = "int") -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 ... in the total order ``order``, without a single-task window.
 
     A global sort cuts the rows into ranges; a row's number is its place in its range plus the
@@ -181,10 +181,10 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     for at, n in sizes:  # one entry per range
         start[at], before = before, before + n
     if not start:
-        return ranges.drop("_range").withColumn(name, F.lit(0))
+        return ranges.drop("_range").withColumn(name, F.lit(0).cast(kind))
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_range"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranges.withColumn(name, (place + offset).cast("int")).drop("_range")
+    return ranges.withColumn(name, (place + offset).cast(kind)).drop("_range")
 
 
 def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
