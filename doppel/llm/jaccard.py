@@ -23,6 +23,8 @@ MOST_FREQUENT = 1 << 20
 MOST_IDS = 1 << 22
 #: What looking at a pair costs, in postings, where the boundary of small sets is chosen.
 PAIR_COST = 4
+#: Sets of a list that are compared with all others before components are formed.
+LEADS = 6
 _SIZE_CLASSES = 4  # classes of set sizes for each doubling
 
 
@@ -62,15 +64,22 @@ def shingle_hashes(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, uid, n, sid, check, hashes)``: a set's size, 128 bits that name it, and its hashes."""
+    """``(doc_id, uid, n, sid, check, b0, b1, hashes)``: a set's size, 128 bits that name it, a bit map of
+    128 parities, and its hashes.
 
-    @F.pandas_udf("n long, sid long, check long, hashes array<long>")
+    Each shingle flips the bit that its hash names, so the maps of two sets differ in no more bits than
+    the sets differ in shingles.
+    """
+
+    @F.pandas_udf("n long, sid long, check long, b0 long, b1 long, hashes array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = shingle_hashes(list(texts), shingle)
         names = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets),
                               np.int64).reshape(-1, 2)
+        bits = np.array([np.bincount(s & 127, minlength=128) & 1 for s in sets], np.uint8).reshape(-1, 128)
+        maps = np.packbits(bits, axis=1).view(np.int64)
         return pd.DataFrame({"n": [len(s) for s in sets], "sid": names[:, 0], "check": names[:, 1],
-                             "hashes": sets})
+                             "b0": maps[:, 0], "b1": maps[:, 1], "hashes": sets})
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"),
                       F.col(text_col).cast("binary").alias("data"))
@@ -143,7 +152,7 @@ def _boundary(classes: DataFrame, pairs: dict[int, float], percent: int) -> int:
 
 
 def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -> DataFrame:
-    """``(key, sid, n, pos, held)``: ``held`` shingles of the set's prefix, the last one at ``pos``.
+    """``(key, sid, n, pos, held, b0, b1)``: ``held`` shingles of the set's prefix, the last one at ``pos``.
 
     A set's order is by hash, frequent shingles last.  Sets above the boundary, and those that can
     link to one, post single shingles; sets up to it post pairs.
@@ -156,7 +165,6 @@ def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -
         for batch in batches:
             lists = batch.column("hashes")
             h = lists.flatten().to_numpy(zero_copy_only=False)
-            sid = batch.column("sid").to_numpy(zero_copy_only=False)
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
             late = np.zeros(len(h), bool)
@@ -169,7 +177,7 @@ def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -
             pos = np.where(late, light + np.arange(len(h)) - first - before, before)
             prefix = n - (percent * n + 99) // 100 + 1
             pick = np.flatnonzero((pos < prefix[doc]) & ((n > bound) | (100 * n >= percent * (bound + 1)))[doc])
-            out = [(h[pick], sid[doc[pick]], n[doc[pick]], pos[pick] + 1, np.ones(len(pick), np.int64))]
+            out = [(h[pick], doc[pick], pos[pick] + 1, np.ones(len(pick), np.int64))]
             pick = np.flatnonzero((pos < prefix[doc] + 1) & (n <= bound)[doc])
             pick = pick[np.lexsort((pos[pick], doc[pick]))]
             members = np.bincount(doc[pick], minlength=len(n))
@@ -179,20 +187,47 @@ def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -
                 a, b = np.triu_indices(size, 1)
                 left, right = h[pick[starts[rows, None] + a]], h[pick[starts[rows, None] + b]]
                 key = _mixed(left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(right.view(np.uint64)))
-                out.append((key.view(np.int64).ravel(), np.repeat(sid[rows], len(a)), np.repeat(n[rows], len(a)),
-                            np.tile(b + 1, len(rows)), np.full(len(rows) * len(a), 2)))
-            cols = [np.concatenate(c) for c in zip(*out)]
+                out.append((key.view(np.int64).ravel(), np.repeat(rows, len(a)), np.tile(b + 1, len(rows)),
+                            np.full(len(rows) * len(a), 2)))
+            key, row, pos, held = (np.concatenate(c) for c in zip(*out))
+            own = [batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("sid", "b0", "b1")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1])] + [pa.array(c.astype(np.int32)) for c in cols[2:]],
-                names=["key", "sid", "n", "pos", "held"])
+                [pa.array(key), *map(pa.array, own)] + [pa.array(c.astype(np.int32)) for c in (n[row], pos, held)],
+                names=["key", "sid", "b0", "b1", "n", "pos", "held"])
 
-    return (reps.select("sid", "hashes").mapInArrow(run, "key long, sid long, n int, pos int, held int"))
+    return (reps.select("sid", "b0", "b1", "hashes")
+                .mapInArrow(run, "key long, sid long, b0 long, b1 long, n int, pos int, held int"))
 
 
 def _can_link(a: str, b: str, percent: int) -> str:
-    """Whether two sets that first meet at these positions can share enough shingles."""
-    return (f"{100 + percent}L * ({a}held + least({a}n - {a}pos, {b}n - {b}pos)) "
-            f">= {percent}L * ({a}n + {b}n)")
+    """Whether two sets that first meet at these positions can share enough shingles.
+
+    They share those that meet and no more than either has after them; they differ in at least as many
+    as their bit maps do.
+    """
+    enough = f"(({percent}L * ({a}n + {b}n) + {99 + percent}) div {100 + percent})"
+    return (f"{a}held + least({a}n - {a}pos, {b}n - {b}pos) >= {enough} and "
+            f"bit_count({a}b0 ^ {b}b0) + bit_count({a}b1 ^ {b}b1) <= {a}n + {b}n - 2 * {enough}")
+
+
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of every set with some sets of its list and size band (``LEADS`` of them).
+
+    Bands are as wide as the sizes of sets that can link.  One lead is the set whose posting stands
+    first in its order, as it has the fewest shingles of its own; the others are any, by a hash.
+    """
+    width = float(np.log(100 / percent)) if percent < 100 else 1.0
+    list_key = ["key", "held", "band"]
+    banded = posts.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    own = ["sid", "n", "pos", "b0", "b1"]
+    orders = [F.col("pos")] + [F.xxhash64("sid", F.lit(k)) for k in range(1, LEADS)]
+    leads = [F.min(F.struct(o.alias("first"), *[F.col(c).alias(f"p_{c}") for c in own])) for o in orders]
+    found = (banded.groupBy(*list_key).agg(F.array_distinct(F.transform(
+        F.array(*leads), lambda x: x.dropFields("first"))).alias("leads"), F.count("*").alias("m"))
+        .where("m > 1").drop("m").checkpoint())
+    met = banded.join(found, list_key).withColumn("lead", F.explode("leads")).select("*", "lead.*")
+    met = met.withColumn("p_held", F.col("held")).where("sid <> p_sid").where(_can_link("", "p_", percent))
+    return met.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b"))
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +246,7 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
           paths: list[str]) -> DataFrame:
     """Edges ``(a, b)`` between set names whose components are those of all links.
 
-    In every list the set whose posting stands first in its order is compared with all others.  Lists
+    In every list, some sets of each band of sizes are compared with all others of the band.  Lists
     whose sets are then in one component are done; in the rest, every set outside the list's largest
     component is compared with every set of another component, so each pair that can link is either
     compared or connected already.
@@ -229,17 +264,10 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
     posts = _postings(reps, frequent, bound, percent)
     shared = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key").checkpoint()
     posts = written(_semi(posts, shared, "key"), "jaccard-postings")
-    firsts = (posts.groupBy("key", "held").agg(F.min(F.struct("pos", "sid", "n")).alias("p"))
-                   .select("key", "held", F.col("p.pos").alias("p_pos"), F.col("p.sid").alias("p_sid"),
-                           F.col("p.n").alias("p_n"), F.col("held").alias("p_held")).checkpoint())
-    met = written(posts.join(firsts, ["key", "held"]), "jaccard-lists")
-    star = met.where("sid <> p_sid").where(_can_link("", "p_", percent))
-    first = _linked(star.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")),
-                    reps, percent)
+    first = _linked(_stars(posts, percent), reps, percent)
 
     comp = connected_components(first).withColumnRenamed("node", "sid").checkpoint()
-    placed = written(met.select("key", "held", "sid", "n", "pos", "p_sid").join(comp, "sid", "left")
-                        .withColumn("component", F.coalesce("component", "sid")), "jaccard-placed")
+    placed = posts.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     largest = (placed.groupBy("key", "held", "component").agg(F.count("*").alias("m"))
                      .groupBy("key", "held").agg(F.count("*").alias("k"),
                                                  F.max(F.struct("m", "component")).alias("top"))
@@ -249,7 +277,6 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
     met_again = (F.col("o.key") == F.col("m.key")) & (F.col("o.held") == F.col("m.held")) \
         & (F.col("o.component") != F.col("m.component")) \
         & ((F.col("m.component") == F.col("m.top")) | (F.col("o.sid") < F.col("m.sid"))) \
-        & (F.col("o.sid") != F.col("o.p_sid")) & (F.col("m.sid") != F.col("m.p_sid")) \
         & F.expr(_can_link("o.", "m.", percent))
     more = o.join(m, met_again).select(F.least("o.sid", "m.sid").alias("a"), F.greatest("o.sid", "m.sid").alias("b"))
     second = _linked(more, reps, percent)
