@@ -63,23 +63,29 @@ def shingle_hashes(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np
     return out
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bit map of ``bits`` parities as int64 words; of half as many bits, it is this one's halves XORed."""
+    odd = (np.bincount(hashes & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, uid, n, sid, check, b0, b1, hashes)``: a set's size, 128 bits that name it, a bit map of
-    128 parities, and its hashes.
+    """``(doc_id, uid, n, sid, check, b0, b1, map, hashes)``: a set's size, 128 bits that name it, bit maps
+    of 128 parities and of at least as many as it has shingles (a power of two), and its hashes.
 
     Each shingle flips the bit that its hash names, so the maps of two sets differ in no more bits than
     the sets differ in shingles.
     """
 
-    @F.pandas_udf("n long, sid long, check long, b0 long, b1 long, hashes array<long>")
+    @F.pandas_udf("n long, sid long, check long, b0 long, b1 long, map array<long>, hashes array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = shingle_hashes(list(texts), shingle)
         names = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets),
                               np.int64).reshape(-1, 2)
-        bits = np.array([np.bincount(s & 127, minlength=128) & 1 for s in sets], np.uint8).reshape(-1, 128)
-        maps = np.packbits(bits, axis=1).view(np.int64)
+        maps = [parities(s, max(128, 1 << (len(s) - 1).bit_length())) for s in sets]
+        short = np.array([parities(s, 128) for s in sets], np.int64).reshape(-1, 2)
         return pd.DataFrame({"n": [len(s) for s in sets], "sid": names[:, 0], "check": names[:, 1],
-                             "b0": maps[:, 0], "b1": maps[:, 1], "hashes": sets})
+                             "b0": short[:, 0], "b1": short[:, 1], "map": maps, "hashes": sets})
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"),
                       F.col(text_col).cast("binary").alias("data"))
@@ -230,15 +236,34 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b"))
 
 
+def _halved(words: Column) -> Column:
+    half = (F.size(words) / 2).cast("int")
+    return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose sets' intersection is at least ``percent`` % of their union."""
-    pairs = pairs.distinct().checkpoint()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().checkpoint()
-    sets = _semi(reps, needed, "sid").select("sid", "hashes")
-    x = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
-    y = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(x, "a").join(y, "b").select(
-        "a", "b", F.size(F.array_intersect("ha", "hb")).alias("met"), (F.size("ha") + F.size("hb")).alias("all"))
+    """Those pairs ``(a, b)`` whose sets' intersection is at least ``percent`` % of their union.
+
+    The sets' bit maps, a 64th of their size, go first; sets are shipped for what these leave.  Sizes of
+    sets that can link are within a factor of 1.5, so their maps within one of two.
+    """
+    def beside(pairs: DataFrame, *what: str) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().checkpoint()
+        sets = _semi(reps, needed, "sid").select("sid", *what)
+        for end in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in what]), end)
+        return pairs
+
+    pairs = beside(pairs.distinct().checkpoint(), "n", "map")
+    x, y = (F.when(F.size(p) > F.size(q), _halved(F.col(p))).otherwise(F.col(p))
+            for p, q in (("map_a", "map_b"), ("map_b", "map_a")))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    pairs = (pairs.withColumn("x", x).withColumn("y", y)
+                  .where(differ <= F.expr(f"n_a + n_b - 2 * (({percent}L * (n_a + n_b) + {99 + percent}) div {100 + percent})"))
+                  .select("a", "b").checkpoint())
+    both = beside(pairs, "hashes").select(
+        "a", "b", F.size(F.array_intersect("hashes_a", "hashes_b")).alias("met"),
+        (F.size("hashes_a") + F.size("hashes_b")).alias("all"))
     return both.where(f"{100 + percent}L * met >= {percent}L * all").select("a", "b").checkpoint()
 
 
