@@ -12,21 +12,31 @@ from pyspark.sql import functions as F
 
 MAX_TOKENS = 4096
 EOS = 2
-#: Entries of a worker's caches of words and of their parts; past it a cache starts anew.
+#: Entries of a worker's caches of unusual words and of parts; past it a cache starts anew.
 CACHE = (250_000, 250_000)
 _JOIN = 256
-_PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
-# Latin letters that the tokenizer's normaliser maps one to one, then ASCII punctuation
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+# How the tokenizer cuts lower-cased text, for ASCII and the Latin-1 letters that it
+# lower-cases one to one: contractions, runs of letters, single digits, runs of other signs.
+_PART = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
+# any other character, or what may begin a special token
+_UNUSUAL = re.compile("[^ -~\t-\rÀ-ÖØ-öø-ÿ]|<\\|")
+_SPACES = " \t\n\x0b\x0c\r"
+_SPACE = re.compile(f"[{_SPACES}]")
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts that the tokenizer cuts a text without unusual characters into."""
+    return _PART.findall(text.lower())
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer file whose words are encoded on their own.
+    """Ids of whole texts from a tokenizer file, part by part.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text
-    are those of its words (cut at ASCII white space) one after another.  A word of plain letters
-    and trailing punctuation is its lower-cased letters, one part, and then its punctuation, one
-    part; any other word goes to the tokenizer as it is.  Ids are held as little-endian uint32.
+    The tokenizer lower-cases a text and cuts it into runs of letters, single digits and runs of
+    other signs; it drops white space and encodes every such part on its own.  Texts of ASCII and
+    plain Latin-1 letters are cut here, and each part's ids are remembered: a text's ids are those of
+    its parts one after another.  A word (up to white space) with any other character goes to the
+    tokenizer as it is.  Ids are held as little-endian uint32.
     """
 
     def __init__(self, path: str, cache: tuple[int, int] = CACHE):
@@ -38,63 +48,66 @@ class WordEncoder:
             pre_tokenizers.WhitespaceSplit(),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.most_words, self.most_parts = cache
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _whole(self, word: bytes) -> bytes:
-        got = self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
-        return np.array(got.ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
+    def _learn_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Encode many parts at once; each ends at its one token that closes a word."""
+        learnt = {}
         for at in range(0, len(parts), _JOIN):
             some = parts[at:at + _JOIN]
-            ids = self.light.encode(b" ".join(some).decode(), add_special_tokens=False).ids
-            ids = np.array(ids, "<u4")
+            ids = np.array(self.light.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(some):
                 raise ValueError("the tokenizer's words do not end in one closing token each")
             for p, s, e in zip(some, [0, *cuts], cuts):
-                self.parts[p] = ids[s:e].tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.most_words:
-            self.words.clear()
-        plain, parts = [], set()
-        for w in words:
-            letters = w.rstrip(_PUNCT)
-            if letters.isalpha():
-                pair = (letters.lower(), w[len(letters):])
-            elif m := _PLAIN.fullmatch(w.decode("utf-8", "replace")):
-                pair = (m[1].lower().encode(), m[2].encode())
-            else:
-                self.words[w] = self._whole(w)
-                continue
-            plain.append((w, *pair))
-            parts.update(pair)
-        parts.discard(b"")
-        if len(self.parts) + len(parts) > self.most_parts:
+                learnt[p] = ids[s:e].tobytes()
+        if len(self.parts) + len(learnt) > self.most_parts:
             self.parts.clear()
-        self._learn_parts([p for p in parts if p not in self.parts])
-        got = self.parts
-        for w, a, b in plain:
-            self.words[w] = got[a] + got[b] if b else got[a]
+        self.parts.update(learnt)
+        return learnt
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= self.most_words:
+                self.words.clear()
+            got = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            self.words[word] = got
+        return got
+
+    def _cut(self, text: str) -> list[str | bytes]:
+        """The parts of a text; the ids of a word that is not cut here."""
+        found = _UNUSUAL.search(text)
+        if not found:
+            return parts_of(text)
+        out, at = [], 0
+        while found:
+            start = max(text.rfind(c, at, found.start()) for c in _SPACES) + 1 or at
+            end = _SPACE.search(text, found.end())
+            end = end.start() if end else len(text)
+            out += parts_of(text[at:start])
+            out.append(self._word(text[start:end]))
+            at = end
+            found = _UNUSUAL.search(text, at)
+        return out + parts_of(text[at:])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of whole texts; words not yet known are learnt for all of them at once."""
-        words = [x.split() for x in texts]
-        ids = [list(map(self.words.get, w)) for w in words]
-        missing = {w for ws, xs in zip(words, ids) if None in xs for w, x in zip(ws, xs) if x is None}
+        """The ids of whole texts; parts not yet known are learnt for all of them at once."""
+        cut = [self._cut(x.decode("utf-8", "replace")) for x in texts]
+        known = self.parts.get
+        ids = [[known(p, p) for p in ps] for ps in cut]  # ids of unusual words stand for themselves
+        late = [(xs, [k for k, x in enumerate(xs) if x.__class__ is str]) for xs in ids]
+        missing = {xs[k] for xs, ks in late for k in ks}
         if missing:
-            self.learn(missing)
-            own = self.words
-            for ws, xs in zip(words, ids):
-                if None in xs:
-                    xs[:] = [own[w] if x is None else x for w, x in zip(ws, xs)]
+            learnt = self._learn_parts(list(missing))
+            for xs, ks in late:
+                for k in ks:
+                    xs[k] = learnt[xs[k]]
         return [b"".join(xs) for xs in ids]
 
 

@@ -43,7 +43,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
-                        max_tokens=4096, eos_id=2, keep_ids=False, cache=(1_000_000, 500_000))
+                        max_tokens=4096, eos_id=2, keep_ids=False, cache=(250_000, 1_500_000))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
