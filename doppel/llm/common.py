@@ -37,6 +37,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column (in any case) has it: for an operator's inner columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bytes of a table, as Spark measures it once written, up to which it is sent to every task.
+SMALL_BYTES = 32 << 20
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, marked for broadcast if what was written is small.
+
+    Beyond the bound Spark chooses the join, and adaptive execution may split its hot keys.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "beside")
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    df = spark.read.parquet(path)
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared checkpoint folder for a written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import prepare
+from doppel.llm.common import beside, own_names, prepare
 
 #: A line on more than this share of its host's pages is boilerplate.
 MAX_RATIO = 0.05
@@ -55,26 +55,26 @@ def drop_boilerplate_lines(pages: DataFrame, host_col: str = "source", text_col:
     For each host, the pages that contain a line are divided by the host's pages, copies of a page
     counting once; lines above ``max_ratio`` (and on ``min_pages`` pages or more) go.  Lines are compared without outer
     blanks; kept lines stay as they are, in order.  A host's list of such lines is short: a page
-    has few lines, so at most (lines per page) / ``max_ratio`` can pass.  It is joined by host and
-    adaptive execution picks a broadcast if its measured size allows, else splits a hot host.
+    has few lines, so at most (lines per page) / ``max_ratio`` can pass.  The lists are written first:
+    while they are small (measured) they go to the pages, which are read and cleaned where they are;
+    beyond that they are joined by host, and adaptive execution splits a hot one.
 
     Blank lines are kept and never counted.  A null text stays null with 0 lines; null hosts are
     one host; repeated rows are cleaned alike and count as one page; an empty table gives an empty result;
-    columns named ``n_lines`` or ``n_dropped`` are replaced, others are kept.
+    columns named ``n_lines`` or ``n_dropped`` are replaced, others are kept, whatever their names.
     """
     prepare(pages.sparkSession)
-    bad = boilerplate(pages, host_col, text_col, max_ratio, min_pages).withColumnRenamed("host", "_host")
     rows = pages.drop("n_lines", "n_dropped")
-    rows = rows.join(bad, rows[host_col].eqNullSafe(bad["_host"]), "left").drop("_host")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("bad").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("bad", _key(x)), F.lit(False))))
-    rows = rows.withColumn("_lines", lines).withColumn("_kept", kept)
-    return (rows.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-                .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-                .withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0)
-                            .otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-                .withColumn(text_col, F.when(F.col(text_col).isNull(), None)
-                            .when(F.col("n_dropped") == 0, F.col(text_col))
-                            .otherwise(F.array_join("_kept", "\n")))
-                .drop("_lines", "_kept", "bad"))
+    host, bad, lines, kept = own_names(pages.columns, "host", "bad", "lines", "kept")
+    lists = beside(boilerplate(pages, host_col, text_col, max_ratio, min_pages).toDF(host, bad))
+    text = F.col(text_col)
+    rows = rows.join(lists, rows[host_col].eqNullSafe(lists[host]), "left").drop(host)
+    rows = rows.withColumn(lines, F.split(text, "\n"))
+    rows = rows.withColumn(kept, F.when(F.col(bad).isNull(), F.col(lines)).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(bad, _key(x)), F.lit(False)))))
+    dropped = F.size(lines) - F.size(kept)
+    cleaned = F.when(text.isNull() | (dropped == 0), text).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns
+                         if c.lower() not in ("n_lines", "n_dropped")],
+                       F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+                       F.when(text.isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))
