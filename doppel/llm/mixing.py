@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doppel.llm.common import WORD_RE, ordered_index, prepare
+from doppel.llm.common import WORD_RE, beside, discard, ordered_index, own_names, prepare, scratch
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -71,20 +71,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     The draw needs running sums over a source, and a source may hold a third of all rows: sizes
     are summed by source and hash range (map-side first), and only the documents of the range
-    where the target falls are ordered one by one.
+    where the target falls are ordered one by one.  That is done on sizes and hashes, which are
+    computed once and written; the texts stay where they are read, as the plan (a row a source) and
+    the shares of the ordered documents are sent to them while they are small (measured).
 
     Sizes count words ``[^\\x20\\x09-\\x0D]+``.  A null, empty or word-free text has size 0 and is
     taken 0 times; a null source is a source of its own, the last one; null ids and repeated rows
     are rows like any (rows equal in id and text are interchangeable); an empty table gives an
-    empty result.  Columns of ``docs`` whose names start with ``mix_`` are replaced.
+    empty result.  Columns of ``docs`` named ``mix_size``, ``mix_source_size``, ``mix_target`` or
+    ``mix_taken`` are replaced, others are kept, whatever their names.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
+    size, hash_, source, own, own_hash, whole, edge, before, rest, held, upto = own_names(
+        docs.columns, "size", "hash", "of", "own", "own_hash", "whole", "edge", "before", "rest", "held", "upto")
     h = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    rows = (docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_hash", h)
-                .withColumn("mix_range", F.pmod(F.shiftright("mix_hash", 20), F.lit(RANGES))))
-    sized = rows.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"),
-                        F.col("mix_range").alias("range"))
-    by_range = (sized.groupBy("source", "range").agg(F.sum("size").alias("size"))).checkpoint()
+    rows = docs.withColumn(size, word_count(F.col(text_col))).withColumn(hash_, h)
+    range_ = F.pmod(F.shiftright(hash_, 20), F.lit(RANGES))
+    path = scratch(spark, "mix-sizes")
+    rows.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(hash_).alias("hash"),
+                range_.alias("range")).write.parquet(path)
+    sized = spark.read.parquet(path)
+    by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("size")).checkpoint()
     targets = source_targets(by_range, weights, share, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = (targets.withColumn("whole", F.floor(rate))
@@ -94,31 +102,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     w = Window.partitionBy("source").orderBy("range")
     run = by_range.withColumn("upto", F.sum("size").over(w))
     same = targets["source"].eqNullSafe(run["source"])
-    edge = (run.join(targets.select("source", "rest"), same)
-               .where((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
-               .select(run["source"].alias("source"), F.col("range").alias("edge"),
-                       (F.col("upto") - F.col("size")).alias("edge_before")))
-    plan = (targets.alias("t").join(edge.alias("e"), F.expr("t.source <=> e.source"), "left")
-            .select(F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-                    F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"),
-                    F.col("rest").alias("mix_rest"),
-                    F.coalesce("edge", F.lit(-1)).alias("mix_edge"),
-                    F.coalesce("edge_before", F.lit(0)).alias("mix_before")).checkpoint())
-    joined = rows.join(plan, rows[source_col].eqNullSafe(plan["mix_source"]))
-    on_edge = F.col("mix_range") == F.col("mix_edge")
-    away = joined.where(~on_edge).withColumn(
-        "mix_part", F.when(F.col("mix_range") < F.col("mix_edge"), F.col("mix_size")).otherwise(0))
-    order = (Window.partitionBy("mix_source").orderBy("mix_hash", id_col, text_col)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge_rows = joined.where(on_edge).withColumn("mix_upto", F.sum("mix_size").over(order))
-    left = F.col("mix_rest") - F.col("mix_before") - (F.col("mix_upto") - F.col("mix_size"))
-    edge_rows = edge_rows.withColumn(
-        "mix_part", F.least(F.col("mix_size"), F.greatest(F.lit(0), left))).drop("mix_upto")
-    out = away.unionByName(edge_rows)
-    keep = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
-    taken = F.col("mix_whole") * F.col("mix_size") + F.col("mix_part")
-    return out.select(*keep, "mix_size", "mix_source_size", "mix_target",
-                      taken.cast("long").alias("mix_taken"))
+    edges = (run.join(targets.select("source", "rest"), same)
+                .where((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
+                .select(run["source"].alias("source"), F.col("range").alias("edge"),
+                        (F.col("upto") - F.col("size")).alias("edge_before")))
+    plan = beside(targets.alias("t").join(edges.alias("e"), F.expr("t.source <=> e.source"), "left")
+                  .select(F.col("t.source").alias(source), F.col("source_size").alias("mix_source_size"),
+                          F.col("target").alias("mix_target"), F.col("whole").alias(whole), F.col("rest").alias(rest),
+                          F.coalesce("edge", F.lit(-1)).alias(edge), F.coalesce("edge_before", F.lit(0)).alias(before)))
+    # what each hash in a range on the edge adds, and what its source holds before it
+    on_edge = (sized.join(plan, sized["source"].eqNullSafe(plan[source]) & (sized["range"] == plan[edge]))
+                    .groupBy(source, F.col("hash").alias(own_hash)).agg(F.sum("size").alias(held)))
+    order = Window.partitionBy(source).orderBy(own_hash).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = beside(on_edge.withColumn(upto, F.sum(held).over(order) - F.col(held)).withColumnRenamed(source, own))
+    discard(spark, path)
+    joined = rows.join(plan, rows[source_col].eqNullSafe(plan[source]))
+    joined = joined.join(starts, F.col(source).eqNullSafe(F.col(own)) & (F.col(hash_) == F.col(own_hash))
+                         & (range_ == F.col(edge)), "left")
+    left = F.least(F.col(held), F.greatest(F.lit(0), F.col(rest) - F.col(before) - F.col(upto)))
+    # rows of one hash are alike and share what it takes
+    part = (F.when(range_ < F.col(edge), F.col(size)).when(F.col(held) > 0, F.floor(F.col(size) * left / F.col(held)))
+             .otherwise(0))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size).alias("mix_size"), "mix_source_size",
+                         "mix_target", (F.col(whole) * F.col(size) + part).cast("long").alias("mix_taken"))
 
 
 def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,10 +134,11 @@ def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """
     whole = F.col("mix_taken") / F.greatest(F.col("mix_size"), F.lit(1))
     n = F.ceil(whole).cast("int")
-    rows = mixed.where("mix_taken > 0").withColumn("mix_rep", F.explode(F.sequence(F.lit(1), n)))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_rep") - 1) * F.col("mix_size"))
+    rep, = own_names(mixed.columns, "rep")
+    rows = mixed.where("mix_taken > 0").withColumn(rep, F.explode(F.sequence(F.lit(1), n)))
+    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col(rep) - 1) * F.col("mix_size"))
     parts = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
                     F.lit(1), words.cast("int"))
     text = F.when(words == F.col("mix_size"), F.col(text_col)).otherwise(F.concat_ws("", parts))
-    return rows.withColumn(text_col, text).drop("mix_rep", "mix_size", "mix_source_size", "mix_target",
+    return rows.withColumn(text_col, text).drop(rep, "mix_size", "mix_source_size", "mix_target",
                                                 "mix_taken")
