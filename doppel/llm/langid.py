@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doppel.llm.common import prepare
+from doppel.llm.common import own_names, prepare
 
 #: Buckets of hashed character 1- to 3-grams.
 BUCKETS = 1 << 13
@@ -200,9 +200,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
             flag[idx] = s.max(1) - second < min_lead
         return pd.DataFrame({"lang": lang, "score": score, "ambiguous": flag})
 
-    out = docs.withColumn("_p", predict(F.col(text_col)))
-    return (out.withColumn("lang_pred", F.col("_p.lang")).withColumn("score", F.col("_p.score"))
-               .withColumn("lang_ambiguous", F.col("_p.ambiguous")).drop("_p"))
+    given = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "lang_ambiguous")]
+    found, = own_names(docs.columns, "found")
+    out = docs.withColumn(found, predict(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in given], F.col(found)["lang"].alias("lang_pred"),
+                      F.col(found)["score"].alias("score"), F.col(found)["ambiguous"].alias("lang_ambiguous"))
 
 
 def held_out(doc_id: str):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import prepare, scratch
+from doppel.llm.common import own_names, prepare, scratch
 from doppel.llm.graph import connected_components
 
 SHINGLE = 4
@@ -129,8 +129,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last).
 
-    Rows that share the id are told apart by a hash of the text, and one of equal rows stays.
-    Other cases are those of ``simhash_components``.
+    Rows that share the id are told apart by a hash of the text, and one of equal rows stays.  All
+    columns of ``docs`` are kept, whatever their names.  Other cases are those of ``simhash_components``.
     """
     spark = prepare(docs.sparkSession)
 
@@ -138,20 +138,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
 
+    fp_, key_, mark, first = own_names(docs.columns, "fp", "key", "mark", "first")
     # written once, so that the texts are hashed once and no Python runs beside the joins
     path = scratch(spark, "fingerprinted")
-    docs.withColumn("_fp", fp(F.col(text_col).cast("binary"))).write.parquet(path)
+    docs.withColumn(fp_, fp(F.col(text_col).cast("binary"))).write.parquet(path)
     rows = spark.read.parquet(path)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
                    F.xxhash64(text_col).alias("h"))
-    path = scratch(spark, "fingerprints")
-    rows.groupBy("_fp").agg(F.min(key).alias("key")).write.parquet(path)  # one row a fingerprint
-    nodes = spark.read.parquet(path)
-    comp = connected_components(links(nodes.withColumnRenamed("_fp", "fp"), max_bits))
-    placed = (nodes.join(comp.withColumnRenamed("node", "_fp"), "_fp", "left")
-                   .withColumn("_component", F.coalesce("component", "_fp")))
-    best = (placed.groupBy("_component").agg(F.min(F.struct("key", "_fp")).alias("b"))
-                  .select("_component", F.col("b._fp").alias("_fp"), F.col("b.key").alias("_key")))
-    out = rows.withColumn("_k", key).join(best, "_fp")
-    out = out.where(F.col("_k").eqNullSafe(F.col("_key"))).dropDuplicates(["_component"])
-    return out.select(*docs.columns)
+    nodes = rows.groupBy(F.col(fp_).alias("fp")).agg(F.min(key).alias("key")).checkpoint()  # one row a fingerprint
+    comp = connected_components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    placed = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = (placed.groupBy("component").agg(F.min(F.struct("key", "fp")).alias("b"))
+                  .select(F.col("b.fp").alias(mark), F.col("b.key").alias(key_), F.col("component").alias(first)))
+    out = rows.join(best, F.col(fp_) == F.col(mark)).where(key.eqNullSafe(F.col(key_)))
+    return out.dropDuplicates([first]).select(*[F.col(f"`{c}`") for c in docs.columns])

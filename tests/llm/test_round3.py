@@ -270,3 +270,45 @@ def test_whitening_of_odd_rows(spark):
     big = df.where("vec_id < 5").withColumn("embedding", F.expr("transform(embedding, x -> x * 1e12D)"))
     with pytest.raises(Exception, match="too large"):
         whitening.whiten(big).collect()
+
+
+# ------------------------------------------------- columns named like the operators' own ones
+INNER = ["bad", "_host", "_lines", "_kept", "host", "lines", "kept", "size", "hash", "of", "own", "own_hash", "whole", "edge",
+         "before", "rest", "held", "upto", "rep", "mix_source", "mix_whole", "mix_rest", "mix_range", "mix_part", "mix_hash",
+         "mix_edge", "mix_before", "mix_upto", "mix_rep", "_fp", "_k", "_key", "_component", "fp", "key", "mark", "first",
+         "component", "node", "low", "_p", "found", "data", "uid", "sid", "Bad", "doc"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Documents beside a column for each of the operators' inner names, with values that must come back."""
+    cols = []
+    for c in INNER:
+        if c.lower() not in {x.lower() for x in cols}:
+            cols.append(c)
+    rows = [(k, f"Menu\nthe cat and the dog number {k} ran {'far ' * (k % 7)}", "en", "s" if k % 3 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in cols]), cols
+
+
+def test_columns_named_like_inner_ones_come_back(spark, crowded):
+    from doppel.llm import langid, lines, mixing, simhash
+    df, cols = crowded
+    model = langid.fit(df)
+    for out in (lines.drop_boilerplate_lines(df), mixing.mix(df), mixing.repeated(mixing.mix(df)),
+                simhash.keep_one(df), langid.identify(df, model)):
+        assert out.columns[:len(df.columns)] == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in cols)
+    assert {r["n_dropped"] for r in lines.drop_boilerplate_lines(df).collect()} == {1}
+    for op in (lambda d: simhash.simhash_components(d), jaccard.jaccard_components, runs.periodic_runs):
+        assert op(df).count() == 60
+
+
+def test_texts_are_not_shuffled(spark, crowded):
+    """No exchange carries the text: boilerplate lists and the plan of a mix go to where it is read."""
+    from doppel.llm import lines, mixing
+    df, _ = crowded
+    for out in (lines.drop_boilerplate_lines(df.select("doc_id", "text", "source")), mixing.mix(df.select("doc_id", "text", "source"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
