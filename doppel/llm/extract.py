@@ -45,6 +45,11 @@ _OFF_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "comment",
               "comments", "commentlist", "respond", "replies", "disqus", "widget", "toolbar",
               "pagination", "pager", "copyright", "login"}
+# words that stand beside one of these in a compound name without changing what it names
+_BESIDE = {"site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "inner",
+           "outer", "box", "bar", "block", "area", "section", "wrapper", "wrap", "container", "list", "item",
+           "items", "links", "link", "button", "buttons", "icons", "posts", "articles", "slot", "unit", "body", "thread",
+           "form", "author", "meta", "count", "reply"}
 _PLAIN = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 _SPLITS_P = _BLOCK - {"html", "head", "body"}
 
@@ -55,32 +60,71 @@ _TOKEN = re.compile(
     r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|</?[A-Za-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
+#: One attribute after another: a name and, after "=", its value.  Values are never searched for names.
+_ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_CUT = re.compile(r"[-_:]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
 
 
+def _names_off(value: str) -> bool:
+    """Whether a class or id names boilerplate: a whole token does, or all parts of a compound one go with it.
+
+    ``ad``, ``site-nav`` and ``sidebar_2`` do; ``share-price``, ``related-work`` and ``ad-1x`` do not.
+    """
+    for token in value.lower().split():
+        parts = [p for p in _CUT.split(token) if p and not p.isdigit()]
+        if not _OFF_WORDS.isdisjoint(parts) and all(p in _OFF_WORDS or p in _BESIDE for p in parts):
+            return True
+    return False
+
+
 def _attributes(attrs: str) -> tuple[bool, bool, bool]:
     """Boilerplate by role, class or id; main content by role; article by role or itemprop."""
     off = main = article = False
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
         if key in ("class", "id"):
-            off = off or not _OFF_WORDS.isdisjoint(_WORDS.findall(value))
+            off = off or _names_off(value)
         elif key == "role":
             off, main, article = off or value in _OFF_ROLES, main or value == "main", article or value == "article"
         elif key == "itemprop":
             article = article or value == "articlebody"
-        else:
-            off = off or key == "hidden" or value == "true"
+        elif key == "hidden":
+            off = True
+        elif key == "aria-hidden":
+            off = off or value == "true"
     return off, main, article
 
 
+def _comment(attrs: str) -> bool:
+    """Whether an article element is a reader's comment by its class or id."""
+    return any(m[1].lower() in ("class", "id") and "comment" in (m[2] or m[3] or m[4] or "").lower()
+               for m in _ATTR.finditer(attrs))
+
+
+_NESTS = {n: re.compile(rf"<(/?){n}(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>", re.I)
+          for n in ("svg", "math", "template", "object")}
+
+
+def _raw_end(page: str, name: str, start: int, end: int) -> int:
+    """Where a raw element that may hold others of its name ends: at the tag that closes it, else the last one."""
+    depth, last = 0, end
+    for m in _NESTS[name].finditer(page, start):
+        if m[1]:
+            depth, last = depth - 1, m.end()
+            if not depth:
+                return last
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return last
+
+
 def blocks(page: str) -> list[tuple[str, str, str]]:
     """``(zone, part, text)`` of each block with text, in page order.
 
     ``zone`` is "off" inside a menu, header, footer, sidebar, notice, advert, form or comments,
-    else "on".  ``part`` is "article", "main" or "" by the nearest declared main content.
+    else "on"; an article's own header is a header too, so a title in it goes, one in the article
+    itself stays.  ``part`` is "article", "main" or "" by the nearest declared main content.
     """
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, bool, str]] = []  # name, off, part
@@ -95,10 +139,13 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
             text.clear()
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text.append(html.unescape(page[at:m.start()]))
         at = m.end()
+        if (raw := (m["raw"] or "").lower()) in _NESTS:
+            at = _raw_end(page, raw, m.start(), at)
+            continue
         name = (m["name"] or "").lower()
         if not name:
             continue
@@ -129,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
         attrs = m["attrs"]
         by_attr, main, article = _attributes(attrs) if attrs.strip() else (False, False, False)
         if name in _PLAIN:
-            by_attr = by_attr and name == "article" and "comment" in attrs.lower()
+            by_attr = by_attr and name == "article" and _comment(attrs)
         new_off = off or by_attr or name in _OFF
         new_part = "article" if name == "article" or article else part or ("main" if name == "main" or main else "")
         if (new_off, new_part) != (off, part):

@@ -312,3 +312,34 @@ def test_texts_are_not_shuffled(spark, crowded):
     for out in (lines.drop_boilerplate_lines(df.select("doc_id", "text", "source")), mixing.mix(df.select("doc_id", "text", "source"))):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+# ----------------------------------------------------------------------- attributes of pages (7)
+@pytest.mark.parametrize("tag", [
+    '<div style="overflow:hidden">', '<div data-hidden="false">', '<p data-id="ad-1">', '<p title="what is hidden here">',
+    '<div class="share-price">', '<div id="related-work">', '<div class="social-history">', "<p data-x='class=ad'>",
+    '<div class="lead ad1x" data-role="navigation">', '<p aria-hidden=false>', '<div onclick="x = \'hidden\'">'])
+def test_attributes_that_only_look_like_boilerplate_keep_their_text(tag):
+    from doppel.llm import extract
+    name = tag[1:].split()[0]
+    assert extract.declared(extract.blocks(f"<article><p>First</p>{tag}Main text</{name}></article>")) == "First\nMain text"
+
+
+@pytest.mark.parametrize("tag", [
+    '<div class="ad">', '<div class="site-nav">', '<div id=sidebar_2>', "<div class='post comments'>", '<div hidden>',
+    '<p aria-hidden="true">', '<div role="navigation">', '<div class="x  newsletter-box">', '<div HIDDEN="">'])
+def test_attributes_that_name_boilerplate_take_it_out(tag):
+    from doppel.llm import extract
+    name = tag[1:].split()[0]
+    assert extract.declared(extract.blocks(f"<article><p>First</p>{tag}Off</{name}><p>Last</p></article>")) == "First\nLast"
+
+
+def test_nested_raw_elements_and_headers_of_articles():
+    from doppel.llm import extract
+    text = lambda inner: extract.declared(extract.blocks(f"<article><p>First</p>{inner}<p>Last</p></article>"))
+    assert text("<svg><svg></svg><text>leak</text></svg>") == "First\nLast"
+    assert text("<svg><svg/><text>leak</text></svg>") == "First\nLast"
+    assert text("<template><template>a</template>b</template>") == "First\nLast"
+    assert text("<svg><svg></svg><p>shown, as nothing closes the first</p>") == "First\nshown, as nothing closes the first\nLast"
+    # a header is a header, an article's own too; a title outside of one stays
+    assert text("<header><h1>Title</h1></header>") == "First\nLast" and text("<h1>Title</h1>") == "First\nTitle\nLast"
