@@ -25,6 +25,7 @@ MOST_IDS = 1 << 22
 PAIR_COST = 4
 #: Sets of a list that are compared with all others before components are formed.
 LEADS = 6
+_TEXT_BYTES = 1 << 20
 _SIZE_CLASSES = 4  # classes of set sizes for each doubling
 
 
@@ -79,7 +80,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
     @F.pandas_udf("n long, sid long, check long, b0 long, b1 long, map array<long>, hashes array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        sets = shingle_hashes(list(texts), shingle)
+        sets, group, size = [], [], 0
+        for k, text in enumerate(texts, 1):  # some of them at a time, as words are large objects
+            group.append(text)
+            size += len(text or b"")
+            if size >= _TEXT_BYTES or k == len(texts):
+                sets += shingle_hashes(group, shingle)
+                group, size = [], 0
         names = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets),
                               np.int64).reshape(-1, 2)
         maps = [parities(s, max(128, 1 << (len(s) - 1).bit_length())) for s in sets]
