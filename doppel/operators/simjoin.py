@@ -493,3 +493,20 @@ def similar_pairs(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
     # The verified pairs are few; materialise them so the range partitioner's sampling pass
     # reads them instead of re-running the verification.
     return keep(out).orderBy(F.desc("similarity"), "doc1", "doc2")
+
+
+def refreshed_pairs(pairs: DataFrame, new_vectors: DataFrame, vectors: DataFrame, order: DataFrame,
+                    threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
+    """A pair table (doc1, doc2, similarity) brought up to date after an upsert.
+
+    ``new_vectors`` were added to or replaced in ``vectors`` (which holds them).  Pairs of their ids go,
+    pairs of the others are kept as they are, and only the new vectors are joined with all.
+    """
+    ids = new_vectors.select(id_col).distinct()
+    kept = (pairs.join(ids.withColumnRenamed(id_col, "doc1"), "doc1", "left_anti")
+                 .join(ids.withColumnRenamed(id_col, "doc2"), "doc2", "left_anti"))
+    found = threshold_join(new_vectors, vectors, order, threshold, id_col)
+    both = ids.withColumnRenamed(id_col, "b")  # a pair of two new ones is found from either side
+    found = found.join(both.withColumn("_new", F.lit(True)), "b", "left").where("_new is null or a < b")
+    return kept.select("doc1", "doc2", "similarity").unionByName(found.select(
+        F.least("a", "b").alias("doc1"), F.greatest("a", "b").alias("doc2"), "similarity"))
