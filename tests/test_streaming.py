@@ -53,3 +53,44 @@ def test_duplicates_across_micro_batches(spark, small_model, tmp_path):
     assert got in (want, alternative)
     kept = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "state" / "admitted")).collect()}
     assert kept == {90001, 90004}
+
+
+def test_rows_of_a_micro_batch_arrive_in_file_order(spark, small_model, tmp_path):
+    """The later id comes in the older file: it is admitted and the earlier id is its duplicate."""
+    import os
+    docs, m = small_model
+    src = tmp_path / "in"
+    for n, doc_id in ((0, 90009), (1, 90001)):
+        path = str(src / f"n={n}")
+        spark.createDataFrame([(doc_id, "zebra quartz violin harbor")], "doc_id long, text string").coalesce(1).write.parquet(path)
+        for name in os.listdir(path):
+            os.utime(os.path.join(path, name), (1_000_000 + n, 1_000_000 + n))
+    stream = parquet_stream(spark, str(src / "n=*"), "*.parquet", "doc_id long, text string", max_files_per_trigger=2)
+    out = run_ingest(spark, stream, m, docs, str(tmp_path / "state")).collect()
+    assert {r["doc_id"]: r["status"] for r in out} == {90009: "accepted", 90001: "duplicate"}
+    assert len({r["batch_id"] for r in out}) == 1
+
+
+def test_a_replayed_batch_gives_the_same_state(spark, small_model, tmp_path):
+    from doppel.operators.embeddings import hash_embeddings
+    from doppel.streaming.ingest import IngestState
+    docs, m = small_model
+    old = docs.orderBy("doc_id").first()
+    state = IngestState(spark, str(tmp_path), m, docs, "doc_id", hash_embeddings, hash_embeddings(docs).checkpoint())
+    schema = "doc_id long, content string, arrival int"
+    first = spark.createDataFrame([(90001, "zebra quartz violin harbor", 1), (90002, old["content"], 2)], schema)
+    second = spark.createDataFrame([(90003, "zebra quartz violin harbor", 1), (90004, old["content"] + " marigold", 2),
+                                    (90005, "crimson lantern orbit", 3)], schema)
+    rows = lambda df: sorted((r["doc_id"], r["status"]) for r in df.collect())
+    assert rows(state.ingest(first, 0)) == [(90001, "accepted"), (90002, "duplicate")]
+    want = [(90003, "duplicate"), (90004, "duplicate"), (90005, "accepted")]
+    assert rows(state.ingest(second, 1)) == want and rows(state.ingest(second, 1)) == want
+    for table in ("admitted", "vectors", "embeddings"):
+        got = spark.read.parquet(str(tmp_path / table))
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == [90001, 90005]
+    # only vectors that share a prefix term with the batch are read for the join
+    one = m.transform(spark.createDataFrame([(90006, old["content"])], "doc_id long, content string"))
+    near = {r["doc_id"] for r in state.near(one, 2).collect()}
+    assert old["doc_id"] in near and len(near) < 201
+    sims = m.vectors.where(F.col("doc_id") == old["doc_id"])
+    assert sims.count() == 1
