@@ -10,13 +10,16 @@ plugged in as a pandas function through ``encode_with``.
 
 Exact threshold join (J4, J10)
 ------------------------------
-Angular distance is a metric on the unit sphere.  ``P`` pivots are drawn from the data (the
-vectors with the smallest id hash; P is bounded, so the pivot set is a proven-small broadcast).
-Each vector lives in the cell of its nearest pivot; a cell's radius R is its largest member
-angle.  A pair with cosine >= t has angle <= theta = acos(t), so by the triangle inequality
-``angle(u, pivot(v)) <= theta + R(cell(v))``: every vector is *probed* into each cell that
-passes this test and joined with the cell's *home* members on the cell id -- an equi-join, not
-a cross join, and exact.  Hot cells are split into sub-blocks of at most ``cell_rows`` members.
+Every pair that can qualify is scored once, in groups of two blocks of at most ``cell_rows`` vectors:
+
+* Pivots drawn from the data (a bounded number) cut the unit sphere into cells, a cell into blocks.
+  Angular distance is a metric, so two cells meet only if the angle between their pivots is at most
+  ``acos(t)`` plus both cells' radii.  A self-join forms an unordered pair of blocks once.
+* Vectors are rotated to the principal axes of the data (products stay the same).  Inside a group
+  ``x.y <= lead(x).lead(y) + |rest(x)| |rest(y)|`` (Cauchy-Schwarz on what follows the leading
+  coordinates): one short matrix product tells which pairs need the long one.
+
+At ``t <= 0`` every pair is scored, zero vectors included; so is the similarity matrix (J5).
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ from doppel.operators.tfidf import term_bags
 from doppel.session import keep
 
 ANGLE_EPS = 1e-9
+MAX_PIVOTS = 1024  # and so at most its square of pairs of cells on the driver
+MAX_DIM = 1024     # the rotation is a matrix of so many rows and columns
+LEAD_SHARE = 4     # a fourth of the coordinates lead
 
 
 # --------------------------------------------------------------------------------- cosine
@@ -116,35 +122,136 @@ def encode_with(df: DataFrame, encoder, id_col: str = "doc_id") -> DataFrame:
 
 
 # --------------------------------------------------------------------------------- joins
-def _unit(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def _unit(emb: DataFrame, id_col: str, vec_col: str, zeros: bool = False) -> DataFrame:
+    """(id, u): unit vectors; zero vectors are left out or, with ``zeros``, kept as they are."""
     v = F.col(vec_col).cast("array<double>")
-    return (emb.select(F.col(id_col).alias("id"), v.alias("v"))
-            .withColumn("n", l2(F.col("v")))
-            .where(F.col("n") > 0)
-            .select("id", F.transform("v", lambda x: F.try_divide(x, F.col("n"))).alias("u")))
+    rows = emb.select(F.col(id_col).alias("id"), v.alias("v")).withColumn("n", l2(F.col("v")))
+    rows = rows.where(F.col("n").isNotNull()) if zeros else rows.where(F.col("n") > 0)
+    return rows.select("id", F.when(F.col("n") > 0, F.transform("v", lambda x: F.try_divide(x, F.col("n"))))
+                       .otherwise(F.col("v")).alias("u"))
+
+
+def _principal_axes(df: DataFrame) -> np.ndarray:
+    """Orthogonal matrix whose columns are the principal axes of the vectors ``u``, strongest first."""
+    first = df.select("u").first()
+    dim = len(first["u"]) if first else 0
+    if dim > MAX_DIM:
+        return np.eye(dim)
+
+    def moments(batches):
+        total = np.zeros((dim, dim))
+        for pdf in batches:
+            if len(pdf):
+                u = np.stack(pdf["u"].to_numpy())
+                total += u.T @ u
+        yield pd.DataFrame({"m": [total.ravel()]})
 
+    parts = df.select("u").mapInPandas(moments, "m array<double>").select(F.posexplode("m").alias("at", "v"))
+    got = parts.groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # dim * dim numbers
+    total = np.zeros(dim * dim)
+    total[got["at"].to_numpy()] = got["v"].to_numpy()
+    return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1]
 
-def _place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+
+def _place(df: DataFrame, pivots: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """(id, u) -> (id, z, cell, r): rotated vector, cell of the nearest pivot and the angle to it."""
     id_type = df.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("u", T.ArrayType(T.DoubleType())),
-                           T.StructField("ang", T.ArrayType(T.DoubleType())),
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("z", T.ArrayType(T.DoubleType())),
                            T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())])
-    bc = df.sparkSession.sparkContext.broadcast(pivots)  # p x dim, p bounded
+    shared = df.sparkSession.sparkContext.broadcast((pivots, axes))  # both bounded
 
     def angles(batches):
-        piv = bc.value
+        piv, rot = shared.value
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            u = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["u"]])
-            ang = np.arccos(np.clip(u @ piv.T, -1.0, 1.0))
-            cell = np.argmin(ang, axis=1)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "u": list(u), "ang": list(ang),
-                                "cell": cell.astype(np.int32), "r": ang[np.arange(len(u)), cell]})
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at:at + 1024]
+                u = np.stack(some["u"].to_numpy())
+                ang = np.arccos(np.clip(u @ piv.T, -1.0, 1.0))
+                cell = np.argmin(ang, axis=1)
+                yield pd.DataFrame({"id": some["id"].to_numpy(), "z": list(u @ rot), "cell": cell.astype(np.int32),
+                                    "r": ang[np.arange(len(u)), cell]})
 
     return df.select("id", "u").mapInPandas(angles, schema)
 
 
+def _same_id_type(left: DataFrame, right: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ids of one type: texts if either has texts, else long where they differ."""
+    kinds = left.schema[id_col].dataType, right.schema[id_col].dataType
+    if kinds[0] == kinds[1]:
+        return left, right
+    kind = T.StringType() if T.StringType() in kinds else T.LongType()
+    return tuple(x.withColumn(id_col, F.col(id_col).cast(kind)) for x in (left, right))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id_col: str, vec_col: str,
+                 n_pivots: int | None, cell_rows: int):
+    """The two sides of every group of blocks that can hold a qualifying pair, None if a side is empty."""
+    zeros = threshold <= 0
+    lu = _unit(left, id_col, vec_col, zeros)
+    ru = lu if right is None else _unit(right, id_col, vec_col, zeros)
+    n_right = ru.count()
+    if n_right == 0 or (right is not None and lu.isEmpty()):
+        return None
+    p = n_pivots or max(1, min(MAX_PIVOTS, math.ceil(n_right / cell_rows)))
+    # Pivots: the p vectors with the smallest id hash -- deterministic and bounded (p x dim).
+    chosen = ru.select("u", F.xxhash64("id").alias("h")).orderBy("h").limit(p).toPandas()["u"]
+    pivots = np.stack(chosen.to_numpy()).astype(np.float64)
+    axes = _principal_axes(ru)
+
+    def cells(df: DataFrame):
+        """Placed rows, and each cell's radius and number of blocks (a row a cell reaches the driver)."""
+        df = keep(_place(df, pivots, axes))
+        radius, blocks = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
+        for r in df.groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+            radius[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] // cell_rows)
+        return df, radius, blocks
+
+    x, rx, bx = cells(lu)
+    y, ry, by = (x, rx, bx) if right is None else cells(ru)
+    may = (rx >= 0)[:, None] & (ry >= 0)[None, :]
+    if threshold > 0:  # a zero vector has no angle, and nothing can be left out
+        theta = math.acos(max(-1.0, min(1.0, threshold)))
+        apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+        may &= apart <= theta + rx[:, None] + ry[None, :] + ANGLE_EPS
+    if right is None:
+        may &= np.triu(np.ones_like(may))
+    ca, cb = np.nonzero(may)
+    table = pd.DataFrame({"ca": ca.astype(np.int32), "cb": cb.astype(np.int32), "na": bx[ca], "nb": by[cb]})
+    meet = F.broadcast(left.sparkSession.createDataFrame(table, "ca int, cb int, na long, nb long"))
+
+    def own(df: DataFrame, cell: str, sub: str, n: str) -> DataFrame:
+        return (df.join(meet, F.col("cell") == F.col(cell))
+                  .withColumn(sub, F.pmod(F.xxhash64("id"), F.col(n))))
+
+    same = (F.col("ca") == F.col("cb")) if right is None else F.lit(False)
+    a = own(x, "ca", "sa", "na").withColumn("sb", F.explode(F.sequence(
+        F.when(same, F.col("sa")).otherwise(F.lit(0).cast("long")), F.col("nb") - 1)))
+    b = own(y, "cb", "sb", "nb").withColumn("sa", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.when(same, F.col("sb")).otherwise(F.col("na") - 1))))
+    keys = ["ca", "sa", "cb", "sb"]
+    # columns of their own on each side, as both descend from the same tables
+    return (a.select(*keys, "id", "z").toDF(*keys, "a", "za"), b.select(*keys, "id", "z").toDF(*keys, "b", "zb"), keys)
+
+
+def scored(za: np.ndarray, zb: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, columns and products of the pairs with product >= t, and how many products were computed."""
+    lead = max(1, za.shape[1] // LEAD_SHARE)
+    if t > 0:
+        ta, tb = (np.sqrt((z[:, lead:] ** 2).sum(1)) for z in (za, zb))
+        bound = za[:, :lead] @ zb[:, :lead].T
+        bound += np.outer(ta, tb)
+        ia, ib = np.nonzero(bound >= t - 1e-9)
+        if len(ia) * 4 < za.shape[0] * zb.shape[0]:
+            sims = np.empty(len(ia))
+            for at in range(0, len(ia), 65_536):
+                sims[at:at + 65_536] = np.einsum("ij,ij->i", za[ia[at:at + 65_536]], zb[ib[at:at + 65_536]])
+            ok = sims >= t
+            return ia[ok], ib[ok], sims[ok], len(ia)
+    sims = za @ zb.T
+    ia, ib = np.nonzero(sims >= t)
+    return ia, ib, sims[ia, ib], sims.size
+
+
 def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold: float,
                              id_col: str = "vec_id", vec_col: str = "embedding",
                              n_pivots: int | None = None, cell_rows: int = 1024,
@@ -155,94 +262,50 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
     Zero vectors have cosine 0 with everything, so they qualify at ``threshold <= 0`` and only
     there; as nothing can be left out then, every pair of vectors is scored.
     """
-    self_join = right is None
-    if not self_join and right.schema[id_col].dataType != left.schema[id_col].dataType:
-        texts = T.StringType() in (left.schema[id_col].dataType, right.schema[id_col].dataType)
-        kind = T.StringType() if texts else T.LongType()
-        left, right = (x.withColumn(id_col, F.col(id_col).cast(kind)) for x in (left, right))
-    if threshold <= 0:
-        scored = _every_pair(left, left if self_join else right, id_col, vec_col, cell_rows)
-        scored = scored.where(F.col("similarity") >= threshold)
-        if self_join:
-            return scored.where("a < b")
-        return scored.where("a <> b") if exclude_same_id else scored
-    lu = _unit(left, id_col, vec_col)
-    ru = lu if self_join else _unit(right, id_col, vec_col)
-    n_right = ru.count()
-    if n_right == 0:
+    if right is not None:
+        left, right = _same_id_type(left, right, id_col)
+    sides = _block_pairs(left, right, threshold, id_col, vec_col, n_pivots, cell_rows)
+    if sides is None:
         return _empty_pairs(left, id_col)
-    p = n_pivots or max(1, min(64, math.ceil(n_right / cell_rows)))
-    # Pivots: the p vectors with the smallest id hash -- deterministic and bounded (p x dim).
-    piv = (ru.select("u", F.xxhash64("id").alias("h")).orderBy("h").limit(p)
-           .toPandas()["u"])
-    pivots = np.array([np.asarray(x, dtype=np.float64) for x in piv])
-    theta = math.acos(max(-1.0, min(1.0, threshold)))
-
-    def place(df: DataFrame) -> DataFrame:
-        """(id, u) -> (id, u, ang ARRAY<DOUBLE>, cell, r): one numpy product per Arrow batch."""
-        return keep(_place(df, pivots))
-
-    home = place(ru)
-    radius = home.groupBy("cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("m"))
-    rad = radius.orderBy("cell").toPandas()  # at most p rows
-    radii = np.full(len(pivots), -1.0)
-    sizes = np.zeros(len(pivots), dtype=np.int64)
-    radii[rad["cell"].to_numpy()] = rad["radius"].to_numpy()
-    sizes[rad["cell"].to_numpy()] = rad["m"].to_numpy()
-    subs = np.maximum(1, np.ceil(sizes / cell_rows)).astype(int)
-
-    bound = F.array(*[F.lit(float(r + theta + ANGLE_EPS) if r >= 0 else -1.0) for r in radii])
-    n_sub = F.array(*[F.lit(int(x)) for x in subs])
-    probes = (place(lu).select("id", "u", F.posexplode("ang").alias("cell", "a"))
-              .where(F.col("a") <= F.element_at(bound, F.col("cell") + 1))
-              .select(F.col("id").alias("a"), F.col("u").alias("ua"), "cell"))
-    # Probe lists of hot cells are cut into chunks of at most cell_rows; the cell's home
-    # sub-blocks are replicated once per chunk, so every group is at most cell_rows^2 work.
-    probe_counts = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).toPandas()  # <= p rows
-    chunks = np.ones(len(pivots), dtype=np.int64)
-    chunks[probe_counts["cell"].to_numpy()] = np.maximum(
-        1, np.ceil(probe_counts["m"].to_numpy() / cell_rows)).astype(np.int64)
-    n_chunk = F.array(*[F.lit(int(x)) for x in chunks])
-    probes = (probes.withColumn("chunk", F.pmod(F.xxhash64("a"), F.element_at(n_chunk, F.col("cell") + 1))
-                                .cast("int"))
-              .withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(n_sub, F.col("cell") + 1) - 1))))
-    homes = (home.select(F.col("id").alias("b"), F.col("u").alias("ub"), "cell",
-                         F.pmod(F.xxhash64("id"), F.element_at(n_sub, F.col("cell") + 1)).cast("int")
-                         .alias("sub"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(n_chunk, F.col("cell") + 1) - 1))))
-    rule = "lt" if self_join else ("ne" if exclude_same_id else "all")
-    return _score_cells(probes, homes, threshold, left.schema[id_col].dataType, rule)
-
-
-def _score_cells(probes: DataFrame, homes: DataFrame, threshold: float, id_type: T.DataType,
-                 rule: str) -> DataFrame:
-    """cogroup probes (a, ua) and homes (b, ub) by (cell, sub, chunk); one matrix product each."""
+    x, y, keys = sides
+    id_type = left.schema[id_col].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
                            T.StructField("similarity", T.DoubleType())])
-    t = float(threshold)
-
-    def empty() -> pd.DataFrame:
-        return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
-                             "similarity": pd.Series([], dtype="float64")})
+    t, self_join = float(threshold), right is None
 
     def score(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if p.empty or h.empty:
-            return empty()
-        pm = np.stack([np.asarray(x, dtype=np.float64) for x in p["ua"]])
-        hm = np.stack([np.asarray(x, dtype=np.float64) for x in h["ub"]])
-        sims = pm @ hm.T
-        ia, ib = np.nonzero(sims >= t)
-        a = p["a"].to_numpy()[ia]
-        b = h["b"].to_numpy()[ib]
-        keep = (a < b) if rule == "lt" else (a != b) if rule == "ne" else np.ones(len(a), dtype=bool)
-        if not keep.any():
-            return empty()
-        return pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": sims[ia[keep], ib[keep]]})
-
-    keys = ["cell", "sub", "chunk"]
-    return (probes.select(*keys, "a", "ua").groupBy(*keys)
-            .cogroup(homes.select(*keys, "b", "ub").groupBy(*keys))
-            .applyInPandas(score, schema))
+            return pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
+                                 "similarity": pd.Series([], dtype="float64")})
+        ia, ib, sims, _ = scored(np.stack(p["za"].to_numpy()), np.stack(h["zb"].to_numpy()), t)
+        a, b = p["a"].to_numpy()[ia], h["b"].to_numpy()[ib]
+        if self_join:  # a block meets itself once, with each pair twice
+            one = p["ca"].iloc[0] == p["cb"].iloc[0] and p["sa"].iloc[0] == p["sb"].iloc[0]
+            kept = a < b if one else a != b
+            a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+        else:
+            kept = a != b if exclude_same_id else np.ones(len(a), bool)
+        return pd.DataFrame({"a": a[kept], "b": b[kept], "similarity": sims[kept]})
+
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(score, schema)
+
+
+def scored_share(emb: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding",
+                 n_pivots: int | None = None, cell_rows: int = 1024) -> DataFrame:
+    """One row (pairs, met, scored): all pairs of a self-join, those whose blocks met, those with a full product."""
+    n = emb.count()
+    sides = _block_pairs(emb, None, threshold, id_col, vec_col, n_pivots, cell_rows)
+
+    def count(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        work = 0 if p.empty or h.empty else scored(np.stack(p["za"].to_numpy()), np.stack(h["zb"].to_numpy()), threshold)[3]
+        return pd.DataFrame({"met": [len(p) * len(h)], "scored": [work]})
+
+    counts = emb.sparkSession.createDataFrame([], "met long, scored long")
+    if sides is not None:
+        x, y, keys = sides
+        counts = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(count, "met long, scored long")
+    return counts.agg(F.lit(n * (n - 1) // 2).cast("long").alias("pairs"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"),
+                      F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
 
 
 def _empty_pairs(df: DataFrame, id_col: str) -> DataFrame:
@@ -265,27 +328,11 @@ def similarity_matrix(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "em
                       cell_rows: int = 1024) -> DataFrame:
     """Every (i, j) including the diagonal and both triangles, long form (i, j, similarity).
 
-    The output is quadratic by definition; the work is split into cells of at most
-    ``cell_rows`` home vectors.  Zero vectors score 0 against everything.
+    The output is quadratic by definition; the work is split into pairs of blocks of at most about
+    ``cell_rows`` vectors, one matrix product each.  Zero vectors score 0 against everything.
     """
-    return (_every_pair(emb, emb, id_col, vec_col, cell_rows)
-            .select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity"))
-
-
-def _every_pair(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, cell_rows: int) -> DataFrame:
-    """(a, b, similarity) for each row of ``left`` with each of ``right``, both sides cut into blocks
-    of about ``cell_rows``, so that no key holds a whole side."""
-
-    def cut(df: DataFrame, name: str):
-        v = F.col(vec_col).cast("array<double>")
-        blocks = max(1, math.ceil(df.count() / cell_rows))
-        own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-        return df.select(F.col(id_col).alias(name), v.alias(f"v{name}"), own.alias(f"k{name}")), blocks
-
-    (a, na), (b, nb) = cut(left, "a"), cut(right, "b")
-    a = a.withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = b.withColumn("ka", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
-    return a.join(b, ["ka", "kb"]).select("a", "b", cosine_embedding(F.col("va"), F.col("vb")).alias("similarity"))
+    p = embedding_threshold_join(emb, emb, -2.0, id_col, vec_col, cell_rows=cell_rows, exclude_same_id=False)
+    return p.select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity")
 
 
 def embedding_hits(queries: DataFrame, corpus: DataFrame, threshold: float,

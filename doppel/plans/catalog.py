@@ -290,7 +290,7 @@ def q_admission(spark, sf_dir):
     from doppel.operators.dedup import admit
     docs, m = fitted(spark, sf_dir)
     batch = docs.withColumn("arrival", F.col("doc_id"))
-    return admit(batch, m, None).where(F.col("occurrence") == 1).select("doc_id", "status")
+    return admit(batch, m, None).select("doc_id", "status")
 
 
 def q_duplicate_report(spark, sf_dir):
@@ -343,6 +343,59 @@ def q_state_roundtrip(spark, sf_dir):
             .unionByName(again.similar_documents(ids, "embedding", ROUNDTRIP_T_EMB, TOPK_LIMIT)))
 
 
+def q_kmeans_invariants(spark, sf_dir):
+    """M2: what holds for a converged k-means whatever its labels."""
+    _, m = fitted(spark, sf_dir)
+    clusters = cl.kmeans_clusters(m.vectors, m.vocab_size, m.n_docs).checkpoint()
+    return cl.kmeans_check(m.vectors, clusters, m.n_docs)
+
+
+def q_cluster_model_reload(spark, sf_dir):
+    """A saved clustering with its centroids, reloaded, places the incoming documents."""
+    from doppel.plans.corpus_ops import Corpus
+    from doppel.session import scratch_path
+    base, m, new = split(spark, sf_dir)
+    root = scratch_path(spark, "clustered")
+    Corpus.create(base, m).with_clusters(_clusters(m)).save(root)
+    state = Corpus.load(spark, root).refresh(new, recluster=False)
+    return state.clusters.select("doc_id", "cluster_id")
+
+
+def q_pairs_refresh(spark, sf_dir):
+    """The base corpus' pair table, brought up to date by two refreshes and reloaded after each."""
+    from doppel.plans.corpus_ops import Corpus
+    from doppel.session import scratch_path
+    base, m, new = split(spark, sf_dir)
+    root = scratch_path(spark, "pairs")
+    Corpus.create(base, m, tfidf_threshold=PAIR_T, pairs=True).save(root)
+    for part in ("doc_id % 20 = 0", "doc_id % 20 <> 0"):
+        Corpus.load(spark, root).refresh(new.where(part), root, recluster=False)
+    return Corpus.load(spark, root).pairs.select("doc1", "doc2", r6("similarity"))
+
+
+#: Roles in ``upload_status``: bad bytes, asked for twice, uploads of ids that are there, names without a file.
+BROKEN, TWICE, TAKEN, UNKNOWN = "doc_id % 70 = 0", "doc_id % 30 = 0", "doc_id % 100 = 1", "doc_id % 100 = 2"
+LATER, NOWHERE = 1_000_000_000_000, 2_000_000_000_000
+
+
+def q_upload_status(spark, sf_dir):
+    """C4: requests for every arriving document and some others, judged one after another, in one table."""
+    from doppel.operators.dedup import upload_statuses
+    from doppel.operators.embeddings import hash_embeddings
+    from doppel.sources.corpus import decode_files, judge_requests
+    base, m, _ = split(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    data = F.col("text").cast("binary")
+    files = docs.where(f"({ARRIVES}) or ({TAKEN})").select("doc_id", F.when(
+        F.expr(f"{ARRIVES} and {BROKEN}"), F.concat(F.unhex(F.lit("FF")), data)).otherwise(data).alias("content"))
+    asked = docs.where(f"({ARRIVES}) or ({TAKEN})").select("doc_id", F.col("doc_id").alias("arrival"))
+    again = docs.where(f"{ARRIVES} and {TWICE}").select("doc_id", (F.col("doc_id") + LATER).alias("arrival"))
+    unknown = docs.where(UNKNOWN).select((F.col("doc_id") + NOWHERE).alias("doc_id"), F.col("doc_id").alias("arrival"))
+    requests = asked.unionByName(again).unionByName(unknown)
+    judged = judge_requests(requests, decode_files(files, strict_utf8=True), base)
+    return upload_statuses(judged, m, base, hash_embeddings(base), hash_embeddings, PAIR_T, DUP_T_EMB)
+
+
 ROUNDTRIP_T, ROUNDTRIP_T_EMB = 0.3, 0.6  # admitted documents have no hits at the check's thresholds
 
 
@@ -430,6 +483,26 @@ found AS (
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, q ORDER BY s DESC, id) AS INTEGER) AS rank FROM found)""")
 
 
+#: The answers to ``upload_status``; a refusal lists what the text duplicates at the time it is asked for.
+UPLOAD_CTES = (*STATUS_CTES, f"""
+ends AS (SELECT x AS u, y AS v FROM edges UNION SELECT y, x FROM edges),
+told AS (
+  SELECT doc_id, 1 AS occurrence, CAST(id AS VARCHAR) AS hit FROM dup_rows
+  UNION SELECT doc_id, 2, CAST(id AS VARCHAR) FROM dup_rows
+  UNION SELECT v, 1, CAST(u AS VARCHAR) FROM ends WHERE u < v AND u IN (SELECT doc_id FROM accepted)
+        AND u IN (SELECT node FROM nodes) AND v IN (SELECT node FROM nodes)
+  UNION SELECT v, 2, CAST(u AS VARCHAR) FROM ends WHERE u IN (SELECT doc_id FROM accepted)
+        AND u IN (SELECT node FROM nodes) AND v IN (SELECT node FROM nodes)),
+ids AS (SELECT doc_id, occurrence, string_agg(DISTINCT hit, ', ' ORDER BY hit) AS ids FROM told GROUP BY 1, 2),
+asked AS (
+  SELECT doc_id, 1 AS occurrence, status FROM statuses
+  UNION ALL SELECT doc_id, 2, CASE WHEN status = 'accepted' THEN 'exists' ELSE 'duplicate' END FROM statuses WHERE {TWICE}
+  UNION ALL SELECT doc_id, n, 'invalid' FROM documents, (VALUES (1), (2)) v(n)
+            WHERE {ARRIVES} AND {BROKEN} AND (n = 1 OR {TWICE})
+  UNION ALL SELECT doc_id, 1, 'exists' FROM documents WHERE {TAKEN}
+  UNION ALL SELECT doc_id + {NOWHERE}, 1, 'not_found' FROM documents WHERE {UNKNOWN})""")
+
+
 def _oracles() -> dict[str, str]:
     C = O.corpus_ctes()
     W = O.with_ctes
@@ -540,6 +613,37 @@ def _oracles() -> dict[str, str]:
         "state_roundtrip": W(base_ctes, arriving_ctes, *ROUNDTRIP_CTES, recursive=True) + f"""
             SELECT q AS query_document_id, id, s AS similarity_score, rank, method, 'ok' AS status
             FROM best WHERE rank <= {TOPK_LIMIT}""",
+        "kmeans_invariants": W(C, O.CLUSTERS_CTE) + """
+            SELECT n AS n_rows, n AS n_ids, CAST(k AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_misplaced,
+                   true AS cheaper FROM n_docs, k""",
+        "cluster_model_reload": W(base_ctes, arriving_ctes, O.CLUSTERS_CTE) + """
+            , members AS (SELECT cluster_id, count(*) AS m FROM clusters GROUP BY cluster_id),
+            cent AS (SELECT c.cluster_id, t.term_id, sum(t.weight) / any_value(mm.m) AS value
+                     FROM tfidf t JOIN clusters c USING (doc_id) JOIN members mm USING (cluster_id)
+                     GROUP BY c.cluster_id, t.term_id),
+            c_sq AS (SELECT cluster_id, sum(value * value) AS c2 FROM cent GROUP BY cluster_id),
+            dots AS (SELECT t.item_id, c.cluster_id, sum(t.weight * c.value) AS dot
+                     FROM new_tfidf t JOIN cent c USING (term_id) GROUP BY t.item_id, c.cluster_id),
+            best AS (SELECT n.item_id, s.cluster_id, row_number() OVER (
+                       PARTITION BY n.item_id ORDER BY s.c2 - 2 * coalesce(d.dot, 0), s.cluster_id) AS r
+                     FROM new_docs n CROSS JOIN c_sq s
+                     LEFT JOIN dots d ON d.item_id = n.item_id AND d.cluster_id = s.cluster_id)
+            SELECT doc_id, cluster_id FROM clusters
+            UNION ALL SELECT item_id, CAST(cluster_id AS INTEGER) FROM best WHERE r = 1""",
+        "pairs_refresh": W(base_ctes, arriving_ctes) + f"""
+            , vecs AS (SELECT doc_id, term_id, weight FROM tfidf UNION ALL SELECT item_id, term_id, weight FROM new_tfidf)
+            SELECT a.doc_id AS doc1, b.doc_id AS doc2,
+                   round(least(greatest(sum(a.weight * b.weight), 0.0), 1.0), 6) AS similarity
+            FROM vecs a JOIN vecs b ON a.term_id = b.term_id AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING least(greatest(sum(a.weight * b.weight), 0.0), 1.0) >= {PAIR_T}""",
+        "upload_status": W(base_ctes, O.new_docs_ctes(f"(SELECT * FROM documents WHERE {ARRIVES} AND NOT ({BROKEN}))",
+                                                      "doc_id", "text"), *UPLOAD_CTES, recursive=True) + """
+            SELECT a.doc_id, CAST(a.occurrence AS INTEGER) AS occurrence, a.status,
+                   CASE a.status WHEN 'exists' THEN 'Document ' || a.doc_id || ' already exists in the system'
+                     WHEN 'not_found' THEN 'Document ' || a.doc_id || '.txt not found in data/new_docs folder'
+                     WHEN 'invalid' THEN 'not valid UTF-8'
+                     WHEN 'duplicate' THEN 'Document ' || a.doc_id || ' has duplicates: ' || i.ids END AS detail
+            FROM asked a LEFT JOIN ids i ON i.doc_id = a.doc_id AND i.occurrence = a.occurrence""",
         "duplicate_summary": W(base_ctes, arriving_ctes, *DUP_CTES) + """
             , per AS (
               SELECT doc_id,

@@ -6,7 +6,14 @@ df/cf -> vocabulary -> weights.  It never calls into the Spark library.
 
 from __future__ import annotations
 
-from doppel.functions.text import DROPPED_CHARS, NOT_WHITESPACE, TOKEN_PATTERN, WHITESPACE_RUN
+# Fixed values, written out here and not taken from the library that they check: Unicode white space,
+# the characters that normalising keeps, and words of two letters or more.
+_SPACE = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+          r"\x{202F}\x{205F}\x{3000}")
+WHITESPACE_RUN = f"[{_SPACE}]+"
+NOT_WHITESPACE = f"[^{_SPACE}]"
+DROPPED_CHARS = r"[^a-zA-Z0-9\s.,!?]"
+TOKEN_PATTERN = r"\b[a-zA-Z]{2,}\b"
 
 
 def _q(s: str) -> str:

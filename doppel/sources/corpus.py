@@ -70,10 +70,15 @@ def read_text_dir(spark: SparkSession, path: str, strict_utf8: bool = False) ->
         return spark.createDataFrame([], schema)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
              .option("recursiveFileLookup", "false").load(path))
+    return decode_files(files.select(_file_stem().alias("doc_id"), "content"), strict_utf8)
+
+
+def decode_files(files: DataFrame, strict_utf8: bool = False) -> DataFrame:
+    """``(doc_id, content BINARY)`` -> ``(doc_id, raw STRING, valid_utf8)``, as ``read_text_dir`` has them."""
     decoded = F.regexp_replace(F.col("content").cast("string"), REPLACEMENT_CHAR, "")
     valid = F.is_valid_utf8(F.col("content"))
     raw = F.when(valid | F.lit(not strict_utf8), decoded)
-    return files.select(_file_stem().alias("doc_id"), raw.alias("raw"), valid.alias("valid_utf8"))
+    return files.select("doc_id", raw.alias("raw"), valid.alias("valid_utf8"))
 
 
 def read_corpus_dir(spark: SparkSession, path: str) -> DataFrame:
@@ -92,13 +97,22 @@ def read_incoming(spark: SparkSession, folder: str, requested: DataFrame, corpus
     path), otherwise ``ok`` with the stripped, normalised content.  No blank filter, as uploads
     have none.
     """
-    files = read_text_dir(spark, folder, strict_utf8=True)
     req = requested.select(F.col(name_col).cast("string").alias("doc_id")).distinct()
-    known = corpus.select(F.col("doc_id").cast("string").alias("doc_id")).withColumn("_known", F.lit(True))
-    joined = req.join(files, "doc_id", "left").join(known, "doc_id", "left")
+    known = corpus.select(F.col("doc_id").cast("string").alias("doc_id"))
+    return judge_requests(req, read_text_dir(spark, folder, strict_utf8=True), known)
+
+
+def judge_requests(requests: DataFrame, files: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Requests (doc_id, ...) with ``content`` and ``status`` by the rules of ``read_incoming``.
+
+    ``files`` are strictly decoded ones; a name that is asked for again keeps its rows.
+    """
+    known = corpus.select("doc_id").distinct().withColumn("_known", F.lit(True))
+    joined = requests.join(files, "doc_id", "left").join(known, "doc_id", "left")
     status = (F.when(F.col("valid_utf8").isNull(), F.lit("not_found"))
               .when(F.col("_known").isNotNull(), F.lit("exists"))
               .when(~F.col("valid_utf8"), F.lit("invalid"))
               .otherwise(F.lit("ok")))
     content = F.when(status == "ok", normalize_text(F.col("raw")))
-    return joined.select("doc_id", content.alias("content"), status.alias("status"))
+    rest = [c for c in requests.columns if c != "doc_id"]
+    return joined.select("doc_id", *rest, content.alias("content"), status.alias("status"))

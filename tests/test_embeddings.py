@@ -61,3 +61,45 @@ def test_zero_vectors_qualify_at_a_threshold_of_zero(spark):
     assert hits == {(1, 2): 0.0, (1, 4): 0.6, (2, 1): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 2): 0.0,
                     (4, 1): 0.6, (4, 2): 0.0}
     assert embedding_hits(emb, emb.limit(0), -1.0).count() == 0
+
+
+def clustered(spark, n=1500, dim=32, groups=40):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(groups, dim))
+    v = centres[rng.integers(groups, size=n)] + 0.25 * rng.normal(size=(n, dim))
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("t", [-1.0, 0.0, 0.3, 0.8])
+@pytest.mark.parametrize("pivots", [None, 25])
+def test_blocks_and_bounds_lose_nothing(spark, t, pivots):
+    from doppel.operators.embeddings import embedding_threshold_join
+    v, emb = clustered(spark, n=300)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T
+    got = embedding_threshold_join(emb, None, t, n_pivots=pivots, cell_rows=32).collect()
+    want = {(i, j) for i, j in zip(*np.nonzero(sims >= t)) if i < j}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert max((abs(r["similarity"] - sims[r["a"], r["b"]]) for r in got), default=0) < 1e-9
+    part = emb.where("vec_id < 20")
+    got = embedding_threshold_join(part, emb, t, n_pivots=pivots, cell_rows=32).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(i, j) for i, j in zip(*np.nonzero(sims >= t)) if i < 20 and i != j}
+
+
+def test_share_of_pairs_that_are_scored(spark):
+    from doppel.operators.embeddings import scored_share
+    _, emb = clustered(spark)
+    low, high = (scored_share(emb, t, cell_rows=64).first() for t in (0.2, 0.8))
+    assert high["pairs"] == 1500 * 1499 // 2 and high["scored"] < 0.25 * high["pairs"]
+    assert high["met"] <= low["met"]
+    given = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = scored_share(given, 0.8).first()
+    assert got["scored"] < 0.2 * got["pairs"]
+
+
+def test_ids_of_two_types_meet_as_texts(spark):
+    from doppel.operators.embeddings import embedding_hits
+    left = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>")
+    right = spark.createDataFrame([("a", [1.0, 0.1]), ("1", [1.0, 0.0])], "doc_id string, embedding array<double>")
+    got = {(r["query_document_id"], r["id"]) for r in embedding_hits(left, right, 0.9, exclude_same_id=False).collect()}
+    assert got == {("1", "a"), ("1", "1")}
