@@ -156,7 +156,7 @@ def plain_components(ids, sets, percent=90):
     return [low.get(find(x), None) if sets[x] else ids[x] for x in range(len(ids))]
 
 
-def near_copies(seed, groups=12):
+def near_copies(seed, groups=8):
     """Chains of edits, scattered copies, subsets at the limit, a passage that many share."""
     rnd = random.Random(seed)
     new = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
@@ -190,7 +190,7 @@ def test_jaccard_components_equal_plain_ones(spark, monkeypatch, frequent, pair_
 
 
 def test_jaccard_other_limits(spark):
-    texts = near_copies(77, groups=6)
+    texts = near_copies(77, groups=4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for percent in (70, 100):
         got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df, percent=percent).collect()}
