@@ -120,6 +120,11 @@ def duplicate_summary(new_docs: DataFrame, hits: DataFrame, id_col: str = "doc_i
                         F.col("ids"))).alias("message"))
 
 
+def duplicate_ids(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, id), the different ids a new document duplicates, whichever method found them."""
+    return hits.select(id_col, "id").distinct()
+
+
 def nested_report(hits: DataFrame, id_col: str = "doc_id", top: int = REPORT_TOP) -> DataFrame:
     """T5 + D8 nesting: the top hits per method as ordered arrays of (id, similarity_score).
 

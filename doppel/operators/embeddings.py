@@ -5,7 +5,8 @@ Encoder (M4)
 The reference runs a sentence-transformer; no model ships here, so the built-in encoder is
 *signed feature hashing* of the TF tokens: each term hashes (md5) to one of ``dim`` buckets and
 a sign, counts are summed per bucket and the vector is L2-normalised.  The hashing runs
-JVM-side; one numpy ``bincount`` per Arrow batch assembles the vectors.  Any other encoder can be
+JVM-side; one numpy ``bincount`` per Arrow batch assembles the vectors.  ``idf_embeddings`` hashes
+TF-IDF weights to 384 buckets instead, and tells texts apart better.  Any other encoder can be
 plugged in as a pandas function through ``encode_with``.
 
 Exact threshold join (J4, J10)
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doppel.operators.tfidf import term_bags
+from doppel.operators.tfidf import LOOKUP_ROWS, term_bags
 from doppel.session import keep
 
 ANGLE_EPS = 1e-9
@@ -105,6 +106,49 @@ def _bincount_encoder(dim: int):
     return encode
 
 
+def idf_embeddings(vectors: DataFrame, vocabulary: DataFrame, dim: int = 384, id_col: str = "doc_id") -> DataFrame:
+    """M4 with idf: signed feature hashing of TF-IDF weights -> (id, embedding), unit norm (zero if no term).
+
+    Frequent words carry little weight here, so texts on one subject lie closer than texts in one language.
+    A term's bucket and sign are looked up in the tasks (checked); those of a larger vocabulary are joined.
+    """
+    h = _term_hash(F.col("term"))
+    places = vocabulary.select("term_id", F.pmod(h, F.lit(dim)).cast("int").alias("bucket"), F.when(
+        F.pmod(F.floor(h / F.lit(dim)), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"))
+    if vocabulary.count() > LOOKUP_ROWS:
+        from doppel.operators.tfidf import explode_vectors
+        parts = (explode_vectors(vectors, id_col).join(places, "term_id").groupBy(id_col, "bucket")
+                 .agg(F.sum(F.col("weight") * F.col("sign")).alias("v")))
+        lists = parts.groupBy(id_col).agg(F.collect_list("bucket").alias("buckets"),  # at most dim of them
+                                          F.collect_list("v").alias("signed"))
+        none = F.array()
+        rows = vectors.select(id_col).join(lists, id_col, "left").select(
+            id_col, F.coalesce("buckets", none.cast("array<int>")).alias("buckets"),
+            F.coalesce("signed", none.cast("array<double>")).alias("signed"))
+        return encode_with(rows, _bincount_encoder(dim), id_col)
+    known = places.toPandas()  # within the bound
+    size = int(known["term_id"].max()) + 1 if len(known) else 1
+    bucket, sign = np.zeros(size, np.int32), np.zeros(size)
+    bucket[known["term_id"]], sign[known["term_id"]] = known["bucket"], known["sign"]
+    shared, add_up = vectors.sparkSession.sparkContext.broadcast((bucket, sign)), _bincount_encoder(dim)
+
+    def encode(pdf: pd.DataFrame) -> np.ndarray:
+        bucket, sign = shared.value
+        ids = [np.asarray(x, np.int64) for x in pdf["term_ids"]]
+        return add_up(pd.DataFrame({"buckets": [bucket[x] for x in ids],
+                                    "signed": [sign[x] * w for x, w in zip(ids, pdf["weights"])]}))
+
+    return encode_with(vectors.select(id_col, "term_ids", "weights"), encode, id_col)
+
+
+def idf_encoder(model, dim: int = 384):
+    """``docs (id, content) -> (id, embedding)`` by ``idf_embeddings`` with a fitted model's idf."""
+    def encode(docs: DataFrame, id_col: str | None = None) -> DataFrame:
+        id_col = id_col or model.id_col
+        return idf_embeddings(model.transform(docs, id_col), model.vocabulary, dim, id_col)
+    return encode
+
+
 def encode_with(df: DataFrame, encoder, id_col: str = "doc_id") -> DataFrame:
     """Run ``encoder(pandas batch) -> ndarray (rows x dim)`` over Arrow batches (pluggable M4)."""
     id_type = df.schema[id_col].dataType

@@ -7,10 +7,13 @@ scored once) and mirrors it; a set of query ids runs the left/right form of the
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.operators.simjoin import similar_pairs, threshold_join
+from doppel.operators.simjoin import collapse_copies, similar_pairs, threshold_join
+from doppel.session import keep
 
 METHODS = ("tfidf", "embedding")
 
@@ -77,6 +80,81 @@ def tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float,
     return hits.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"), "similarity")
 
 
+def top_tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float, limit: int,
+                   query_ids: DataFrame | None = None, clusters: DataFrame | None = None,
+                   id_col: str = "doc_id", cluster_col: str = "cluster_id",
+                   n_docs: int | None = None) -> DataFrame:
+    """T2 over J7 or J8, copies searched once: (query_document_id, id, similarity_score, rank).
+
+    Documents of one vector (and cluster) have the same hits but for themselves.  So the best
+    ``limit + 1`` hits are found for one of them and handed to all, each without itself, and a group of
+    copies costs rows in its size, not in its square.  Where every document is asked for, hits are
+    groups too: of a group only the ``limit + 1`` first ids can be among the best, and only the
+    ``limit + 1`` best groups of a query are opened.
+    """
+    if threshold <= 0:  # zero vectors take part, and nothing is collapsed
+        return rank_hits(tfidf_hits(vectors, order, threshold, query_ids, clusters, id_col, cluster_col, n_docs), limit)
+    more = limit + 1
+    cl = None if clusters is None else clusters.select(id_col, cluster_col)
+    key = [] if cl is None else [cluster_col]
+    block_key = None if cl is None else cluster_col
+    vecs = vectors if cl is None else vectors.join(cl, id_col)
+    if query_ids is None:
+        asked = vectors
+        reps, members = (keep(x) for x in collapse_copies(vecs, id_col, key))
+        pairs = threshold_join(reps, None, order, threshold, id_col, block_key, n_left=n_docs, n_right=n_docs)
+        own = (members.where("rep = member")
+               .select(F.col("rep").alias("query_document_id"), F.col("rep").alias("id"),
+                       F.least(F.greatest("self_sim", F.lit(0.0)), F.lit(1.0)).alias("similarity"))
+               .where(F.col("similarity") >= F.lit(threshold)))
+        groups = rank_hits(mirror(pairs, "a", "b").unionByName(own), more)
+        first = Window.partitionBy("rep").orderBy("member")
+        ids = (members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= more)
+               .select(F.col("rep").alias("id"), F.col("member").alias("hit")))
+        best = rank_hits(groups.join(ids, "id").select("query_document_id", F.col("hit").alias("id"),
+                                                       "similarity_score"), more, "similarity_score")
+    else:
+        asked = vectors.join(query_ids.select(id_col).distinct(), id_col, "left_semi")
+        reps, members = (keep(x) for x in collapse_copies(asked if cl is None else asked.join(cl, id_col), id_col, key))
+        found = threshold_join(reps, vecs, order, threshold, id_col, block_key, exclude_same_id=False)
+        best = rank_hits(found.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"),
+                                      "similarity"), more)
+    for_all = best.withColumnRenamed("query_document_id", "rep").join(members.select("rep", "member"), "rep")
+    out = rank_hits(for_all.where("member <> id").withColumnRenamed("member", "query_document_id"),
+                    limit, "similarity_score")
+    if cl is not None:  # J8 fallback: a query without a cluster is compared with every document
+        lonely = asked.join(cl, id_col, "left_anti")
+        if not lonely.isEmpty():
+            out = out.unionByName(top_tfidf_hits(vectors, order, threshold, limit, lonely, None, id_col, n_docs=n_docs))
+    return out
+
+
+def score_pairs(pairs: DataFrame, vectors: DataFrame, a: str = "doc1", b: str = "doc2",
+                id_col: str = "doc_id") -> DataFrame:
+    """P6 for given pairs of ids: ``pairs`` with ``similarity``, the clamped cosine of their sparse vectors.
+
+    A zero vector scores 0.0; a pair with an id that has no vector scores null.
+    """
+    one = vectors.select(F.col(id_col).alias(a), F.struct("term_ids", "weights").alias("_a"))
+    two = vectors.select(F.col(id_col).alias(b), F.struct("term_ids", "weights").alias("_b"))
+
+    @F.pandas_udf("double")
+    def cosine(ids_a: pd.Series, w_a: pd.Series, ids_b: pd.Series, w_b: pd.Series) -> pd.Series:
+        out = np.full(len(ids_a), np.nan)
+        for i, (ia, wa, ib, wb) in enumerate(zip(ids_a, w_a, ids_b, w_b)):
+            if ia is None or ib is None:
+                continue
+            norm = np.sqrt((wa * wa).sum() * (wb * wb).sum())
+            _, at, bt = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
+            out[i] = min(max((wa[at] * wb[bt]).sum() / norm, 0.0), 1.0) if norm else 0.0
+        return pd.Series(out)
+
+    scored = pairs.join(one, a, "left").join(two, b, "left")
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return scored.select(*pairs.columns, F.when(known, cosine(
+        "_a.term_ids", "_a.weights", "_b.term_ids", "_b.weights")).alias("similarity"))
+
+
 def similar_documents_tfidf(vectors: DataFrame, order: DataFrame, threshold: float = 0.7,
                             limit: int = 10, query_ids: DataFrame | None = None,
                             clusters: DataFrame | None = None, id_col: str = "doc_id",
@@ -86,5 +164,5 @@ def similar_documents_tfidf(vectors: DataFrame, order: DataFrame, threshold: flo
     A query id without a vector gets no rows (F8); the query itself is never a hit (F4).
     """
     check_request("tfidf", threshold, limit)
-    hits = tfidf_hits(vectors, order, threshold, query_ids, clusters, id_col, n_docs=n_docs)
-    return rank_hits(hits, limit, method="tfidf")
+    hits = top_tfidf_hits(vectors, order, threshold, limit, query_ids, clusters, id_col, n_docs=n_docs)
+    return hits.withColumn("method", F.lit("tfidf"))

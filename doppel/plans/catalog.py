@@ -236,6 +236,40 @@ def q_hash_embeddings(spark, sf_dir):
             .where(F.col("value") != 0).select("doc_id", "dim", r6("value")))
 
 
+def q_idf_embeddings(spark, sf_dir):
+    """M4 with idf and 384 dimensions."""
+    from doppel.operators.embeddings import idf_embeddings
+    _, m = fitted(spark, sf_dir)
+    return (idf_embeddings(m.vectors, m.vocabulary).select("doc_id", F.posexplode("embedding").alias("dim", "v"))
+            .select("doc_id", "dim", F.round("v", 6).alias("value")).where("value <> 0"))
+
+
+def q_duplicate_check_idf(spark, sf_dir):
+    """C1 with the encoder that weighs by idf, fitted on the base corpus."""
+    from doppel.operators.dedup import duplicate_hits
+    from doppel.operators.embeddings import idf_encoder
+    docs, m, new = split(spark, sf_dir)
+    embed = idf_encoder(m)
+    return duplicate_hits(new, docs, m, embed(docs), embed(new), PAIR_T, DUP_T_EMB)
+
+
+def q_cosine_tfidf(spark, sf_dir):
+    """P6 for the pairs of each document and the one with the next id."""
+    from doppel.operators.search import score_pairs
+    docs, m = fitted(spark, sf_dir)
+    pairs = docs.select(F.col("doc_id").alias("doc1"), (F.col("doc_id") + 1).alias("doc2"))
+    return score_pairs(pairs, m.vectors).select("doc1", "doc2", r6("similarity"))
+
+
+def q_cosine_embedding(spark, sf_dir):
+    """P7 for the pairs of each vector and the one with the next id."""
+    from doppel.operators.embeddings import cosine_embedding
+    e = _emb_table(spark, sf_dir)
+    one = e.select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1).alias("j"), F.col("embedding").alias("a"))
+    two = e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
+    return one.join(two, "j").select("i", "j", F.round(cosine_embedding(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
 def q_similar_pairs_embedding(spark, sf_dir):
     from doppel.operators.embeddings import similar_embedding_pairs
     return similar_embedding_pairs(_emb_table(spark, sf_dir), EMB_T).select("doc1", "doc2", r6("similarity"))
@@ -285,6 +319,12 @@ def q_duplicate_summary(spark, sf_dir):
                                                "message")
 
 
+def q_duplicate_ids(spark, sf_dir):
+    from doppel.operators.dedup import duplicate_hits, duplicate_ids
+    docs, m, new, ce, ne = _dup_inputs(spark, sf_dir)
+    return duplicate_ids(duplicate_hits(new, docs, m, ce, ne, PAIR_T, DUP_T_EMB))
+
+
 def q_admission(spark, sf_dir):
     """C3 over the whole corpus in doc_id order into an empty corpus (exact + TF-IDF 0.7)."""
     from doppel.operators.dedup import admit
@@ -585,6 +625,20 @@ def _oracles() -> dict[str, str]:
                    n > 0 AS clusters_loaded, n > 0 AS embeddings_loaded FROM n_docs""",
         "hash_embeddings": W(C, O.hash_embedding_cte("emb", "tf", "doc_id")) +
             " SELECT eid AS doc_id, dim, round(value, 6) AS value FROM emb",
+        "idf_embeddings": W(C, O.idf_embedding_cte("emb", "tfidf", "doc_id")) +
+            " SELECT eid AS doc_id, dim, round(value, 6) AS value FROM emb WHERE round(value, 6) <> 0",
+        "duplicate_check_idf": W(base_ctes, arriving_ctes, O.idf_embedding_cte("emb_c", "tfidf", "doc_id"),
+                                 O.idf_embedding_cte("emb_n", "new_tfidf", "item_id"), DUP_CTES[-1]) +
+            " SELECT * FROM dup_rows",
+        "cosine_tfidf": W(C) + """
+            SELECT d.doc_id AS doc1, d.doc_id + 1 AS doc2, CASE WHEN max(e.doc_id) IS NOT NULL THEN
+                   round(least(greatest(coalesce(sum(a.weight * b.weight), 0.0), 0.0), 1.0), 6) END AS similarity
+            FROM docs d LEFT JOIN docs e ON e.doc_id = d.doc_id + 1 LEFT JOIN tfidf a ON a.doc_id = d.doc_id
+            LEFT JOIN tfidf b ON b.doc_id = d.doc_id + 1 AND b.term_id = a.term_id GROUP BY d.doc_id""",
+        "cosine_embedding": W(EMB_BASE) + """
+            SELECT a.vec_id AS i, b.vec_id AS j, round(CASE WHEN a.n = 0 OR b.n = 0 THEN 0.0
+                   ELSE list_dot_product(a.v, b.v) / (a.n * b.n) END, 6) AS similarity
+            FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""",
         "similar_pairs_embedding": EMB_PAIRS + f"""
             SELECT doc1, doc2, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= {EMB_T}""",
         "similarity_matrix": W(EMB_BASE) + """
@@ -603,6 +657,7 @@ def _oracles() -> dict[str, str]:
         "artifact_roundtrip": W(C) + " SELECT doc_id, term_id, round(weight, 6) AS weight FROM tfidf",
         "exact_matches_incoming": W(base_ctes, arriving_ctes, *DUP_CTES) + " SELECT doc_id, id FROM exact",
         "duplicate_check": W(base_ctes, arriving_ctes, *DUP_CTES) + " SELECT * FROM dup_rows",
+        "duplicate_ids": W(base_ctes, arriving_ctes, *DUP_CTES) + " SELECT DISTINCT doc_id, id FROM dup_rows",
         "duplicate_report": W(base_ctes, arriving_ctes, *DUP_CTES) + """
             SELECT doc_id, method, CAST(rank - 1 AS INTEGER) AS pos, id, similarity_score
             FROM dup_rows WHERE rank <= 5""",

@@ -73,6 +73,18 @@ def hash_embedding_cte(name: str, tf_table: str, id_col: str, dim: int = 64) ->
 )"""
 
 
+def idf_embedding_cte(name: str, vectors: str, id_col: str, dim: int = 384) -> str:
+    """Signed feature hashing of (id, term_id, weight) rows -> long form (id, dim, value), unit norm."""
+    h = "(('0x' || substr(md5(v.term), 1, 8))::BIGINT)"
+    return f"""
+{name}_sum AS (
+  SELECT t.{id_col} AS eid, CAST({h} % {dim} AS INTEGER) AS dim,
+         sum((CASE WHEN ({h} // {dim}) % 2 = 0 THEN 1 ELSE -1 END) * t.weight) AS v
+  FROM {vectors} t JOIN vocab v USING (term_id) GROUP BY 1, 2
+),
+{name} AS (SELECT eid, dim, v / sqrt(sum(v * v) OVER (PARTITION BY eid)) AS value FROM {name}_sum)"""
+
+
 def new_docs_ctes(table: str = "benchmark", id_col: str = "item_id", text_col: str = "text") -> str:
     """CTEs for incoming documents vectorised with the frozen corpus vocabulary: new_docs, new_tfidf."""
     return f"""

@@ -52,6 +52,37 @@ def test_hash_embeddings_unit_norm(spark):
     assert not any(got[2])
 
 
+@pytest.mark.parametrize("lookup", [200_000, 0])
+def test_idf_embeddings_equal_plain_hashing(spark, small_model, monkeypatch, lookup):
+    import hashlib
+
+    from doppel.operators import embeddings as E
+    monkeypatch.setattr(E, "LOOKUP_ROWS", lookup)
+    docs, m = small_model
+    places = {}
+    for r in m.vocabulary.select("term", "term_id").collect():
+        h = int(hashlib.md5(r["term"].encode()).hexdigest()[:8], 16)
+        places[r["term_id"]] = h % 48, -1 if h // 48 % 2 else 1
+    extra = spark.createDataFrame([(10**6, [], [])], "doc_id long, term_ids array<int>, weights array<double>")
+    vectors = m.vectors.unionByName(extra)
+    got = {r["doc_id"]: np.array(r["embedding"]) for r in E.idf_embeddings(vectors, m.vocabulary, 48).collect()}
+    assert len(got) == vectors.count() and not got[10**6].any()
+    for r in m.vectors.collect():
+        v = np.zeros(48)
+        for t, w in zip(r["term_ids"], r["weights"]):
+            v[places[t][0]] += places[t][1] * w
+        assert np.allclose(got[r["doc_id"]], v / (np.linalg.norm(v) or 1.0))
+
+
+def test_idf_encoder_tells_texts_apart(spark, small_model):
+    from doppel.operators.embeddings import idf_encoder
+    docs, m = small_model
+    given = spark.read.parquet(f"{SF}/documents.parquet").count()
+    few = similar_embedding_pairs(idf_encoder(m)(docs).withColumnRenamed("doc_id", "vec_id"), 0.8).count()
+    many = similar_embedding_pairs(hash_embeddings(docs).withColumnRenamed("doc_id", "vec_id"), 0.8).count()
+    assert few < many / 10 and few < given
+
+
 def test_zero_vectors_qualify_at_a_threshold_of_zero(spark):
     from doppel.operators.embeddings import embedding_hits
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.6, 0.8])]

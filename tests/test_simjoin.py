@@ -89,6 +89,68 @@ def test_query_subset_search(spark, small_model):
     assert {(r["query_document_id"], r["id"]) for r in got.collect()} == want
 
 
+def copies(spark, hot=400):
+    """A hot group of copies, two small ones that tie with each other, near copies and single vectors."""
+    kinds = {0: [0.6, 0.8, 0.0, 0.0], 1: [0.8, 0.6, 0.0, 0.0], 2: [0.6, 0.0, 0.8, 0.0], 3: [0.0, 0.0, 0.6, 0.8]}
+    kind = [0 if i < hot else 1 + i % 3 for i in range(hot + 30)]
+    kind = kind[::-1]  # the copies have the greater ids
+    rows = [(i, i % 3, [j for j, w in enumerate(kinds[k]) if w], [w for w in kinds[k] if w]) for i, k in enumerate(kind)]
+    rows += [(9000, 1, [], []), (9001, 0, [1], [1.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, cluster_id int, term_ids array<int>, weights array<double>")
+    return rows, vectors, spark.range(4).selectExpr("int(id) as term_id", "int(id) as order_rank")
+
+
+def plain_top(rows, t, limit, queries, same_cluster=(), lonely=()):
+    dense = np.zeros((len(rows), 4))
+    for i, r in enumerate(rows):
+        dense[i, r[2]] = r[3]
+    sims, out = np.clip(dense @ dense.T, 0, 1), set()
+    for i, q in enumerate(rows):
+        if q[0] not in queries:
+            continue
+        hits = [(-round(sims[i, j], 4), r[0]) for j, r in enumerate(rows) if j != i and sims[i, j] >= t and (
+            not same_cluster or q[0] in lonely or (r[0] not in lonely and r[1] == q[1]))]
+        out |= {(q[0], h, -s, k + 1) for k, (s, h) in enumerate(sorted(hits)[:limit])}
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 1, 7])
+@pytest.mark.parametrize("asked", [None, (3, 40, 41, 429, 9000, 9001, 77777)])
+@pytest.mark.parametrize("clustered", [False, True])
+def test_top_hits_of_copies_equal_brute_force(spark, limit, asked, clustered):
+    rows, vectors, order = copies(spark)
+    lonely = {3, 100, 9001} if clustered else set()
+    clusters = vectors.where(~F.col("doc_id").isin(*lonely)).select("doc_id", "cluster_id") if clustered else None
+    q = None if asked is None else spark.createDataFrame([(i,) for i in asked + asked[:2]], "doc_id long")
+    got = similar_documents_tfidf(vectors.drop("cluster_id"), order, 0.5, limit, q, clusters).collect()
+    want = plain_top(rows, 0.5, limit, {r[0] for r in rows} if asked is None else asked, clustered, lonely)
+    assert {(r["query_document_id"], r["id"], r["similarity_score"], r["rank"]) for r in got} == want
+    assert len(got) == len(want) and all(r["method"] == "tfidf" for r in got)
+
+
+def test_top_hits_of_copies_are_linear_in_the_copies(spark):
+    from doppel.operators.search import top_tfidf_hits
+    from doppel.session import release
+    release()
+    _, vectors, order = copies(spark, hot=3000)
+    hits = top_tfidf_hits(vectors.drop("cluster_id"), order, 0.5, 5).cache()
+    assert hits.count() == 3031 * 5  # 4.5 million pairs of copies are never formed
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_of_given_pairs(spark):
+    from doppel.operators.search import score_pairs
+    rows = [(1, [0, 2], [0.6, 0.8]), (2, [2, 5], [3.0, 4.0]), (3, [], []), (4, [1], [1.0]), (5, [0], [-2.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, term_ids array<int>, weights array<double>")
+    pairs = spark.createDataFrame([(1, 2, "x"), (2, 1, "x"), (1, 1, "x"), (1, 3, None), (1, 4, "y"), (1, 5, "y"), (1, 9, "z"),
+                                   (None, 1, "z")], "doc1 long, doc2 long, note string")
+    got = {(r["doc1"], r["doc2"]): r["similarity"] for r in score_pairs(pairs, vectors).collect()}
+    want = {(1, 2): 0.48, (2, 1): 0.48, (1, 1): 1.0, (1, 3): 0.0, (1, 4): 0.0, (1, 5): 0.0, (1, 9): None, (None, 1): None}
+    assert got == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+    assert score_pairs(pairs, vectors).columns == ["doc1", "doc2", "note", "similarity"]
+
+
 def test_every_pair_at_a_threshold_of_zero(spark, small_model):
     _, m = small_model
     zero = spark.createDataFrame([(10**6, [], []), (10**6 + 1, [], [])],
