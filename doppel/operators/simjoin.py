@@ -12,7 +12,9 @@ Plan
    known from term counts alone, before any pair is made.  If it is a good part of all pairs (per
    blocking key), candidates cannot pay: the vectors are cut into hash blocks of at most about
    ``block_rows`` and every pair of blocks is one float32 matrix product, whose entries near ``t`` are
-   recomputed in float64.  A self-join forms each unordered pair of blocks once.
+   recomputed in float64.  A self-join forms each unordered pair of blocks once.  Blocking keys of at
+   most ``block_rows`` vectors need no counts: they are binned by a hash to about as many rows a group,
+   and a group scores one key after another, each vector shipped once.
 3. **Split posting lists.**  Else postings meet on ``term_id``.  A term with more than ``list_rows``
    postings is cut into sub-lists by a hash of the id, and sub-lists meet pairwise on
    ``(term_id, i, j)``, so no key of the join has more than about ``list_rows`` rows on a side, however
@@ -157,10 +159,12 @@ def meetings(pl: DataFrame, pr: DataFrame | None, counts: DataFrame, threshold:
 
 
 def _verify_groups(cands: DataFrame | None, routed: DataFrame, threshold: float,
-                   id_type: T.DataType, clamp: bool, keys: list[str], pair_rule: str) -> DataFrame:
+                   id_type: T.DataType, clamp: bool, keys: list[str], pair_rule: str,
+                   within: str | None = None) -> DataFrame:
     """cands (ba, bb, a, b); routed (ba, bb, side, doc, blk, term_ids, weights) -> (a, b, similarity).
 
-    Without candidates every pair of the two blocks is scored.
+    Without candidates every pair of the two blocks is scored; with ``within``, every pair of a group
+    that agrees in that column, one value after another (a self-join has one side only).
 
     Per block pair: the right-side vectors become one dense matrix over the columns they use;
     the left-side vectors stay sparse (CSR).  Candidate scores are then one vectorised gather and
@@ -299,6 +303,17 @@ def _verify_groups(cands: DataFrame | None, routed: DataFrame, threshold: float,
         left, right = vecs[vecs["side"] == 0], vecs[vecs["side"] == 1]
         return empty() if left.empty or right.empty else whole_block_pair(left, right)
 
+    def score_within(vecs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in vecs.groupby(within, sort=False):
+            left = own[own["side"] == 0]
+            right = left if pair_rule == "lt" else own[own["side"] == 1]
+            if len(left) and len(right):
+                out.append(whole_block_pair(left, right))
+        return pd.concat(out) if out else empty()
+
+    if within is not None:
+        return routed.groupBy(*keys).applyInPandas(score_within, schema)
     if cands is None:
         return routed.groupBy(*keys).applyInPandas(score_all, schema)
     return (cands.groupBy(*keys)
@@ -337,6 +352,43 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     if threshold <= 0:
         return _all_blocks(lv, None if self_join else rv, threshold, extra, id_type, clamp, exclude_same_id)
 
+    if not extra:
+        return _counted(lv, None if self_join else rv, order, threshold, extra, id_type, clamp, exclude_same_id,
+                        dense_ratio, order_rows, list_rows)
+    # keys that fit in one block are scored whole, several of them in a group: no postings, no copies
+    sizes = keep(lv.groupBy(block_key).agg(F.count(F.lit(1)).alias("v_l"))
+                 .join(rv.groupBy(block_key).agg(F.count(F.lit(1)).alias("v_r")), block_key))
+    small = (F.col("v_l") <= block_rows) & (F.col("v_r") <= block_rows)
+    rows, large = sizes.agg(F.sum(F.when(small, F.col("v_l") + (0 if self_join else F.col("v_r")))),
+                            F.count(F.when(~small, 1))).first()
+
+    def of_size(df, which):
+        return df.join(sizes.where(which).select(block_key), block_key, "left_semi")
+
+    parts = []
+    if rows:
+        sides = [of_size(lv, small).withColumn("side", F.lit(0))]
+        if not self_join:
+            sides.append(of_size(rv, small).withColumn("side", F.lit(1)))
+        both = sides[0] if self_join else sides[0].unionByName(sides[1])
+        both = both.withColumn("bin", _block(block_key, math.ceil(rows / block_rows)))
+        rule = "lt" if self_join else "ne" if exclude_same_id else "all"
+        parts.append(_verify_groups(None, both, threshold, id_type, clamp, ["bin"], rule, block_key))
+    if large:
+        big = of_size(lv, ~small)
+        parts.append(_counted(big, None if self_join else of_size(rv, ~small), order, threshold, extra, id_type,
+                              clamp, exclude_same_id, dense_ratio, order_rows, list_rows))
+    if not parts:
+        return left.sparkSession.createDataFrame([], _pair_schema(id_type))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _counted(lv: DataFrame, rv: DataFrame | None, order: DataFrame, threshold: float, extra: list[str],
+             id_type: T.DataType, clamp: bool, exclude_same_id: bool, dense_ratio: float,
+             order_rows: int | None, list_rows: int) -> DataFrame:
+    """By blocks or by candidates, whichever the counts of prefix terms say, for each blocking key."""
+    self_join = rv is None
+    rv = lv if self_join else rv
     order_rows = order_rows if order_rows is not None else order.count()
     pl = keep(prefix_postings(lv, order, threshold, "doc", [*extra, "blk"], order_rows))
     pr = None if self_join else keep(prefix_postings(rv, order, threshold, "doc", [*extra, "blk"], order_rows))
@@ -352,7 +404,7 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
     if not extra:
         row = rate.select(dense.alias("dense")).first()
         if row["dense"] is None:  # no posting at all
-            return left.sparkSession.createDataFrame([], _pair_schema(id_type))
+            return lv.sparkSession.createDataFrame([], _pair_schema(id_type))
         if row["dense"]:
             return _all_blocks(lv, None if self_join else rv, threshold, extra, id_type, clamp, exclude_same_id)
         return _by_candidates(lv, rv, pl, pr, counts, threshold, extra, id_type, clamp, exclude_same_id, list_rows)
@@ -374,7 +426,7 @@ def threshold_join(left: DataFrame, right: DataFrame | None, order: DataFrame,
             parts.append(_by_candidates(of_kind(lv), of_kind(rv), of_kind(pl), of_kind(pr), of_kind(counts),
                                         threshold, extra, id_type, clamp, exclude_same_id, list_rows))
     if not parts:
-        return left.sparkSession.createDataFrame([], _pair_schema(id_type))
+        return lv.sparkSession.createDataFrame([], _pair_schema(id_type))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

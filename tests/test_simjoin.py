@@ -1,4 +1,6 @@
 """The prefix-filtered block join equals brute force on the sf0.001 corpus."""
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,26 @@ def test_query_subset_search(spark, small_model):
     assert {(r["query_document_id"], r["id"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block_rows", [4, 12, 1024])  # all keys large, some, none
+@pytest.mark.parametrize("ratio", [0.0, 1e9])
+def test_keys_of_all_sizes(spark, small_model, block_rows, ratio):
+    _, m = small_model
+    key = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 17 + F.col("doc_id") % 5 * 20).cast("int")
+    vectors = m.vectors.withColumn("cluster_id", key)
+    ids, mat = dense_vectors(m)
+    of = {r["doc_id"]: r["cluster_id"] for r in vectors.collect()}
+    same = [of[i] for i in ids]
+    assert len(Counter(same)) > 20 and max(Counter(same).values()) > 60
+    args = dict(block_key="cluster_id", block_rows=block_rows, dense_ratio=ratio)
+    got = [(r["a"], r["b"]) for r in threshold_join(vectors, None, m.vocabulary, 0.3, **args).collect()]
+    want = set(brute_pairs(ids, mat, 0.3, same))
+    assert set(got) == want and len(got) == len(want)
+    some = vectors.where("doc_id % 4 = 1")
+    got = [(r["a"], r["b"]) for r in threshold_join(some, vectors, m.vocabulary, 0.3, **args).collect()]
+    want = {(x, y) for p in want for x, y in (p, p[::-1]) if x % 4 == 1}
+    assert set(got) == want and len(got) == len(want)
+
+
 def copies(spark, hot=400):
     """A hot group of copies, two small ones that tie with each other, near copies and single vectors."""
     kinds = {0: [0.6, 0.8, 0.0, 0.0], 1: [0.8, 0.6, 0.0, 0.0], 2: [0.6, 0.0, 0.8, 0.0], 3: [0.0, 0.0, 0.6, 0.8]}
