@@ -218,7 +218,7 @@ def _place(df: DataFrame, pivots: np.ndarray, axes: np.ndarray) -> DataFrame:
     return df.select("id", "u").mapInPandas(angles, schema)
 
 
-def _same_id_type(left: DataFrame, right: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+def same_id_type(left: DataFrame, right: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with ids of one type: texts if either has texts, else long where they differ."""
     kinds = left.schema[id_col].dataType, right.schema[id_col].dataType
     if kinds[0] == kinds[1]:
@@ -307,7 +307,7 @@ def embedding_threshold_join(left: DataFrame, right: DataFrame | None, threshold
     there; as nothing can be left out then, every pair of vectors is scored.
     """
     if right is not None:
-        left, right = _same_id_type(left, right, id_col)
+        left, right = same_id_type(left, right, id_col)
     sides = _block_pairs(left, right, threshold, id_col, vec_col, n_pivots, cell_rows)
     if sides is None:
         return _empty_pairs(left, id_col)
@@ -379,6 +379,21 @@ def similarity_matrix(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return p.select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity")
 
 
+def collapse_equal(emb: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Group equal vectors: (representatives (id, vector) with the smallest id, members (rep, member)).
+
+    Groups are keyed by 128 bits of two hashes and reduced by map-side combined aggregates.
+    """
+    same = ["_h", "_g"]
+    tagged = emb.select(id_col, vec_col, F.xxhash64(vec_col).alias("_h"),
+                        F.xxhash64(F.lit("again"), F.reverse(vec_col)).alias("_g"))
+    first = keep(tagged.groupBy(*same).agg(F.min(F.struct(id_col, vec_col)).alias("_m")))
+    reps = first.select(F.col("_m")[id_col].alias(id_col), F.col("_m")[vec_col].alias(vec_col))
+    members = (tagged.drop(vec_col).join(first.select(*same, F.col("_m")[id_col].alias("rep")), same)
+               .select("rep", F.col(id_col).alias("member")))
+    return reps, members
+
+
 def embedding_hits(queries: DataFrame, corpus: DataFrame, threshold: float,
                    id_col: str = "doc_id", vec_col: str = "embedding", exclude_same_id: bool = True) -> DataFrame:
     """J10 hits (query_document_id, id, similarity) of query vectors against corpus vectors."""

@@ -80,6 +80,39 @@ def tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float,
     return hits.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"), "similarity")
 
 
+def _opened(groups: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """Ranked hits that are groups (by their first id) -> the best ``limit`` hits that are documents.
+
+    All members of a group score alike, so only its ``limit`` first ids can be among the best.
+    """
+    first = Window.partitionBy("rep").orderBy("member")
+    ids = (members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+           .select(F.col("rep").alias("id"), F.col("member").alias("hit")))
+    return rank_hits(groups.join(ids, "id").select("query_document_id", F.col("hit").alias("id"),
+                                                   "similarity_score"), limit, "similarity_score")
+
+
+def _for_members(best: DataFrame, members: DataFrame, limit: int, exclude_same_id: bool) -> DataFrame:
+    """The best hits of a group of queries for each of its members."""
+    out = best.withColumnRenamed("query_document_id", "rep").join(members.select("rep", "member"), "rep")
+    out = out.where("member <> id") if exclude_same_id else out
+    return rank_hits(out.withColumnRenamed("member", "query_document_id"), limit, "similarity_score")
+
+
+def top_embedding_hits(queries: DataFrame, corpus: DataFrame, threshold: float, limit: int, id_col: str = "doc_id",
+                       vec_col: str = "embedding", exclude_same_id: bool = True) -> DataFrame:
+    """T2 over J10, equal vectors searched once: (query_document_id, id, similarity_score, rank).
+
+    Ids are unique on each side.  Equal vectors of either side are one group, as in ``top_tfidf_hits``.
+    """
+    from doppel.operators.embeddings import collapse_equal, embedding_hits, same_id_type
+    queries, corpus = same_id_type(queries, corpus, id_col)
+    asked, members = (keep(x) for x in collapse_equal(queries, id_col, vec_col))
+    given, found_as = (keep(x) for x in collapse_equal(corpus, id_col, vec_col))
+    groups = rank_hits(embedding_hits(asked, given, threshold, id_col, vec_col, exclude_same_id=False), limit + 1)
+    return _for_members(_opened(groups, found_as, limit + 1), members, limit, exclude_same_id)
+
+
 def top_tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float, limit: int,
                    query_ids: DataFrame | None = None, clusters: DataFrame | None = None,
                    id_col: str = "doc_id", cluster_col: str = "cluster_id",
@@ -108,20 +141,14 @@ def top_tfidf_hits(vectors: DataFrame, order: DataFrame, threshold: float, limit
                        F.least(F.greatest("self_sim", F.lit(0.0)), F.lit(1.0)).alias("similarity"))
                .where(F.col("similarity") >= F.lit(threshold)))
         groups = rank_hits(mirror(pairs, "a", "b").unionByName(own), more)
-        first = Window.partitionBy("rep").orderBy("member")
-        ids = (members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= more)
-               .select(F.col("rep").alias("id"), F.col("member").alias("hit")))
-        best = rank_hits(groups.join(ids, "id").select("query_document_id", F.col("hit").alias("id"),
-                                                       "similarity_score"), more, "similarity_score")
+        best = _opened(groups, members, more)
     else:
         asked = vectors.join(query_ids.select(id_col).distinct(), id_col, "left_semi")
         reps, members = (keep(x) for x in collapse_copies(asked if cl is None else asked.join(cl, id_col), id_col, key))
         found = threshold_join(reps, vecs, order, threshold, id_col, block_key, exclude_same_id=False)
         best = rank_hits(found.select(F.col("a").alias("query_document_id"), F.col("b").alias("id"),
                                       "similarity"), more)
-    for_all = best.withColumnRenamed("query_document_id", "rep").join(members.select("rep", "member"), "rep")
-    out = rank_hits(for_all.where("member <> id").withColumnRenamed("member", "query_document_id"),
-                    limit, "similarity_score")
+    out = _for_members(best, members, limit, True)
     if cl is not None:  # J8 fallback: a query without a cluster is compared with every document
         lonely = asked.join(cl, id_col, "left_anti")
         if not lonely.isEmpty():

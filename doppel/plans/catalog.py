@@ -281,10 +281,9 @@ def q_similarity_matrix(spark, sf_dir):
 
 
 def q_topk_embedding(spark, sf_dir):
-    from doppel.operators.embeddings import embedding_hits
-    from doppel.operators.search import rank_hits
+    from doppel.operators.search import top_embedding_hits
     emb = _emb_table(spark, sf_dir)
-    return rank_hits(embedding_hits(emb, emb, EMB_T, "vec_id"), TOPK_LIMIT, method="embedding")
+    return top_embedding_hits(emb, emb, EMB_T, TOPK_LIMIT, "vec_id").withColumn("method", F.lit("embedding"))
 
 
 def q_artifact_roundtrip(spark, sf_dir):

@@ -128,6 +128,32 @@ def test_share_of_pairs_that_are_scored(spark):
     assert got["scored"] < 0.2 * got["pairs"]
 
 
+@pytest.mark.parametrize("t", [-1.0, 0.0, 0.5])
+@pytest.mark.parametrize("limit", [0, 1, 6])
+def test_top_hits_of_equal_vectors_equal_brute_force(spark, t, limit):
+    from doppel.operators.search import top_embedding_hits
+    kinds = [[3.0, 4.0], [4.0, 3.0], [-1.0, 0.0], [0.0, 0.0], [6.0, 8.0]]  # the first and last have one direction
+    kind = [1, 2, 3, 4, 1, 3] + [0] * 60 + [4, 4, 2]
+    v = np.array([kinds[k] for k in kind])
+    n = np.linalg.norm(v, axis=1)
+    sims = np.divide(v @ v.T, np.outer(n, n), out=np.zeros((len(v), len(v))), where=np.outer(n, n) > 0)
+    emb = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<double>")
+    for queries in (set(range(len(v))), {0, 3, 7, 8, 66}):
+        want = set()
+        for q in queries:
+            hits = sorted((-round(sims[q, j], 4), j) for j in range(len(v)) if j != q and sims[q, j] >= t - 1e-12)
+            want |= {(q, j, -s, k + 1) for k, (s, j) in enumerate(hits[:limit])}
+        got = top_embedding_hits(emb.where(F.col("doc_id").isin(*queries)), emb, t, limit).collect()
+        assert {(r["query_document_id"], r["id"], r["similarity_score"], r["rank"]) for r in got} == want
+        assert len(got) == len(want)
+
+
+def test_top_hits_of_equal_vectors_are_linear(spark):
+    from doppel.operators.search import top_embedding_hits
+    emb = spark.range(20_000).selectExpr("id as doc_id", "array(0.6D, 0.8D) as embedding")
+    assert top_embedding_hits(emb, emb, 0.5, 3).count() == 60_000  # not 400 million pairs
+
+
 def test_ids_of_two_types_meet_as_texts(spark):
     from doppel.operators.embeddings import embedding_hits
     left = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>")
