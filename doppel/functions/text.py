@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def normalize_text(text: Column | str) -> Column:
 
 
 def normalize_text_batched(text: Column | str) -> Column:
-    """``normalize_text`` as an Arrow-batched pandas UDF using Python's own ``re``.
+    """``normalize_text`` as an Arrow-batched UDF using Python's own ``re``.
 
     Same result as the JVM expression (the checks compare both), measured about 5x faster on the
     sf0.1 corpus (0.9 s against 4.5 s on 8 cores): Java's ``lower`` and ``regexp_replace`` convert
@@ -47,15 +49,25 @@ def normalize_text_batched(text: Column | str) -> Column:
 
 _UDF_CACHE: dict = {}
 
+#: Texts that are Python objects at a time; the rest of a batch stays in Arrow's buffers.
+SLICE_TEXTS = 256
+
+
+def slices(batch: pa.Array, rows: int):
+    """``batch`` in parts of ``rows``, one empty part if it has none."""
+    return (batch.slice(at, rows) for at in range(0, max(len(batch), 1), rows))
+
 
 def _normalize_udf():
     if "norm" not in _UDF_CACHE:
-        @F.pandas_udf("string")
-        def normalize(batch: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def normalize(batch: pa.Array) -> pa.Array:
             import re
             ws = re.compile(r"\s+")
             drop = re.compile(r"[^a-zA-Z0-9\s.,!?]")
-            return batch.map(lambda t: None if t is None else drop.sub("", ws.sub(" ", t.lower())).strip())
+            return pa.concat_arrays([pa.array(
+                [None if t is None else drop.sub("", ws.sub(" ", t.lower())).strip() for t in part.to_pylist()],
+                pa.string()) for part in slices(batch, SLICE_TEXTS)])
 
         _UDF_CACHE["norm"] = normalize
     return _UDF_CACHE["norm"]
@@ -71,20 +83,27 @@ def bag_of_words_batched(content: Column | str) -> Column:
     return _bag_udf()(col)
 
 
+def count_words(texts: pa.Array) -> pa.Array:
+    """Terms in ascending order and their counts for each text, as an array of structs of two lists."""
+    import re
+    pattern = re.compile(r"\b[a-zA-Z]{2,}\b")
+    terms, counts, ends = [], [], [0]
+    for text in texts.to_pylist():
+        c = Counter(pattern.findall(text)) if text is not None else Counter()
+        keys = sorted(c)
+        terms += keys
+        counts += [c[k] for k in keys]
+        ends.append(len(terms))
+    offsets = pa.array(ends, pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())),
+                                       pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))], ["terms", "counts"])
+
+
 def _bag_udf():
     if "bag" not in _UDF_CACHE:
-        @F.pandas_udf("terms array<string>, counts array<int>")
-        def bag(batch: pd.Series) -> pd.DataFrame:
-            import re
-            from collections import Counter
-            pattern = re.compile(r"\b[a-zA-Z]{2,}\b")
-            terms, counts = [], []
-            for text in batch:
-                c = Counter(pattern.findall(text)) if text is not None else Counter()
-                keys = sorted(c)
-                terms.append(keys)
-                counts.append([c[k] for k in keys])
-            return pd.DataFrame({"terms": terms, "counts": counts})
+        @F.arrow_udf("terms array<string>, counts array<int>")
+        def bag(batch: pa.Array) -> pa.Array:
+            return pa.concat_arrays([count_words(part) for part in slices(batch, SLICE_TEXTS)])
 
         _UDF_CACHE["bag"] = bag
     return _UDF_CACHE["bag"]

@@ -23,12 +23,12 @@ import numbers
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.functions.text import bag_of_words, bag_of_words_batched, run_lengths, tokens
+from doppel.functions.text import SLICE_TEXTS, bag_of_words, bag_of_words_batched, run_lengths, slices, tokens
 from doppel.session import keep
 
 # A vocabulary of at most so many terms and UTF-8 bytes is looked up inside the tasks.
@@ -115,18 +115,27 @@ def weigh(bags: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
         (dict(zip(known["term"], range(len(known)))), known["term_id"].to_numpy(np.int32),
          known["idf"].to_numpy(np.float64)))
 
-    @F.pandas_udf("term_ids array<int>, weights array<double>")
-    def look_up(terms: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("term_ids array<int>, weights array<double>")
+    def look_up(terms: pa.Array, counts: pa.Array) -> pa.Array:
         place, ids, idf = shared.value
-        out = {"term_ids": [], "weights": []}
-        for own, n in zip(terms, counts):
-            at = np.fromiter((place.get(t, -1) for t in own), np.int64, len(own))
-            inside = at >= 0
+
+        def weighed(own: pa.Array, n: pa.Array) -> pa.Array:
+            texts = own.flatten().dictionary_encode()  # a term is a Python object once for each part
+            places = np.fromiter((place.get(t, -1) for t in texts.dictionary.to_pylist()), np.int64, len(texts.dictionary))
+            at = places[texts.indices.to_numpy()] if len(texts) else np.zeros(0, np.int64)
+            tf, inside = n.flatten().to_numpy().astype(np.float64), at >= 0
+            row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))[inside]
             at = at[inside]  # terms ascend in a bag, as term ids do
-            w = (1.0 + np.log(np.asarray(n, np.float64)[inside])) * idf[at]
-            out["term_ids"].append(ids[at])
-            out["weights"].append(w / np.sqrt((w * w).sum()) if len(w) else w)
-        return pd.DataFrame(out)
+            w = (1.0 + np.log(tf[inside])) * idf[at]
+            ends = np.searchsorted(row, np.arange(len(own) + 1))
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                w[lo:hi] /= np.sqrt((w[lo:hi] * w[lo:hi]).sum())
+            offsets = pa.array(ends.astype(np.int32))
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(ids[at], pa.int32())),
+                                               pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))],
+                                              ["term_ids", "weights"])
+
+        return pa.concat_arrays([weighed(*parts) for parts in zip(slices(terms, SLICE_TEXTS), slices(counts, SLICE_TEXTS))])
 
     return (bags.select(id_col, look_up("terms", "counts").alias("v"))
                 .select(id_col, "v.term_ids", "v.weights"))
