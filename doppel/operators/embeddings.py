@@ -4,8 +4,8 @@ Encoder (M4)
 ------------
 The reference runs a sentence-transformer; no model ships here, so the built-in encoder is
 *signed feature hashing* of the TF tokens: each term hashes (md5) to one of ``dim`` buckets and
-a sign, counts are summed per bucket and the vector is L2-normalised.  The hashing runs
-JVM-side; one numpy ``bincount`` per Arrow batch assembles the vectors.  ``idf_embeddings`` hashes
+a sign, counts are summed per bucket and the vector is L2-normalised.  A worker hashes a term once;
+one numpy ``bincount`` for a part of an Arrow batch assembles the vectors.  ``idf_embeddings`` hashes
 TF-IDF weights to 384 buckets instead, and tells texts apart better.  Any other encoder can be
 plugged in as a pandas function through ``encode_with``.
 
@@ -26,10 +26,12 @@ At ``t <= 0`` every pair is scored, zero vectors included; so is the similarity
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,7 @@ LEAD_SHARE = 4     # a fourth of the coordinates lead
 BLOCK_BYTES = 4 << 20   # of the vectors of a block
 CELLS_PER_BLOCK = 8     # and at most so many times the rows of a cell
 SLICE_PAIRS = 1 << 20   # products at a time
+ENCODE_ROWS = 512       # documents that an encoder gets at a time
 
 
 # --------------------------------------------------------------------------------- cosine
@@ -85,14 +88,37 @@ def _term_hash(term: Column) -> Column:
 def hash_embeddings(docs: DataFrame, dim: int = 64, id_col: str = "doc_id",
                     text_col: str = "content") -> DataFrame:
     """M4 built-in encoder -> (id, embedding ARRAY<DOUBLE>), unit norm (zero if no tokens)."""
-    bags = term_bags(docs, id_col, text_col)
-    hashed = bags.select(
-        id_col,
-        F.transform("terms", lambda t: F.pmod(_term_hash(t), F.lit(dim)).cast("int")).alias("buckets"),
-        F.zip_with(F.transform("terms", lambda t: F.when(
-            F.pmod(F.floor(_term_hash(t) / F.lit(dim)), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))),
-            "counts", lambda s, c: s * c).alias("signed"))
-    return encode_with(hashed, _bincount_encoder(dim), id_col)
+    places, add_up = _TermPlaces(dim), _bincount_encoder(dim)
+
+    def encode(pdf: pd.DataFrame) -> np.ndarray:
+        lens = pdf["terms"].map(len).to_numpy()
+        if not lens.sum():
+            return np.zeros((len(pdf), dim))
+        code, terms = pd.factorize(np.concatenate(pdf["terms"].to_numpy()))
+        bucket, sign = places.of(terms)
+        cuts = np.cumsum(lens)[:-1]
+        signed = sign[code] * np.concatenate(pdf["counts"].to_numpy())
+        return add_up(pd.DataFrame({"buckets": pd.Series(np.split(bucket[code], cuts), dtype=object),
+                                    "signed": pd.Series(np.split(signed, cuts), dtype=object)}))
+
+    return encode_with(term_bags(docs, id_col, text_col), encode, id_col)
+
+
+class _TermPlaces:
+    """Bucket and sign of terms by md5, as ``_term_hash`` has them; a worker remembers a bounded number."""
+
+    def __init__(self, dim: int, most: int = 100_000):
+        self.dim, self.most, self.known = dim, most, {}
+
+    def of(self, terms) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        for t in terms:
+            if t not in self.known:
+                h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                self.known[t] = h % self.dim, 1 if h // self.dim % 2 == 0 else -1
+        both = np.array([self.known[t] for t in terms], np.int64).reshape(len(terms), 2)
+        return both[:, 0], both[:, 1]
 
 
 def _bincount_encoder(dim: int):
@@ -155,19 +181,24 @@ def idf_encoder(model, dim: int = 384):
 
 
 def encode_with(df: DataFrame, encoder, id_col: str = "doc_id") -> DataFrame:
-    """Run ``encoder(pandas batch) -> ndarray (rows x dim)`` over Arrow batches (pluggable M4)."""
+    """Run ``encoder(pandas batch) -> ndarray (rows x dim)`` over Arrow batches (pluggable M4).
+
+    The encoder gets at most ``ENCODE_ROWS`` rows at a time, so that few of them are Python objects.
+    """
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type),
                            T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mat = encoder(pdf)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "embedding": list(mat)})
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(at, ENCODE_ROWS)
+                mat = np.ascontiguousarray(encoder(part.to_pandas()), np.float64)
+                ends = pa.array(np.arange(len(mat) + 1, dtype=np.int32) * mat.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(ends, pa.array(mat.ravel()))],
+                                                 names=[id_col, "embedding"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------------------- joins
@@ -307,7 +338,8 @@ def _near_vectors(left: tuple, right: tuple, same: bool, t: float, may: np.ndarr
             if same:  # a block with itself has each pair of rows once
                 once = ia < ib
                 ia, ib, sims = ia[once], ib[once], sims[once]
-            yield ia, ib, sims, (hi - lo) * len(reached), made
+            first = np.searchsorted(reached, np.arange(lo, hi), "right") if same else np.zeros(hi - lo, np.int64)
+            yield ia, ib, sims, int((len(reached) - first).sum()), made
 
 
 def scored(za: np.ndarray, zb: np.ndarray, t) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:

@@ -160,3 +160,26 @@ def test_ids_of_two_types_meet_as_texts(spark):
     right = spark.createDataFrame([("a", [1.0, 0.1]), ("1", [1.0, 0.0])], "doc_id string, embedding array<double>")
     got = {(r["query_document_id"], r["id"]) for r in embedding_hits(left, right, 0.9, exclude_same_id=False).collect()}
     assert got == {("1", "a"), ("1", "1")}
+
+
+def test_an_encoder_gets_few_rows_at_a_time(spark):
+    from doppel.operators import embeddings as E
+
+    def encode(pdf):
+        return np.full((len(pdf), 2), float(len(pdf)))
+
+    rows = E.encode_with(spark.range(3000).coalesce(1).withColumnRenamed("id", "doc_id"), encode).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))
+    assert max(r["embedding"][0] for r in rows) <= E.ENCODE_ROWS  # before: all 3,000
+
+
+def test_terms_are_hashed_as_sql_does(spark):
+    from doppel.operators import embeddings as E
+    terms = ["alpha", "beta", "zz", "gamma", "the"]
+    h = E._term_hash(F.col("t"))
+    want = {r["t"]: (r["b"], r["s"]) for r in spark.createDataFrame([(t,) for t in terms], "t string").select(
+        "t", F.pmod(h, F.lit(64)).alias("b"), F.when(F.pmod(F.floor(h / 64), F.lit(2)) == 0, 1).otherwise(-1).alias("s")).collect()}
+    places = E._TermPlaces(64, most=2)
+    for _ in range(2):
+        bucket, sign = places.of(terms)
+        assert {t: (b, s) for t, b, s in zip(terms, bucket, sign)} == want
