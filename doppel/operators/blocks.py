@@ -22,6 +22,7 @@ from doppel.session import keep
 
 OUT_ROWS = 1 << 18     # rows of a batch that a task hands on
 BLOCKS_PER_PART = 8    # blocks of the right side that one task compares, where only the best hits count
+HELD_ROWS = 1 << 18    # new hits, beside as many as it has, after which a task keeps the best of them
 ROUND_SLACK = 1e-4     # scores are ranked by four decimals
 
 
@@ -125,6 +126,19 @@ def scored_pairs(pairs: DataFrame, decode, score, id_type: T.DataType, rule: str
                 ia, b, s = (np.concatenate(x) for x in zip(*held))
                 yield from out(held_ids[ia], b, s)
 
+        def pruned(held, cut):
+            """The best hits so far; ``cut`` becomes what a row's next hits must reach."""
+            if not held:
+                return held
+            ia, b, s = (np.concatenate(x) for x in zip(*held))
+            top = best_hits(ia, b, s, best)
+            ia, b, s = ia[top], b[top], s[top]
+            full = np.flatnonzero(np.bincount(ia, minlength=len(cut)) >= max(best, 1))
+            least = np.full(len(cut), np.inf)
+            np.minimum.at(least, ia, s)
+            cut[full] = least[full] - ROUND_SLACK
+            return [(ia, b, s)]
+
         for batch in batches:
             for i in range(batch.num_rows):
                 def side(p):
@@ -147,15 +161,10 @@ def scored_pairs(pairs: DataFrame, decode, score, id_type: T.DataType, rule: str
                         yield from out(a[kept], b[kept], s[kept])
                     else:
                         held.append((ia[kept], b[kept], s[kept]))
-                if best is not None and held:
-                    ia, b, s = (np.concatenate(x) for x in zip(*held))
-                    top = best_hits(ia, b, s, best)
-                    ia, b, s = ia[top], b[top], s[top]
-                    full = np.flatnonzero(np.bincount(ia, minlength=len(ids_a)) >= max(best, 1))
-                    least = np.full(len(ids_a), np.inf)
-                    np.minimum.at(least, ia, s)
-                    cut[full] = least[full] - ROUND_SLACK
-                    held = [(ia, b, s)]
+                        if sum(len(x[0]) for x in held[1:]) > HELD_ROWS + len(held[0][0]):
+                            held = pruned(held, cut)
+                if best is not None:
+                    held = pruned(held, cut)
         yield from flush()
 
     return pairs.mapInArrow(run, schema)

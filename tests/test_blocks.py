@@ -111,3 +111,19 @@ def test_pairs_are_made_once_for_both_directions(spark):
     pairs = spark.createDataFrame([(1, 2, 0.5)], "doc1 long, doc2 long, similarity double")
     both = mirror(pairs)
     assert {tuple(r) for r in both.collect()} == {(1, 2, 0.5), (2, 1, 0.5)} and "Union" not in plan_of(both)
+
+
+def test_a_task_keeps_the_best_hits_on_the_way(spark, monkeypatch):
+    from doppel.operators import embeddings as E
+    monkeypatch.setattr(E, "SLICE_PAIRS", 300)
+    monkeypatch.setattr(E, "CELLS_PER_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    emb = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 4)))],
+                                "doc_id long, embedding array<double>")
+    pairs, may = E._block_pairs(emb, emb, 0.1, "doc_id", "embedding", None, 50, 3)
+    monkeypatch.setattr(B, "HELD_ROWS", 10)
+    few = B.scored_pairs(pairs, E._vector_blocks_from_bytes, lambda x, y, same, least: (
+        w[:3] for w in E._near_vectors(x, y, same, 0.1, may.value, least)), emb.schema["doc_id"].dataType, "ne", 3)
+    got = rank_hits(few.selectExpr("a as query_document_id", "b as id", "similarity"), 3)
+    want = rank_hits(embedding_hits(emb, emb, 0.1), 3)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
