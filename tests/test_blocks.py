@@ -75,6 +75,27 @@ def test_texts_of_many_blocks_are_not_copied_for_each(spark, monkeypatch, t):
         assert {(r["query_document_id"], r["id"]) for r in ranked.collect()} == want
 
 
+@pytest.mark.parametrize("t", [0.0, 0.4123])
+def test_large_keys_are_not_copied_for_each_of_their_blocks(spark, monkeypatch, t):
+    from doppel.operators import simjoin as sj
+    monkeypatch.setattr(sj, "BUNDLES", 2)
+    rows, mat = texts()
+    of = np.array([[0, 0, 0, 1, 2, 3][i * 7 % 6] for i in range(len(rows))])  # of several blocks, but for the last ones
+    vectors = spark.createDataFrame([(*r, int(c)) for r, c in zip(rows, of)],
+                                    "doc_id long, term_ids array<int>, weights array<double>, c int")
+    order = spark.range(400).selectExpr("int(id) as term_id", "int(id) as order_rank")
+    ok = (np.clip(mat @ mat.T, 0, 1) >= t) & (of[:, None] == of) & ((mat.any(1) | (t <= 0))[:, None] & (mat.any(1) | (t <= 0)))
+    pairs = threshold_join(vectors, None, order, t, block_key="c", block_rows=40, dense_ratio=0.0)
+    assert "explode" not in plan_of(pairs)  # before: every vector once for each block of its key
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(got) == {(i, j) for i, j in zip(*np.nonzero(ok)) if i < j} and len(got) == len(set(got))
+    some = vectors.where("doc_id % 3 = 0 and c <> 3")
+    got = [(r["a"], r["b"]) for r in threshold_join(some, vectors, order, t, block_key="c", block_rows=40,
+                                                    dense_ratio=0.0).collect()]
+    want = {(i, j) for i, j in zip(*np.nonzero(ok)) if i != j and i % 3 == 0 and of[i] != 3}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_vectors_of_many_blocks_are_not_copied_for_each(spark, monkeypatch):
     from doppel.operators import embeddings as E
     monkeypatch.setattr(E, "CELLS_PER_BLOCK", 2)
