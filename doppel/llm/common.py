@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of an Arrow batch beyond which it is closed, whatever its rows.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, size: int):
+    """Within it, Arrow batches for Python workers have about ``size`` bytes at most, or as few as the session sets.
+
+    For what is run there, not for plans that are only made there.  A number of rows does not bound a batch
+    of whole texts or long arrays, which the executor and the worker hold several times over.
+    """
+    before = spark.conf.get(_BATCH_BYTES, None)
+    if before is None or not before.isdigit() or not 0 < int(before) <= size:
+        spark.conf.set(_BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

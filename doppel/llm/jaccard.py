@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm.common import discard, prepare, scratch
+from doppel.llm.common import bounded_batches, discard, prepare, scratch
 from doppel.llm.graph import connected_components
 
 SHINGLE = 3
@@ -26,6 +26,8 @@ PAIR_COST = 4
 #: Sets of a list that are compared with all others before components are formed.
 LEADS = 6
 _TEXT_BYTES = 1 << 20
+#: Bytes of texts or of sets that a task hands to its worker at a time.
+BATCH_BYTES = 1 << 20
 _SIZE_CLASSES = 4  # classes of set sizes for each doubling
 
 
@@ -248,7 +250,7 @@ def _halved(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Those pairs ``(a, b)`` whose sets' intersection is at least ``percent`` % of their union.
 
     The sets' bit maps, a 64th of their size, go first; sets are shipped for what these leave.  Sizes of
@@ -256,7 +258,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """
     def beside(pairs: DataFrame, *what: str) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().checkpoint()
-        sets = _semi(reps, needed, "sid").select("sid", *what)
+        sets = _semi(named, needed, "sid").select("sid", *what)
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in what]), end)
         return pairs
@@ -274,9 +276,12 @@ def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(f"{100 + percent}L * met >= {percent}L * all").select("a", "b").checkpoint()
 
 
-def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int,
+def links(spark: SparkSession, reps: DataFrame, named: DataFrame, classes: DataFrame, percent: int,
           paths: list[str]) -> DataFrame:
-    """Edges ``(a, b)`` between set names whose components are those of all links.
+    """Edges ``(a, b)`` between sets of ``reps`` whose components are those of all links.
+
+    ``named`` is the written table of which ``reps`` are some rows; sets of pairs are fetched from it by
+    their name alone, since only names of ``reps`` are in pairs.
 
     In every list, some sets of each band of sizes are compared with all others of the band.  Lists
     whose sets are then in one component are done; in the rest, every set outside the list's largest
@@ -296,7 +301,7 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
     posts = _postings(reps, frequent, bound, percent)
     shared = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key").checkpoint()
     posts = written(_semi(posts, shared, "key"), "jaccard-postings")
-    first = _linked(_stars(posts, percent), reps, percent)
+    first = _linked(_stars(posts, percent), named, percent)
 
     comp = connected_components(first).withColumnRenamed("node", "sid").checkpoint()
     placed = posts.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -311,7 +316,7 @@ def links(spark: SparkSession, reps: DataFrame, classes: DataFrame, percent: int
         & ((F.col("m.component") == F.col("m.top")) | (F.col("o.sid") < F.col("m.sid"))) \
         & F.expr(_can_link("o.", "m.", percent))
     more = o.join(m, met_again).select(F.least("o.sid", "m.sid").alias("a"), F.greatest("o.sid", "m.sid").alias("b"))
-    second = _linked(more, reps, percent)
+    second = _linked(more, named, percent)
     return comp.where("sid <> component").select(F.col("sid").alias("a"), F.col("component").alias("b")) \
         .union(second)
 
@@ -333,6 +338,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 67 <= percent <= 100:
         raise ValueError("percent must be 67 to 100")
     spark = prepare(docs.sparkSession)
+    with bounded_batches(spark, BATCH_BYTES):
+        return _components(spark, docs, id_col, text_col, shingle, percent)
+
+
+def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shingle: int,
+                percent: int) -> DataFrame:
     path = scratch(spark, "jaccard-sets")
     shingle_sets(docs, id_col, text_col, shingle).write.parquet(path)
     sets = spark.read.parquet(path)
@@ -343,11 +354,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise RuntimeError("two different sets have the same 64-bit name")
     # a smaller set has no other set that is close enough
     able = classes.where(f"100 * n >= {percent} * (n + 1)")
-    reps = _semi(sets, able.select("uid").checkpoint(), "uid")
+    # from here a class goes by the row of its first set, so that asking for a row never gets a copy too
+    named = sets.select(F.col("uid").alias("sid"), "n", "b0", "b1", "map", "hashes")
+    reps = _semi(named, able.select(F.col("uid").alias("sid")).checkpoint(), "sid")
     paths = [path]
-    edges = links(spark, reps, able, percent, paths)
-    comp = connected_components(edges).withColumnRenamed("node", "sid")
-    placed = classes.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid")).checkpoint()
+    edges = links(spark, reps, named, able, percent, paths)
+    comp = connected_components(edges).withColumnRenamed("node", "uid")
+    placed = classes.join(comp, "uid", "left").withColumn("component", F.coalesce("component", "uid")).checkpoint()
     lows = placed.groupBy("component").agg(F.min("low").alias("component_id")).checkpoint()
     of_set = placed.join(lows, "component").select("sid", "component_id").checkpoint()
     out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set, "sid", "left")
