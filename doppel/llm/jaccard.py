@@ -167,10 +167,11 @@ def _boundary(classes: DataFrame, pairs: dict[int, float], percent: int) -> int:
 
 
 def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -> DataFrame:
-    """``(key, sid, n, pos, held, b0, b1)``: ``held`` shingles of the set's prefix, the last one at ``pos``.
+    """``(key, sid, n, pos, held, b0, b1, prev)``: ``held`` shingles of the set's prefix, the last one at ``pos``.
 
     A set's order is by hash, frequent shingles last.  Sets above the boundary, and those that can
-    link to one, post single shingles; sets up to it post pairs.
+    link to one, post single shingles; sets up to it post pairs.  ``prev``: the shingle before a single
+    one in the set's order, null for its first one and for pairs.
     """
     spark = reps.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
@@ -192,7 +193,10 @@ def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -
             pos = np.where(late, light + np.arange(len(h)) - first - before, before)
             prefix = n - (percent * n + 99) // 100 + 1
             pick = np.flatnonzero((pos < prefix[doc]) & ((n > bound) | (100 * n >= percent * (bound + 1)))[doc])
-            out = [(h[pick], doc[pick], pos[pick] + 1, np.ones(len(pick), np.int64))]
+            order = np.empty(len(h), np.int64)
+            order[first + pos] = np.arange(len(h))
+            prev = h[order[np.maximum(first[pick] + pos[pick] - 1, 0)]]
+            out = [(h[pick], doc[pick], pos[pick] + 1, np.ones(len(pick), np.int64), prev, pos[pick] == 0)]
             pick = np.flatnonzero((pos < prefix[doc] + 1) & (n <= bound)[doc])
             pick = pick[np.lexsort((pos[pick], doc[pick]))]
             members = np.bincount(doc[pick], minlength=len(n))
@@ -203,15 +207,16 @@ def _postings(reps: DataFrame, frequent: np.ndarray, bound: int, percent: int) -
                 left, right = h[pick[starts[rows, None] + a]], h[pick[starts[rows, None] + b]]
                 key = _mixed(left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(right.view(np.uint64)))
                 out.append((key.view(np.int64).ravel(), np.repeat(rows, len(a)), np.tile(b + 1, len(rows)),
-                            np.full(len(rows) * len(a), 2)))
-            key, row, pos, held = (np.concatenate(c) for c in zip(*out))
+                            np.full(len(rows) * len(a), 2), np.zeros(len(rows) * len(a), np.int64),
+                            np.ones(len(rows) * len(a), bool)))
+            key, row, pos, held, prev, none = (np.concatenate(c) for c in zip(*out))
             own = [batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("sid", "b0", "b1")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), *map(pa.array, own)] + [pa.array(c.astype(np.int32)) for c in (n[row], pos, held)],
-                names=["key", "sid", "b0", "b1", "n", "pos", "held"])
+                [pa.array(key), *map(pa.array, own)] + [pa.array(c.astype(np.int32)) for c in (n[row], pos, held)]
+                + [pa.array(prev, mask=none)], names=["key", "sid", "b0", "b1", "n", "pos", "held", "prev"])
 
     return (reps.select("sid", "b0", "b1", "hashes")
-                .mapInArrow(run, "key long, sid long, b0 long, b1 long, n int, pos int, held int"))
+                .mapInArrow(run, "key long, sid long, b0 long, b1 long, n int, pos int, held int, prev long"))
 
 
 def _can_link(a: str, b: str, percent: int) -> str:
@@ -225,6 +230,11 @@ def _can_link(a: str, b: str, percent: int) -> str:
             f"bit_count({a}b0 ^ {b}b0) + bit_count({a}b1 ^ {b}b1) <= {a}n + {b}n - 2 * {enough}")
 
 
+def _met_first(a: str, b: str) -> Column:
+    """Whether two postings of a list don't stand right after the same shingle, in whose list their sets meet too."""
+    return ~F.coalesce(F.col(f"{a}.prev") == F.col(f"{b}.prev"), F.lit(False))
+
+
 def _stars(posts: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of every set with some sets of its list and size band (``LEADS`` of them).
 
@@ -286,7 +296,8 @@ def links(spark: SparkSession, reps: DataFrame, named: DataFrame, classes: DataF
     In every list, some sets of each band of sizes are compared with all others of the band.  Lists
     whose sets are then in one component are done; in the rest, every set outside the list's largest
     component is compared with every set of another component, so each pair that can link is either
-    compared or connected already.
+    compared or connected already.  Two sets with the same shingle before this one meet in that one's
+    list too, with at least as many shingles to come, so a pair is formed once in a run of shared shingles.
     """
     frequent, pairs = _frequent(reps, percent)
     bound = _boundary(classes, pairs, percent)
@@ -314,7 +325,7 @@ def links(spark: SparkSession, reps: DataFrame, named: DataFrame, classes: DataF
     met_again = (F.col("o.key") == F.col("m.key")) & (F.col("o.held") == F.col("m.held")) \
         & (F.col("o.component") != F.col("m.component")) \
         & ((F.col("m.component") == F.col("m.top")) | (F.col("o.sid") < F.col("m.sid"))) \
-        & F.expr(_can_link("o.", "m.", percent))
+        & F.expr(_can_link("o.", "m.", percent)) & _met_first("o", "m")
     more = o.join(m, met_again).select(F.least("o.sid", "m.sid").alias("a"), F.greatest("o.sid", "m.sid").alias("b"))
     second = _linked(more, named, percent)
     return comp.where("sid <> component").select(F.col("sid").alias("a"), F.col("component").alias("b")) \
