@@ -87,7 +87,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for s in sets])
     postings = (fps.select("fp").distinct().select("fp", F.explode(lists).alias("k"))
                    .select("fp", "k.at", "k.bytes"))
-    a, b = postings.alias("x"), postings.alias("y")
+    # not by broadcast: Spark sizes postings by the fingerprints, which they outnumber by ``len(sets)`` to one
+    a, b = postings.hint("merge").alias("x"), postings.hint("merge").alias("y")
     diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     same = sum((F.when(diff.bitwiseAND(F.lit(signed(0xFF << 8 * p))) == 0, 1 << p).otherwise(0)
                 for p in range(BYTES)), F.lit(0))
