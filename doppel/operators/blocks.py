@@ -150,6 +150,7 @@ def scored_pairs(pairs: DataFrame, decode, score, id_type: T.DataType, rule: str
     def run(batches):
         arrow_type = None
         held, cut, held_blk, held_ids = [], None, None, None
+        last_a, last_side = None, None
 
         def out(a, b, s):
             for at in range(0, len(s), OUT_ROWS):
@@ -180,7 +181,9 @@ def scored_pairs(pairs: DataFrame, decode, score, id_type: T.DataType, rule: str
                     ids = batch.column(f"{p}_ids")[i].values
                     return ids, decode({c: batch.column(f"{p}_{c}")[i].as_buffer() for c in names})
                 blk_a, blk_b = batch.column("a_blk")[i].as_py(), batch.column("b_blk")[i].as_py()
-                (ids_a, left), same = side("a"), rule == "lt" and blk_a == blk_b
+                if blk_a != last_a:
+                    last_a, last_side = blk_a, side("a")
+                (ids_a, left), same = last_side, rule == "lt" and blk_a == blk_b
                 arrow_type = ids_a.type
                 ids_b, right = (ids_a, left) if same else side("b")
                 ids_a, ids_b = (x.to_numpy(zero_copy_only=False) for x in (ids_a, ids_b))
@@ -211,6 +214,7 @@ SKETCH_SLACK = 1e-4   # more than the rounding of their float32 products
 SLICE = 512           # rows of the left block at a time
 GATHER = 1_000_000    # numbers gathered at a time
 CELLS = 4_000_000     # numbers of a dense part at a time
+TERM_TABLE = 1 << 20  # term ids up to which a block's terms are numbered by a table
 
 
 def flat_vectors(frame: pd.DataFrame | None) -> dict[str, np.ndarray]:
@@ -235,12 +239,28 @@ def _fill(out: np.ndarray, v: dict, cols: np.ndarray, start: int, stop: int, cle
     return out[:stop - start]
 
 
-def _sketch(v: dict) -> np.ndarray:
-    """Norm of each row within each of ``SKETCH`` groups of terms."""
-    n = len(v["ends"]) - 1
-    row = np.repeat(np.arange(n), np.diff(v["ends"]))
-    sums = np.bincount(row * SKETCH + v["terms"] % SKETCH, v["weights"] * v["weights"], n * SKETCH)
-    return np.sqrt(sums).astype(np.float32).reshape(n, SKETCH)
+def _sketch(v: dict, start: int, stop: int) -> np.ndarray:
+    """Norm of each of these rows within each of ``SKETCH`` groups of terms, a slice of rows at a time."""
+    out = np.empty((stop - start, SKETCH), np.float32)
+    for at in range(start, stop, SLICE):
+        to = min(stop, at + SLICE)
+        own = slice(v["ends"][at], v["ends"][to])
+        row, w = np.repeat(np.arange(to - at) * SKETCH, np.diff(v["ends"][at:to + 1])), v["weights"][own]
+        sums = np.bincount(row + v["terms"][own] % SKETCH, w * w, (to - at) * SKETCH)
+        out[at - start:to - start] = np.sqrt(sums).reshape(to - at, SKETCH)
+    return out
+
+
+def _columns(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray, int]:
+    """The terms of two blocks numbered from 0 without gaps, and how many they are."""
+    top = 1 + max((int(v["terms"].max()) for v in (left, right) if len(v["terms"])), default=-1)
+    if top > TERM_TABLE:
+        terms = np.unique(np.concatenate((left["terms"], right["terms"])))
+        return np.searchsorted(terms, left["terms"]), np.searchsorted(terms, right["terms"]), len(terms)
+    used = np.zeros(top, bool)
+    used[left["terms"]] = used[right["terms"]] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    return place[left["terms"]], place[right["terms"]], int(used.sum())
 
 
 def _dots(dense: np.ndarray, ia: np.ndarray, right: dict, cols: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -268,13 +288,13 @@ def near_sparse(left: dict, right: dict, same: bool, t: float, least: np.ndarray
     product of whole rows does.  ``same``: a block with itself, each pair of rows once.
     """
     na, nb = len(left["ends"]) - 1, len(right["ends"]) - 1
-    terms = np.unique(np.concatenate((left["terms"], right["terms"])))
-    width = max(1, len(terms))
-    ca, cb = np.searchsorted(terms, left["terms"]), np.searchsorted(terms, right["terms"])
+    ca, cb, width = _columns(left, right)
+    width = max(1, width)
     bound_by = t > 0
     if bound_by:
-        sa = _sketch(left)
-        sb = sa if same else _sketch(right)
+        sb = _sketch(right, 0, nb)
+        if not same and "sketch" not in left:  # a task meets the same left block several times
+            left["sketch"] = _sketch(left, 0, na)
     step = max(1, min(SLICE, CELLS // width))
     dense = np.zeros((min(step, na), width))
     other = None
@@ -282,7 +302,8 @@ def near_sparse(left: dict, right: dict, same: bool, t: float, least: np.ndarray
         to, first = min(na, at + SLICE), at if same else 0
         many = True
         if bound_by:
-            flat = np.flatnonzero(sa[at:to] @ sb[first:].T >= np.float32(t - SKETCH_SLACK))
+            sa = sb[at:to] if same else left["sketch"][at:to]
+            flat = np.flatnonzero(sa @ sb[first:].T >= np.float32(t - SKETCH_SLACK))
             ia, ib = np.divmod(flat, nb - first)
             ib += first
             many = len(ia) * 4 > (to - at) * (nb - first)

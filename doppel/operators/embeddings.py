@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doppel.functions.text import bag_of_words_batched, slices
 from doppel.operators.blocks import BLOCKS_PER_PART, packed, pairs_of_blocks, scored_pairs
-from doppel.operators.tfidf import LOOKUP_ROWS, term_bags
-from doppel.session import keep
+from doppel.operators.tfidf import LOOKUP_ROWS
+from doppel.session import drop_kept, keep
 
 ANGLE_EPS = 1e-9
 MAX_PIVOTS = 1024  # and so at most its square of pairs of cells on the driver
@@ -48,6 +49,11 @@ BLOCK_BYTES = 4 << 20   # of the vectors of a block
 CELLS_PER_BLOCK = 8     # and at most so many times the rows of a cell
 SLICE_PAIRS = 1 << 20   # products at a time
 ENCODE_ROWS = 512       # documents that an encoder gets at a time
+FULL_DIM = 128          # dimensions up to which a rough product of whole vectors is as cheap as one of leading coordinates
+ROUGH = 1e-4            # more than the rounding of a float32 product of unit vectors
+TIE = 1e-12             # more than the rounding of a float64 one: a product that is t itself is never lost by it
+WHOLE_SHARE = 0.5       # of the pairs of two blocks, beyond which cells are not told apart
+QUERY_ROWS, QUERY_BLOCKS = 1024, 16  # queries are cut to so many blocks, but to none of fewer rows
 
 
 # --------------------------------------------------------------------------------- cosine
@@ -88,20 +94,26 @@ def _term_hash(term: Column) -> Column:
 def hash_embeddings(docs: DataFrame, dim: int = 64, id_col: str = "doc_id",
                     text_col: str = "content") -> DataFrame:
     """M4 built-in encoder -> (id, embedding ARRAY<DOUBLE>), unit norm (zero if no tokens)."""
-    places, add_up = _TermPlaces(dim), _bincount_encoder(dim)
+    places = _TermPlaces(dim)
+
+    def encode(bags: pa.StructArray) -> pa.Array:
+        terms, lens = bags.field("terms"), np.diff(bags.field("terms").offsets.to_numpy())
+        texts = terms.flatten().dictionary_encode()  # a term is a Python object once for each part
+        bucket, sign = places.of(texts.dictionary.to_pylist())
+        code, row = texts.indices.to_numpy(), np.repeat(np.arange(len(lens)) * dim, lens)
+        signed = sign[code] * bags.field("counts").flatten().to_numpy()
+        mat = np.bincount(row + bucket[code], signed, len(lens) * dim).astype(np.float64).reshape(len(lens), dim)
+        norms = np.sqrt((mat * mat).sum(axis=1))
+        mat /= np.where(norms == 0, 1.0, norms)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1, dtype=np.int32) * dim), pa.array(mat.ravel()))
 
-    def encode(pdf: pd.DataFrame) -> np.ndarray:
-        lens = pdf["terms"].map(len).to_numpy()
-        if not lens.sum():
-            return np.zeros((len(pdf), dim))
-        code, terms = pd.factorize(np.concatenate(pdf["terms"].to_numpy()))
-        bucket, sign = places.of(terms)
-        cuts = np.cumsum(lens)[:-1]
-        signed = sign[code] * np.concatenate(pdf["counts"].to_numpy())
-        return add_up(pd.DataFrame({"buckets": pd.Series(np.split(bucket[code], cuts), dtype=object),
-                                    "signed": pd.Series(np.split(signed, cuts), dtype=object)}))
+    @F.arrow_udf("array<double>")
+    def embed(bags: pa.Array) -> pa.Array:
+        return pa.concat_arrays([encode(x) for x in slices(bags, ENCODE_ROWS)])
 
-    return encode_with(term_bags(docs, id_col, text_col), encode, id_col)
+    # the bag goes from one function to the next in one Python worker; not deterministic by name only, as a filter
+    # on the vectors would else be pushed below them and encode every text a second time
+    return docs.select(id_col, embed.asNondeterministic()(bag_of_words_batched(text_col)).alias("embedding"))
 
 
 class _TermPlaces:
@@ -215,7 +227,7 @@ def _principal_axes(df: DataFrame) -> np.ndarray:
     """Orthogonal matrix whose columns are the principal axes of the vectors ``u``, strongest first."""
     first = df.select("u").first()
     dim = len(first["u"]) if first else 0
-    if dim > MAX_DIM:
+    if dim <= FULL_DIM or dim > MAX_DIM:
         return np.eye(dim)
 
     def moments(batches):
@@ -279,8 +291,9 @@ def _block_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id_
                  n_pivots: int | None, cell_rows: int, best: int | None = None):
     """Pairs of blocks of placed rows and which cells may meet (a broadcast matrix), None if a side is empty."""
     zeros = threshold <= 0
-    lu = _unit(left, id_col, vec_col, zeros)
-    ru = lu if right is None else _unit(right, id_col, vec_col, zeros)
+    # read several times before they are placed, and an encoder's run is most of the work
+    lu = keep(_unit(left, id_col, vec_col, zeros))
+    ru = lu if right is None else keep(_unit(right, id_col, vec_col, zeros))
     n_right = ru.count()
     n_left = n_right if right is None else lu.count()
     if n_right == 0 or n_left == 0:
@@ -301,6 +314,8 @@ def _block_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id_
 
     x, rx = cells(lu)
     y, ry = (x, rx) if right is None else cells(ru)
+    for done in (lu, ru):
+        drop_kept(done)
     may = (rx >= 0)[:, None] & (ry >= 0)[None, :]
     if threshold > 0:  # a zero vector has no angle, and nothing can be left out
         theta = math.acos(max(-1.0, min(1.0, threshold)))
@@ -308,10 +323,10 @@ def _block_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id_
         may &= apart <= theta + rx[:, None] + ry[None, :] + ANGLE_EPS
     rows = max(1, min(CELLS_PER_BLOCK * cell_rows, BLOCK_BYTES // (8 * max(1, pivots.shape[1]))))
 
-    def blocks(df: DataFrame, n: int, per_part: int = 1) -> DataFrame:
+    def blocks(df: DataFrame, n: int, per_part: int = 1, rows: int = rows) -> DataFrame:
         return packed(df.select("id", "z", "cell"), "id", n, rows, _vector_blocks, per_part, ["cell", F.xxhash64("id")])
 
-    one = blocks(x, n_left)
+    one = blocks(x, n_left, 1, rows if right is None else min(rows, max(QUERY_ROWS, math.ceil(n_left / QUERY_BLOCKS))))
     two = None if right is None else blocks(y, n_right, 1 if best is None else BLOCKS_PER_PART)
     return pairs_of_blocks(one, two, n_left <= rows), left.sparkSession.sparkContext.broadcast(may)
 
@@ -319,22 +334,27 @@ def _block_pairs(left: DataFrame, right: DataFrame | None, threshold: float, id_
 def _near_vectors(left: tuple, right: tuple, same: bool, t: float, may: np.ndarray, least: np.ndarray | None = None):
     """Slices (rows of left, rows of right, products, pairs that met, products made) of two blocks.
 
-    A cell of the left block meets the right block's rows in the cells that it may reach.
+    A cell of the left block meets the right block's rows in the cells that it may reach; where most may be
+    reached, the whole blocks meet.
     """
     (za, ca), (zb, cb) = left, right
-    starts = np.flatnonzero(np.concatenate(([True], ca[1:] != ca[:-1])))
-    for at, to in zip(starts, [*starts[1:], len(ca)]):
-        reached = np.flatnonzero(may[ca[at], cb])
+    starts = np.flatnonzero(np.concatenate(([True], ca[1:] != ca[:-1]))) if len(ca) else np.zeros(0, np.int64)
+    ends = np.concatenate((starts[1:], [len(ca)])).astype(np.int64)
+    reach = may[ca[starts]] @ np.bincount(cb, minlength=may.shape[1])
+    whole = ((ends - starts) * reach).sum() > WHOLE_SHARE * len(ca) * len(cb)
+    for at, to in [(0, len(ca))] if whole else zip(starts, ends):
+        reached = np.arange(len(cb)) if whole else np.flatnonzero(may[ca[at], cb])
         reached = reached[reached >= at] if same else reached
         if not len(reached):
             continue
-        other = zb[reached]
+        other = zb if whole else zb[reached]
         step = max(1, SLICE_PAIRS // len(reached))
         for lo in range(at, to, step):
             hi = min(to, lo + step)
             low = t if least is None else np.maximum(t, least[lo:hi])
-            ia, ib, sims, made = scored(za[lo:hi], other, low)
-            ia, ib = ia + lo, reached[ib]
+            past = int(np.searchsorted(reached, lo)) if same else 0
+            ia, ib, sims, made = scored(za[lo:hi], other[past:], low)
+            ia, ib = ia + lo, reached[ib + past]
             if same:  # a block with itself has each pair of rows once
                 once = ia < ib
                 ia, ib, sims = ia[once], ib[once], sims[once]
@@ -343,23 +363,29 @@ def _near_vectors(left: tuple, right: tuple, same: bool, t: float, may: np.ndarr
 
 
 def scored(za: np.ndarray, zb: np.ndarray, t) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rows, columns and products of the pairs with product >= t, and how many products were computed.
+    """Rows, columns and products of the pairs with product >= t, and how many exact products were computed.
 
     ``t``: a number, or one for each row of ``za``.
     """
-    lead = max(1, za.shape[1] // LEAD_SHARE)
     t = np.broadcast_to(np.asarray(t, np.float64), len(za))[:, None]
     if len(za) and t.min() > 0:
-        ta, tb = (np.sqrt((z[:, lead:] ** 2).sum(1)) for z in (za, zb))
-        bound = za[:, :lead] @ zb[:, :lead].T
-        bound += np.outer(ta, tb)
-        ia, ib = np.nonzero(bound >= t - 1e-9)
+        if za.shape[1] <= FULL_DIM:  # a float32 product tells which pairs need their own one
+            bound = za.astype(np.float32) @ zb.astype(np.float32).T
+            near = bound >= (t - ROUGH).astype(np.float32)
+        else:
+            lead = max(1, za.shape[1] // LEAD_SHARE)
+            ta, tb = (np.sqrt((z[:, lead:] ** 2).sum(1)) for z in (za, zb))
+            bound = za[:, :lead] @ zb[:, :lead].T
+            bound += np.outer(ta, tb)
+            near = bound >= t - 1e-9
+        ia, ib = np.divmod(np.flatnonzero(near), len(zb)) if len(zb) else (np.zeros(0, np.int64),) * 2
         if len(ia) * 4 < za.shape[0] * zb.shape[0]:
             sims = np.empty(len(ia))
-            for at in range(0, len(ia), 65_536):
-                sims[at:at + 65_536] = np.einsum("ij,ij->i", za[ia[at:at + 65_536]], zb[ib[at:at + 65_536]])
-            ok = sims >= t[ia, 0]
+            for at in range(0, len(ia), 16_384):
+                sims[at:at + 16_384] = np.einsum("ij,ij->i", za[ia[at:at + 16_384]], zb[ib[at:at + 16_384]])
+            ok = sims >= t[ia, 0] - TIE
             return ia[ok], ib[ok], sims[ok], len(ia)
+        t = t - TIE
     sims = za @ zb.T
     ia, ib = np.nonzero(sims >= t)
     return ia, ib, sims[ia, ib], sims.size

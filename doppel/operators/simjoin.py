@@ -45,8 +45,10 @@ from doppel.session import keep, scratch_path
 PREFIX_EPS = 1e-9  # keep a little more of each prefix than needed, to absorb rounding
 ORDER_LOOKUP_ROWS = 2_000_000  # term ids up to which the term order is broadcast: 4 bytes each
 BLOCK_ROWS = 8192  # vectors of a block
+PACKED_ROWS = 2048  # vectors of a packed block: one row of some 5 MB, which a task holds several times over
 LEAST_ROWS, LEAST_BLOCKS = 1024, 16  # a small side is cut to so many blocks, but to none of fewer rows
-BLOCKS_TOGETHER = 4  # blocks that one task compares with a block of queries, where only the best hits count
+BLOCKS_TOGETHER = 4  # blocks that one task compares with a block of queries or, of many, with as many blocks
+FEW_BLOCKS = 64  # blocks of a self-join up to which each is a partition of its own
 BUNDLES = 32  # sets of blocking keys with more than one block, each joined on its own
 LIST_ROWS = 1024  # postings of a term beyond which its list is cut
 REPS_ROWS = 2_000_000  # numeric ids of representatives up to which they are broadcast: 8 bytes each
@@ -436,10 +438,11 @@ def _packed_blocks(lv: DataFrame, rv: DataFrame | None, threshold: float, id_typ
     """Dense case without a blocking key: every pair of packed blocks, each vector shuffled once."""
     def rows(n: int) -> int:
         """At most ``block_rows``, and fewer where that gives too few blocks to work on."""
-        return min(block_rows, max(LEAST_ROWS, math.ceil(n / LEAST_BLOCKS)))
+        return min(block_rows, PACKED_ROWS, max(LEAST_ROWS, math.ceil(n / LEAST_BLOCKS)))
 
     t, cols = float(threshold), ["doc", "term_ids", "weights"]
-    one = packed(lv.select(*cols), "doc", sizes[0], rows(sizes[0]), flat_vectors)
+    together = BLOCKS_TOGETHER if rv is None and sizes[0] > FEW_BLOCKS * rows(sizes[0]) else 1
+    one = packed(lv.select(*cols), "doc", sizes[0], rows(sizes[0]), flat_vectors, together)
     two = None if rv is None else packed(rv.select(*cols), "doc", sizes[1], rows(sizes[1]), flat_vectors,
                                          1 if best is None else BLOCKS_TOGETHER)
 

@@ -24,12 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doppel.functions.text import SLICE_TEXTS, bag_of_words, bag_of_words_batched, run_lengths, slices, tokens
-from doppel.session import keep
+from doppel.session import cached, keep
 
 # A vocabulary of at most so many terms and UTF-8 bytes is looked up inside the tasks.
 LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 16 << 20
@@ -102,21 +101,26 @@ class TfidfModel:
                   text_col: str = "content") -> DataFrame:
         """Vectorise new documents with the frozen vocabulary, idf and N (unknown terms ignored)."""
         id_col = id_col or self.id_col
-        return weigh(term_bags(docs, id_col, text_col), self.vocabulary, id_col)
+        # the bag stays one column, so that one Python worker counts and weighs
+        return weigh(docs.select(id_col, bag_of_words_batched(text_col).alias("_bag")), self.vocabulary, id_col)
 
 
 def weigh(bags: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """L2-normalised array-form vectors, by lookup in the tasks or, beyond its bound, by a join."""
+    """L2-normalised array-form vectors, by lookup in the tasks or, beyond its bound, by a join.
+
+    ``bags``: (id, terms, counts), or (id, _bag) with both in a struct.
+    """
+    packed = "_bag" in bags.columns
     rows, size = vocab.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
     if rows > LOOKUP_ROWS or (size or 0) > LOOKUP_BYTES:
-        return _weigh_by_join(bags, vocab, id_col)
+        return _weigh_by_join(bags.select(id_col, "_bag.*") if packed else bags, vocab, id_col)
     known = vocab.orderBy("term_id").select("term", "term_id", "idf").toPandas()  # within the bound
     shared = bags.sparkSession.sparkContext.broadcast(
         (dict(zip(known["term"], range(len(known)))), known["term_id"].to_numpy(np.int32),
          known["idf"].to_numpy(np.float64)))
 
     @F.arrow_udf("term_ids array<int>, weights array<double>")
-    def look_up(terms: pa.Array, counts: pa.Array) -> pa.Array:
+    def look_up(bags: pa.Array) -> pa.Array:
         place, ids, idf = shared.value
 
         def weighed(own: pa.Array, n: pa.Array) -> pa.Array:
@@ -135,9 +139,10 @@ def weigh(bags: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
                                                pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))],
                                               ["term_ids", "weights"])
 
-        return pa.concat_arrays([weighed(*parts) for parts in zip(slices(terms, SLICE_TEXTS), slices(counts, SLICE_TEXTS))])
+        return pa.concat_arrays([weighed(x.field("terms"), x.field("counts")) for x in slices(bags, SLICE_TEXTS)])
 
-    return (bags.select(id_col, look_up("terms", "counts").alias("v"))
+    bag = F.col("_bag") if packed else F.struct("terms", "counts")
+    return (bags.select(id_col, look_up(bag).alias("v"))
                 .select(id_col, "v.term_ids", "v.weights"))
 
 
@@ -202,7 +207,7 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content"
     """Fit the vocabulary on ``docs`` (already normalised) and vectorise them (M1)."""
     bags = term_bags(docs, id_col, text_col)
     if persist:
-        bags = bags.persist(StorageLevel.MEMORY_AND_DISK)
+        bags = cached(bags)
     n_docs = bags.count()
     if n_docs == 0:
         raise ValueError("empty corpus: nothing to fit")
@@ -224,14 +229,14 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content"
     vocab = (kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
              .select("term", "term_id", "df", "cf", "idf", "order_rank"))
     if persist:
-        vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
+        vocab = cached(vocab)
     vocab_size = vocab.count()
     if vocab_size == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
     model = TfidfModel(vocab, None, n_docs, vocab_size, id_col, max_features, min_df, max_df)  # type: ignore[arg-type]
     vectors = weigh(bags, vocab, id_col)
     if persist:
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = cached(vectors)
         vectors.count()  # materialise once; every later job reads the cached vectors
         bags.unpersist()
     model.vectors = vectors

@@ -42,9 +42,10 @@ def _prepare(spark: SparkSession) -> None:
     Every registered query starts by releasing what the previous one's operators persisted, which
     keeps a long run of queries within a small heap.  Caches of the caller are left alone.
     """
-    from doppel.session import checkpoint_dir, release, ship_package
+    from doppel.session import bound_batches, checkpoint_dir, release, ship_package
     checkpoint_dir(spark)
     ship_package(spark)
+    bound_batches(spark)
     release()
 
 

@@ -43,9 +43,25 @@ def get_session(app_name: str = "doppel", master: str | None = None,
     spark.sparkContext.setLogLevel("WARN")
     checkpoint_dir(spark)
     ship_package(spark)
+    bound_batches(spark)
     return spark
 
 
+#: Bytes after which an Arrow batch for a Python worker is closed, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64mb")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches closed at ``BATCH_BYTES``; a size that the caller set is kept.
+
+    The executor and its worker both hold a batch several times over, and a pair of packed blocks is a row
+    of some 10 MB: by Spark's default several of them would travel together.
+    """
+    if str(spark.conf.get(_BATCH_KEY, _SPARKS_OWN[0])).lower() in _SPARKS_OWN:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 _SHIPPED: set[int] = set()
 
 
@@ -97,12 +113,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _KEPT: list[DataFrame] = []
 
 
+#: Rows of a cached batch.  Spark writes cached batches with Java's serialization, which holds on to the last 100
+#: objects written; batches of up to 4 MB (Spark's 10,000 rows of vectors) would take most of an executor's heap.
+CACHED_ROWS = 256
+_CACHED_KEY = "spark.sql.inMemoryColumnarStorage.batchSize"
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Persist ``df`` in memory as objects, on disk where that is short, in small batches."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CACHED_KEY)
+    conf.set(_CACHED_KEY, str(min(int(before), CACHED_ROWS)))
+    try:
+        return df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    finally:
+        conf.set(_CACHED_KEY, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist an intermediate result of the library until ``release``."""
-    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    _KEPT.append(cached(df))
     return df
 
 
+def drop_kept(df: DataFrame) -> None:
+    """Unpersist one result of ``keep`` that nothing reads any more."""
+    _KEPT[:] = [x for x in _KEPT if x is not df]
+    df.unpersist()
+
+
 def release() -> None:
     """Unpersist what ``keep`` persisted and nothing else; results that still need it recompute."""
     while _KEPT:
