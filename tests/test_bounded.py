@@ -73,3 +73,13 @@ def test_several_blocks_a_partition_lose_no_pair(spark, monkeypatch):
     got = [(r["a"], r["b"]) for r in threshold_join(vectors, None, order, 0.7, dense_ratio=0.0).collect()]
     sims = mat @ mat.T
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in zip(*np.nonzero(sims >= 0.7)) if i < j}
+
+
+def test_a_task_of_kmeans_hands_on_one_model_at_a_time():
+    from doppel.operators.clusters import _handed_on
+    sums, counts = np.arange(24.0).reshape(3, 8), np.array([[1, 2], [3, 0], [0, 0]])
+    far = [(0.5, np.array([1]), np.array([2.0])), (-1.0, None, None), (-1.0, None, None)]
+    got = [b.to_pylist() for b in _handed_on(sums, counts, np.ones(3), far, 7)]
+    assert [(r["model"], r["cluster"], r["n"]) for b in got for r in b] == [
+        (0, 2, 0), (0, -1, 0), (0, 0, 1), (0, 1, 2), (1, 2, 0), (1, 0, 3), (2, 2, 0)]
+    assert len(got) == 3 and got[0][2]["terms"] == [1, 2, 3] and got[1][1]["sums"] == [8.0, 9.0, 10.0, 11.0]
